@@ -39,7 +39,7 @@ def warns(condition: Column) -> Column:
 
 def any_literal(words) -> str:
     """Regular expression that finds any of the words."""
-    return "|".join(re.escape(w).replace("/", "/") for w in words)
+    return "|".join(map(re.escape, words))
 
 
 def months_between(later: Column, earlier: Column) -> Column:
@@ -114,11 +114,17 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
             "homoglyph_detected": F.when(unmask(label) == label, 1)
             .when(imitated_brand(label).isNotNull(), -1)
             .otherwise(0),
-            "_reported_domain": lowered.rlike(any_literal(fv.REPORTED_DOMAINS)),
         }
     ).drop("_url", "_authority", "_host")
 
 
+URL_FEATURES = (
+    "using_ip_address", "url_length", "is_shortener", "has_at_symbol",
+    "has_double_slash_redirect", "has_dash_in_domain", "subdomain_count", "has_https",
+    "non_standard_port", "https_in_domain_name", "url_entropy", "homoglyph_detected",
+)
+
+
 # ------------------------------------------------------------------ page features
 
 TAG = r"(?is)<(?:a|form|iframe|img|audio|video|embed|source|script|link)(?:[\s/][^>]*)?>"
@@ -287,29 +293,71 @@ def first_date(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def enrich(
-    urls: DataFrame, crawl: DataFrame, whois: DataFrame, dns: DataFrame, certs: DataFrame
-) -> DataFrame:
-    """Scanned URLs with page features, host facts and the three failure flags.
+def with_pages(urls: DataFrame, crawl: DataFrame) -> DataFrame:
+    """Adds the page features (0 where the page is missing) and ``http_failed``.
 
-    ``urls`` has a ``url`` column. The look-up tables have one row per key.
+    ``crawl`` has one row per URL.
     """
     pages = page_features(crawl).withColumnRenamed("url", "_page").withColumn("_http", F.lit(True))
-    facts = host_facts(whois, dns, certs).withColumnRenamed("host", "_host")
-    keyed = urls.withColumn("_page", sanitize_url(F.col("url"))).withColumn(
-        "_host", host_before_port(F.col("_page"))
+    return (
+        urls.withColumn("_page", sanitize_url(F.col("url")))
+        .join(pages, "_page", "left")
+        .withColumn("http_failed", F.col("_http").isNull())
+        .withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in PAGE_FEATURES})
+        .drop("_page", "_http")
     )
+
+
+def with_host_facts(
+    urls: DataFrame, whois: DataFrame, dns: DataFrame, certs: DataFrame
+) -> DataFrame:
+    """Adds WHOIS, DNS and certificate columns, ``whois_failed`` and ``dns_failed``."""
+    facts = host_facts(whois, dns, certs).withColumnRenamed("host", "_host")
     return (
-        keyed.join(pages, "_page", "left")
+        urls.withColumn("_host", host_before_port(sanitize_url(F.col("url"))))
         .join(facts, "_host", "left")
         .withColumns(
-            {
-                "http_failed": F.col("_http").isNull(),
-                "whois_failed": F.col("_whois").isNull(),
-                "dns_failed": F.col("_dns").isNull(),
-            }
+            {"whois_failed": F.col("_whois").isNull(), "dns_failed": F.col("_dns").isNull()}
         )
-        .drop("_page", "_http", "_whois", "_dns", "_host")
+        .drop("_whois", "_dns", "_host")
+    )
+
+
+def enrich(
+    urls: DataFrame, crawl: DataFrame, whois: DataFrame, dns: DataFrame, certs: DataFrame
+) -> DataFrame:
+    """Scanned URLs with page features, host facts and the three failure flags.
+
+    ``urls`` has a ``url`` column. The look-up tables have one row per key.
+    """
+    return with_host_facts(with_pages(urls, crawl), whois, dns, certs)
+
+
+def host_features(df: DataFrame, as_of: str) -> DataFrame:
+    """Adds the features read from host facts, as seen on the day ``as_of``."""
+    today = F.lit(as_of).cast("date")
+    created, expires = first_date(df, "creation_date"), first_date(df, "expiration_date")
+    cert_days = F.date_diff(today, F.col("not_before").cast("date"))
+    reported = F.lower(sanitize_url(F.col("url"))).rlike(any_literal(fv.REPORTED_DOMAINS))
+    bad_address = F.arrays_overlap("a_records", F.array(*map(F.lit, fv.REPORTED_ADDRESSES)))
+    return df.withColumns(
+        {
+            "domain_registration_length": F.when(created.isNull() | expires.isNull(), 0)
+            .when(months_between(expires, created) >= 12, 1)
+            .otherwise(-1),
+            "abnormal_url_whois": F.when(
+                F.coalesce(F.col("domain_name"), F.lit("")) == "", 0
+            ).otherwise(1),
+            "domain_age": F.when(created.isNull(), 0)
+            .when(months_between(today, created) >= 6, 1)
+            .otherwise(-1),
+            "has_dns_record": F.when(F.size("a_records") > 0, 1).otherwise(0),
+            "certificate_age": F.when(cert_days.isNull(), 0)
+            .when(cert_days < 30, -1)
+            .when(cert_days < 90, 0)
+            .otherwise(1),
+            "statistical_report_match": warns(reported | F.coalesce(bad_address, F.lit(False))),
+        }
     )
 
 
@@ -322,39 +370,11 @@ def features(
     psl: DataFrame | SuffixRules,
     as_of: str,
 ) -> DataFrame:
-    """Input rows with the thirty features and the failure flags."""
-    base = url_features(enrich(urls, crawl, whois, dns, certs), psl)
-    today = F.lit(as_of).cast("date")
-    created, expires = first_date(base, "creation_date"), first_date(base, "expiration_date")
-    cert_days = F.date_diff(today, F.col("not_before").cast("date"))
-    reported = F.col("_reported_domain") | F.coalesce(
-        F.arrays_overlap("a_records", F.array(*map(F.lit, fv.REPORTED_ADDRESSES))), F.lit(False)
-    )
-    return (
-        base.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in PAGE_FEATURES})
-        .withColumns(
-            {
-                "domain_registration_length": F.when(
-                    created.isNull() | expires.isNull(), 0
-                )
-                .when(months_between(expires, created) >= 12, 1)
-                .otherwise(-1),
-                "abnormal_url_whois": F.when(
-                    F.coalesce(F.col("domain_name"), F.lit("")) == "", 0
-                ).otherwise(1),
-                "domain_age": F.when(created.isNull(), 0)
-                .when(months_between(today, created) >= 6, 1)
-                .otherwise(-1),
-                "has_dns_record": F.when(F.size("a_records") > 0, 1).otherwise(0),
-                "certificate_age": F.when(cert_days.isNull(), 0)
-                .when(cert_days < 30, -1)
-                .when(cert_days < 90, 0)
-                .otherwise(1),
-                "statistical_report_match": warns(reported),
-            }
-        )
-        .drop("_reported_domain", "domain_name", "creation_date", "expiration_date",
-              "a_records", "not_before", "suffix", "domain_label", "subdomain")
+    """Input rows with the thirty features, the failure flags and ``registered_domain``."""
+    enriched = host_features(enrich(urls, crawl, whois, dns, certs), as_of)
+    return url_features(enriched, psl).drop(
+        "domain_name", "creation_date", "expiration_date", "a_records", "not_before",
+        "suffix", "domain_label", "subdomain",
     )
 
 

@@ -6,8 +6,16 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-TAG_TYPE = "array<struct<name:string,attrs:map<string,string>>>"
+TAG_TYPE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("name", T.StringType()),
+            T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        ]
+    )
+)
 
 
 def _idna(name: str | None) -> str | None:
@@ -19,7 +27,7 @@ def _idna(name: str | None) -> str | None:
         return name
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def idna_host(hosts: pd.Series) -> pd.Series:
     """IDNA ASCII form of a host; unchanged where it cannot be encoded."""
     return hosts.map(_idna)

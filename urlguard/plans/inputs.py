@@ -261,4 +261,6 @@ def check_sql(text: str, extra: dict[str, str] | None = None) -> str:
     body = render(text, "duckdb").strip()
     if not parts:
         return body
+    if body.startswith("WITH"):
+        body = f"SELECT * FROM ({body}) AS q"
     return f"WITH {parts}\n{body}"
