@@ -31,23 +31,23 @@ class SuffixRules:
             raise ValueError(f"a suffix table has at most {MAX_RULES} rules")
         return cls([r.suffix for r in rows])
 
-    def suffix(self, host: Column) -> Column:
-        """Longest matching public suffix, or an empty string."""
+    def suffix_labels(self, host: Column) -> Column:
+        """Number of labels in the longest matching public suffix, 0 without one."""
 
         def last(n: int) -> Column:
             return F.substring_index(host, ".", -n)
 
-        found = F.when(is_ipv4(host), "")
+        found = F.when(is_ipv4(host), 0)
         for n in range(self.depth, 0, -1):
             if n in self.exempt:
-                found = found.when(last(n).isin(self.exempt[n]), last(n - 1))
+                found = found.when(last(n).isin(self.exempt[n]), n - 1)
         for n in range(self.depth, 0, -1):
             if n - 1 in self.wild:
                 deep_enough = F.length(last(n)) > F.length(last(n - 1))
-                found = found.when(last(n - 1).isin(self.wild[n - 1]) & deep_enough, last(n))
+                found = found.when(last(n - 1).isin(self.wild[n - 1]) & deep_enough, n)
             if n in self.plain:
-                found = found.when(last(n).isin(self.plain[n]), last(n))
-        return found.otherwise("")
+                found = found.when(last(n).isin(self.plain[n]), n)
+        return found.otherwise(0)
 
 
 def _by_labels(names: set[str]) -> dict[int, list[str]]:
@@ -57,36 +57,45 @@ def _by_labels(names: set[str]) -> dict[int, list[str]]:
     return groups
 
 
+def labels(name: Column) -> Column:
+    """Number of dot-separated labels."""
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+
+
+def last_labels(name: Column, n: Column) -> Column:
+    return F.call_function("substring_index", name, F.lit("."), -n)
+
+
 def registered_domain(df: DataFrame, host_col: str, psl: DataFrame | SuffixRules) -> DataFrame:
-    """Adds ``suffix``, ``domain_label``, ``subdomain`` and ``registered_domain``.
+    """Adds ``suffix``, ``registered_domain``, ``domain_label`` and ``subdomain_labels``.
 
     A host without a known suffix keeps its last label (an address: itself) as both
-    label and registered domain.
+    label and registered domain. A host that is itself a suffix has an empty label. The
+    new columns are never null, so joins on them push no filter into this expression.
     """
     rules = psl if isinstance(psl, SuffixRules) else SuffixRules.from_table(psl)
-    host, suffix = F.col(host_col), F.col("suffix")
-    with_suffix = df.withColumn("suffix", rules.suffix(host))
-    before = F.when(suffix == "", host).otherwise(
-        F.rtrim(F.substr(host, F.lit(1), F.length(host) - F.length(suffix)), F.lit("."))
-    )
-    label = F.when(is_ipv4(host), host).otherwise(F.substring_index(F.col("_before"), ".", -1))
+    host, n = F.coalesce(F.col(host_col), F.lit("")), F.col("_suffix_labels")
+    address = is_ipv4(host)
+    kept = F.when(address, 4).otherwise(n + 1)
+    bare_suffix = (n > 0) & (n == labels(host))
+    name = F.col("registered_domain")
     return (
-        with_suffix.withColumn("_before", before)
-        .withColumn("domain_label", label)
-        .withColumn(
-            "subdomain",
-            F.rtrim(
-                F.substr(
-                    "_before", F.lit(1), F.length("_before") - F.length("domain_label")
+        df.withColumn("_suffix_labels", rules.suffix_labels(host))
+        .withColumns(
+            {
+                "suffix": last_labels(host, n),
+                "registered_domain": F.concat(
+                    F.when(bare_suffix, ".").otherwise(""), last_labels(host, kept)
                 ),
-                F.lit("."),
-            ),
+            }
         )
-        .withColumn(
-            "registered_domain",
-            F.when(suffix == "", F.col("domain_label")).otherwise(
-                F.concat_ws(".", "domain_label", "suffix")
-            ),
+        .withColumns(
+            {
+                "domain_label": F.when(address, host).otherwise(F.substring_index(name, ".", 1)),
+                "subdomain_labels": F.when(address | bare_suffix, 0).otherwise(
+                    labels(host) - labels(name)
+                ),
+            }
         )
-        .drop("_before")
+        .drop("_suffix_labels")
     )

@@ -92,7 +92,7 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
     lowered = F.lower(url)
     last_double_slash = F.length(url) - F.instr(F.reverse(url), "//") - 1
     entropy = label_entropy(label)
-    dots = F.length("subdomain") - F.length(F.replace(F.col("subdomain"), F.lit("."), F.lit("")))
+    subdomains = F.col("subdomain_labels")
     return split.withColumns(
         {
             "using_ip_address": warns(is_ipv4(name)),
@@ -103,7 +103,7 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
                 F.contains(url, F.lit("//")) & (last_double_slash > 6)
             ),
             "has_dash_in_domain": warns(F.contains(net, F.lit("-"))),
-            "subdomain_count": F.when(dots == 0, 1).when(dots == 1, 0).otherwise(-1),
+            "subdomain_count": banded(subdomains, 2, 2, neutral_closed=True),
             "has_https": F.when(F.startswith(url, F.lit("https://")), 1).otherwise(-1),
             "non_standard_port": warns(net.rlike(":[^.]*$")),
             "https_in_domain_name": warns(F.contains(F.lower(name), F.lit("https"))),
@@ -374,7 +374,7 @@ def features(
     enriched = host_features(enrich(urls, crawl, whois, dns, certs), as_of)
     return url_features(enriched, psl).drop(
         "domain_name", "creation_date", "expiration_date", "a_records", "not_before",
-        "suffix", "domain_label", "subdomain",
+        "suffix", "domain_label", "subdomain_labels",
     )
 
 

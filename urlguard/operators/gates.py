@@ -19,7 +19,7 @@ from urlguard.functions.urls import host, normalize_url, scan_key
 def with_domain(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url") -> DataFrame:
     """Adds ``registered_domain``, ``suffix`` and ``domain_label`` of the URL's host."""
     keyed = df.withColumn("_host", host(F.col(url_col)))
-    return registered_domain(keyed, "_host", psl).drop("_host", "subdomain")
+    return registered_domain(keyed, "_host", psl).drop("_host", "subdomain_labels")
 
 
 def trust_gate(
@@ -81,14 +81,13 @@ def block_gate(
     domains = (
         with_domain(blocklist, psl)
         .select(F.col("registered_domain").alias("_reg"))
-        .filter(F.col("_reg") != "")
         .distinct()
     )
     own = df.columns
     keyed = with_domain(df.withColumn("_key", normalize_url(F.col(url_col))), psl, url_col)
     url_hit, domain_hit = F.col("_url_hit").isNotNull(), F.col("_domain_hit").isNotNull()
     return (
-        keyed.withColumn("_reg", F.col("registered_domain"))
+        keyed.withColumn("_reg", F.nullif(F.col("registered_domain"), F.lit("")))
         .join(urls.withColumn("_url_hit", F.lit(1)), "_key", "left")
         .join(domains.withColumn("_domain_hit", F.lit(1)), "_reg", "left")
         .select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ class Tables:
     allowlist: DataFrame
     blocklist: DataFrame
 
-    def rules(self) -> SuffixRules:
+    @cached_property
+    def suffixes(self) -> SuffixRules:
         return SuffixRules.from_table(self.psl)
 
 
@@ -39,7 +41,7 @@ def signal_score(df: DataFrame) -> DataFrame:
 
 def gate(urls: DataFrame, tables: Tables) -> DataFrame:
     """Adds the trust, blocklist and address checks."""
-    rules = tables.rules()
+    rules = tables.suffixes
     trusted = trust_gate(urls, tables.allowlist, rules)
     return ssrf_status(block_gate(trusted, tables.blocklist, rules), tables.dns)
 
@@ -52,39 +54,42 @@ def scan(
 ) -> DataFrame:
     """One row per URL with verdict, risk score, explanation and warnings.
 
-    Gated rows leave before the joins with page and host tables, so those joins and
-    the model see only the remainder. ``urls`` keeps its other columns.
+    One pass: every row goes through the gates once. A gated row then carries join keys
+    that match nothing and are spread evenly, so it costs no page or host look-up and
+    makes no hot key. ``urls`` keeps its other columns.
     """
     gated = gate(urls, tables)
-    passed = ~F.col("is_trusted") & ~F.col("is_blocked") & (F.col("ssrf_status") == "ok")
     kept = gated.columns
-    remainder = fx.features(
-        gated.filter(passed).drop("registered_domain"),
-        tables.crawl, tables.whois, tables.dns, tables.certs, tables.rules(), as_of,
+    passed = ~F.col("is_trusted") & ~F.col("is_blocked") & (F.col("ssrf_status") == "ok")
+    nowhere = F.concat(F.lit("https://gated/"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)))
+    keyed = (
+        gated.withColumnRenamed("registered_domain", "_registered")
+        .withColumn("_passed", passed)
+        .withColumn("_scanned", F.col("url"))
+        .withColumn("url", F.when(F.col("_passed"), F.col("url")).otherwise(nowhere))
     )
-    scored = vd.decide(vd.penalize(score(fx.explain(remainder))))
-    by_model = scored.select(
-        *kept, "verdict", "risk_score", "ml_bypassed",
-        F.array(*fv.FEATURE_NAMES).alias("features"),
-        F.struct("http_failed", "whois_failed", "dns_failed").alias("failures"),
-        vd.model_explanation().alias("explanation"),
-        vd.warnings().alias("warnings"),
-        F.col("p").alias("calibrated_probability"),
+    featured = fx.features(
+        keyed, tables.crawl, tables.whois, tables.dns, tables.certs, tables.suffixes, as_of
     )
-    by_gate = vd.decide(
-        gated.filter(~passed)
-        .withColumn("verdict", F.lit(None).cast("string"))
-        .withColumn("risk_score", F.lit(None).cast("double"))
-    ).withColumns(
-        {
-            "explanation": vd.gate_explanation(),
-            "warnings": F.when(F.col("ml_bypassed"), F.array().cast("array<string>")).otherwise(
-                vd.gate_explanation()["risk"]
-            ),
-            "calibrated_probability": F.lit(0.0),
-        }
+    restored = featured.withColumn("url", F.col("_scanned")).withColumn(
+        "registered_domain", F.col("_registered")
+    )
+    scored = vd.decide(vd.penalize(score(fx.explain(restored))))
+    by_model = F.col("_passed")
+    nothing = F.array().cast("array<string>")
+    return scored.select(
+        *kept, "verdict", "risk_score", "ml_bypassed",
+        F.when(by_model, F.array(*fv.FEATURE_NAMES)).alias("features"),
+        F.when(by_model, F.struct("http_failed", "whois_failed", "dns_failed")).alias("failures"),
+        F.when(by_model, vd.model_explanation())
+        .otherwise(vd.gate_explanation())
+        .alias("explanation"),
+        F.when(by_model, vd.warnings())
+        .when(F.col("ml_bypassed"), nothing)
+        .otherwise(vd.gate_explanation()["risk"])
+        .alias("warnings"),
+        F.when(by_model, F.col("p")).otherwise(0.0).alias("calibrated_probability"),
     )
-    return by_model.unionByName(by_gate, allowMissingColumns=True)
 
 
 def batch_scan(urls: DataFrame, tables: Tables, as_of: str, score=signal_score) -> DataFrame:

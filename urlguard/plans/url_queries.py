@@ -287,9 +287,10 @@ R.add(
     "u09_registered_domain",
     lambda i: registered_domain(
         i["url_fx"].withColumn("host", ux.host(F.col("url"))), "host", i["psl_fx"]
-    ).select("page_id", "registered_domain", "suffix", "subdomain", "domain_label"),
+    ).select("page_id", "registered_domain", "suffix", "subdomain_labels", "domain_label"),
     """SELECT page_id, registered_domain, suffix,
-       subdomain, label AS domain_label FROM ck_dom""",
+       CASE WHEN subdomain = '' THEN 0 ELSE len(split(subdomain, '.')) END AS subdomain_labels,
+       label AS domain_label FROM ck_dom""",
 )
 R.add(
     "u10_normalize_label",
