@@ -8,7 +8,6 @@ integers travel to the join with the scanned URLs.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -424,31 +423,21 @@ def features_long(df: DataFrame, ids: list[str]) -> DataFrame:
 
 def feature_rows() -> Column:
     """array<struct<name, value, description, contribution, severity>> in vector order."""
+    failure = {
+        **dict.fromkeys(fv.FAILS_WITH_HTTP, "http_failed"),
+        **dict.fromkeys(fv.FAILS_WITH_WHOIS, "whois_failed"),
+        **dict.fromkeys(fv.FAILS_WITH_DNS, "dns_failed"),
+    }
 
-    def failed(name: str) -> Column:
-        if name in fv.FAILS_WITH_HTTP:
-            return F.col("http_failed")
-        if name in fv.FAILS_WITH_WHOIS:
-            return F.col("whois_failed")
-        if name in fv.FAILS_WITH_DNS:
-            return F.col("dns_failed")
-        return F.lit(False)
-
-    def row(name: str) -> Column:
-        value = F.col(name)
-        return F.struct(
-            F.lit(name).alias("name"),
-            value.alias("value"),
-            F.lit(fv.FEATURES[name]).alias("description"),
-            F.when(failed(name), "failed")
-            .when(value == -1, "phishing")
-            .when(value == 1, "safe")
-            .otherwise("neutral")
-            .alias("contribution"),
-            F.lit("high" if name in fv.HIGH_SEVERITY else "medium").alias("severity"),
-        )
+    def row(name: str) -> str:
+        text = fv.FEATURES[name].replace("'", "\\'")
+        severity = "high" if name in fv.HIGH_SEVERITY else "medium"
+        return f"""named_struct('name', '{name}', 'value', {name}, 'description', '{text}',
+            'contribution', CASE WHEN {failure.get(name, 'false')} THEN 'failed'
+              WHEN {name} = -1 THEN 'phishing' WHEN {name} = 1 THEN 'safe' ELSE 'neutral' END,
+            'severity', '{severity}')"""
 
-    return F.array(*map(row, fv.FEATURE_NAMES))
+    return F.expr(f"array({', '.join(map(row, fv.FEATURE_NAMES))})")
 
 
 def explain(df: DataFrame) -> DataFrame:
@@ -471,15 +460,17 @@ def explain(df: DataFrame) -> DataFrame:
     return df.withColumn("signals", feature_rows()).withColumns(arrays).withColumns(counts)
 
 
+def signal_count(value: int) -> Column:
+    """How many of the thirty features have the value."""
+    return F.expr(" + ".join(f"int({name} = {value})" for name in fv.FEATURE_NAMES))
+
+
 def signal_majority() -> Column:
     """1 when safe values outnumber phishing values, else -1."""
-    safe = reduce(Column.__add__, [(F.col(n) == 1).cast("int") for n in fv.FEATURE_NAMES])
-    phishing = reduce(Column.__add__, [(F.col(n) == -1).cast("int") for n in fv.FEATURE_NAMES])
-    return F.when(safe > phishing, 1).otherwise(-1)
+    return F.when(signal_count(1) > signal_count(-1), 1).otherwise(-1)
 
 
 def signal_share() -> Column:
     """Phishing values over decided values: the stand-in score when no model is given."""
-    safe = reduce(Column.__add__, [(F.col(n) == 1).cast("int") for n in fv.FEATURE_NAMES])
-    phishing = reduce(Column.__add__, [(F.col(n) == -1).cast("int") for n in fv.FEATURE_NAMES])
+    safe, phishing = signal_count(1), signal_count(-1)
     return F.when(safe + phishing > 0, phishing / (safe + phishing)).otherwise(0.0)
