@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
+from urlguard.functions.times import micros, seconds
 
 
 def blank(c: Column) -> Column:
@@ -123,17 +124,15 @@ def active_overrides(requests: DataFrame, revocations: DataFrame, as_of: str) ->
     )
 
 
-def rolling_count(
-    df: DataFrame, key: str, ts: str, seconds: int, row_id: str
-) -> DataFrame:
-    """Adds ``used``: events of the key in the ``seconds`` up to each event, itself included.
+def rolling_count(df: DataFrame, key: str, ts: str, span: int) -> DataFrame:
+    """Adds ``used``: events of the key in the ``span`` seconds up to each event, itself included.
 
     Events are first counted per (key, instant). A key may hold a third of all rows, so
     its timeline is cut into slices one window long; each slice also receives the
     previous slice as history. The windows then run per (key, slice), exact and parallel.
     """
-    instant = F.unix_micros(ts)
-    width = seconds * 1_000_000
+    instant = micros(ts)
+    width = span * 1_000_000
     slice_no = F.floor(F.col("_t") / width)
     counts = df.groupBy(key, instant.alias("_t")).agg(F.count("*").alias("_n"))
     spread = counts.withColumn("_own", slice_no).withColumn(
@@ -149,11 +148,11 @@ def rolling_count(
 
 
 def budget_breaches(
-    df: DataFrame, limit: int = fv.OVERRIDES_PER_DAY, seconds: int = 86_400,
-    key: str = "tenant", ts: str = "created_at", row_id: str = "override_id",
+    df: DataFrame, limit: int = fv.OVERRIDES_PER_DAY, span: int = 86_400,
+    key: str = "tenant", ts: str = "created_at",
 ) -> DataFrame:
     """Events that find the budget of the rolling window already used up."""
-    return rolling_count(df, key, ts, seconds, row_id).filter(F.col("used") > limit)
+    return rolling_count(df, key, ts, span).filter(F.col("used") > limit)
 
 
 def first_breach(breaches: DataFrame, key: str = "tenant", ts: str = "created_at") -> DataFrame:
@@ -226,7 +225,7 @@ def running_totals(df: DataFrame, key: str, ts: str, row_id: str, slice_seconds:
     Running counts are split by time slice: counts per slice are summed in slice order,
     rows are numbered inside their slice only.
     """
-    sliced = df.withColumn("_slice", F.floor(F.unix_seconds(ts) / slice_seconds))
+    sliced = df.withColumn("_slice", F.floor(seconds(ts) / slice_seconds))
     counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -289,7 +288,7 @@ def frozen_actions(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     the last switch of each slice is carried forward over the small table of slices,
     and inside a slice a window finds the latest switch. No task sees the whole timeline.
     """
-    slice_no = F.floor(F.unix_seconds("ts") / slice_seconds)
+    slice_no = F.floor(seconds("ts") / slice_seconds)
     switches = valid_switches(events).select("ts", "event_id", "kind")
     actions = events.filter("kind = 'ACTION'").select("ts", "event_id", "kind")
     both = switches.unionByName(actions).withColumn("_slice", slice_no)
@@ -345,7 +344,7 @@ def trust_records(reviews: DataFrame) -> DataFrame:
 def revalidation_due(records: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Records overdue or due within ``days``; an overdue record has 0 days left."""
     at = F.lit(as_of).cast("timestamp")
-    left = F.floor((F.unix_micros("due_at") - F.unix_micros(at)) / 86_400_000_000)
+    left = F.floor((micros("due_at") - micros(at)) / 86_400_000_000)
     return (
         records.withColumn("days_left", F.greatest(left, F.lit(0)))
         .withColumn("overdue", at > F.col("due_at"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
+from urlguard.functions.times import micros
 from urlguard.functions.urls import sanitize_signal, scan_key
 
 VERDICTS = ("SAFE", "SUSPICIOUS", "PHISHING")
@@ -187,13 +188,15 @@ def latency_hist(df: DataFrame) -> DataFrame:
     )
 
 
-def cache_hits(df: DataFrame, seconds: int = 3600) -> DataFrame:
-    """One row: lookups, hits, hit rate. A hit saw its key within the last ``seconds``.
+def cache_hits(df: DataFrame, ttl: int = 3600) -> DataFrame:
+    """One row: lookups, hits, hit rate. A hit saw its key within the last ``ttl`` seconds.
 
     A key may hold a third of all rows, so the previous sight is found per (key, hour):
-    only one hour of one key is sorted at a time. The last sight of an earlier hour
+    only one hour of one key is sorted at a time. The last sight of the hour before
     comes from the per-hour maxima, a table with one row per key and hour.
     """
+    if not 0 < ttl <= 3600:
+        raise ValueError("the time to live is at most one hour")
     keyed = df.select(
         scan_key(F.col("url")).alias("k"), "ts", F.date_trunc("hour", "ts").alias("h")
     ).groupBy("k", "h", "ts").agg(F.count("*").alias("copies"))
@@ -203,8 +206,8 @@ def cache_hits(df: DataFrame, seconds: int = 3600) -> DataFrame:
     )
     inside = Window.partitionBy("k", "h").orderBy("ts")
     seen = F.coalesce(F.lag("ts").over(inside), F.col("previous_hour"))
-    gap = F.unix_micros("ts") - F.unix_micros("seen")
-    hit = F.coalesce(gap <= seconds * 1_000_000, F.lit(False))
+    gap = micros("ts") - micros("seen")
+    hit = F.coalesce(gap <= ttl * 1_000_000, F.lit(False))
     # Copies of a key at one instant: all but the first find the first.
     hits = F.sum(F.col("copies") - F.when(hit, 0).otherwise(1))
     return (

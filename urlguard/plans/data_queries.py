@@ -220,9 +220,9 @@ R.add(
     "p04_correlation",
     lambda i: rounded(profile.corr_matrix(labelled_features(i), COLUMNS), "corr", digits=6),
     f"""WITH u AS (FROM (UNPIVOT (SELECT page_id, {', '.join(COLUMNS)} FROM ck_feat) ON {', '.join(COLUMNS)} INTO NAME col VALUE value) x),
-        c AS (SELECT a.col AS a, b.col AS b, CASE WHEN a.col = b.col THEN 1.0 WHEN var_pop(a.value) = 0 OR var_pop(b.value) = 0 THEN NULL
-          ELSE corr(a.value, b.value) END AS corr FROM u a JOIN u b ON a.page_id = b.page_id GROUP BY ALL)
-        SELECT a, b, round(corr, 6) AS corr FROM c""",
+        c AS (SELECT x.col AS a, y.col AS b, var_pop(x.value) * var_pop(y.value) AS spread, corr(x.value, y.value) AS r
+          FROM u x JOIN u y ON x.page_id = y.page_id GROUP BY x.col, y.col)
+        SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN spread = 0 THEN NULL ELSE round(r, 6) END AS corr FROM c""",
 )
 R.add(
     "p05_class_share",
