@@ -13,6 +13,7 @@ from urlguard.operators import prep, profile
 from urlguard.operators.verdict import restrict
 from urlguard.plans.inputs import Inputs
 from urlguard.plans.registry import Registry
+from urlguard.session import new_folder
 from urlguard.plans.url_queries import CANONICAL, CHECK_TABLES, feature_frame, flag
 
 HASH = "sha256('42:' || canonical_url)"
@@ -192,15 +193,23 @@ R.add(
 
 
 def labelled_features(i: Inputs) -> DataFrame:
-    """The 33 model inputs with the signal-majority class."""
-    frame = fx.failure_indicators(feature_frame(i)).withColumn("label", fx.signal_majority())
+    """The 33 model inputs with a class: phishing (-1) from a quarter of phishing signals on."""
+    label = F.when(fx.signal_share() >= 0.25, -1).otherwise(1)
+    frame = fx.failure_indicators(feature_frame(i)).withColumn("label", label)
     return frame.select("page_id", *fv.VECTOR_NAMES, "label")
 
 
+def stored_features(i: Inputs) -> DataFrame:
+    """Labelled features written once, for jobs that read them many times."""
+    path = new_folder(i.spark, "features")
+    labelled_features(i).write.parquet(path)
+    return i.spark.read.parquet(path)
+
+
 COLUMNS = list(fv.VECTOR_NAMES)
-MAJORITY = f"""SELECT f.page_id, f.* EXCLUDE (page_id), CASE WHEN s.safe > s.phishing THEN 1 ELSE -1 END AS label
-  FROM ck_feat f JOIN ck_share s ON f.page_id = s.page_id"""
-TABLES["ck_labelled"] = MAJORITY
+TABLES["ck_labelled"] = """
+SELECT f.page_id, f.* EXCLUDE (page_id), CASE WHEN s.p >= 0.25 THEN -1 ELSE 1 END AS label
+FROM ck_feat f JOIN ck_share s ON f.page_id = s.page_id"""
 
 R.add("p01_schema", lambda i: profile.profile_schema(labelled_features(i)))
 R.add(
@@ -218,7 +227,7 @@ R.add(
 )
 R.add(
     "p04_correlation",
-    lambda i: rounded(profile.corr_matrix(labelled_features(i), COLUMNS), "corr", digits=6),
+    lambda i: rounded(profile.corr_matrix(stored_features(i), COLUMNS), "corr", digits=6),
     f"""WITH u AS (FROM (UNPIVOT (SELECT page_id, {', '.join(COLUMNS)} FROM ck_feat) ON {', '.join(COLUMNS)} INTO NAME col VALUE value) x),
         c AS (SELECT x.col AS a, y.col AS b, var_pop(x.value) * var_pop(y.value) AS spread, corr(x.value, y.value) AS r
           FROM u x JOIN u y ON x.page_id = y.page_id GROUP BY x.col, y.col)
@@ -283,8 +292,8 @@ R.add(
 )
 R.add(
     "m14_signal_majority",
-    lambda i: labelled_features(i).select("page_id", "label"),
-    "SELECT page_id, label FROM ck_labelled",
+    lambda i: feature_frame(i).select("page_id", fx.signal_majority().alias("label")),
+    "SELECT page_id, CASE WHEN safe > phishing THEN 1 ELSE -1 END AS label FROM ck_share",
 )
 
 # ------------------------------------------------------------------ 2.9 calibration

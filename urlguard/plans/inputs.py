@@ -237,6 +237,17 @@ class Inputs:
             self._frames[name] = frame
         return self._frames[name]
 
+    def streaming(self, name: str) -> "Inputs":
+        """The same inputs with one given table read as a stream."""
+        other = Inputs(self.spark, self.folder)
+        schema = self[name].schema
+        other._frames[name] = (
+            self.spark.readStream.schema(schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .parquet(self.folder)
+        )
+        return other
+
     def sql(self, text: str) -> DataFrame:
         names = mentioned(text, (*GIVEN, *INPUTS))
         for name in names:
