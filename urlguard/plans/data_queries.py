@@ -337,8 +337,8 @@ R.add(
 )
 R.add(
     "k06_collapse",
-    lambda i: rounded(cal.collapse(i["pred_fx"], "7 days"), "variance").withColumn("collapsed", flag(F.col("collapsed"))),
-    f"""SELECT {WEEK} AS window_start, count(*) AS n, round(var_pop(y_prob), 9) AS variance,
+    lambda i: rounded(cal.collapse(i["pred_fx"], "7 days"), "variance", digits=12).withColumn("collapsed", flag(F.col("collapsed"))),
+    f"""SELECT {WEEK} AS window_start, count(*) AS n, round(var_pop(y_prob), 12) AS variance,
         CAST(count(*) >= 10 AND var_pop(y_prob) < 0.01 AS INT) AS collapsed FROM pred_fx GROUP BY 1""",
 )
 R.add(

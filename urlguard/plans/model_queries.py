@@ -147,7 +147,7 @@ R.add(
             ),
             "x05", ["window_start"],
         ),
-        "variance", "extreme_share",
+        "variance", "extreme_share", digits=12,
     ).withColumns(
         {
             "drift": flag(F.col("drift")),
@@ -155,7 +155,7 @@ R.add(
             "window_start": F.col("window_start").cast("timestamp_ntz"),
         }
     ),
-    """SELECT window_start, count(*) AS n, round(var_pop(p), 9) AS variance, round(avg(x), 9) AS extreme_share,
+    """SELECT window_start, count(*) AS n, round(var_pop(p), 12) AS variance, round(avg(x), 12) AS extreme_share,
        CAST(count(*) >= 10 AND avg(x) > 0.8 AS INT) AS drift, CAST(count(*) >= 10 AND var_pop(p) < 0.01 AS INT) AS collapsed
        FROM (SELECT to_timestamp(floor(epoch(ts) / 600) * 600 - 600 * back)::TIMESTAMP AS window_start, risk_score / 100 AS p,
          CASE WHEN risk_score / 100 < 0.05 OR risk_score / 100 > 0.95 THEN 1.0 ELSE 0.0 END AS x
