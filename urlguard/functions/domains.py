@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlguard.functions.urls import host as url_host
 from urlguard.functions.urls import is_ipv4
 
 # The published list has about ten thousand rules of at most five labels. The rules
@@ -66,6 +67,9 @@ def last_labels(name: Column, n: Column) -> Column:
     return F.call_function("substring_index", name, F.lit("."), -n)
 
 
+DOMAIN_COLUMNS = ("suffix", "registered_domain", "domain_label", "subdomain_labels")
+
+
 def registered_domain(df: DataFrame, host_col: str, psl: DataFrame | SuffixRules) -> DataFrame:
     """Adds ``suffix``, ``registered_domain``, ``domain_label`` and ``subdomain_labels``.
 
@@ -79,23 +83,26 @@ def registered_domain(df: DataFrame, host_col: str, psl: DataFrame | SuffixRules
     kept = F.when(address, 4).otherwise(n + 1)
     bare_suffix = (n > 0) & (n == labels(host))
     name = F.col("registered_domain")
-    return (
-        df.withColumn("_suffix_labels", rules.suffix_labels(host))
-        .withColumns(
-            {
-                "suffix": last_labels(host, n),
-                "registered_domain": F.concat(
-                    F.when(bare_suffix, ".").otherwise(""), last_labels(host, kept)
-                ),
-            }
-        )
-        .withColumns(
-            {
-                "domain_label": F.when(address, host).otherwise(F.substring_index(name, ".", 1)),
-                "subdomain_labels": F.when(address | bare_suffix, 0).otherwise(
-                    labels(host) - labels(name)
-                ),
-            }
-        )
-        .drop("_suffix_labels")
+    parts = df.withColumn("_suffix_labels", rules.suffix_labels(host)).select(
+        *df.columns,
+        last_labels(host, n).alias("suffix"),
+        F.concat(F.when(bare_suffix, ".").otherwise(""), last_labels(host, kept)).alias(
+            "registered_domain"
+        ),
+    )
+    label_count = F.when(F.startswith(name, F.lit(".")), labels(name) - 1).otherwise(labels(name))
+    return parts.withColumns(
+        {
+            "domain_label": F.when(address, host).otherwise(F.substring_index(name, ".", 1)),
+            "subdomain_labels": F.when(address, 0).otherwise(labels(host) - label_count),
+        }
     )
+
+
+def with_domain(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url") -> DataFrame:
+    """Adds the domain columns of a URL's host; a frame that has them stays as it is."""
+    if set(DOMAIN_COLUMNS) <= set(df.columns):
+        return df
+    own = [c for c in df.columns if c not in DOMAIN_COLUMNS]
+    keyed = df.select(*own, url_host(F.col(url_col)).alias("_host"))
+    return registered_domain(keyed, "_host", psl).select(*own, *DOMAIN_COLUMNS)

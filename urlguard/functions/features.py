@@ -13,14 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
-from urlguard.functions.urls import (
-    authority,
-    host,
-    host_before_port,
-    is_ipv4,
-    sanitize_url,
-)
-from urlguard.functions.domains import SuffixRules, registered_domain
+from urlguard.functions.domains import SuffixRules, with_domain
+from urlguard.functions.urls import authority, host_before_port, is_ipv4, sanitize_url
 
 # ------------------------------------------------------------------ helpers
 
@@ -78,13 +72,9 @@ def imitated_brand(label: Column) -> Column:
 
 
 def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url") -> DataFrame:
-    """Adds the features that need nothing but the URL. One map-only projection."""
-    prepared = (
-        df.withColumn("_url", sanitize_url(F.col(url_col)))
-        .withColumn("_authority", authority(F.col("_url")))
-        .withColumn("_host", host(F.col("_url")))
-    )
-    split = registered_domain(prepared, "_host", psl)
+    """Adds the features that need nothing but the URL, and the domain columns. No shuffle."""
+    located = with_domain(df, psl, url_col).withColumn("_url", sanitize_url(F.col(url_col)))
+    prepared = located.withColumn("_authority", authority(F.col("_url")))
     url, net = F.col("_url"), F.col("_authority")
     name = F.substring_index(net, ":", 1)
     label = F.lower("domain_label")
@@ -92,7 +82,7 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
     last_double_slash = F.length(url) - F.instr(F.reverse(url), "//") - 1
     entropy = label_entropy(label)
     subdomains = F.col("subdomain_labels")
-    return split.withColumns(
+    return prepared.withColumns(
         {
             "using_ip_address": warns(is_ipv4(name)),
             "url_length": banded(F.length(url), 54, 75, neutral_closed=True),
@@ -114,7 +104,7 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
             .when(imitated_brand(label).isNotNull(), -1)
             .otherwise(0),
         }
-    ).drop("_url", "_authority", "_host")
+    ).drop("_url", "_authority")
 
 
 URL_FEATURES = (
@@ -139,8 +129,8 @@ def clean_html(page: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of a start tag, empty when it has none."""
-    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), """^["']|["']$""", "")
 
 
 def has_attribute(tag: Column, name: str) -> Column:
@@ -370,10 +360,11 @@ def features(
     as_of: str,
 ) -> DataFrame:
     """Input rows with the thirty features, the failure flags and ``registered_domain``."""
-    enriched = host_features(enrich(urls, crawl, whois, dns, certs), as_of)
-    return url_features(enriched, psl).drop(
+    enriched = enrich(url_features(urls, psl), crawl, whois, dns, certs)
+    extra = ("suffix", "domain_label", "subdomain_labels")
+    return host_features(enriched, as_of).drop(
         "domain_name", "creation_date", "expiration_date", "a_records", "not_before",
-        "suffix", "domain_label", "subdomain_labels",
+        *[c for c in extra if c not in urls.columns],
     )
 
 

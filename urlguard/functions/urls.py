@@ -144,7 +144,7 @@ def ssrf_status(urls: DataFrame, dns: DataFrame, url_col: str = "url") -> DataFr
         .when(in_blocked_range(address), "blocked")
         .otherwise("ok")
     )
-    return joined.withColumn("ssrf_status", status).drop("_host", "_a")
+    return joined.select(*urls.columns, status.alias("ssrf_status"))
 
 
 def normalize_label(c: Column, polarity: str = "default") -> Column:

@@ -11,15 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
-from urlguard.functions.domains import SuffixRules, registered_domain
+from urlguard.functions.domains import SuffixRules, with_domain
 from urlguard.functions.features import unmask
-from urlguard.functions.urls import host, normalize_url, scan_key
-
-
-def with_domain(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url") -> DataFrame:
-    """Adds ``registered_domain``, ``suffix`` and ``domain_label`` of the URL's host."""
-    keyed = df.withColumn("_host", host(F.col(url_col)))
-    return registered_domain(keyed, "_host", psl).drop("_host", "subdomain_labels")
+from urlguard.functions.urls import normalize_url, scan_key
 
 
 def trust_gate(
@@ -36,26 +30,27 @@ def trust_gate(
     )
     by_suffix = listed.select(F.col("domain").alias("suffix"), F.col("domain").alias("_suffix_hit"))
     name, hit, suffix_hit = F.col("registered_domain"), F.col("_domain_hit"), F.col("_suffix_hit")
+    reason = (
+        F.when(
+            hit.isNotNull(), F.concat(F.lit("Domain '"), name, F.lit("' is in trusted allowlist"))
+        )
+        .when(
+            suffix_hit.isNotNull(),
+            F.concat(F.lit("TLD '."), suffix_hit, F.lit("' is in trusted allowlist")),
+        )
+        .otherwise("Domain not in trusted allowlist")
+    )
+    own = [c for c in df.columns if c != "registered_domain"]
     return (
         with_domain(df, psl, url_col)
         .join(by_domain, "registered_domain", "left")
         .join(by_suffix, "suffix", "left")
-        .withColumns(
-            {
-                "is_trusted": hit.isNotNull() | suffix_hit.isNotNull(),
-                "matched_domain": F.coalesce(hit, suffix_hit),
-                "trust_reason": F.when(
-                    hit.isNotNull(),
-                    F.concat(F.lit("Domain '"), name, F.lit("' is in trusted allowlist")),
-                )
-                .when(
-                    suffix_hit.isNotNull(),
-                    F.concat(F.lit("TLD '."), suffix_hit, F.lit("' is in trusted allowlist")),
-                )
-                .otherwise("Domain not in trusted allowlist"),
-            }
+        .select(
+            *own, "registered_domain",
+            (hit.isNotNull() | suffix_hit.isNotNull()).alias("is_trusted"),
+            F.coalesce(hit, suffix_hit).alias("matched_domain"),
+            reason.alias("trust_reason"),
         )
-        .drop("_domain_hit", "_suffix_hit", "suffix", "domain_label")
     )
 
 
@@ -66,7 +61,7 @@ def untrusted(df: DataFrame, allowlist: DataFrame, psl: DataFrame | SuffixRules)
         with_domain(df, psl)
         .join(listed.withColumnRenamed("domain", "registered_domain"), "registered_domain", "left_anti")
         .join(listed.withColumnRenamed("domain", "suffix"), "suffix", "left_anti")
-        .select(*df.columns, "registered_domain")
+        .select(*[c for c in df.columns if c != "registered_domain"], "registered_domain")
     )
 
 
@@ -84,11 +79,15 @@ def block_gate(
         .distinct()
     )
     own = df.columns
-    keyed = with_domain(df.withColumn("_key", normalize_url(F.col(url_col))), psl, url_col)
+    keyed = with_domain(df, psl, url_col).withColumns(
+        {
+            "_key": normalize_url(F.col(url_col)),
+            "_reg": F.nullif(F.col("registered_domain"), F.lit("")),
+        }
+    )
     url_hit, domain_hit = F.col("_url_hit").isNotNull(), F.col("_domain_hit").isNotNull()
     return (
-        keyed.withColumn("_reg", F.nullif(F.col("registered_domain"), F.lit("")))
-        .join(urls.withColumn("_url_hit", F.lit(1)), "_key", "left")
+        keyed.join(urls.withColumn("_url_hit", F.lit(1)), "_key", "left")
         .join(domains.withColumn("_domain_hit", F.lit(1)), "_reg", "left")
         .select(
             *own,

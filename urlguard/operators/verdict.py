@@ -35,22 +35,15 @@ def penalize(df: DataFrame, p_col: str = "p") -> DataFrame:
     """
     p, penalty = F.col(p_col), failure_penalty()
     first = verdict(p)
-    risk = p * 100
-    reduced = F.when((first == "PHISHING") & (penalty > 0), risk * (1 - penalty)).otherwise(risk)
-    return (
-        df.withColumn("_first", first)
-        .withColumn("risk_score", reduced)
-        .withColumn(
-            "downgraded",
-            F.coalesce(
-                (F.col("_first") == "PHISHING")
-                & (penalty > 0)
-                & (F.col("risk_score") / 100 < fv.PHISHING_THRESHOLD),
-                F.lit(False),
-            ),
-        )
-        .withColumn("verdict", F.when(F.col("downgraded"), "SUSPICIOUS").otherwise(F.col("_first")))
-        .drop("_first")
+    hit = (first == "PHISHING") & (penalty > 0)
+    risk = F.when(hit, p * 100 * (1 - penalty)).otherwise(p * 100)
+    lowered = F.coalesce(hit & (risk / 100 < fv.PHISHING_THRESHOLD), F.lit(False))
+    return df.withColumns(
+        {
+            "risk_score": risk,
+            "downgraded": lowered,
+            "verdict": F.when(lowered, "SUSPICIOUS").otherwise(first),
+        }
     )
 
 

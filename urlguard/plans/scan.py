@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions import features as fx
-from urlguard.functions.domains import SuffixRules
+from urlguard.functions.domains import SuffixRules, with_domain
 from urlguard.functions.urls import ssrf_status, strip, validate_url
 from urlguard.operators import verdict as vd
 from urlguard.operators.gates import block_gate, trust_gate
@@ -42,7 +42,7 @@ def signal_score(df: DataFrame) -> DataFrame:
 def gate(urls: DataFrame, tables: Tables) -> DataFrame:
     """Adds the trust, blocklist and address checks."""
     rules = tables.suffixes
-    trusted = trust_gate(urls, tables.allowlist, rules)
+    trusted = trust_gate(with_domain(urls, rules), tables.allowlist, rules)
     return ssrf_status(block_gate(trusted, tables.blocklist, rules), tables.dns)
 
 
@@ -59,22 +59,20 @@ def scan(
     makes no hot key. ``urls`` keeps its other columns.
     """
     gated = gate(urls, tables)
-    kept = gated.columns
+    kept = [c for c in gated.columns if c not in ("suffix", "domain_label", "subdomain_labels")]
     passed = ~F.col("is_trusted") & ~F.col("is_blocked") & (F.col("ssrf_status") == "ok")
     nowhere = F.concat(F.lit("https://gated/"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)))
-    keyed = (
-        gated.withColumnRenamed("registered_domain", "_registered")
-        .withColumn("_passed", passed)
-        .withColumn("_scanned", F.col("url"))
-        .withColumn("url", F.when(F.col("_passed"), F.col("url")).otherwise(nowhere))
+    keyed = gated.withColumns(
+        {
+            "_passed": passed,
+            "_scanned": F.col("url"),
+            "url": F.when(passed, F.col("url")).otherwise(nowhere),
+        }
     )
     featured = fx.features(
         keyed, tables.crawl, tables.whois, tables.dns, tables.certs, tables.suffixes, as_of
-    )
-    restored = featured.withColumn("url", F.col("_scanned")).withColumn(
-        "registered_domain", F.col("_registered")
-    )
-    scored = vd.decide(vd.penalize(score(fx.explain(restored))))
+    ).withColumn("url", F.col("_scanned"))
+    scored = vd.decide(vd.penalize(score(fx.explain(featured))))
     by_model = F.col("_passed")
     nothing = F.array().cast("array<string>")
     return scored.select(
