@@ -129,22 +129,26 @@ def in_blocked_range(address: Column) -> Column:
     return F.coalesce(reduce(Column.__or__, map(inside, fv.BLOCKED_RANGES)), F.lit(False))
 
 
-def ssrf_status(urls: DataFrame, dns: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds ``ssrf_status``: ok, no_hostname or blocked.
+def address_check(name: Column, first_record: Column) -> Column:
+    """ok, no_hostname or blocked, for a host and its first A record.
 
-    The address is the URL's own IP literal or the first A record of its host. A host
-    without a record passes.
+    An IP literal is its own address. A host without a record passes.
     """
-    name = host_before_port(sanitize_url(F.col(url_col)))
+    address = F.when(is_ipv4(name), name).otherwise(first_record)
+    return (
+        F.when(name == "", "no_hostname").when(in_blocked_range(address), "blocked").otherwise("ok")
+    )
+
+
+def ssrf_status(urls: DataFrame, dns: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds ``ssrf_status`` of the URL's host, with its A records from ``dns``."""
     records = dns.select(F.col("host").alias("_host"), F.get("a_records", F.lit(0)).alias("_a"))
-    joined = urls.withColumn("_host", name).join(records, "_host", "left")
-    address = F.when(is_ipv4(F.col("_host")), F.col("_host")).otherwise(F.col("_a"))
-    status = (
-        F.when(F.col("_host") == "", "no_hostname")
-        .when(in_blocked_range(address), "blocked")
-        .otherwise("ok")
+    joined = urls.withColumn("_host", host_before_port(sanitize_url(F.col(url_col)))).join(
+        records, "_host", "left"
+    )
+    return joined.select(
+        *urls.columns, address_check(F.col("_host"), F.col("_a")).alias("ssrf_status")
     )
-    return joined.select(*urls.columns, status.alias("ssrf_status"))
 
 
 def normalize_label(c: Column, polarity: str = "default") -> Column:

@@ -124,27 +124,60 @@ def active_overrides(requests: DataFrame, revocations: DataFrame, as_of: str) ->
     )
 
 
-def rolling_count(df: DataFrame, key: str, ts: str, span: int) -> DataFrame:
-    """Adds ``used``: events of the key in the ``span`` seconds up to each event, itself included.
+SLICE_SECONDS = 60
+
 
-    Events are first counted per (key, instant). A key may hold a third of all rows, so
-    its timeline is cut into slices one window long; each slice also receives the
-    previous slice as history. The windows then run per (key, slice), exact and parallel.
+def slice_totals(rows: DataFrame, key: str, t: str, n: str, width: int) -> DataFrame:
+    """Adds ``total``: the sum of ``n`` over the key's rows up to each instant ``t``.
+
+    The timeline of a key is cut into slices of ``width`` microseconds. Sums per slice
+    are added up in slice order on a table with one row per key and slice; rows are
+    sorted only inside their slice. A key with a third of all rows is spread over as
+    many tasks as it has slices.
     """
-    instant = micros(ts)
-    width = span * 1_000_000
-    slice_no = F.floor(F.col("_t") / width)
-    counts = df.groupBy(key, instant.alias("_t")).agg(F.count("*").alias("_n"))
-    spread = counts.withColumn("_own", slice_no).withColumn(
-        "_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
+    sliced = rows.withColumn("_slice", F.floor(F.col(t) / width))
+    sums = sliced.groupBy(key, "_slice").agg(F.sum(n).alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        key, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(key, "_slice").orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
+    return (
+        sliced.join(offsets, [key, "_slice"])
+        .withColumn("total", F.col("_before") + F.sum(n).over(inside))
+        .drop("_slice", "_before")
     )
-    window = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(-width, 0)
+
+
+def rolling_count(
+    df: DataFrame, key: str, ts: str, span: int, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """Adds ``used``: events of the key in the ``span`` seconds up to each event, itself included.
+
+    That is the running total at the event less the running total just before the span
+    began. Events are first counted per (key, instant); each instant adds one probe row
+    at the start of its span, and one pass over the slices answers both.
+    """
+    at = micros(ts)
+    counts = df.groupBy(key, at.alias("_at")).agg(F.count("*").alias("_n"))
+    both = counts.select(
+        key, "_at",
+        F.explode(
+            F.array(
+                F.struct(F.col("_at").alias("t"), F.col("_n").alias("n"), F.lit(False).alias("probe")),
+                F.struct(
+                    (F.col("_at") - (span * 1_000_000 + 1)).alias("t"),
+                    F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("probe"),
+                ),
+            )
+        ).alias("r"),
+    ).select(key, "_at", "r.*")
     used = (
-        spread.withColumn("used", F.sum("_n").over(window))
-        .filter(F.col("_slice") == F.col("_own"))
-        .select(key, "_t", "used")
+        slice_totals(both, key, "t", "n", slice_seconds * 1_000_000)
+        .groupBy(key, "_at")
+        .agg(F.sum(F.when(F.col("probe"), -F.col("total")).otherwise(F.col("total"))).alias("used"))
     )
-    return df.withColumn("_t", instant).join(used, [key, "_t"]).drop("_t")
+    return df.withColumn("_at", at).join(used, [key, "_at"]).drop("_at")
 
 
 def budget_breaches(
@@ -219,11 +252,13 @@ def promotions(runs: DataFrame, approvals: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ budgets and freezes
 
 
-def running_totals(df: DataFrame, key: str, ts: str, row_id: str, slice_seconds: int = 3600) -> DataFrame:
-    """Adds ``used``: events of the key up to and including each event.
+def running_totals(
+    df: DataFrame, key: str, ts: str, row_id: str, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """Adds ``used``: the number of each event of its key in (time, id) order.
 
-    Running counts are split by time slice: counts per slice are summed in slice order,
-    rows are numbered inside their slice only.
+    Counts per time slice are summed in slice order; rows are numbered inside their
+    slice only.
     """
     sliced = df.withColumn("_slice", F.floor(seconds(ts) / slice_seconds))
     counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
@@ -281,7 +316,7 @@ def freeze_state(events: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def frozen_actions(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def frozen_actions(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Actions attempted while frozen.
 
     State at an action is the latest valid switch before it. Time is cut into slices:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Leading hex digits of the hash that name a bucket: 16**4 buckets per stratum. The
-# bucket-count table that is broadcast has at most 65,536 rows per stratum.
+# Leading hex digits of the hash that name a bucket: 16**4 = 65,536 buckets per stratum.
 BUCKET_DIGITS = 4
 
 
@@ -24,7 +23,9 @@ def hash_rank(
     The hash spreads every stratum over 16**digits buckets. Rows are counted per bucket
     (map-side combined), the counts are summed up in bucket order, and only inside one
     bucket are rows sorted. A stratum with a third of all rows is thus as parallel as
-    the rest. ``strata`` must be columns with few values, such as a label.
+    the rest. ``strata`` must be columns with few values, such as a label. Spark broadcasts
+    the bucket table when its measured size allows; otherwise both sides meet by
+    (stratum, bucket), which is also the partitioning of the final window.
     """
     strata = strata or []
     keyed = df.withColumn("_hash", seeded_hash(seed, F.col(key))).withColumn(
@@ -42,7 +43,7 @@ def hash_rank(
     )
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_hash", key)
     return (
-        keyed.join(F.broadcast(offsets), [*strata, "_bucket"])
+        keyed.join(offsets, [*strata, "_bucket"])
         .withColumn("rank", F.col("_offset") + F.row_number().over(inside))
         .drop("_hash", "_bucket", "_offset")
         .select(*df.columns, "rank", "stratum_rows")

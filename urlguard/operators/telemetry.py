@@ -188,31 +188,30 @@ def latency_hist(df: DataFrame) -> DataFrame:
     )
 
 
-def cache_hits(df: DataFrame, ttl: int = 3600) -> DataFrame:
+def cache_hits(df: DataFrame, ttl: int = 3600, slice_seconds: int = 60) -> DataFrame:
     """One row: lookups, hits, hit rate. A hit saw its key within the last ``ttl`` seconds.
 
-    A key may hold a third of all rows, so the previous sight is found per (key, hour):
-    only one hour of one key is sorted at a time. The last sight of the hour before
-    comes from the per-hour maxima, a table with one row per key and hour.
+    A key may hold a third of all rows, so its timeline is cut into slices: only one
+    slice of one key is sorted at a time. The last sight before a slice comes from the
+    maxima of the earlier slices, a table with one row per key and slice.
     """
-    if not 0 < ttl <= 3600:
-        raise ValueError("the time to live is at most one hour")
-    keyed = df.select(
-        scan_key(F.col("url")).alias("k"), "ts", F.date_trunc("hour", "ts").alias("h")
-    ).groupBy("k", "h", "ts").agg(F.count("*").alias("copies"))
-    hours = keyed.groupBy("k", "h").agg(F.max("ts").alias("last"))
-    before = hours.select(
-        "k", (F.col("h") + F.expr("INTERVAL 1 HOUR")).alias("h"), F.col("last").alias("previous_hour")
-    )
-    inside = Window.partitionBy("k", "h").orderBy("ts")
-    seen = F.coalesce(F.lag("ts").over(inside), F.col("previous_hour"))
-    gap = micros("ts") - micros("seen")
-    hit = F.coalesce(gap <= ttl * 1_000_000, F.lit(False))
+    at = micros("ts")
+    keyed = (
+        df.groupBy(scan_key(F.col("url")).alias("k"), at.alias("t"))
+        .agg(F.count("*").alias("copies"))
+        .withColumn("slice", F.floor(F.col("t") / (slice_seconds * 1_000_000)))
+    )
+    earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = keyed.groupBy("k", "slice").agg(F.max("t").alias("last")).select(
+        "k", "slice", F.max("last").over(earlier).alias("before")
+    )
+    inside = Window.partitionBy("k", "slice").orderBy("t")
+    hit = F.coalesce(F.col("t") - F.col("seen") <= ttl * 1_000_000, F.lit(False))
     # Copies of a key at one instant: all but the first find the first.
     hits = F.sum(F.col("copies") - F.when(hit, 0).otherwise(1))
     return (
-        keyed.join(before, ["k", "h"], "left")
-        .withColumn("seen", seen)
+        keyed.join(before, ["k", "slice"])
+        .withColumn("seen", F.coalesce(F.lag("t").over(inside), "before"))
         .agg(F.sum("copies").alias("lookups"), hits.alias("hits"))
         .withColumn("hit_rate", F.col("hits") / F.greatest("lookups", F.lit(1)))
     )

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from urlguard import fixed_values as fv
 from urlguard.functions import features as fx
 from urlguard.functions.domains import SuffixRules, with_domain
-from urlguard.functions.urls import ssrf_status, strip, validate_url
+from urlguard.functions.urls import (
+    address_check,
+    host_before_port,
+    sanitize_url,
+    strip,
+    validate_url,
+)
 from urlguard.operators import verdict as vd
 from urlguard.operators.gates import block_gate, trust_gate
 
@@ -40,10 +46,19 @@ def signal_score(df: DataFrame) -> DataFrame:
 
 
 def gate(urls: DataFrame, tables: Tables) -> DataFrame:
-    """Adds the trust, blocklist and address checks."""
-    rules = tables.suffixes
-    trusted = trust_gate(with_domain(urls, rules), tables.allowlist, rules)
-    return ssrf_status(block_gate(trusted, tables.blocklist, rules), tables.dns)
+    """Adds domain columns, the trust and blocklist checks, host facts and address check."""
+    located = with_domain(urls, tables.suffixes)
+    trusted = trust_gate(located, tables.allowlist, tables.suffixes)
+    blocked = block_gate(trusted, tables.blocklist, tables.suffixes)
+    facts = fx.with_host_facts(blocked, tables.whois, tables.dns, tables.certs)
+    status = address_check(host_before_port(sanitize_url(F.col("url"))), F.get("a_records", F.lit(0)))
+    return facts.withColumn("ssrf_status", status)
+
+
+GATE_COLUMNS = (
+    "registered_domain", "is_trusted", "matched_domain", "trust_reason", "is_blocked",
+    "block_source", "matched_url", "blocked_domain", "confidence", "ssrf_status",
+)
 
 
 def scan(
@@ -54,29 +69,28 @@ def scan(
 ) -> DataFrame:
     """One row per URL with verdict, risk score, explanation and warnings.
 
-    One pass: every row goes through the gates once. A gated row then carries join keys
-    that match nothing and are spread evenly, so it costs no page or host look-up and
-    makes no hot key. ``urls`` keeps its other columns.
+    One pass: every row goes through the gates once and meets each look-up table once.
+    A gated row then carries a page key that matches nothing and is spread evenly, so
+    it costs no page look-up and makes no hot key. ``urls`` keeps its other columns.
     """
     gated = gate(urls, tables)
-    kept = [c for c in gated.columns if c not in ("suffix", "domain_label", "subdomain_labels")]
     passed = ~F.col("is_trusted") & ~F.col("is_blocked") & (F.col("ssrf_status") == "ok")
     nowhere = F.concat(F.lit("https://gated/"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)))
-    keyed = gated.withColumns(
+    url = F.col("_scanned")
+    keyed = fx.url_features(gated, tables.suffixes).withColumns(
         {
             "_passed": passed,
             "_scanned": F.col("url"),
             "url": F.when(passed, F.col("url")).otherwise(nowhere),
         }
     )
-    featured = fx.features(
-        keyed, tables.crawl, tables.whois, tables.dns, tables.certs, tables.suffixes, as_of
-    ).withColumn("url", F.col("_scanned"))
+    paged = fx.with_pages(keyed, tables.crawl).withColumn("url", url)
+    featured = fx.host_features(paged, as_of)
     scored = vd.decide(vd.penalize(score(fx.explain(featured))))
     by_model = F.col("_passed")
     nothing = F.array().cast("array<string>")
     return scored.select(
-        *kept, "verdict", "risk_score", "ml_bypassed",
+        *urls.columns, *GATE_COLUMNS, "verdict", "risk_score", "ml_bypassed",
         F.when(by_model, F.array(*fv.FEATURE_NAMES)).alias("features"),
         F.when(by_model, F.struct("http_failed", "whois_failed", "dns_failed")).alias("failures"),
         F.when(by_model, vd.model_explanation())
