@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from urlguard import fixed_values as fv
 from urlguard.functions.domains import SuffixRules, with_domain
 from urlguard.functions.urls import authority, host_before_port, is_ipv4, sanitize_url
+from urlguard.operators.lookup import lookup
 
 # ------------------------------------------------------------------ helpers
 
@@ -265,9 +266,8 @@ PAGE_FEATURES = (
 def host_facts(whois: DataFrame, dns: DataFrame, certs: DataFrame) -> DataFrame:
     """WHOIS, DNS and certificate rows side by side, one row per host.
 
-    The three tables are stacked and grouped by host: one shuffle, and the result is
-    already partitioned for the join with the scanned URLs, which then move once
-    instead of three times.
+    The three tables are stacked and grouped by host in one shuffle, so the scanned URLs,
+    which are many more, move once instead of three times.
     """
     w = whois.select(
         "host", F.lit(True).alias("_whois"), "domain_name", "creation_date", "expiration_date"
@@ -295,8 +295,7 @@ def with_pages(urls: DataFrame, crawl: DataFrame) -> DataFrame:
     """
     pages = page_features(crawl).withColumnRenamed("url", "_page").withColumn("_http", F.lit(True))
     return (
-        urls.withColumn("_page", sanitize_url(F.col("url")))
-        .join(pages, "_page", "left")
+        lookup(urls.withColumn("_page", sanitize_url(F.col("url"))), pages, "_page")
         .withColumn("http_failed", F.col("_http").isNull())
         .withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in PAGE_FEATURES})
         .drop("_page", "_http")
@@ -309,8 +308,7 @@ def with_host_facts(
     """Adds WHOIS, DNS and certificate columns, ``whois_failed`` and ``dns_failed``."""
     facts = host_facts(whois, dns, certs).withColumnRenamed("host", "_host")
     return (
-        urls.withColumn("_host", host_before_port(sanitize_url(F.col("url"))))
-        .join(facts, "_host", "left")
+        lookup(urls.withColumn("_host", host_before_port(sanitize_url(F.col("url")))), facts, "_host")
         .withColumns(
             {"whois_failed": F.col("_whois").isNull(), "dns_failed": F.col("_dns").isNull()}
         )

@@ -14,6 +14,7 @@ from urlguard import fixed_values as fv
 from urlguard.functions.domains import SuffixRules, with_domain
 from urlguard.functions.features import unmask
 from urlguard.functions.urls import normalize_url, scan_key
+from urlguard.operators.lookup import lookup
 
 
 def trust_gate(
@@ -42,9 +43,7 @@ def trust_gate(
     )
     own = [c for c in df.columns if c != "registered_domain"]
     return (
-        with_domain(df, psl, url_col)
-        .join(by_domain, "registered_domain", "left")
-        .join(by_suffix, "suffix", "left")
+        lookup(lookup(with_domain(df, psl, url_col), by_domain, "registered_domain"), by_suffix, "suffix")
         .select(
             *own, "registered_domain",
             (hit.isNotNull() | suffix_hit.isNotNull()).alias("is_trusted"),
@@ -56,7 +55,7 @@ def trust_gate(
 
 def untrusted(df: DataFrame, allowlist: DataFrame, psl: DataFrame | SuffixRules) -> DataFrame:
     """Rows that neither the domain nor the suffix gate trusts."""
-    listed = allowlist.select("domain").distinct()
+    listed = allowlist.select("domain")
     return (
         with_domain(df, psl)
         .join(listed.withColumnRenamed("domain", "registered_domain"), "registered_domain", "left_anti")
@@ -87,8 +86,10 @@ def block_gate(
     )
     url_hit, domain_hit = F.col("_url_hit").isNotNull(), F.col("_domain_hit").isNotNull()
     return (
-        keyed.join(urls.withColumn("_url_hit", F.lit(1)), "_key", "left")
-        .join(domains.withColumn("_domain_hit", F.lit(1)), "_reg", "left")
+        lookup(
+            lookup(keyed, urls.withColumn("_url_hit", F.lit(1)), "_key"),
+            domains.withColumn("_domain_hit", F.lit(1)), "_reg",
+        )
         .select(
             *own,
             (url_hit | domain_hit).alias("is_blocked"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions.times import micros, seconds
+from urlguard.operators.lookup import lookup
 
 
 def blank(c: Column) -> Column:
@@ -119,7 +120,7 @@ def active_overrides(requests: DataFrame, revocations: DataFrame, as_of: str) ->
     """Granted overrides not revoked and not expired at ``as_of``."""
     at = F.lit(as_of).cast("timestamp")
     granted = override_expiry(check_overrides(requests).filter("allowed"))
-    return granted.join(revocations.select("override_id").distinct(), "override_id", "left_anti").filter(
+    return granted.join(revocations.select("override_id"), "override_id", "left_anti").filter(
         (F.col("created_at") <= at) & (F.col("expires_at").isNull() | (F.col("expires_at") >= at))
     )
 
@@ -219,7 +220,7 @@ def canary_streak(runs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("verdict") == "PHISHING", position)).alias("_last")
     )
     after = F.col("_last").isNull() | (position > F.col("_last"))
-    return runs.join(last, "domain").groupBy("domain").agg(
+    return lookup(runs, last, "domain", "inner").groupBy("domain").agg(
         F.count_if(after).alias("consecutive_passes")
     )
 
@@ -397,4 +398,4 @@ def demote(records: DataFrame, domains: DataFrame) -> DataFrame:
 
 def open_reviews(required: DataFrame, completed: DataFrame) -> DataFrame:
     """Required human reviews without a completion."""
-    return required.join(completed.select("review_id").distinct(), "review_id", "left_anti")
+    return required.join(completed.select("review_id"), "review_id", "left_anti")

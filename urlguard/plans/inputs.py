@@ -72,6 +72,11 @@ SELECT page_id, html, host AS page_host, CASE page_id % 10
   ELSE url END AS url
 FROM (SELECT page_id, url, html, {NET} AS host FROM pages) p""",
     "url_fx": "SELECT page_id, url FROM page_fx",
+    # A batch request: some URLs padded, some not valid because of a space.
+    "batch_fx": """
+SELECT page_id, CASE WHEN url LIKE '%@%' THEN url || ' x' WHEN url LIKE '%//next' THEN '  ' || url || ' '
+  ELSE url END AS url
+FROM url_fx""",
     "host_fx": f"""
 SELECT host, min(page_id) AS hid
 FROM (SELECT page_id, split_part({NET}, ':', 1) AS host FROM url_fx) u

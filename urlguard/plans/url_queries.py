@@ -687,10 +687,15 @@ R.add(
 )
 
 
-@R.query("v08_batch_scan")
+@R.query(
+    "v08_batch_scan",
+    """SELECT page_id, url, verdict, round(risk_score, 9) AS risk_score, CAST(is_trusted AS INT) AS is_trusted,
+       CAST(bypassed AS INT) AS ml_bypassed FROM ck_scan WHERE url NOT LIKE '%@%'""",
+)
 def _batch(i: Inputs) -> DataFrame:
-    return batch_scan(i["raw_fx"], tables(i), AS_OF).select(
-        "page_id", "url", "verdict", "risk_score", "is_trusted", "ml_bypassed"
+    return batch_scan(i["batch_fx"], tables(i), AS_OF).select(
+        "page_id", "url", "verdict", F.round("risk_score", 9).alias("risk_score"),
+        flag(F.col("is_trusted")).alias("is_trusted"), flag(F.col("ml_bypassed")).alias("ml_bypassed"),
     )
 
 
@@ -717,7 +722,11 @@ R.add(
 )
 
 
-@R.query("z02_html_tags")
+@R.query(
+    "z02_html_tags",
+    """SELECT lower(name) AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(clean, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM ck_page) t
+       GROUP BY lower(name)""",
+)
 def _tags(i: Inputs) -> DataFrame:
     """Strict tag extraction, counted by tag name."""
     return (

@@ -24,27 +24,56 @@ def stream_scan(urls: DataFrame, tables: Tables, as_of: str) -> DataFrame:
     return scan(urls, tables, as_of)
 
 
+DEDUP_STATE = T.StructType([T.StructField("last", T.LongType())])
+
+
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """The event time as TIMESTAMP, which watermarks need (the session is UTC)."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def stream_dedup(scans: DataFrame, ts: str = "ts") -> DataFrame:
-    """Drops a repeat of the same scan key within one hour.
+def stream_dedup(scans: DataFrame, ts: str = "ts", ttl: int = 3600) -> DataFrame:
+    """Drops a repeat of a scan key within ``ttl`` seconds of the scan that was kept.
 
-    Trusted and invalid input is not remembered: it passes unchanged.
+    The hour counts from the kept scan and is not prolonged by repeats. Trusted and
+    invalid input is not remembered: it passes unchanged. A key is forgotten when the
+    watermark passes its hour, so the state holds the keys of about two hours.
     """
     remembered = validate_url(F.col("url"))["ok"]
     if "is_trusted" in scans.columns:
         remembered = remembered & ~F.col("is_trusted")
-    # A pass-through row gets a key of its own.
-    own = F.concat_ws("-", F.lit("pass"), F.col(ts).cast("string"), F.expr("uuid()"))
-    return (
-        event_time(scans, ts)
-        .withColumn("scan_key", F.when(remembered, scan_key(F.col("url"))).otherwise(own))
+    marked = event_time(scans, ts).withColumns(
+        {"scan_key": scan_key(F.col("url")), "_remembered": F.coalesce(remembered, F.lit(False))}
+    )
+    columns = [*scans.columns, "scan_key"]
+    passing = marked.filter(~F.col("_remembered")).select(*columns)
+    keyed = (
+        marked.filter("_remembered")
+        .select(*columns, F.unix_micros(ts).alias("_at"))
         .withWatermark(ts, "1 hour")
-        .dropDuplicatesWithinWatermark(["scan_key"])
     )
+    width = ttl * 1_000_000
+
+    def step(group: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("_at", kind="stable")
+        kept, last = [], state.get[0] if state.exists else None
+        at = rows["_at"].to_numpy()
+        position = 0 if last is None else int(at.searchsorted(last + width))
+        while position < len(at):
+            kept.append(position)
+            last = int(at[position])
+            position = int(at.searchsorted(last + width))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.iloc[kept][columns]
+
+    kept_rows = keyed.groupBy("scan_key").applyInPandasWithState(
+        step, passing.schema, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return kept_rows.unionByName(passing)
 
 
 def refreshing_gate(
