@@ -87,3 +87,11 @@ def test_corr_of_constant_is_null(spark):
     df = spark.createDataFrame([(k, 2 * k, 1) for k in range(10)], "a int, b int, c int")
     got = {(r.a, r.b): r["corr"] for r in profile.corr_matrix(df, ["a", "b", "c"]).collect()}
     assert got["a", "b"] == pytest.approx(1.0) and got["a", "c"] is None
+
+
+def test_one_decimal_rounds_like_exact_binary(spark):
+    from urlguard.functions.text import percent
+
+    rows = [(k, n) for n in (1, 3, 7, 8, 40, 80, 160, 400, 2000) for k in range(n + 1)]
+    df = spark.createDataFrame(rows, "k long, n long").select("k", "n", percent(F.col("k") / F.col("n")).alias("t"))
+    assert all(r.t == f"{r.k / r.n * 100:.1f}%" for r in df.collect())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
+from urlguard.functions.text import percent
 
 
 def squared_error() -> Column:
@@ -102,7 +103,7 @@ def health_warnings(variance: Column, extreme: Column, score: Column, error: Col
             F.when(collapsed, text("Probability collapse detected: variance=%.4f", variance)),
             F.when(
                 extremes,
-                text("Extreme probability concentration: %.1f%% at extremes", extreme * 100),
+                text("Extreme probability concentration: %s at extremes", percent(extreme)),
             ),
             F.when(
                 bad_score,

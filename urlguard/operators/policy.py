@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
+from urlguard.functions.text import percent
 from urlguard.functions.times import micros, seconds
 from urlguard.operators.lookup import lookup
 
@@ -234,8 +235,8 @@ def promotable(runs: DataFrame) -> DataFrame:
             f"Insufficient signal: %d/{fv.CANARY_MIN_PASSES} runs, %d/{fv.CANARY_MIN_SAMPLES} samples", r, s))
         .when(c < fv.CANARY_MIN_PASSES, F.format_string(
             f"Insufficient consecutive passes: %d/{fv.CANARY_MIN_PASSES}", c))
-        .when(F.col("pass_rate") < 1, F.format_string(
-            "Pass rate %.1f%% < 100%% required", F.col("pass_rate") * 100))
+        .when(F.col("pass_rate") < 1, F.concat(
+            F.lit("Pass rate "), percent(F.col("pass_rate")), F.lit(" < 100% required")))
         .otherwise("All promotion criteria met")
     )
     joined = canary_signal(runs).join(canary_streak(runs), "domain")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
+from urlguard.functions.text import percent
 from urlguard.functions.times import micros
 from urlguard.functions.urls import sanitize_signal, scan_key
 
@@ -75,8 +76,8 @@ def telemetry_summary(df: DataFrame) -> DataFrame:
     """One row: shares as percent text, mean risk signals per scan, top five signals."""
     total = F.greatest(F.count("*"), F.lit(1))
 
-    def percent(condition: Column) -> Column:
-        return F.format_string("%.1f%%", F.count_if(condition) / total * 100)
+    def share(condition: Column) -> Column:
+        return percent(F.count_if(condition) / total)
 
     top = (
         top_signals(df, 5).filter("part = 'risk'")
@@ -85,9 +86,9 @@ def telemetry_summary(df: DataFrame) -> DataFrame:
     )
     return df.agg(
         F.count("*").alias("total_scans"),
-        *[percent(F.col("verdict") == v).alias(f"share_{v}") for v in VERDICTS],
-        percent(~F.col("analysis_complete")).alias("incomplete_analysis_rate"),
-        percent(F.col("allowlist_override")).alias("allowlist_override_rate"),
+        *[share(F.col("verdict") == v).alias(f"share_{v}") for v in VERDICTS],
+        share(~F.col("analysis_complete")).alias("incomplete_analysis_rate"),
+        share(F.col("allowlist_override")).alias("allowlist_override_rate"),
         F.round(F.coalesce(F.sum(F.size("risk")), F.lit(0)) / total, 2).alias(
             "avg_risk_signals_per_scan"
         ),

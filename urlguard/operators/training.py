@@ -292,8 +292,9 @@ def knn_vote(
         """aggregate(arrays_zip(best, before), 0D, (s, x) -> s +
            greatest(least(x.best.n, k - x.before), 0) * x.best.phishing / x.best.n)"""
     )
+    # A tie is not a majority; the margin keeps rounding of the shares out of it.
     return ranked.select(
-        key, "label", "k", (share * 2 > F.col("k")).cast("int").alias("prediction")
+        key, "label", "k", (share * 2 > F.col("k") + 1e-9).cast("int").alias("prediction")
     )
 
 

@@ -211,7 +211,16 @@ TABLES["ck_labelled"] = """
 SELECT f.page_id, f.* EXCLUDE (page_id), CASE WHEN s.p >= 0.25 THEN -1 ELSE 1 END AS label
 FROM ck_feat f JOIN ck_share s ON f.page_id = s.page_id"""
 
-R.add("p01_schema", lambda i: profile.profile_schema(labelled_features(i)))
+R.add(
+    "p01_schema",
+    lambda i: profile.profile_schema(labelled_features(i)),
+    "SELECT position, name, type, (SELECT count(*) FROM pages) AS rows FROM (VALUES "
+    + ", ".join(
+        f"({k}, '{n}', '{'bigint' if n == 'page_id' else 'int'}')"
+        for k, n in enumerate(("page_id", *fv.VECTOR_NAMES, "label"))
+    )
+    + ") AS s(position, name, type)",
+)
 R.add(
     "p02_nunique",
     lambda i: profile.nunique(labelled_features(i), COLUMNS),
