@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, packing, shards
+from urlguard.llm import bpe, line_dedup, minhash, packing, shards
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -39,7 +39,21 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents, public_tokenizers.path(WORD_BPE), end_id=1, keep_ids=False)
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup(documents, threshold=10, least_chars=1).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op3_id_shards, op6_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip, op3_id_shards, op6_best_fit_packing, op9_line_dedup, op10_minhash_near_dedup,
+    )
 }
 SQL: dict[str, str] = {}
