@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, line_dedup, minhash, packing, shards
+from urlguard.llm import bpe, line_dedup, minhash, packing, quality, shards
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,12 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(documents).select("doc_id", *[f"quality.{c}" for c in base])
+
+
 def op3_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")
     written = shards.write(documents, public_tokenizers.path(BYTE_BPE), end_id=0)
@@ -53,7 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bpe_round_trip, op3_id_shards, op6_best_fit_packing, op9_line_dedup, op10_minhash_near_dedup,
+        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op6_best_fit_packing, op9_line_dedup, op10_minhash_near_dedup,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quality_rules": quality.check_sql()}
