@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, line_dedup, minhash, packing, quality, shards
+from urlguard.llm import bpe, language, line_dedup, minhash, packing, quality, shards
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents, public_tokenizers.path(WORD_BPE), end_id=1, keep_ids=False)
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.identify(documents).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup(documents, threshold=10, least_chars=1).select(
@@ -59,7 +64,7 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op6_best_fit_packing, op9_line_dedup, op10_minhash_near_dedup,
+        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op6_best_fit_packing, op7_language_id, op9_line_dedup, op10_minhash_near_dedup,
     )
 }
 SQL: dict[str, str] = {"op2_quality_rules": quality.check_sql()}
