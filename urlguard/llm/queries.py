@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, language, line_dedup, minhash, packing, quality, shards
+from urlguard.llm import bpe, language, line_dedup, minhash, packing, quality, shards, vector_search, warc
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -40,6 +40,20 @@ def op3_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write(read(spark, folder, "pages").select("page_id", "url", "html"))
+    records = warc.read_records(spark, warc.normalise(spark, archives))
+    return records.select(
+        warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
+def op5_va_file_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vector_search.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")
     return packing.pack(documents, public_tokenizers.path(WORD_BPE), end_id=1, keep_ids=False)
@@ -64,7 +78,11 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op6_best_fit_packing, op7_language_id, op9_line_dedup, op10_minhash_near_dedup,
+        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op9_line_dedup, op10_minhash_near_dedup,
     )
 }
-SQL: dict[str, str] = {"op2_quality_rules": quality.check_sql()}
+SQL: dict[str, str] = {
+    "op2_quality_rules": quality.check_sql(),
+    "op4_warc_normaliser": warc.CHECK_SQL,
+    "op5_va_file_search": vector_search.CHECK_SQL,
+}
