@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, language, line_dedup, minhash, packing, quality, shards, vector_search, warc
+from urlguard.llm import bpe, chat, language, line_dedup, minhash, packing, quality, shards, vector_search, warc
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup(documents, threshold=10, least_chars=1).select(
@@ -78,11 +82,12 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op9_line_dedup, op10_minhash_near_dedup,
+        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op8_chat_formatting, op9_line_dedup, op10_minhash_near_dedup,
     )
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality.check_sql(),
     "op4_warc_normaliser": warc.CHECK_SQL,
     "op5_va_file_search": vector_search.CHECK_SQL,
+    "op8_chat_formatting": chat.CHECK_SQL,
 }
