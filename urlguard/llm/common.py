@@ -32,6 +32,11 @@ def private(*names: str) -> list[str]:
     return [f"_{name}_{mark}" for name in names]
 
 
+def others(frame: DataFrame, *added: str) -> list[str]:
+    """The columns that stay beside added ones: an added column replaces one of the same name."""
+    return [c for c in frame.columns if c.lower() not in {a.lower() for a in added}]
+
+
 def text_or_empty(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -12,7 +12,7 @@ blocks of BLOCK characters side by side; a phrase ends with its block.
 Texts that are null or have no letter get ``und`` and score 0; so does every text if nothing could
 be learned. Ties go to the language first in order. The score is one minus the best number of
 phrases over the second best (over the number of characters, with one language). Rows that repeat
-are predicted alike; other columns pass unchanged.
+are predicted alike; other columns pass unchanged, those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import private, slices, text_or_empty
+from urlguard.llm.common import others, private, slices, text_or_empty
 
 UNKNOWN = "und"
 BLOCK = 512
@@ -205,4 +205,5 @@ def identify(documents: DataFrame, sample_rows: int = MODEL_ROWS, sample_chars:
     learned = documents.where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     model = learn(learned.select("text", "lang"), sample_rows, sample_chars)
     found = documents.withColumn(out, predict("text", model))
-    return found.select(*documents.columns, held_out("doc_id").alias("held_out"), f"{out}.*")
+    added = ("held_out", "lang_pred", "score")
+    return found.select(*others(documents, *added), held_out("doc_id").alias("held_out"), f"{out}.*")

@@ -9,7 +9,7 @@ result does not depend on the order of batches.
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z in lower case;
 keys shorter than ``least_chars`` are never dropped. Keys are compared by 128-bit hashes. Null or
 empty text is one empty line. Rows that repeat a doc_id count as documents of their own. Other
-columns pass unchanged; an empty table stays empty.
+columns pass unchanged (those named like an added one are replaced); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import private, stored, text_or_empty
+from urlguard.llm.common import others, private, stored, text_or_empty
 from urlguard.session import new_folder
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -146,4 +146,4 @@ def dedup(
     settled = stored(runs.settled(), "settled-lines")
     lost = held.join(settled, KEY).groupBy(first, second).agg(F.collect_set(F.struct(*KEY)).alias(drops))
     joined = named.join(lost, [first, second], "left")
-    return joined.withColumn(out, without_lines(text, drops)).select(*documents.columns, f"{out}.*")
+    return joined.withColumn(out, without_lines(text, drops)).select(*others(documents, "n_lines", "n_dropped", "kept"), f"{out}.*")

@@ -2,7 +2,7 @@
 
 Words are maximal runs of ``[^\\x20\\x09-\\x0D]``. Null text has no words, so it fails the base rule.
 A ratio over nothing passes its rule. Rows that repeat pass or fail alike; other columns pass
-unchanged, and an empty table stays empty. Long texts cost n log n at most.
+unchanged (but for one named quality, which is replaced), and an empty table stays empty. Long texts cost n log n at most.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import private, text_or_empty
+from urlguard.llm.common import others, private, text_or_empty
 
 # --- fixed values: frequent words of the four languages of the corpus ----------------------
 STOP_WORDS = (
@@ -123,17 +123,31 @@ def passes(measures: str, rule: Rule) -> Column:
     return F.coalesce(ratio.between(rule.low, rule.high), F.lit(True)) | (n_words < rule.least_words)
 
 
-def judged(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds struct ``quality``: the measures, base_failed, the failed rules' names, and kept."""
+def verdicts(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
+    """Documents with a struct of the measures, base_failed, the failed rules' names and kept, and its name."""
     frame, name = measured(documents, text)
     n_words, n_repeat = F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words")
     base_failed = (n_words < 10) | (n_repeat * 100 > n_words * 20)
     failed = F.array_compact(F.array(*[F.when(~passes(name, r), F.lit(r.name)) for r in rules]))
     kept = reduce(and_, [passes(name, r) for r in rules], ~base_failed)
-    quality = F.struct(
-        f"{name}.*", base_failed.alias("base_failed"), failed.alias("failed_rules"), kept.alias("kept")
-    )
-    return frame.select(*documents.columns, quality.alias("quality"))
+    quality = F.struct(f"{name}.*", base_failed.alias("base_failed"), failed.alias("failed_rules"), kept.alias("kept"))
+    return frame.select(*documents.columns, quality.alias(name)), name
+
+
+def judged(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds struct ``quality``, see verdicts."""
+    frame, name = verdicts(documents, text, rules)
+    return frame.select(*others(documents, "quality"), F.col(name).alias("quality"))
+
+
+def passing(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that are kept."""
+    frame, name = verdicts(documents, text, rules)
+    (mark,) = private("mark")
+    # A filter goes below projections of deterministic columns and would carry a copy of all
+    # measures with it for each time it names one. The mark keeps it above them.
+    marked = frame.withColumn(mark, F.monotonically_increasing_id())
+    return marked.where(F.col(f"{name}.kept") & (F.col(mark) >= 0)).select(*documents.columns)
 
 
 def rule_sql(rule: Rule) -> str:
