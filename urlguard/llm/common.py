@@ -60,21 +60,29 @@ class Generations(dict):
         super().__init__()
         self.size, self.old = size, {}
 
-    def missing(self, keys) -> list:
-        """Of the keys, those that are not held; the others are made current."""
-        found = []
-        old = self.old
+    def take(self, keys) -> tuple[dict, list]:
+        """What is held of the keys, in a small dict of its own, and the keys that are not held."""
+        get, old, taken, missing = self.get, self.old.get, {}, []
         for key in keys:
-            if key not in self:
-                value = old.get(key)
+            value = get(key)
+            if value is None:
+                value = old(key)
                 if value is None:
-                    found.append(key)
-                else:
-                    self[key] = value
-        return found
-
-    def turn(self) -> None:
-        """Call between slices: starts a new generation when this one is full."""
-        if len(self) > self.size:
+                    missing.append(key)
+                    continue
+                self[key] = value
+            taken[key] = value
+        return taken, missing
+
+    def learn(self, found: dict) -> None:
+        """Adds entries; starts a new generation when this one is full."""
+        if len(self) + len(found) > self.size:
             self.old = dict(self)
             self.clear()
+        self.update(found)
+
+    def missing(self, keys) -> list:
+        return self.take(keys)[1]
+
+    def turn(self) -> None:
+        self.learn({})

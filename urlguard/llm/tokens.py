@@ -9,62 +9,52 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-from urlguard.llm.common import SPACE, Generations, slices
+from urlguard.llm.byte_level import byte_alphabet
+from urlguard.llm.spans import Pieces
 
 PIECES_HELD = 400_000
-# A word with the space before it; white space before that; white space at the end.
-SPACED = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# Latin letters without the one whose lower case is two characters.
+LATIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
 
 
 class PieceEncoder:
-    """``drops_space``: the tokenizer throws white space away, and case with it."""
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        # The tokenizer throws white space away, and case with it.
         self.drops_space = self._ids(" ") == b"" and self._ids("Aa b") == self._ids("aa\tb")
-        self.held = Generations(PIECES_HELD)
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.tails = {"": b"", ".": self._ids("."), ",": self._ids(",")}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Pieces(self._learn, self._ids, special, self.drops_space, PIECES_HELD)
+        self.encode = self.pieces.encode
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> list:
-        # ASCII white space and upper case only, which every later step treats alike.
-        return text.encode().lower().split() if self.drops_space else SPACED.findall(text)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: list) -> None:
-        """A comma or full stop after an ASCII letter is a token run of its own."""
-        texts = [p.decode() for p in pieces] if self.drops_space else pieces
-        ends = [k for k, t in enumerate(texts) if t[-1] in ",." and len(t) > 1 and t[-2].isascii() and t[-2].isalpha()]
-        tails = set(ends)
-        plain = [t for k, t in enumerate(texts) if k not in tails]
-        stems = list(dict.fromkeys(texts[k][:-1] for k in ends))
-        key = str.encode if self.drops_space else str
-        stems = [s for s in stems if key(s) not in self.held]
-        new = list(dict.fromkeys([*plain, *stems, ",", "."]))
-        for text, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.held[key(text)] = np.array(e.ids, "<u4").tobytes()
-        for k in ends:
-            self.held[pieces[k]] = self.held[key(texts[k][:-1])] + self.held[key(texts[k][-1])]
+    def _word(self, word: str) -> bytes:
+        """Ids of one run of Latin letters, perhaps after a space: the model sees it as a whole."""
+        if self.drops_space:
+            word = word.lower()
+        stands = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(stands)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = []
-        for start, end in slices(texts):
-            whole = [any(s in t for s in self.special) for t in texts[start:end]]
-            split = [[] if w else self._pieces(t) for w, t in zip(whole, texts[start:end])]
-            self.held.turn()
-            if new := self.held.missing(set().union(*split)):
-                self._learn(new)
-            get = self.held.__getitem__
-            found.extend(
-                self._ids(t) if w else b"".join(map(get, pieces))
-                for w, t, pieces in zip(whole, texts[start:end], split)
-            )
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Words go straight to the library's model, with a comma or full stop as a word of its own."""
+        found, rest = [], []
+        for k, piece in enumerate(pieces):
+            if word := LATIN.fullmatch(piece):
+                found.append(self._word(word[1]) + self.tails[word[2]])
+            else:
+                found.append(b"")
+                rest.append(k)
+        encoded = self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, encoded):
+            found[k] = array("I", e.ids).tobytes()
         return found
 
 
