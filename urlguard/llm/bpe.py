@@ -14,7 +14,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from urlguard.llm.common import SPACE, Generations, slices, text_or_empty
+from urlguard.llm.byte_level import byte_alphabet
+from urlguard.llm.common import SPACE, text_or_empty
+from urlguard.llm.spans import SPACED, Pieces
 
 NEVER = np.int64(1) << 40
-WORDS_HELD = 400_000
+PIECES_HELD = 300_000
+SIDE_BY_SIDE = 24  # bytes of words that are merged side by side
 
 # --- fixed value: the byte-level pre-tokenizer's pattern -----------------------------------
 PATTERN = (
@@ -35,13 +40,6 @@ PATTERN = (
 )
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte: itself, or the next free code point from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Vocabulary:
     """The tables of one byte-level BPE tokenizer file."""
 
@@ -69,6 +67,7 @@ class Vocabulary:
             self.left[made], self.right[made], self.rank[made] = a, b, order
         keys = np.array([(a << 32) | b for a, b in self.merge], np.int64)
         orders = np.array([order for order, _ in self.merge.values()], np.int64)
+        self.made_by = np.array([made for _, made in self.merge.values()], np.int64)
         sorting = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[sorting], orders[sorting]
         self.single = [0] * 256
@@ -80,7 +79,11 @@ class Vocabulary:
             token: k for k, token in enumerate(self.bytes)
             if token and reachable[k] and token.decode("utf-8", "replace") not in self.special
         }
-        self.longest = max(map(len, self.known))
+        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token, k in self.known.items():
+            self.matcher.add_word(token.decode("latin-1"), k)
+        self.matcher.make_automaton()
+        self.sizes = np.array([len(t) for t in self.bytes], np.int64)
         split = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.splitter = regex.compile(f"({split})") if split else None
         self.pattern = regex.compile(PATTERN)
@@ -128,16 +131,7 @@ class Vocabulary:
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         whole = self.known.get(word)
-        if whole is not None:
-            return [whole]
-        found, at, known, end = [], 0, self.known, len(word)
-        while at < end:
-            stop = min(end, at + self.longest)
-            while (token := known.get(word[at:stop])) is None:
-                stop -= 1
-            found.append(token)
-            at = stop
-        return found
+        return [whole] if whole is not None else [k for _, k in self.matcher.iter_long(word.decode("latin-1"))]
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: lowest rank first, leftmost first among equals."""
@@ -164,6 +158,45 @@ class Vocabulary:
                 heapq.heappush(queue, (found[0], before[k], found[1], tokens[before[k]], made))
         return [t for t in tokens if t >= 0]
 
+    def merged_together(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of short words side by side: each round makes one merge in every word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(w.ljust(SIDE_BY_SIDE, b"\0") for w in words), np.uint8)
+        tokens = np.array(self.single, np.int64)[raw].reshape(len(words), SIDE_BY_SIDE)
+        tokens[np.arange(SIDE_BY_SIDE) >= sizes[:, None]] = -1
+        ranks = np.full((len(words), SIDE_BY_SIDE - 1), NEVER)
+        row, col = np.nonzero(tokens[:, 1:] >= 0)
+        ranks[row, col] = self.pair_rank(tokens[row, col], tokens[row, col + 1])
+        result: list[list[int]] = [[]] * len(words)
+        which = np.arange(len(words))
+        while len(which):
+            at = ranks.argmin(1)  # the first of equals
+            rows = np.arange(len(which))
+            order = ranks[rows, at]
+            done = order == NEVER
+            for k, line in zip(which[done].tolist(), tokens[done].tolist()):
+                result[k] = [t for t in line if t >= 0]
+            which, tokens, ranks, at, order = (v[~done] for v in (which, tokens, ranks, at, order))
+            if not len(which):
+                break
+            rows, width = np.arange(len(which)), tokens.shape[1]
+            tokens[rows, at] = self.made_by[order]
+            keep = np.ones(tokens.shape, bool)
+            keep[rows, at + 1] = False
+            tokens = tokens[keep].reshape(len(which), width - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[rows, np.minimum(at + 1, width - 2)] = False
+            ranks = ranks[keep].reshape(len(which), width - 2)
+            if width == 2:  # one token is left
+                ranks = np.full((len(which), 1), NEVER)
+                tokens = np.concatenate([tokens, np.full((len(which), 1), -1)], 1)
+                continue
+            for side in (at - 1, at):
+                k = np.flatnonzero((side >= 0) & (side < width - 2))
+                a, b = tokens[k, side[k]], tokens[k, side[k] + 1]
+                ranks[k, side[k]] = np.where(b >= 0, self.pair_rank(a, np.maximum(b, 0)), NEVER)
+        return result
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
@@ -174,39 +207,45 @@ class Vocabulary:
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, where = np.unique((flat[inside] << 32) | flat[inside + 1], return_inverse=True)
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-        for k in np.unique(owner[inside[~good[where]]]).tolist():
-            proposals[k] = self.merged(raw[k])
+        # A proposal must cover its word, too.
+        covered = np.bincount(owner, self.sizes[flat], len(words)) == [len(w) for w in raw]
+        failing = np.union1d(owner[inside[~good[where]]], np.flatnonzero(~covered)).tolist()
+        short = [k for k in failing if len(raw[k]) <= SIDE_BY_SIDE]
+        for k, tokens in zip(short, self.merged_together([raw[k] for k in short])):
+            proposals[k] = tokens
+        for k in failing:
+            if len(raw[k]) > SIDE_BY_SIDE:
+                proposals[k] = self.merged(raw[k])
         return [np.array(p, "<u4").tobytes() for p in proposals]
 
 
 class Encoder:
-    """Encodes texts with one vocabulary; remembers a bounded number of words."""
+    """Encodes texts with one vocabulary.
+
+    Texts are cut where white space ends a word, which the pattern never joins across; a bounded
+    number of pieces is remembered.
+    """
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.held = Generations(WORDS_HELD)
-
-    def words(self, text: str) -> list[str]:
-        find, splitter = self.vocabulary.pattern.findall, self.vocabulary.splitter
-        if splitter is None or not any(s in text for s in self.vocabulary.special):
-            return find(text)
-        words = []
-        for k, part in enumerate(splitter.split(text)):
-            words.extend([part] if k % 2 else find(part))
-        return words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        special = self.vocabulary.special
-        encoded = []
-        for start, end in slices(texts):
-            split = [self.words(text) for text in texts[start:end]]
-            self.held.turn()
-            new = self.held.missing(set().union(*split))
-            plain = [w for w in new if w not in special]
-            self.held.update(zip(plain, self.vocabulary.encode_words(plain)))
-            self.held.update((w, np.array([special[w]], "<u4").tobytes()) for w in new if w in special)
-            encoded.extend(b"".join(map(self.held.__getitem__, words)) for words in split)
-        return encoded
+        self.pieces = Pieces(self._learn, self._whole, list(self.vocabulary.special), False, PIECES_HELD)
+        self.encode = self.pieces.encode
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        split = [self.vocabulary.pattern.findall(p) for p in pieces]
+        words = list(dict.fromkeys(chain.from_iterable(split)))
+        known = dict(zip(words, self.vocabulary.encode_words(words)))
+        return [b"".join(map(known.__getitem__, own)) for own in split]
+
+    def _whole(self, text: str) -> bytes:
+        """A text with special tokens or white space beyond ASCII, cut by patterns."""
+        vocabulary, found = self.vocabulary, []
+        for k, part in enumerate(vocabulary.splitter.split(text) if vocabulary.splitter else [text]):
+            if k % 2:
+                found.append(np.array([vocabulary.special[part]], "<u4").tobytes())
+            else:
+                found += self._learn(SPACED.findall(part))
+        return b"".join(found)
 
 
 @functools.lru_cache(maxsize=2)

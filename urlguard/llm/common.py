@@ -80,9 +80,3 @@ class Generations(dict):
             self.old = dict(self)
             self.clear()
         self.update(found)
-
-    def missing(self, keys) -> list:
-        return self.take(keys)[1]
-
-    def turn(self) -> None:
-        self.learn({})
