@@ -82,7 +82,11 @@ def test_override_audit_round_trip(spark, tmp_path):
     assert audit.count() == 7
     newest = policy_files.recent_overrides(audit, 2).collect()
     assert [r.triggering_context for r in newest] == ["ctx 7", "ctx 6"]
-    assert newest[0].affected_domains == ["d0.com", "d1.com", "d2.com", "d3.com", "d4.com..."]
+    assert newest[0].affected_domains == [f"d{k}.com" for k in range(7)] and newest[0].additional_data == {}
+    lines = policy_files.read_override_lines(spark, path)
+    assert lines.count() == 7
+    last = policy_files.recent_overrides(lines, 1).first()
+    assert last.affected_domains == ["d0.com", "d1.com", "d2.com", "d3.com", "d4.com..."]
     assert newest[1].override_flag_value and newest[1].reason == "why 6"
 
 

@@ -43,10 +43,12 @@ def test_parts(spark, url, expected):
 
 
 def test_canonical(spark):
-    got = values(spark, ux.canonicalize_url, [
+    urls = [
         "http://h.com:80/a//", "HTTPS://H.com:443/A?Q#f", "h.com/a;p=1", None, "https://bücher.de/x/",
         "http://h.com:8080/", "http://h.com/a?",
-    ])
+    ]
+    rows = ux.with_canonical(spark.createDataFrame(list(enumerate(urls)), "k int, url string"))
+    got = [r.canonical_url for r in rows.orderBy("k").collect()]
     assert got == ["h.com/a", "h.com/a?q", "h.com/a", "", "xn--bcher-kva.de/x", "h.com:8080", "h.com/a"]
 
 

@@ -8,6 +8,7 @@ integers travel to the join with the scanned URLs.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,8 +218,9 @@ def page_features(crawl: DataFrame) -> DataFrame:
         return F.when(readable, value).otherwise(0)
 
     inside_share = share(inside_scripts, F.col("_scripts"))
+    time = ["recorded_at"] if "recorded_at" in crawl.columns else []
     return prepared.select(
-        "url",
+        "url", *time,
         warns(outside_icons).alias("external_favicon"),
         F.when(F.size("_media") == 0, 0)
         .otherwise(banded(share(outside_media, F.col("_media")), 22, 61))
@@ -267,20 +269,35 @@ def host_facts(whois: DataFrame, dns: DataFrame, certs: DataFrame) -> DataFrame:
     """WHOIS, DNS and certificate rows side by side, one row per host.
 
     The three tables are stacked and grouped by host in one shuffle, so the scanned URLs,
-    which are many more, move once instead of three times.
+    which are many more, move once instead of three times. Of several records of a host in
+    a table the latest is taken as a whole.
     """
-    w = whois.select(
-        "host", F.lit(True).alias("_whois"), "domain_name", "creation_date", "expiration_date"
+    sources = {
+        "_whois": (whois, ["domain_name", "creation_date", "expiration_date"]),
+        "_dns": (dns, ["a_records"]),
+        "_cert": (certs, ["not_before"]),
+    }
+    stacked = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [rows.select("host", record(rows, names).alias(name)) for name, (rows, names) in sources.items()],
     )
-    d = dns.select("host", F.lit(True).alias("_dns"), "a_records")
-    c = certs.select("host", "not_before")
-    stacked = w.unionByName(d, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-    values = [name for name in stacked.columns if name != "host"]
-    return stacked.groupBy("host").agg(
-        *[F.first(name, ignorenulls=True).alias(name) for name in values]
+    newest = stacked.groupBy("host").agg(*[F.max(name).alias(name) for name in sources])
+    return newest.select(
+        "host", F.when(F.col("_whois").isNotNull(), True).alias("_whois"),
+        F.when(F.col("_dns").isNotNull(), True).alias("_dns"),
+        *[f"{name}.{column}" for name, (_, names) in sources.items() for column in names],
     )
 
 
+def record(rows: DataFrame, names: list[str]) -> Column:
+    """A whole record that sorts by its time: of two, the later one is the larger.
+
+    The time is a column ``recorded_at``; without one the largest values count.
+    """
+    time = [F.col("recorded_at")] if "recorded_at" in rows.columns else []
+    return F.struct(*time, *names)
+
+
 def first_date(df: DataFrame, name: str) -> Column:
     """A date column; the first element where the source keeps a list of dates."""
     if df.schema[name].dataType.typeName() == "array":
@@ -291,9 +308,11 @@ def first_date(df: DataFrame, name: str) -> Column:
 def with_pages(urls: DataFrame, crawl: DataFrame) -> DataFrame:
     """Adds the page features (0 where the page is missing) and ``http_failed``.
 
-    ``crawl`` has one row per URL.
+    Of several crawls of a URL the latest counts; only the features are moved to find it.
     """
-    pages = page_features(crawl).withColumnRenamed("url", "_page").withColumn("_http", F.lit(True))
+    seen = page_features(crawl)
+    latest = seen.groupBy(F.col("url").alias("_page")).agg(F.max(record(seen, list(PAGE_FEATURES))).alias("_crawl"))
+    pages = latest.select("_page", F.lit(True).alias("_http"), *[f"_crawl.{name}" for name in PAGE_FEATURES])
     return (
         lookup(urls.withColumn("_page", sanitize_url(F.col("url"))), pages, "_page")
         .withColumn("http_failed", F.col("_http").isNull())
@@ -321,7 +340,7 @@ def enrich(
 ) -> DataFrame:
     """Scanned URLs with page features, host facts and the three failure flags.
 
-    ``urls`` has a ``url`` column. The look-up tables have one row per key.
+    ``urls`` has a ``url`` column. Of a look-up table's rows for one key the latest counts.
     """
     return with_host_facts(with_pages(urls, crawl), whois, dns, certs)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions.udfs import idna_host
+from urlguard.operators.lookup import lookup
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -70,25 +71,45 @@ def url_parts(c: Column) -> Column:
     )
 
 
-def canonicalize_url(c: Column) -> Column:
-    """Form used for deduplication: no scheme, default port, fragment or final slash."""
+def bare_host(c: Column) -> Column:
+    """Lower-case host and port of a URL, without a default port."""
+    return F.regexp_replace(authority(_full(c)), ":(80|443)$", "")
+
+
+def _full(c: Column) -> Column:
     lowered = F.lower(strip(c))
-    full = F.when(lowered.rlike("^https?://"), lowered).otherwise(
-        F.concat(F.lit("http://"), lowered)
-    )
-    bare = F.regexp_replace(authority(full), ":(80|443)$", "")
-    # The UDF runs only for rows whose host is not ASCII.
-    ascii_host = F.when(bare.rlike("[^\\x00-\\x7F]"), idna_host(bare)).otherwise(bare)
-    parts = url_parts(full)
+    return F.when(lowered.rlike("^https?://"), lowered).otherwise(F.concat(F.lit("http://"), lowered))
+
+
+def canonicalize_url(c: Column, ascii_host: Column | None = None) -> Column:
+    """Form used for deduplication: no scheme, default port, fragment or final slash.
+
+    ``ascii_host`` is the host's IDNA form, where it has another one; see with_canonical.
+    """
+    parts = url_parts(_full(c))
     query = parts["query"]
     canonical = F.concat(
-        ascii_host,
+        bare_host(c) if ascii_host is None else F.coalesce(ascii_host, bare_host(c)),
         F.rtrim(parts["path"], F.lit("/")),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
     return F.when(c.isNull() | (c == ""), "").otherwise(canonical)
 
 
+def with_canonical(df: DataFrame, url_col: str = "url", name: str = "canonical_url") -> DataFrame:
+    """Adds the canonical URL. Python sees each distinct host that is not ASCII once.
+
+    Rows with an ASCII host get keys that match nothing and are spread evenly.
+    """
+    url = F.col(url_col)
+    host = bare_host(url)
+    strange = host.rlike("[^\\x00-\\x7F]")
+    keyed = df.withColumn("_bare", F.when(strange, host).otherwise(F.xxhash64(url).cast("string")))
+    hosts = df.filter(strange).select(host.alias("_bare")).distinct().withColumn("_ascii", idna_host("_bare"))
+    joined = lookup(keyed, hosts, "_bare")
+    return joined.withColumn(name, canonicalize_url(url, F.col("_ascii"))).drop("_bare", "_ascii")
+
+
 def url_hash(canonical: Column) -> Column:
     return F.sha2(canonical, 256)
 

@@ -279,7 +279,7 @@ def running_totals(
 def safety_budget(events: DataFrame) -> DataFrame:
     """Per event kind: used, limit, exceeded and when the limit was first passed.
 
-    ``events(kind, ts, event_id)`` with the kinds of the fixed limits.
+    ``events(kind, ts, event_id)``; a kind without a fixed limit is counted and never exceeded.
     """
     limit = F.lit(None).cast("int")
     for kind, n in fv.BUDGET_LIMITS.items():
@@ -294,7 +294,7 @@ def safety_budget(events: DataFrame) -> DataFrame:
 def safety_status(events: DataFrame) -> DataFrame:
     """Budget use as ``used/limit`` text."""
     return safety_budget(events).select(
-        "kind", F.format_string("%d/%d", "used", "budget").alias("usage"), "exceeded"
+        "kind", F.concat_ws("/", "used", F.coalesce(F.col("budget").cast("string"), F.lit("none"))).alias("usage"), "exceeded"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlguard import fixed_values as fv
-from urlguard.functions.urls import canonicalize_url, normalize_label, strip, valid_rows
+from urlguard.functions.urls import normalize_label, strip, valid_rows, with_canonical
 from urlguard.operators.ranking import hash_rank, seeded_hash
 
 SEED = 42
@@ -24,12 +24,8 @@ def prepare(df: DataFrame, polarity: str = "default") -> DataFrame:
             "label": normalize_label(F.col("label_text"), polarity),
         }
     )
-    return (
-        valid_rows(rows)
-        .drop("label_text")
-        .withColumn("url", F.lower("url"))
-        .withColumn("canonical_url", canonicalize_url(F.col("url")))
-    )
+    lowered = valid_rows(rows).drop("label_text").withColumn("url", F.lower("url"))
+    return with_canonical(lowered)
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -215,6 +211,12 @@ def extraction_report(features: DataFrame) -> DataFrame:
     )
 
 
+def failed_urls(features: DataFrame) -> DataFrame:
+    """The rows with a failed look-up, and ``failed``: which of http, whois, dns."""
+    parts = [F.when(F.col(f"{name}_failed"), F.lit(name)) for name in ("http", "whois", "dns")]
+    return features.withColumn("failed", F.array_compact(F.array(*parts))).filter(F.size("failed") > 0)
+
+
 def head_n(df: DataFrame, n: int, order: str) -> DataFrame:
     """The first ``n`` rows of a feed: the row limit is the feature."""
     return df.orderBy(order).limit(n)

@@ -6,11 +6,16 @@ aggregated on the map side and stays small however many rows there are.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Of a pair of columns: rows, sums, sums of squares and of products.
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
 
 def profile_schema(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, row count."""
@@ -64,16 +69,37 @@ def describe_t(df: DataFrame, columns: list[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair in long form; null for a constant column.
 
-    The cross products are summed on the executors. Only the k x k matrix comes back.
+    A pair uses the rows where both are known. Each task gives its sums of products as one row
+    for each pair; values are taken from their column's mean, so that large ones do not cancel.
     """
-    vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(df)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [
-        (a, b, None if matrix[i][j] != matrix[i][j] else float(matrix[i][j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    known = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    means = known.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centre = np.array([means[c] or 0.0 for c in columns])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(SUMS), len(columns), len(columns)))
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1) - centre
+            there = (~np.isnan(values)).astype(float)
+            values = np.nan_to_num(values)
+            squares = values * values
+            total += [there.T @ there, values.T @ there, there.T @ values, squares.T @ there, there.T @ squares, values.T @ values]
+        i, j = np.indices(total.shape[1:])
+        arrays = [i.ravel(), j.ravel(), *total.reshape(len(SUMS), -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["i", "j", *SUMS])
+
+    schema = ", ".join(["i long", "j long", *[f"{s} double" for s in SUMS]])
+    sums = known.mapInArrow(products, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+    n = F.nullif("n", F.lit(0.0))
+    spread_x, spread_y = F.col("xx") - F.col("x") ** 2 / n, F.col("yy") - F.col("y") ** 2 / n
+    # Rounding leaves a trace of spread in a constant column.
+    varies = (spread_x > F.col("xx") * 1e-14) & (spread_y > F.col("yy") * 1e-14)
+    corr = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread_x * spread_y)
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(
+        F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"),
+        F.when(varies, corr).alias("corr"),
+    )
 
 
 def class_share(df: DataFrame, label: str = "label") -> DataFrame:

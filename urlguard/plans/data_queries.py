@@ -76,7 +76,16 @@ def prepared(i: Inputs) -> DataFrame:
 
 
 def deduped(i: Inputs) -> DataFrame:
-    return prep.dedup(prepared(i))
+    """The deduplicated URLs written once, for jobs that count and rank them several times."""
+    path = new_folder(i.spark, "deduped")
+    prep.dedup(prepared(i)).write.parquet(path)
+    return i.spark.read.parquet(path)
+
+
+def balanced(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Before and after class balancing."""
+    before = deduped(i)
+    return before, prep.balance(before)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -119,7 +128,7 @@ R.add(
 )
 R.add(
     "d06_balance_stats",
-    lambda i: prep.balance_stats(deduped(i), prep.balance(deduped(i))),
+    lambda i: prep.balance_stats(*balanced(i)),
     "SELECT label, n AS before, quota AS after, n - quota AS downsampled FROM ck_quota",
 )
 R.add(
@@ -183,6 +192,13 @@ R.add(
     """SELECT count(*) AS total, count(*) FILTER (f = 1) AS failed, round(count(*) FILTER (f = 0) / count(*), 9) AS success_rate
        FROM (SELECT greatest(http_fetch_failed, whois_lookup_failed, dns_lookup_failed) AS f FROM ck_feat) x""",
 )
+R.add(
+    "d13_failed_urls",
+    lambda i: prep.failed_urls(feature_frame(i)).select("page_id", F.array_join("failed", ",").alias("failed")),
+    """SELECT page_id, concat_ws(',', CASE WHEN http_fetch_failed = 1 THEN 'http' END, CASE WHEN whois_lookup_failed = 1 THEN 'whois' END,
+         CASE WHEN dns_lookup_failed = 1 THEN 'dns' END) AS failed
+       FROM ck_feat WHERE greatest(http_fetch_failed, whois_lookup_failed, dns_lookup_failed) = 1""",
+)
 R.add(
     "d14_head_n",
     lambda i: prep.head_n(i["pages"], 20, "page_id").select("page_id", "url"),

@@ -105,7 +105,10 @@ def _importances(i: Inputs) -> DataFrame:
 
 R.add(
     "m13_confidence_interval",
-    lambda i: tr.confidence_interval(i["pred_fx"].select("model", "y_prob").distinct(), "model", "y_prob"),
+    lambda i: tr.confidence_interval(
+        i.sql("SELECT l_orderkey * 8 + l_linenumber AS row_id, l_linenumber AS model, l_discount * 10 AS y_prob FROM lineitem"),
+        "row_id", "y_prob",
+    ),
 )
 
 

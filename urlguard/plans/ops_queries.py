@@ -39,10 +39,10 @@ SELECT domain, min(reviewed_at) AS added_at, max(reviewed_at) AS last_reviewed_a
   arg_max(reviewed_by, (reviewed_at, review_id)) AS reviewed_by, max(reviewed_at) + INTERVAL 365 DAY AS due_at
 FROM review_fx GROUP BY domain""",
     "ck_budget": """
-SELECT kind, CASE kind WHEN 'override' THEN 3 WHEN 'canary_failure' THEN 5 ELSE 0 END AS budget, ts, event_id,
+SELECT kind, CASE kind WHEN 'override' THEN 3 WHEN 'canary_failure' THEN 5 WHEN 'suspicious_on_trusted' THEN 0 END AS budget, ts, event_id,
   row_number() OVER (PARTITION BY kind ORDER BY ts, event_id) AS used
-FROM (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'canary_failure' WHEN 'signup' THEN 'override' ELSE 'suspicious_on_trusted' END AS kind
-      FROM events WHERE event_type IN ('error', 'signup', 'purchase')) e""",
+FROM (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'canary_failure' WHEN 'signup' THEN 'override'
+        WHEN 'purchase' THEN 'suspicious_on_trusted' ELSE 'other' END AS kind FROM events) e""",
 }
 R = Registry(TABLES)
 
@@ -270,7 +270,7 @@ R.add(
 def safety_events(i: Inputs) -> DataFrame:
     return i.sql(
         """SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'canary_failure' WHEN 'signup' THEN 'override'
-           ELSE 'suspicious_on_trusted' END AS kind FROM events WHERE event_type IN ('error', 'signup', 'purchase')"""
+           WHEN 'purchase' THEN 'suspicious_on_trusted' ELSE 'other' END AS kind FROM events"""
     )
 
 
@@ -278,7 +278,7 @@ R.add(
     "g13_safety_budget",
     lambda i: policy.safety_budget(safety_events(i)).select("kind", "budget", "used", "exceeded_at", flag(F.col("exceeded")).alias("exceeded")),
     """SELECT kind, budget, max(used) AS used, min(ts) FILTER (used > budget) AS exceeded_at,
-       CAST(max(used) > budget AS INT) AS exceeded FROM ck_budget GROUP BY kind, budget""",
+       CAST(coalesce(max(used) > budget, false) AS INT) AS exceeded FROM ck_budget GROUP BY kind, budget""",
 )
 R.add(
     "g14_freeze_state",
@@ -340,5 +340,5 @@ R.add(
 R.add(
     "g21_safety_status",
     lambda i: policy.safety_status(safety_events(i)).select("kind", "usage", flag(F.col("exceeded")).alias("exceeded")),
-    """SELECT kind, max(used) || '/' || budget AS usage, CAST(max(used) > budget AS INT) AS exceeded FROM ck_budget GROUP BY kind, budget""",
+    """SELECT kind, max(used) || '/' || coalesce(CAST(budget AS VARCHAR), 'none') AS usage, CAST(coalesce(max(used) > budget, false) AS INT) AS exceeded FROM ck_budget GROUP BY kind, budget""",
 )

@@ -13,7 +13,7 @@ from urlguard import fixed_values as fv
 from urlguard.operators import calibration as cal
 from urlguard.operators import prep
 from urlguard.plans.data_queries import TABLES as DATA_TABLES
-from urlguard.plans.data_queries import deduped, labelled_features, prepared, rounded
+from urlguard.plans.data_queries import balanced, deduped, labelled_features, prepared, rounded
 from urlguard.plans.inputs import AS_OF, Inputs
 from urlguard.plans.registry import Registry
 from urlguard.plans.url_queries import flag, scanned
@@ -196,7 +196,7 @@ def _merged(i: Inputs) -> DataFrame:
 
 R.add(
     "s18_dataset_stats",
-    lambda i: artifacts.dataset_stats(prepared(i), deduped(i), prep.balance(deduped(i)), prep.split(deduped(i))),
+    lambda i: dataset_stats(i),
     """SELECT 'source:' || source AS metric, count(*) AS n FROM ck_prep GROUP BY source
        UNION ALL SELECT 'total_before_dedup', count(*) FROM ck_prep
        UNION ALL SELECT 'duplicates_removed', count(*) - count(DISTINCT canonical_url) FROM ck_prep
@@ -231,12 +231,18 @@ def _verdict_audit(i: Inputs) -> DataFrame:
     return i.spark.read.text(path).select(F.col("day").cast("string").alias("day"), "value")
 
 
+def dataset_stats(i: Inputs) -> DataFrame:
+    before, after = balanced(i)
+    return artifacts.dataset_stats(prepared(i), before, after, prep.split(before))
+
+
 def audit_events(i: Inputs) -> DataFrame:
     return i.sql(
         """SELECT CAST(o_orderdate AS STRING) AS timestamp, CASE o_orderstatus WHEN 'F' THEN 'PROD' WHEN 'O' THEN 'CI' ELSE 'LOCAL' END AS environment,
            o_orderpriority AS event_type, o_orderkey % 2 = 0 AS override_flag_value,
            split(repeat('d.test,', CAST(o_orderkey % 8 AS INT)) || 'z.test', ',') AS affected_domains,
-           'ctx' || CAST(o_custkey AS STRING) AS triggering_context, 'order ' || CAST(o_orderkey AS STRING) AS reason FROM orders"""
+           'ctx' || CAST(o_custkey AS STRING) AS triggering_context, 'order ' || CAST(o_orderkey AS STRING) AS reason,
+           map('customer', CAST(o_custkey AS STRING)) AS additional_data FROM orders"""
     )
 
 
@@ -251,9 +257,10 @@ R.add(
     lambda i: audit_log(i).select(
         "reason", "environment", "event_type", "triggering_context",
         flag(F.col("override_flag_value")).alias("flag"), F.size("affected_domains").alias("n_domains"),
+        F.element_at("affected_domains", -1).alias("last_domain"), F.col("additional_data")["customer"].alias("customer"),
     ),
     """SELECT reason, environment, event_type, triggering_context, CAST(override_flag_value AS INT) AS flag,
-       CAST(least(o_orderkey % 8 + 1, 5) AS INT) AS n_domains FROM ck_audit""",
+       CAST(o_orderkey % 8 + 1 AS INT) AS n_domains, 'z.test' AS last_domain, substr(triggering_context, 4) AS customer FROM ck_audit""",
 )
 R.add(
     "s22_recent_overrides",

@@ -260,15 +260,13 @@ CANONICAL = """regexp_replace(regexp_extract(u, '://([^/?#]*)', 1), ':(80|443)$'
      THEN '?' || regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) ELSE '' END"""
 R.add(
     "u05_canonicalize_url",
-    lambda i: i["labeled_fx"].select(
-        "row_no", "source", ux.canonicalize_url(F.col("url")).alias("canonical_url")
-    ),
+    lambda i: ux.with_canonical(i["labeled_fx"]).select("row_no", "source", "canonical_url"),
     f"SELECT row_no, source, {CANONICAL} AS canonical_url FROM (SELECT *, lower(url) AS u FROM labeled_fx) l",
 )
 R.add(
     "u06_url_hash",
-    lambda i: i["labeled_fx"].select(
-        "row_no", "source", ux.url_hash(ux.canonicalize_url(F.col("url"))).alias("url_hash")
+    lambda i: ux.with_canonical(i["labeled_fx"]).select(
+        "row_no", "source", ux.url_hash(F.col("canonical_url")).alias("url_hash")
     ),
     f"SELECT row_no, source, sha256({CANONICAL}) AS url_hash FROM (SELECT *, lower(url) AS u FROM labeled_fx) l",
 )
@@ -715,9 +713,10 @@ R.add(
 R.add(
     "v12_result",
     lambda i: vd.to_result(scanned(i)).select(
-        "page_id", "verdict", F.round("calibrated_probability", 1).alias("p1"),
+        "page_id", "verdict", "risk_score", "calibrated_probability",
     ),
-    """SELECT page_id, verdict, CASE WHEN bypassed OR ssrf_status <> 'ok' THEN 0.0 ELSE round(round(p, 4), 1) END AS p1
+    """SELECT page_id, verdict, round(risk_score, 1) AS risk_score,
+         CASE WHEN bypassed OR ssrf_status <> 'ok' THEN 0.0 ELSE round(p, 4) END AS calibrated_probability
        FROM ck_scan""",
 )
 

@@ -43,19 +43,24 @@ def read_labeled_urls(
 ) -> DataFrame:
     """(url, label_text, source, row_no) from a CSV with a header; all text.
 
-    Without an encoding UTF-8 is tried first; a replacement character in the URL or
-    label column means it was not UTF-8, and the file is read as latin-1.
+    Without an encoding, values that are valid UTF-8 are read as that and others as latin-1,
+    each value for itself and in one read.
     """
-    rows = _read(spark, path, encoding or "UTF-8")
+    rows = _read(spark, path, encoding or "ISO-8859-1")
+    if encoding is None:  # a byte order mark, as latin-1 shows it
+        rows = rows.withColumnsRenamed({c: c.removeprefix("\u00ef\u00bb\u00bf") for c in rows.columns})
+
+    def text(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        if encoding is not None:
+            return value
+        return F.coalesce(F.try_validate_utf8(F.encode(value, "ISO-8859-1").cast("string")), value)
+
     url = first_column(rows.columns, url_candidates, "URL")
     label = first_column(rows.columns, label_candidates, "label")
-    if encoding is None:
-        bad = F.contains(F.concat_ws(" ", f"`{url}`", f"`{label}`"), F.lit("�"))
-        if rows.filter(bad).limit(1).count():
-            rows = _read(spark, path, "ISO-8859-1")
     return rows.select(
-        F.col(f"`{url}`").alias("url"),
-        F.col(f"`{label}`").alias("label_text"),
+        text(url).alias("url"),
+        text(label).alias("label_text"),
         F.lit(source).alias("source"),
         file_position().alias("row_no"),
     )

@@ -86,13 +86,35 @@ def audit_line() -> Column:
     )
 
 
+AUDIT_RECORD = (
+    "timestamp string, environment string, event_type string, override_flag_value boolean,"
+    " affected_domains array<string>, triggering_context string, reason string, additional_data map<string,string>"
+)
+# --- fixed value: what the full record of an event stands after ------------------------------
+JSON_MARK = "  JSON: "
+
+
 def append_override_audit(events: DataFrame, path: str) -> None:
-    """Appends audit events, one text line each. Nothing is overwritten."""
-    events.select(audit_line().alias("value")).write.mode("append").text(path)
+    """Appends audit events: a text line each, and below it the full record as JSON.
+
+    ``additional_data`` (a map) may be missing. Nothing is overwritten.
+    """
+    if "additional_data" not in events.columns:
+        events = events.withColumn("additional_data", F.create_map().cast("map<string,string>"))
+    names = [field.split()[0] for field in AUDIT_RECORD.split(", ")]
+    record = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    events.select(F.concat(audit_line(), F.lit("\n" + JSON_MARK), record).alias("value")).write.mode("append").text(path)
 
 
 def read_override_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed audit lines; comments, blank lines and JSON echoes are skipped."""
+    """The full records; text lines, comments and blank lines are skipped."""
+    lines = spark.read.text(path).filter(F.startswith("value", F.lit(JSON_MARK)))
+    record = F.from_json(F.substring("value", len(JSON_MARK) + 1, 2**31 - 1), AUDIT_RECORD)
+    return lines.select(F.inline(F.array(record))).filter(F.col("timestamp").isNotNull())
+
+
+def read_override_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What the text lines tell, for logs without full records; at most five domains each."""
     parts = F.split("value", r"\s\|\s")
 
     def field(name: str) -> Column:
