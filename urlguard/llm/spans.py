@@ -108,6 +108,8 @@ class Pieces:
         ]
 
     def _together(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
         data, starts, ends, edges = (words if self.by_word else spaced)(texts)
         if not len(starts):
             return [b""] * len(texts)
