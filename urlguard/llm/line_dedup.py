@@ -147,3 +147,18 @@ def dedup(
     lost = held.join(settled, KEY).groupBy(first, second).agg(F.collect_set(F.struct(*KEY)).alias(drops))
     joined = named.join(lost, [first, second], "left")
     return joined.withColumn(out, without_lines(text, drops)).select(*others(documents, "n_lines", "n_dropped", "kept"), f"{out}.*")
+
+
+CHECK_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+f AS (
+  SELECT key AS shared FROM (SELECT DISTINCT doc_id, key FROM k WHERE key <> '') GROUP BY key HAVING count(*) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(shared) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (shared IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON key = shared GROUP BY doc_id"""

@@ -90,4 +90,6 @@ SQL: dict[str, str] = {
     "op4_warc_normaliser": warc.CHECK_SQL,
     "op5_va_file_search": vector_search.CHECK_SQL,
     "op8_chat_formatting": chat.CHECK_SQL,
+    "op9_line_dedup": line_dedup.CHECK_SQL,
+    "op10_minhash_near_dedup": minhash.CHECK_SQL,
 }
