@@ -60,12 +60,23 @@ def test_cache_hits_against_brute_force(spark):
     df = spark.createDataFrame(log, "url string, s int").select("url", F.timestamp_seconds("s").alias("ts"))
     last, hits = {}, 0
     for url, s in sorted(log, key=lambda r: r[1]):
-        hits += url in last and s - last[url] <= 3600
-        last[url] = s
+        if url in last and s - last[url] < 3600:
+            hits += 1
+        else:
+            last[url] = s
     row = tel.cache_hits(df).first()
     assert (row.lookups, row.hits) == (2000, hits)
 
 
+def test_a_hit_does_not_renew_its_entry(spark):
+    looks = [("https://a.test/", 60 * m, False) for m in (0, 50, 100, 150)]
+    looks += [("https://t.test/", m, True) for m in (0, 1)] + [("a b", m, False) for m in (0, 1)]
+    df = spark.createDataFrame(looks, "url string, s int, is_trusted boolean").withColumn("ts", F.timestamp_seconds("s"))
+    row = tel.cache_hits(df).first()
+    assert (row.lookups, row.hits, row.hit_rate) == (8, 2, 0.25)
+    assert tuple(tel.cache_hits(df.limit(0)).first()) == (0, 0, 0.0)
+
+
 def test_history_pages_are_whole(spark):
     df = spark.range(95).select(
         F.col("id").alias("scan_id"), F.timestamp_seconds(F.col("id") % 7).alias("ts"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions.text import percent
 from urlguard.functions.times import micros
-from urlguard.functions.urls import sanitize_signal, scan_key
+from urlguard.functions.urls import sanitize_signal, scan_key, validate_url
 
 VERDICTS = ("SAFE", "SUSPICIOUS", "PHISHING")
 
@@ -189,33 +193,46 @@ def latency_hist(df: DataFrame) -> DataFrame:
     )
 
 
-def cache_hits(df: DataFrame, ttl: int = 3600, slice_seconds: int = 60) -> DataFrame:
-    """One row: lookups, hits, hit rate. A hit saw its key within the last ``ttl`` seconds.
+def _insertions(ttl: int):
+    """Counts, over (key, time) in order, the looks that find nothing and start a new entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            keys, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            n = 0
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                times = at[start:end]
+                if keys[start] != key:
+                    key, last = keys[start], int(times[0]) - ttl
+                position = int(times.searchsorted(last + ttl))
+                while position < len(times):
+                    n, last = n + 1, int(times[position])
+                    position = int(times.searchsorted(last + ttl))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return run
+
+
+def cache_hits(df: DataFrame, ttl: int = 3600) -> DataFrame:
+    """One row: lookups, hits, hit rate. An entry lives ``ttl`` seconds from the look that made it.
 
-    A key may hold a third of all rows, so its timeline is cut into slices: only one
-    slice of one key is sorted at a time. The last sight before a slice comes from the
-    maxima of the earlier slices, a table with one row per key and slice.
+    A hit does not renew its entry. Trusted and invalid input is looked up and never kept. Looks
+    at one instant are merged first; a key's instants are then read in order with one time held.
     """
-    at = micros("ts")
-    keyed = (
-        df.groupBy(scan_key(F.col("url")).alias("k"), at.alias("t"))
-        .agg(F.count("*").alias("copies"))
-        .withColumn("slice", F.floor(F.col("t") / (slice_seconds * 1_000_000)))
-    )
-    earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = keyed.groupBy("k", "slice").agg(F.max("t").alias("last")).select(
-        "k", "slice", F.max("last").over(earlier).alias("before")
-    )
-    inside = Window.partitionBy("k", "slice").orderBy("t")
-    hit = F.coalesce(F.col("t") - F.col("seen") <= ttl * 1_000_000, F.lit(False))
-    # Copies of a key at one instant: all but the first find the first.
-    hits = F.sum(F.col("copies") - F.when(hit, 0).otherwise(1))
-    return (
-        keyed.join(before, ["k", "slice"])
-        .withColumn("seen", F.coalesce(F.lag("t").over(inside), "before"))
-        .agg(F.sum("copies").alias("lookups"), hits.alias("hits"))
-        .withColumn("hit_rate", F.col("hits") / F.greatest("lookups", F.lit(1)))
-    )
+    kept = validate_url(F.col("url"))["ok"]
+    if "is_trusted" in df.columns:
+        kept = kept & ~F.coalesce("is_trusted", F.lit(False))
+    looks = df.select(F.coalesce(kept, F.lit(False)).alias("kept"), scan_key(F.col("url")).alias("k"), micros("ts").alias("t"))
+    instants = looks.filter("kept").select("k", "t").distinct().repartition("k").sortWithinPartitions("k", "t")
+    made = instants.mapInArrow(_insertions(ttl * 1_000_000), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("made"))
+    totals = looks.agg(F.count("*").alias("lookups"), F.count_if("kept").alias("_kept"))
+    return totals.select(
+        "lookups", (F.col("_kept") - made.scalar()).alias("hits"),
+    ).withColumn("hit_rate", F.col("hits") / F.greatest("lookups", F.lit(1)))
 
 
 def ops_counters(df: DataFrame) -> DataFrame:
