@@ -161,3 +161,28 @@ def test_work_folder_comes_from_the_session(spark):
 
     assert new_folder(spark, "x").startswith(work_folder(spark))
     assert spark.conf.get("spark.checkpoint.dir") == work_folder(spark)
+
+
+def test_scan_with_a_reloaded_model(spark):
+    """Gates are as in any scan; other rows have the model's probability and its verdict."""
+    from urlguard.plans.inputs import Inputs
+    from urlguard.plans.model_queries import model_scan
+    from urlguard.plans.url_queries import scanned
+
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    by_model = {r.page_id: r for r in model_scan(i).collect()}
+    plain = {r.page_id: r for r in scanned(i).collect()}
+    assert by_model.keys() == plain.keys()
+    scored = 0
+    for page, row in by_model.items():
+        other = plain[page]
+        assert (row.is_trusted, row.is_blocked, row.ssrf_status) == (other.is_trusted, other.is_blocked, other.ssrf_status)
+        if row.is_trusted or row.is_blocked or row.ssrf_status != "ok":
+            assert (row.verdict, row.risk_score) == (other.verdict, other.risk_score)
+            continue
+        scored += 1
+        assert 0 <= row.calibrated_probability <= 1
+        if not (row.failures.http_failed or row.failures.whois_failed or row.failures.dns_failed):
+            p = row.calibrated_probability
+            assert row.verdict == ("PHISHING" if p >= 0.85 else "SUSPICIOUS" if p >= 0.55 else "SAFE")
+    assert scored

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
+from urlguard.functions import features as fx
 from urlguard.functions.udfs import idna_host
 from urlguard.functions.urls import host
 from urlguard.operators import evaluation as ev
@@ -14,6 +15,7 @@ from urlguard.plans.data_queries import TABLES as DATA_TABLES
 from urlguard.plans.data_queries import rounded, stored_features
 from urlguard.plans.inputs import AS_OF, Inputs
 from urlguard.plans.registry import Registry
+from urlguard.plans.scan import scan
 from urlguard.plans.url_queries import flag, tables
 from urlguard.session import new_folder
 from urlguard.streaming import jobs
@@ -120,6 +122,21 @@ def _saved(i: Inputs) -> DataFrame:
     return report(tr.load_model(path, i.spark).transform(test))
 
 
+def model_scan(i: Inputs) -> DataFrame:
+    """A scan scored by a trained, calibrated, saved and reloaded model."""
+    train, _ = parts(i)
+    path = new_folder(i.spark, "model")
+    tr.save_model(tr.calibrate(train, [tr.reference_gbt(TREES)], "page_id", FOLDS), path, i.spark)
+    model = tr.load_model(path, i.spark)
+    return scan(i["url_fx"], tables(i), AS_OF, lambda df: tr.score(fx.failure_indicators(df), model))
+
+
+R.add(
+    "v01_model_scan",
+    lambda i: model_scan(i).select("page_id", "is_trusted", "is_blocked", "ssrf_status", "verdict", "risk_score", "calibrated_probability"),
+)
+
+
 # ------------------------------------------------------------------ 2.12 streaming
 
 
