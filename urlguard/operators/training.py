@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions.urls import to_binary
+from urlguard.operators.lookup import lookup
+from urlguard.session import new_folder
 
 SEED = 42
 FOLDS = 5
@@ -255,71 +258,95 @@ def collapse_vectors(df: DataFrame, names) -> DataFrame:
     )
 
 
+NEAREST = "v array<int>, d long, n long, phishing long"
+ASKED_ROWS = 1_000
+
+
 def knn_vote(
     train: DataFrame, test: DataFrame, names, key: str, ks: list[int], block_rows: int = 50_000
 ) -> DataFrame:
     """(key, label, k, prediction) by majority of the k nearest training rows, exact.
 
-    Training vectors are collapsed to distinct ones and cut into blocks of about
-    ``block_rows``. One block at a time is sent to the tasks; each test row carries
-    its best candidates from block to block, so no pairs are shuffled or kept.
+    Both sides are collapsed to distinct vectors and dealt into blocks. A task gets one block
+    of each side and returns, for a vector asked about, its nearest distances with their rows:
+    at most max(ks) of them. So what is merged grows with the vectors asked, not with pairs.
     """
     names, most = list(names), max(ks)
-    distinct = collapse_vectors(train, names)
-    blocks = max(1, math.ceil(distinct.count() / block_rows))
-    number = F.pmod(F.xxhash64(*names), F.lit(blocks))
-    best = "array<struct<d:int,n:int,phishing:int>>"
-    rows = test.select(key, "label", *names).withColumn("best", F.array().cast(best))
-    schema = rows.schema
-    for k in range(blocks):
-        part = distinct.filter(number == k).toPandas()
-        points = part[names].to_numpy(dtype=np.int16)
-        weights, hits = part["n"].to_numpy(), part["phishing"].to_numpy()
-
-        def nearest(batches, points=points, weights=weights, hits=hits):
-            for batch in batches:
-                found = [
-                    _closest(row, old, points, weights, hits, most)
-                    for row, old in zip(batch[names].to_numpy(dtype=np.int16), batch["best"])
-                ]
-                yield batch.assign(best=pd.Series(found, index=batch.index))
-
-        rows = rows.mapInPandas(nearest, schema)
-    # Candidates are sorted by distance; the vote weighs those within the first k rows.
-    before = F.expr("transform(best, (b, j) -> aggregate(slice(best, 1, j), 0, (s, c) -> s + c.n))")
-    ranked = rows.withColumn("before", before).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    vector = F.array(*[F.col(c).cast("int") for c in names])
+    spark = train.sparkSession
+    points = _written(spark, collapse_vectors(train, names).select(vector.alias("v"), "n", "phishing"))
+    asked = _written(spark, test.select(vector.alias("v")).distinct())
+    n_points = max(1, math.ceil(points.count() / block_rows))
+    n_asked = max(1, math.ceil(asked.count() / ASKED_ROWS))
+
+    def own(n: int) -> Column:
+        return F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    zero = F.lit(0).cast("long")
+    left = asked.select(own(n_asked).alias("a"), every(n_points).alias("b"), F.lit(False).alias("is_point"), "v", zero.alias("n"), zero.alias("phishing"))
+    right = points.select(every(n_asked).alias("a"), own(n_points).alias("b"), F.lit(True).alias("is_point"), "v", "n", "phishing")
+    dealt = left.unionAll(right).repartition("a", "b").sortWithinPartitions("a", "b", "is_point")
+    found = dealt.mapInPandas(_nearest(most), NEAREST)
+    merged = found.groupBy("v", "d").agg(F.sum("n").alias("n"), F.sum("phishing").alias("phishing"))
+    nearer = Window.partitionBy("v").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    merged = merged.withColumn("before", F.coalesce(F.sum("n").over(nearer), zero)).filter(F.col("before") < most)
+    best = merged.groupBy("v").agg(F.collect_list(F.struct("n", "phishing", "before")).alias("best"))
+    rows = lookup(test.select(key, "label", vector.alias("v")), best, "v").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    # The vote weighs the rows within the first k; rows at one distance share their place.
     share = F.expr(
-        """aggregate(arrays_zip(best, before), 0D, (s, x) -> s +
-           greatest(least(x.best.n, k - x.before), 0) * x.best.phishing / x.best.n)"""
+        "aggregate(best, 0D, (s, x) -> s + greatest(least(x.n, k - x.before), 0) * x.phishing / x.n)"
     )
     # A tie is not a majority; the margin keeps rounding of the shares out of it.
-    return ranked.select(
-        key, "label", "k", (share * 2 > F.col("k") + 1e-9).cast("int").alias("prediction")
+    return rows.select(
+        key, "label", "k", F.coalesce((share * 2 > F.col("k") + 1e-9).cast("int"), F.lit(0)).alias("prediction")
     )
 
 
-def _closest(row, old, points, weights, hits, most):
-    distance = ((points - row) ** 2).sum(axis=1)
-    if len(distance) > most:
-        # Every vector as near as the ``most``-th stays, so equal distances are whole.
-        limit = np.partition(distance, most - 1)[most - 1]
-        near = np.flatnonzero(distance <= limit)
-    else:
-        near = np.arange(len(distance))
-    merged: dict[int, list[int]] = {}
-    for c in old:
-        merged[c["d"]] = [c["n"], c["phishing"]]
-    for j in near:
-        cell = merged.setdefault(int(distance[j]), [0, 0])
-        cell[0] += int(weights[j])
-        cell[1] += int(hits[j])
-    kept, total = [], 0
-    for d in sorted(merged):
-        if total >= most:
-            break
-        kept.append({"d": d, "n": merged[d][0], "phishing": merged[d][1]})
-        total += merged[d][0]
-    return kept
+def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    path = new_folder(spark, "vectors")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _nearest(most: int):
+    """Of each pair of blocks the nearest distances of every vector asked about, sorted rows in."""
+
+    def pair(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(frames)
+        asked, points = rows[~rows["is_point"]], rows[rows["is_point"]]
+        found = []
+        if len(asked) and len(points):
+            at = np.stack(points["v"].to_list()).astype(np.int64)
+            weights, hits = points["n"].to_numpy(), points["phishing"].to_numpy()
+            for vector in asked["v"]:
+                distance = ((at - np.asarray(vector, np.int64)) ** 2).sum(axis=1)
+                if len(distance) > most:  # all as near as the last that can count
+                    near = distance <= np.partition(distance, most - 1)[most - 1]
+                else:
+                    near = np.ones(len(distance), bool)
+                values, group = np.unique(distance[near], return_inverse=True)
+                totals = np.bincount(group, weights[near]).astype(int)
+                phishing = np.bincount(group, hits[near]).astype(int)
+                last = int(np.searchsorted(np.cumsum(totals), most)) + 1
+                found += [(vector, *cell) for cell in zip(values[:last].tolist(), totals[:last].tolist(), phishing[:last].tolist())]
+        return pd.DataFrame(found, columns=["v", "d", "n", "phishing"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+        for batch in batches:
+            for block, part in batch.groupby(["a", "b"], sort=False):
+                if block != now and held:
+                    yield pair(held)
+                    held = []
+                now = block
+                held.append(part)
+        if held:
+            yield pair(held)
+
+    return run
 
 
 # ------------------------------------------------------------------ intervals
