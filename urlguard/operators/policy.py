@@ -179,7 +179,10 @@ def rolling_count(
         .groupBy(key, "_at")
         .agg(F.sum(F.when(F.col("probe"), -F.col("total")).otherwise(F.col("total"))).alias("used"))
     )
-    return df.withColumn("_at", at).join(used, [key, "_at"]).drop("_at")
+    # A tenant's instant may hold many rows: the look-up lets AQE split it.
+    place = F.struct(key, "_at").alias("_place")
+    rows = df.withColumn("_at", at).select(*df.columns, place)
+    return lookup(rows, used.select(place, "used"), "_place", "inner").drop("_place")
 
 
 def budget_breaches(
@@ -280,15 +283,18 @@ def safety_budget(events: DataFrame) -> DataFrame:
     """Per event kind: used, limit, exceeded and when the limit was first passed.
 
     ``events(kind, ts, event_id)``; a kind without a fixed limit is counted and never exceeded.
+    Only the first events of a kind, one more than the largest limit, are sorted.
     """
     limit = F.lit(None).cast("int")
     for kind, n in fv.BUDGET_LIMITS.items():
         limit = F.when(F.col("kind") == kind, n).otherwise(limit)
-    counted = running_totals(events, "kind", "ts", "event_id").withColumn("budget", limit)
-    return counted.groupBy("kind", "budget").agg(
-        F.max("used").alias("used"),
-        F.min(F.when(F.col("used") > F.col("budget"), F.col("ts"))).alias("exceeded_at"),
-    ).withColumn("exceeded", F.col("exceeded_at").isNotNull())
+    counts = events.groupBy("kind").agg(F.count("*").alias("used")).withColumn("budget", limit)
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("ts", "event_id"))
+    first = events.select("kind", "ts", nth.alias("_nth")).filter(F.col("_nth") <= max(fv.BUDGET_LIMITS.values()) + 1)
+    passed = first.filter(F.col("_nth") == limit + 1).select("kind", F.col("ts").alias("exceeded_at"))
+    return counts.join(passed, "kind", "left").select(
+        "kind", "budget", "used", "exceeded_at", F.col("exceeded_at").isNotNull().alias("exceeded")
+    )
 
 
 def safety_status(events: DataFrame) -> DataFrame:
