@@ -6,9 +6,10 @@ Universal hash functions give a signature; documents equal in all rows of a band
 
 1. Every member of a bucket is paired with the bucket's smallest document. Pairs whose signatures
    agree too little are let go, the others are confirmed on full sets; links give components.
-2. Buckets that hold members of more than one component are open. All their pairs between
-   different components are checked by signature, in blocks of bounded size, and confirmed on
-   full sets. Pairs inside a component cannot change it.
+2. Buckets that hold members of more than one component are open. Their members are compared by
+   signature, in blocks of bounded size; those that agree with a member of another component come
+   together again with their full sets, and links that join components are found in place. Pairs
+   inside a component cannot change it.
 
 So no group's pairs are written out, and no link between different components is left unseen.
 With the default 51 bands of 5 rows, a pair at similarity 0.75 shares no bucket with probability
@@ -31,76 +32,65 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import stored, text_or_empty
+from urlguard.llm import spans
+from urlguard.llm.common import slices, stored, text_or_empty
 from urlguard.llm.components import components
 from urlguard.operators.lookup import lookup
 
 BANDS, ROWS, WORDS = 51, 5, 5
 BLOCK = 256  # members of a bucket compared at once
-CHUNK = 1 << 15  # shingles hashed at once
-WORDS_HELD = 500_000
+CHUNK = 1 << 14  # shingles hashed at once
 NODES_SENT = 1_000_000  # node ids (8 bytes each) that may be broadcast
 NAMELESS = 1 << 62  # nodes from here on stand for rows without doc_id
 
 
-@functools.lru_cache(maxsize=1)
-def _known_words() -> dict[bytes, int]:
-    return {}
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text. bytes.lower() changes A-Z only."""
+    data, starts, ends, firsts = spans.words([t.encode().lower() for t in texts])
+    hashes, edges = spans.span_hashes(data, starts, ends), firsts.tolist()
 
+    def mixed(width: int, own: np.ndarray) -> np.ndarray:
+        sums = np.full(max(0, len(own) - width + 1), width, np.uint64)
+        for k in range(width):
+            sums = sums * np.uint64(0xD1342543DE82EF95) + own[k : k + len(sums)]
+        return spans.scramble(sums)
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _known_words()
-    if len(known) > WORDS_HELD:
-        known.clear()
-    try:
-        return np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
-
-
-def _scramble(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes. bytes.split() and lower() follow ASCII only."""
-    found = text.encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = _word_hashes(found)
-    width = min(words, len(found))
-    sums = np.full(len(found) - width + 1, width, np.uint64)
-    for k in range(width):
-        sums = _scramble(sums * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(sums)])
-    return np.unique(sums)
+    every, found = mixed(words, hashes), []
+    for start, end in zip(edges, edges[1:]):
+        if end - start >= words:
+            own = np.sort(every[start : end - words + 1])
+            found.append(own[np.append(True, own[1:] != own[:-1])])
+        else:  # one shingle of all words, or none
+            found.append(mixed(end - start, hashes[start:end]) if end > start else np.zeros(0, np.uint64))
+    return found
 
 
 @functools.lru_cache(maxsize=2)
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
-    drawn = np.random.default_rng(42).integers(1, 1 << 63, (2, count), dtype=np.uint64)
-    return drawn[0] * np.uint64(2) + np.uint64(1), drawn[1]
+    drawn = np.random.default_rng(42).integers(0, 1 << 32, (2, count), dtype=np.uint32)
+    return drawn[0] | np.uint32(1), drawn[1]
 
 
 def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
-    """Low bytes of the minima of ``count`` universal hash functions, one row for each non-empty set."""
+    """Low bytes of the minima of ``count`` functions a * x + b (mod 2^32), one row for each non-empty set."""
     factors, terms = _functions(count)
-    minima = np.full((len(sets), count), np.iinfo(np.uint64).max, np.uint64)
+    minima = np.empty((len(sets), count), np.uint32)
+    room = np.empty(max([CHUNK, *map(len, sets)]), np.uint32)
     start = 0
     while start < len(sets):
         end, held = start, 0
         while end < len(sets) and (end == start or held + len(sets[end]) <= CHUNK):
             held += len(sets[end])
             end += 1
-        flat = np.concatenate(sets[start:end])
+        flat = (np.concatenate(sets[start:end]) >> np.uint64(32)).astype(np.uint32)
         at = np.cumsum([0, *map(len, sets[start : end - 1])])
+        values = room[:held]
         for k in range(count):
-            minima[start:end, k] = np.minimum.reduceat(flat * factors[k] + terms[k], at)
+            np.multiply(flat, factors[k], out=values)
+            np.add(values, terms[k], out=values)
+            minima[start:end, k] = np.minimum.reduceat(values, at)
         start = end
-    return (minima >> np.uint64(40)).astype(np.uint8)
+    return (minima & np.uint32(255)).astype(np.uint8)
 
 
 def features(text: Column | str, words: int, count: int) -> Column:
@@ -110,8 +100,8 @@ def features(text: Column | str, words: int, count: int) -> Column:
     def compute(texts: pa.Array) -> pa.Array:
         sizes, his, los, sigs = [], [], [], []
         texts = texts.to_pylist()
-        for start in range(0, len(texts), 500):
-            sets = [shingle_set(t, words) for t in texts[start : start + 500]]
+        for start, end in slices(texts):
+            sets = shingle_sets(texts[start:end], words)
             full = iter(signatures([s for s in sets if len(s)], count))
             for s in sets:
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
@@ -129,7 +119,9 @@ def features(text: Column | str, words: int, count: int) -> Column:
 def _set_of(text: Column, words: int) -> Column:
     @F.arrow_udf("binary")
     def compute(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+        texts = texts.to_pylist()
+        parts = (shingle_sets(texts[start:end], words) for start, end in slices(texts))
+        return pa.array([s.tobytes() for part in parts for s in part], pa.binary())
 
     return compute(text)
 
@@ -147,64 +139,109 @@ def _agreement(a: Column, b: Column) -> Column:
     return count(a, b)
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets that are not empty."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
 def _common(a: Column, b: Column) -> Column:
     """Size of the intersection of two sorted sets."""
 
     @F.arrow_udf("long")
     def count(first: pa.Array, second: pa.Array) -> pa.Array:
-        sizes = []
-        for x, y in zip(first, second):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            sizes.append(int((y[at] == x).sum()))
+        pairs = zip(first, second)
+        sizes = [_overlap(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in pairs]
         return pa.array(sizes, pa.int64())
 
     return count(a, b)
 
 
-def _cross_pairs(bands: int, rows: int, least: int):
-    """Pairs of one block group, of different components, that agree enough and meet here first."""
-
-    def pairs(group: list[tuple]) -> tuple[list[int], list[int]]:
-        band, i, j = group[0][1], group[0][2], group[0][3]
-        own = np.array([g[4] for g in group])
-        nodes, parts = np.array([g[5] for g in group]), np.array([g[6] for g in group])
-        sigs = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
-        first = np.flatnonzero(own == i)
-        second = np.flatnonzero(own == j)
-        a, b = [], []
-        for x in first.tolist():
-            others = second[second > x] if i == j else second
-            others = others[parts[others] != parts[x]]
-            if not len(others):
-                continue
-            same = sigs[others] == sigs[x]
-            others, same = (v[same.sum(1) >= least] for v in (others, same))
-            if band and len(others):  # an earlier shared band has seen the pair
-                met = same[:, : band * rows].reshape(len(others), band, rows).all(2).any(1)
-                others = others[~met]
-            a.extend([int(nodes[x])] * len(others))
-            b.extend(nodes[others].tolist())
-        return a, b
+BLOCK_KEY = ["bucket", "band", "i", "j"]
+MEMBER = "bucket long, band int, i int, j int, own int, node long, c long, sig binary"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first four values: one pair of blocks of a bucket each."""
+    group, key = [], None
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if row[:4] != key:
+                if group:
+                    yield key, group
+                group, key = [], row[:4]
+            group.append(row)
+    if group:
+        yield key, group
+
+
+def _agreeing(key: tuple, group: list[tuple], rows: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A member and those of another component that agree with it enough and meet it here first."""
+    _, band, i, j = key
+    own, parts = np.array([g[4] for g in group]), np.array([g[6] for g in group])
+    sigs = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
+    second = np.flatnonzero(own == j)
+    for x in np.flatnonzero(own == i).tolist():
+        others = second[second > x] if i == j else second
+        others = others[parts[others] != parts[x]]
+        same = sigs[others] == sigs[x]
+        enough = same.sum(1) >= least
+        others, same = others[enough], same[enough]
+        if band and len(others):  # an earlier shared band has seen the pair
+            others = others[~same[:, : band * rows].reshape(len(others), band, rows).all(2).any(1)]
+        if len(others):
+            yield x, others
+
+
+def _suspects(rows: int, least: int):
+    """Of each pair of blocks the members that agree with one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.binary())
+        names = [field.split()[0] for field in MEMBER.split(", ")]
+        for key, group in _groups(batches):
+            found: set[int] = set()
+            for x, others in _agreeing(key, group, rows, least):
+                found.add(x)
+                found.update(others.tolist())
+            if found:
+                columns = zip(*(group[k] for k in sorted(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return run
+
+
+def _joining(rows: int, least: int, percent: int):
+    """Of each pair of blocks, links that are enough to join what any of its links joins.
+
+    Rows carry the full set last. Once two components are joined here, their other pairs are
+    passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, key = [], None
-        for batch in batches:
-            a, b = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != key:
-                    if len(group) > 1:
-                        x, y = pairs(group)
-                        a += x
-                        b += y
-                    group, key = [], row[:4]
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if len(group) > 1:
-            a, b = pairs(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for key, group in _groups(batches):
+            sets = [np.frombuffer(g[8], np.uint64) for g in group]
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := joined.get(c, c)) != c:
+                    c = up
+                return c
+
+            links = []
+            for x, others in _agreeing(key, group, rows, least):
+                for y in others.tolist():
+                    a, b = root(group[x][6]), root(group[y][6])
+                    if a == b:
+                        continue
+                    common = _overlap(sets[x], sets[y])
+                    if common * 100 >= (len(sets[x]) + len(sets[y]) - common) * percent:
+                        joined[max(a, b)] = min(a, b)
+                        links.append((group[x][5], group[y][5]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["u", "v"])
 
     return run
 
@@ -267,9 +304,14 @@ def near_duplicates(
     dealt = dealt.select(
         "bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "sig"
     )
-    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "band", "i", "j", "node")
-    more = met.mapInArrow(_cross_pairs(bands, rows, least), "a long, b long").distinct()
-    parts = components(links.unionAll(confirmed(more)))
+
+    def blocks_of(frame: DataFrame) -> DataFrame:
+        return frame.repartition("bucket", "i", "j").sortWithinPartitions(*BLOCK_KEY, "node")
+
+    suspects = stored(blocks_of(dealt).mapInArrow(_suspects(rows, least), MEMBER), "suspects")
+    armed = blocks_of(suspects.join(sets, "node").select(*suspects.columns, "set"))
+    more = stored(armed.mapInArrow(_joining(rows, least, percent), "u long, v long"), "links")
+    parts = components(links.unionAll(more))
 
     grouped = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select("hi", "lo", F.coalesce("component", "rep").alias("root"))
@@ -281,3 +323,22 @@ def near_duplicates(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
     )
+
+
+CHECK_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS sh
+  FROM w),
+n AS (SELECT w.doc_id, count(s.sh) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * m >= 75 * (a.n + b.n - m)),
+d AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT d.v, r.c FROM r JOIN d ON d.u = r.doc_id),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id"""
