@@ -181,9 +181,14 @@ def learn(labelled: DataFrame, sample_rows: int = MODEL_ROWS, sample_chars: int
     hashed = useful.withColumn("h", F.xxhash64("text"))
     # Copies count once, so that a large group of copies is not all of the sample.
     distinct = hashed.select("lang", "h").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = distinct.withColumn("rank", rank).where(F.col("rank") <= sample_rows).drop("rank")
-    texts = hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    # Two levels, so that no task gets all rows of a language.
+    chosen = distinct.withColumn("part", F.pmod("h", F.lit(8)))
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= sample_rows).drop("rank")
+    chosen = chosen.drop("part")
+    # At most sample_rows keys of 16 bytes for each language; the texts stay where they are.
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
     samples: dict[str, list[str]] = {}
     for row in texts.orderBy("lang", "h").collect():
         samples.setdefault(row.lang, []).append(row.text)
