@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 from itertools import chain
 
 import ahocorasick
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from urlguard.llm.byte_level import byte_alphabet
 from urlguard.llm.common import SPACE, text_or_empty
-from urlguard.llm.spans import SPACED, Pieces
+from urlguard.llm.spans import LATIN, SPACED, Pieces
 
 NEVER = np.int64(1) << 40
 PIECES_HELD = 300_000
@@ -216,7 +217,7 @@ class Vocabulary:
         for k in failing:
             if len(raw[k]) > SIDE_BY_SIDE:
                 proposals[k] = self.merged(raw[k])
-        return [np.array(p, "<u4").tobytes() for p in proposals]
+        return [array("I", p).tobytes() for p in proposals]
 
 
 class Encoder:
@@ -232,7 +233,10 @@ class Encoder:
         self.encode = self.pieces.encode
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        split = [self.vocabulary.pattern.findall(p) for p in pieces]
+        find = self.vocabulary.pattern.findall
+        # Of a plain word the pattern makes the word and its full stop or comma.
+        plain = map(LATIN.fullmatch, pieces)
+        split = [(m[1], m[2]) if m and m[2] else (p,) if m else find(p) for p, m in zip(pieces, plain)]
         words = list(dict.fromkeys(chain.from_iterable(split)))
         known = dict(zip(words, self.vocabulary.encode_words(words)))
         return [b"".join(map(known.__getitem__, own)) for own in split]

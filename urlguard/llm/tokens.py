@@ -8,17 +8,14 @@ which the library cuts out first, are encoded whole.
 from __future__ import annotations
 
 import functools
-import re
 from array import array
 
 from tokenizers import Tokenizer
 
 from urlguard.llm.byte_level import byte_alphabet
-from urlguard.llm.spans import Pieces
+from urlguard.llm.spans import LATIN, Pieces
 
 PIECES_HELD = 400_000
-# Latin letters without the one whose lower case is two characters.
-LATIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
 
 
 class PieceEncoder:
