@@ -7,7 +7,7 @@
 5. best-fit packing seats the remaining documents' pieces in sequences.
 
 The first four return the columns of documents. Rows that repeat a doc_id count as one document in
-stage 4 and stay together.
+stage 4 and stay together; of near copies that all lack a doc_id one row stays.
 """
 
 from __future__ import annotations
@@ -42,9 +42,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    # A null doc_id that is linked to a named document is not that group's first.
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return minhash.without_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

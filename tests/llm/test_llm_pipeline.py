@@ -59,3 +59,19 @@ def test_each_stage_on_its_own_input(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_without_doc_id(spark):
+    """A linked null doc_id takes no other row along, and one of each nameless group stays."""
+    text, own = (" ".join(f"{mark}{k}" for k in range(40)) for mark in "wv")
+    rows = [
+        (None, text, "en", "a", 1), (5, text + " more", "en", "b", 2), (None, "alone here", "en", "c", 3),
+        (None, own, "en", "d", 4), (None, own, "en", "e", 5), (None, own + " more", "en", "f", 6), (6, "other words", "en", "g", 7),
+        (None, None, "en", "h", 8), (None, None, "en", "i", 9), (None, " ", "en", "j", 10), (6, "other words", "en", "k", 11),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    done = corpus_pipeline.near_copies(spark, docs, SMALL)
+    assert done.columns == docs.columns
+    kept = sorted(r.source for r in done.collect())
+    assert [s for s in kept if s not in "def"] == list("bcghijk")
+    assert sum(s in "def" for s in kept) == 1

@@ -17,8 +17,9 @@ With the default 51 bands of 5 rows, a pair at similarity 0.75 shares no bucket
 
 Null or blank text has an empty set and is linked with nothing. Rows that repeat a doc_id are one
 node and end in one component. Rows with a null doc_id are linked like others, but a component is
-named by its smallest non-null doc_id (null if it has none; those rows are all kept). An empty
-table stays empty.
+named by its smallest non-null doc_id. If it has none, its smallest node stands for it: rows of equal
+text, which share their node and ``kept``. ``without_copies`` leaves one row of those. An empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard.llm import spans
-from urlguard.llm.common import slices, stored, text_or_empty
+from urlguard.llm.common import private, slices, stored, text_or_empty
 from urlguard.llm.components import components
 from urlguard.operators.lookup import lookup
 
@@ -41,6 +42,7 @@ BANDS, ROWS, WORDS = 51, 5, 5
 BLOCK = 256  # members of a bucket compared at once
 CHUNK = 1 << 14  # shingles hashed at once
 NODES_SENT = 1_000_000  # node ids (8 bytes each) that may be broadcast
+WORD = r"[^\x20\x09-\x0D]"  # what a text with a word has
 NAMELESS = 1 << 62  # nodes from here on stand for rows without doc_id
 
 
@@ -246,16 +248,21 @@ def _joining(rows: int, least: int, percent: int):
     return run
 
 
-def near_duplicates(
+def node_of(doc_id: Column | str, text: Column | str) -> Column:
+    """Names a row: its doc_id, or the hash of its text if that is null."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(NAMELESS))
+
+
+def grouped(
     documents: DataFrame, percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text)."""
+    """doc_id, node, n_shingles, component_id and kept for each row of documents (doc_id, text)."""
     count = bands * rows
     # Five standard deviations below the threshold.
     least = int(count * percent / 100 - 5 * (count * percent / 100 * (1 - percent / 100)) ** 0.5)
-    nameless = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(NAMELESS)
-    node = F.coalesce(F.col("doc_id").cast("long"), nameless)
-    given = documents.select(F.col("doc_id").cast("long"), node.alias("node"), text_or_empty("text").alias("text"))
+    node = node_of("doc_id", "text").alias("node")
+    given = documents.select(F.col("doc_id").cast("long"), node, text_or_empty("text").alias("text"))
     marked = given.select("doc_id", "node", features("text", words, count).alias("f"))
     held = stored(marked.select("doc_id", "node", "f.*"), "signatures")
 
@@ -313,18 +320,39 @@ def near_duplicates(
     more = stored(armed.mapInArrow(_joining(rows, least, percent), "u long, v long"), "links")
     parts = components(links.unionAll(more))
 
-    grouped = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    grouped = grouped.select("hi", "lo", F.coalesce("component", "rep").alias("root"))
-    rooted = held.where("n > 0").join(stored(grouped, "roots"), ["hi", "lo"])
+    roots = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    roots = roots.select("hi", "lo", F.coalesce("component", "rep").alias("root"))
+    rooted = held.where("n > 0").join(stored(roots, "roots"), ["hi", "lo"])
     empty = held.where("n = 0").withColumn("root", F.col("node"))
-    every = rooted.select("doc_id", "n", "root").unionAll(empty.select("doc_id", "n", "root"))
-    component = F.when(F.col("root") < NAMELESS, F.col("root"))
+    every = rooted.select("doc_id", "node", "n", "root").unionAll(empty.select("doc_id", "node", "n", "root"))
     return every.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        "doc_id", "node", F.col("n").alias("n_shingles"),
+        F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id"), (F.col("node") == F.col("root")).alias("kept"),
     )
 
 
+def near_duplicates(documents: DataFrame, *args, **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text)."""
+    return grouped(documents, *args, **settings).drop("node")
+
+
+def without_copies(documents: DataFrame, *args, **settings) -> DataFrame:
+    """The documents that are kept, with all their columns; of nameless rows of equal text one.
+
+    Rows that repeat a doc_id stay or go together. Rows without a word are copies of nothing.
+    """
+    node, mark = private("node", "mark")
+    columns = documents.columns
+    gone = grouped(documents.select("doc_id", "text"), *args, **settings).where("not kept")
+    gone = stored(gone.select(F.col("node").alias(node)).distinct(), "gone")
+    left = documents.withColumn(node, node_of("doc_id", "text")).join(gone, node, "left_anti")
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    alone = left.where(F.col("doc_id").isNotNull() | ~has_words).select(*columns)
+    equal = left.where(F.col("doc_id").isNull() & has_words).groupBy(node)
+    first = equal.agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(mark))
+    return alone.unionAll(first.select(f"{mark}.*"))
+
+
 CHECK_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
