@@ -66,3 +66,24 @@ def test_empty_table_and_no_python(spark):
     assert frame_.count() == 0
     plan = frame_._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_crowded_turns_are_cut(spark):
+    """A third of all rows under a null conv_id and turns 0..7: no row holds more than a segment's turns."""
+    crowd = [(None, k % 8, ("user", "assistant")[k % 2], f"text {k}") for k in range(3000)]
+    crowd += [(None, 3, "user", "again")] * 500 + [(7000, None, "user", f"{k:04}") for k in range(600)]
+    rows = crowd + [t for k in range(1000) for t in conversation(k, [f"a{k}", "b", f"c{k % 5}", "d", "e", "f"])]
+    found = chat.render(frame(spark, rows)).collect()
+    assert max(r.n_turns for r in found) <= chat.SEGMENT
+    shown_turns = {}
+    for r in sorted(found, key=lambda r: (r.segment is not None, r.segment or 0, r.part)):
+        assert r.rendered.count("<|im_start|>") == r.n_turns
+        shown_turns.setdefault(r.conv_id, []).extend(r.rendered.split("<|im_end|>\n")[:-1])
+    expected = brute(rows)
+    assert shown_turns.keys() == expected.keys()
+    for k, (n, copies, text) in expected.items():
+        assert len(shown_turns[k]) == n and sorted(shown_turns[k]) == sorted(text.split("<|im_end|>\n")[:-1])
+    assert {(r.conv_turns, r.n_copies) for r in found if r.conv_id is None} == {(3001, 1)}
+    turn_of = {text: turn for conv_id, turn, _, text in crowd if conv_id is None}
+    order = [turn_of[s.split("\n", 1)[1]] for s in shown_turns[None]]
+    assert order == sorted(order)

@@ -7,9 +7,11 @@ another's; of equal ones the smallest conv_id stays. Only hashes are shuffled un
 
 Turns are in order of turn (null first), role, and a hash of the text; rows that repeat a turn
 wholly count once. A null role is ``unknown``, a null text empty; turns with a null conv_id form
-one conversation. A conversation is handled in segments of SEGMENT turn numbers, so that a very long
-one is never in one task or one string: its rendering is that of its segments (by number, null
-first) one after the other. Extra columns are ignored; an empty table gives no rows.
+one conversation. A conversation is handled in segments of SEGMENT turn numbers, and a segment in
+parts of at most SEGMENT distinct turns by their rank in it (a turn number can repeat, or be null):
+neither a long conversation nor a crowded turn number is ever in one task or one string. Its rendering
+is that of its segments (by number, null first) and their parts one after the other. Extra columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,55 +43,64 @@ def turns(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64(F.lit(1), "text", "role"))
 
 
+TURN = ["turn", "role", "h1", "h2"]
+
+
 def _place() -> Column:
     """Names a segment of a conversation."""
     return F.concat_ws("/", "conv", F.coalesce(F.col("segment").cast("string"), F.lit("-")))
 
 
-def _hashes(seed: int) -> Column:
-    """Each turn's hash with its place in the conversation."""
-    return F.transform("turns", lambda t, i: F.xxhash64(F.lit(seed), F.col("before") + i, t["h1"], t["h2"]))
-
-
-def _running(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """(place, ...) with aggregates over a conversation's earlier segments; 0 for the first."""
-    earlier = Window.partitionBy("conv").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    return rows.select("place", *[F.coalesce(s.over(earlier), zero).alias(name) for name, s in sums.items()])
-
-
-def prefixes(rows: DataFrame) -> DataFrame:
-    """(conv, conv_id, n, p1, p2, is_whole): each prefix's length and hash."""
-    kept = F.array_sort(F.collect_set(F.struct("turn", "role", "h1", "h2"))).alias("turns")
-    grouped = rows.groupBy("conv", "conv_id", "segment").agg(kept).withColumn("place", _place())
-    held = stored(grouped.withColumn("n", F.size("turns").cast("long")), "segments")
-    based = lookup(held, _running(held, {"before": F.sum("n")}), "place")
-    hashed = based.select(
-        "conv", "conv_id", "segment", "place", "before",
-        _hashes(1).alias("g1"), _hashes(2).alias("g2"),
-    )
-    hashed = stored(hashed, "turn-hashes")
+def _running(rows: DataFrame, key: str, sums: dict[str, Column]) -> list[Column]:
+    """Aggregates over the earlier slices of a key; 0 for the first."""
+    earlier = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    totals = hashed.select(
-        "conv", "segment", "place", *[F.aggregate(f"g{s}", zero, lambda a, x: a.bitwiseXOR(x)).alias(f"x{s}") for s in (1, 2)]
+    return [F.coalesce(s.over(earlier), zero).alias(name) for name, s in sums.items()]
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Each distinct turn with its ``rank`` in the conversation and the ``part`` of its segment.
+
+    The turns are sorted over all partitions. A slice is what one partition holds of a segment; slices
+    are counted, and their counts added up give ranks, so no task gathers a segment.
+    """
+    distinct = stored(rows.select("conv", "conv_id", "segment", *TURN).distinct(), "distinct-turns")
+    ordered = distinct.repartitionByRange("conv", *TURN).sortWithinPartitions("conv", *TURN)
+    held = stored(ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("place", _place()), "ordered-turns")
+    held = held.withColumn("slice", F.concat_ws("/", "place", F.shiftright("at", 33)))
+    slices = held.groupBy("conv", "place", "slice").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    slices = slices.select("*", *_running(slices, "conv", {"before": F.sum("n")}))
+    slices = slices.select("slice", "start", "before", *_running(slices, "place", {"within": F.sum("n")}))
+    based = lookup(held, stored(slices, "slices"), "slice").withColumn("step", F.col("at") - F.col("start"))
+    part = F.floor((F.col("within") + F.col("step")) / SEGMENT).cast("long")
+    return based.withColumns({"rank": F.col("before") + F.col("step"), "part": part}).drop("before", "within", "step")
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """(conv, conv_id, n, p1, p2, is_whole): each prefix's length and hash, of ranked turns."""
+    hashed = turns.select(
+        "conv", "conv_id", "slice", "start", "rank",
+        *[F.xxhash64(F.lit(s), F.col("rank"), "h1", "h2").alias(f"g{s}") for s in (1, 2)],
     )
-    carried = lookup(hashed, _running(totals, {"c1": F.bit_xor("x1"), "c2": F.bit_xor("x2")}), "place")
-    each = carried.select(
-        "conv", "conv_id", "place", "before", "c1", "c2", F.posexplode(F.arrays_zip("g1", "g2")).alias("i", "g")
+    totals = hashed.groupBy("conv", "slice", "start").agg(
+        F.count("*").alias("n"), *[F.bit_xor(f"g{s}").alias(f"x{s}") for s in (1, 2)]
     )
-    upto = Window.partitionBy("place").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    lengths = held.groupBy("conv").agg(F.sum("n").alias("whole"))
-    found = each.select(
-        "conv", "conv_id", (F.col("before") + F.col("i") + 1).alias("n"),
-        *[F.col(f"c{s}").bitwiseXOR(F.bit_xor(f"g.g{s}").over(upto)).alias(f"p{s}") for s in (1, 2)],
+    totals = stored(totals, "slice-hashes")
+    carries = totals.select("slice", *_running(totals, "conv", {"c1": F.bit_xor("x1"), "c2": F.bit_xor("x2")}))
+    carried = lookup(hashed, carries, "slice")
+    upto = Window.partitionBy("slice").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = totals.groupBy("conv").agg(F.sum("n").alias("whole"))
+    found = carried.select(
+        "conv", "conv_id", (F.col("rank") + 1).alias("n"),
+        *[F.col(f"c{s}").bitwiseXOR(F.bit_xor(f"g{s}").over(upto)).alias(f"p{s}") for s in (1, 2)],
     )
     return lookup(found, lengths, "conv").withColumn("is_whole", F.col("n") == F.col("whole")).drop("whole")
 
 
-def maximal(rows: DataFrame) -> DataFrame:
-    """(conv, conv_turns, n_copies) of the conversations that stay."""
+def maximal(turns: DataFrame) -> DataFrame:
+    """(conv, conv_turns, n_copies) of the conversations that stay, of ranked turns."""
     names = ["n", "p1", "p2"]
-    found = stored(prefixes(rows), "prefixes")
+    found = stored(prefixes(turns), "prefixes")
     smallest = F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "conv"))["conv"]
     wholes = found.where("is_whole").groupBy(*names).agg(smallest.alias("conv"), F.count("*").alias("n_copies"))
     parts = found.where("not is_whole").select(*names).distinct()
@@ -97,11 +108,16 @@ def maximal(rows: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """(conv_id, segment, conv_turns, n_copies, n_turns, rendered) of the maximal conversations."""
+    """(conv_id, segment, part, conv_turns, n_copies, n_turns, rendered) of the maximal conversations."""
     rows = turns(conversations)
-    chosen = lookup(rows, stored(maximal(rows), "maximal"), "conv", "inner")
-    order = F.struct("turn", "role", "h1", "h2", "text")
-    grouped = chosen.groupBy("conv_id", "segment", "conv_turns", "n_copies")
+    places = stored(ranked(rows), "ranked-turns")
+    chosen = lookup(rows, stored(maximal(places), "maximal"), "conv", "inner")
+    # Most segments have one part; only turns of further parts are looked up.
+    name = F.concat_ws("/", "conv", F.hex(F.xxhash64("turn", "role", "h1")), F.hex(F.xxhash64(F.lit(1), "turn", "role", "h2")))
+    later = stored(places.where("part > 0").select(name.alias("name"), "part"), "later-parts")
+    chosen = lookup(chosen.withColumn("name", name), later, "name").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    order = F.struct(*TURN, "text")
+    grouped = chosen.groupBy("conv_id", "segment", "part", "conv_turns", "n_copies")
     grouped = grouped.agg(F.array_sort(F.collect_set(order)).alias("turns"))
     shown = F.transform(
         "turns",
@@ -111,7 +127,7 @@ def render(conversations: DataFrame) -> DataFrame:
         ),
     )
     return grouped.select(
-        "conv_id", "segment", "conv_turns", "n_copies", F.size("turns").cast("long").alias("n_turns"),
+        "conv_id", "segment", "part", "conv_turns", "n_copies", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(shown, "").alias("rendered"),
     )
 
