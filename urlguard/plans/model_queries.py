@@ -197,7 +197,7 @@ R.add(
 )
 R.add(
     "x06_stream_budget",
-    lambda i: jobs.append_table(jobs.stream_budget(i.streaming("events")["events"], "user_id", 2), "x06"),
+    lambda i: jobs.append_table(jobs.stream_budget(i.streaming("events")["events"], "user_id"), "x06"),
 )
 
 

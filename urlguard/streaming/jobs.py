@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+import pickle
+from collections.abc import Callable, Iterator
+from tempfile import SpooledTemporaryFile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +28,52 @@ def stream_scan(urls: DataFrame, tables: Tables, as_of: str) -> DataFrame:
     return scan(urls, tables, as_of)
 
 
+RUN = 1 << 20  # rows sorted at once
+READ = 1 << 10  # rows of a run read at once
+SPOOL = 8 << 20  # bytes kept in memory before a file is used
+
+
+def in_order(parts: Iterator[np.ndarray], run: int = RUN, read: int = READ) -> Iterator[np.ndarray]:
+    """Rows of two integers in order, in chunks, however many there are.
+
+    Runs of bounded size are sorted and put into a temporary file, then merged.
+    """
+    held, n, runs, end = [], 0, [], 0
+
+    def taken() -> np.ndarray:
+        rows = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+    with SpooledTemporaryFile(SPOOL) as spool:
+        for part in parts:
+            for start in range(0, len(part), run):
+                held.append(part[start : start + run])
+                n += len(held[-1])
+                if n >= run:
+                    runs.append((end, n))
+                    end += spool.write(np.ascontiguousarray(taken()).tobytes())
+                    held, n = [], 0
+        if not runs:
+            yield taken()
+            return
+
+        def rows_of(start: int, count: int) -> Iterator[tuple[int, int]]:
+            for at in range(0, count, read):
+                spool.seek(start + at * 16)
+                block = np.frombuffer(spool.read(min(read, count - at) * 16), np.int64).reshape(-1, 2)
+                yield from map(tuple, block.tolist())
+
+        last = map(tuple, taken().tolist())
+        merged, chunk = heapq.merge(last, *(rows_of(*r) for r in runs)), []
+        for row in merged:
+            chunk.append(row)
+            if len(chunk) == read:
+                yield np.array(chunk, np.int64)
+                chunk = []
+        if chunk:
+            yield np.array(chunk, np.int64)
+
+
 DEDUP_STATE = T.StructType([T.StructField("last", T.LongType())])
 
 
@@ -32,6 +82,45 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def dedup_step(columns: list[str], width: int, **sizes):
+    """Of one key's rows those that are kept. Rows wait in a spool; in memory are a chunk and what is kept."""
+
+    def step(group: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        with SpooledTemporaryFile(SPOOL) as spool:
+
+            def instants() -> Iterator[np.ndarray]:
+                n = 0
+                for rows in batches:
+                    pickle.dump(rows[columns], spool, pickle.HIGHEST_PROTOCOL)
+                    yield np.column_stack([rows["_at"].to_numpy(np.int64), np.arange(n, n + len(rows))])
+                    n += len(rows)
+
+            kept = []
+            for chunk in in_order(instants(), **sizes):
+                at = chunk[:, 0]
+                position = 0 if last is None else int(at.searchsorted(last + width))
+                while position < len(at):
+                    kept.append(int(chunk[position, 1]))
+                    last = int(at[position])
+                    position = int(at.searchsorted(last + width))
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs()) + 1)
+            end, chosen, n = spool.tell(), np.sort(np.array(kept, np.int64)), 0
+            spool.seek(0)
+            while spool.tell() < end:
+                rows = pickle.load(spool)
+                first, after = chosen.searchsorted([n, n + len(rows)])
+                if first < after:
+                    yield rows.iloc[chosen[first:after] - n]
+                n += len(rows)
+
+    return step
+
+
 def stream_dedup(scans: DataFrame, ts: str = "ts", ttl: int = 3600) -> DataFrame:
     """Drops a repeat of a scan key within ``ttl`` seconds of the scan that was kept.
 
@@ -54,24 +143,8 @@ def stream_dedup(scans: DataFrame, ts: str = "ts", ttl: int = 3600) -> DataFrame
     )
     width = ttl * 1_000_000
 
-    def step(group: tuple, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("_at", kind="stable")
-        kept, last = [], state.get[0] if state.exists else None
-        at = rows["_at"].to_numpy()
-        position = 0 if last is None else int(at.searchsorted(last + width))
-        while position < len(at):
-            kept.append(position)
-            last = int(at[position])
-            position = int(at.searchsorted(last + width))
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows.iloc[kept][columns]
-
     kept_rows = keyed.groupBy("scan_key").applyInPandasWithState(
-        step, passing.schema, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        dedup_step(columns, width), passing.schema, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return kept_rows.unionByName(passing)
 
@@ -157,30 +230,37 @@ def spend(at: int, used: int, start: int | None, frozen: bool, limit: int):
     return used + 1, start, False, "granted"
 
 
-def stream_budget(events: DataFrame, key: str, limit: int = fv.OVERRIDES_PER_HOUR) -> DataFrame:
-    """Outcome of every override event: granted, exhausted (freezes) or frozen.
-
-    The order of events decides, so one key is one state. Only key, id and instant go to
-    Python; a micro-batch (bounded by the source's trigger limit) is sorted per key.
-    """
+def budget_step(limit: int, **sizes):
+    """One key's events against its budget, chunk by chunk."""
 
     def step(group: tuple, batches, state: GroupState):
         used, start, frozen = state.get if state.exists else (0, None, False)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        out = []
-        for event_id, at in zip(rows["event_id"], rows["at"]):
-            used, start, frozen, outcome = spend(int(at), used, start, frozen, limit)
-            out.append((group[0], int(event_id), int(at), used, outcome))
+        pairs = (np.column_stack([b["at"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64)]) for b in batches)
+        for chunk in in_order(pairs, **sizes):
+            for first in range(0, len(chunk), READ):
+                out = []
+                for at, event_id in chunk[first : first + READ].tolist():
+                    used, start, frozen, outcome = spend(at, used, start, frozen, limit)
+                    out.append((group[0], event_id, at, used, outcome))
+                yield pd.DataFrame(out, columns=BUDGET_OUTPUT.fieldNames())
         state.update((used, start, frozen))
-        yield pd.DataFrame(out, columns=BUDGET_OUTPUT.fieldNames())
 
+    return step
+
+
+def stream_budget(events: DataFrame, key: str, limit: int = fv.OVERRIDES_PER_HOUR) -> DataFrame:
+    """Outcome of every override event: granted, exhausted (freezes) or frozen.
+
+    The order of events decides, so one key is one state. Only key, id and instant go to
+    Python, where a key's events of a micro-batch are sorted and spent in chunks.
+    """
     slim = events.select(
         F.col(key).cast("string").alias("key"),
         F.col("event_id").cast("bigint").alias("event_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
     )
     return slim.groupBy("key").applyInPandasWithState(
-        step, BUDGET_OUTPUT, BUDGET_STATE, "append", GroupStateTimeout.NoTimeout
+        budget_step(limit), BUDGET_OUTPUT, BUDGET_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
