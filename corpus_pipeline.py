@@ -36,8 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup(docs)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    cut, out = line_dedup.cuts(docs)
+    new = {"text": F.col(f"{out}.kept"), "n_chars": F.length(f"{out}.kept").cast("long")}
     return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

@@ -75,3 +75,13 @@ def test_near_copies_without_doc_id(spark):
     kept = sorted(r.source for r in done.collect())
     assert [s for s in kept if s not in "def"] == list("bcghijk")
     assert sum(s in "def" for s in kept) == 1
+
+
+def test_shared_lines_leave_other_columns(spark):
+    rows = [(k, f"shared\nown {k}", "en", "s", 9, f"mine {k}", k, -k) for k in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines long, n_dropped long"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    done = corpus_pipeline.shared_lines(spark, docs, SMALL)
+    assert done.columns == docs.columns
+    want = [(k, f"own {k}", "en", "s", len(f"own {k}"), f"mine {k}", k, -k) for k in range(12)]
+    assert sorted(map(tuple, done.collect())) == want

@@ -126,10 +126,10 @@ class LineRuns:
             level += 1
 
 
-def dedup(
+def cuts(
     documents: DataFrame, threshold: int = 10, least_chars: int = 1, batches: int = 4, text: str = "text"
-) -> DataFrame:
-    """Adds ``n_lines``, ``n_dropped`` and ``kept`` to documents with a text column.
+) -> tuple[DataFrame, str]:
+    """Documents with a struct of ``n_lines``, ``n_dropped`` and ``kept``, and its name.
 
     Rows are dealt to ``batches`` by a hash of their content; the batches are added in turn.
     """
@@ -146,7 +146,13 @@ def dedup(
     settled = stored(runs.settled(), "settled-lines")
     lost = held.join(settled, KEY).groupBy(first, second).agg(F.collect_set(F.struct(*KEY)).alias(drops))
     joined = named.join(lost, [first, second], "left")
-    return joined.withColumn(out, without_lines(text, drops)).select(*others(documents, "n_lines", "n_dropped", "kept"), f"{out}.*")
+    return joined.withColumn(out, without_lines(text, drops)).select(*documents.columns, out), out
+
+
+def dedup(documents: DataFrame, *args, **settings) -> DataFrame:
+    """Adds ``n_lines``, ``n_dropped`` and ``kept`` to documents with a text column, see cuts."""
+    frame, out = cuts(documents, *args, **settings)
+    return frame.select(*others(documents, "n_lines", "n_dropped", "kept"), f"{out}.*")
 
 
 CHECK_SQL = """
