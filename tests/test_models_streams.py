@@ -249,3 +249,17 @@ def test_registered_budget_has_the_rule_of_the_library(spark):
 
     rows = entry.queries()["x06_stream_budget"](spark, FOLDER).collect()
     assert rows and max(r.used for r in rows) > 2
+
+
+def test_registered_training_has_the_full_settings(spark):
+    import __spark_entry__ as entry
+    from urlguard.plans import model_queries as mq
+
+    assert (mq.TREES, mq.SCALE, mq.FOLDS) == (tr.reference_gbt().getMaxIter(), 1.0, tr.FOLDS)
+    values = {name: (parameter, v) for name, _, parameter, v in mq.SWEEPS}
+    assert values == {
+        "m06_depth_sweep": ("maxDepth", list(range(1, 30))), "m06_trees_sweep": ("numTrees", list(range(1, 20))),
+        "m06_rate_sweep": ("stepSize", pytest.approx([k / 10 for k in range(1, 10)])),
+        "m06_boosted_depth_sweep": ("maxDepth", list(range(1, 10))),
+    }
+    assert {*values, "m06_svm_grid"} <= set(entry.queries())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,11 +143,13 @@ class CalibratedModel:
 def calibrate(df: DataFrame, estimators: list, key: str, folds: int = FOLDS) -> CalibratedModel:
     """Fits on all folds but one, calibrates on the one left out, for every fold."""
     rows = df.withColumn("_fold", fold_of(key, folds)).cache()
-    pairs = []
-    for k in range(folds):
+
+    def fitted(k: int) -> tuple[VoteModel, IsotonicRegressionModel]:
         model = fit_vote(rows.filter(F.col("_fold") != k), estimators)
-        held_out = model.transform(rows.filter(F.col("_fold") == k))
-        pairs.append((model, fit_isotonic(held_out)))
+        return model, fit_isotonic(model.transform(rows.filter(F.col("_fold") == k)))
+
+    with ThreadPoolExecutor(folds) as pool:  # a tree's jobs are small: folds wait for the driver, not for cores
+        pairs = list(pool.map(fitted, range(folds)))
     rows.unpersist()
     return CalibratedModel(pairs, {"is_calibrated": True, "method": "isotonic", "folds": folds})
 
@@ -218,21 +221,23 @@ def train_zoo(train: DataFrame, test: DataFrame, estimators: dict) -> DataFrame:
     return result
 
 
-def sweep(df: DataFrame, estimator, grid: dict, parallelism: int = 4) -> DataFrame:
-    """Accuracy on a held-out fifth for every combination of parameter values."""
+def sweep(df: DataFrame, estimator, grid: dict, parallelism: int = 4, folds: int = 0) -> DataFrame:
+    """Accuracy of every combination of parameter values, on a held-out fifth or over folds."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), values)
     maps = builder.build()
-    search = TrainValidationSplit(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        trainRatio=0.8,
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    metrics = search.fit(df).validationMetrics
+    settings = {
+        "estimator": estimator,
+        "estimatorParamMaps": maps,
+        "evaluator": MulticlassClassificationEvaluator(metricName="accuracy"),
+        "parallelism": parallelism,
+        "seed": SEED,
+    }
+    if folds:
+        metrics = CrossValidator(numFolds=folds, **settings).fit(df).avgMetrics
+    else:
+        metrics = TrainValidationSplit(trainRatio=0.8, **settings).fit(df).validationMetrics
     rows = [
         (json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(a))
         for m, a in zip(maps, metrics)
@@ -274,8 +279,8 @@ def knn_vote(
     names, most = list(names), max(ks)
     vector = F.array(*[F.col(c).cast("int") for c in names])
     spark = train.sparkSession
-    points = _written(spark, collapse_vectors(train, names).select(vector.alias("v"), "n", "phishing"))
-    asked = _written(spark, test.select(vector.alias("v")).distinct())
+    points = written(spark, collapse_vectors(train, names).select(vector.alias("v"), "n", "phishing"))
+    asked = written(spark, test.select(vector.alias("v")).distinct())
     n_points = max(1, math.ceil(points.count() / block_rows))
     n_asked = max(1, math.ceil(asked.count() / ASKED_ROWS))
 
@@ -305,7 +310,8 @@ def knn_vote(
     )
 
 
-def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Writes rows to the work folder and reads them back."""
     path = new_folder(spark, "vectors")
     df.write.parquet(path)
     return spark.read.parquet(path)
