@@ -12,6 +12,8 @@ from urlguard.session import configure, new_folder
 # White space as Unicode's White_Space property has it, for Python patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A whole given table."""
@@ -20,10 +22,19 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared work folder and reads it back, which cuts its lineage."""
-    path = new_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Writes a frame to the shared work folder and reads it back, which cuts its lineage.
+
+    The shuffle files of the write go with it, so a job's disk is that of its largest step.
+    """
+    spark = frame.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def private(*names: str) -> list[str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, chat, language, line_dedup, minhash, packing, quality, shards, vector_search, warc
+from urlguard.llm import bpe, chat, language, line_dedup, minhash, packing, quality, shards, suffix_dedup, vector_search, warc
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -80,10 +80,17 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(documents).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op8_chat_formatting, op9_line_dedup, op10_minhash_near_dedup,
+        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op8_chat_formatting, op9_line_dedup, op10_minhash_near_dedup, op13_suffix_dedup,
     )
 }
 SQL: dict[str, str] = {
@@ -93,4 +100,5 @@ SQL: dict[str, str] = {
     "op8_chat_formatting": chat.CHECK_SQL,
     "op9_line_dedup": line_dedup.CHECK_SQL,
     "op10_minhash_near_dedup": minhash.CHECK_SQL,
+    "op13_suffix_dedup": suffix_dedup.CHECK_SQL,
 }
