@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm import bpe, chat, language, line_dedup, minhash, packing, quality, shards, suffix_dedup, vector_search, warc
+from urlguard.llm import bpe, chat, hard_negatives, language, line_dedup, minhash, packing, quality, shards, suffix_dedup, vector_search, warc, whitening
 from urlguard.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -80,6 +80,16 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(documents).select(
@@ -90,7 +100,7 @@ def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op8_chat_formatting, op9_line_dedup, op10_minhash_near_dedup, op13_suffix_dedup,
+        op1_bpe_round_trip, op2_quality_rules, op3_id_shards, op4_warc_normaliser, op5_va_file_search, op6_best_fit_packing, op7_language_id, op8_chat_formatting, op9_line_dedup, op10_minhash_near_dedup, op11_hard_negatives, op12_whitening, op13_suffix_dedup,
     )
 }
 SQL: dict[str, str] = {
@@ -100,5 +110,6 @@ SQL: dict[str, str] = {
     "op8_chat_formatting": chat.CHECK_SQL,
     "op9_line_dedup": line_dedup.CHECK_SQL,
     "op10_minhash_near_dedup": minhash.CHECK_SQL,
+    "op11_hard_negatives": hard_negatives.CHECK_SQL,
     "op13_suffix_dedup": suffix_dedup.CHECK_SQL,
 }
