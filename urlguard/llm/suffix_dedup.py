@@ -43,14 +43,16 @@ from urlguard.operators.lookup import lookup
 
 LENGTH = 50  # bytes of the strings compared
 TOKEN = 8
+SIGN = np.uint64(1 << 63)  # with it, signed numbers sort as unsigned ones
 LEAD = 3 * TOKEN  # bytes of a suffix that are compared as they are
 PIECE = 1 << 20  # bytes of text handled at once
-HELD = 1 << 21  # suffixes a task holds before it deals them out
-PER_BUCKET = 1 << 26  # bytes of text for a bucket at most
+HELD = 1 << 19  # suffixes a task holds before it deals them out
+PER_BUCKET = 1 << 24  # bytes of text for a bucket at most
 SAMPLE = 64  # sampled suffixes for each bucket
 SAMPLED_BYTES = 1 << 19  # bytes of text sampled for each bucket
 KEY = ["w0", "w1", "w2", "print"]  # the four sort tokens, before the document
-SUFFIX = np.dtype([(name, "<u8") for name in KEY] + [("doc", "<i8")])
+NAMES = [*KEY, "doc"]
+FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
 MARK, SUSPECT, EDGE = 0, 1, 2
 VERDICT = "kind byte, w0 long, w1 long, w2 long, print long, doc long"
 
@@ -114,9 +116,9 @@ class Piece:
         if self.size < self.length:
             return (np.zeros(0, np.int64),) * 3
         count = self.size - LEAD + 1
-        mixed = self.words[:count]
-        for k in range(TOKEN, LEAD, TOKEN):
-            mixed = scramble(mixed) * np.uint64(0x9E3779B97F4A7C15) + self.words[k : k + count]
+        mixed = np.zeros(count, np.uint64)
+        for k, factor in zip(range(0, LEAD, TOKEN), FACTORS):
+            mixed += self.words[k : k + count] * factor
         # The low bits tell the place, counted from the start of the text, so ties do not depend on neighbours.
         place = np.arange(self.size) - np.repeat(self.starts, self.ends - self.starts)
         least = _slid((scramble(mixed) & ~np.uint64(63)) | (place[:count] & 63).astype(np.uint64), self.length - LEAD + 1)
@@ -152,19 +154,18 @@ def pieces(column: pa.Array, length: int = LENGTH) -> Iterator[tuple[Piece, np.n
         row = end
 
 
-def _suffixes(docs: pa.Array, texts: pa.Array, length: int, every: bool) -> Iterator[np.ndarray]:
+Suffixes = list[np.ndarray]  # a column for each of NAMES, as unsigned numbers
+
+
+def _suffixes(docs: pa.Array, texts: pa.Array, length: int, every: bool) -> Iterator[Suffixes]:
     """Suffixes of a batch: one for each run, or for ``every`` string."""
-    ids = docs.to_numpy(zero_copy_only=False)
+    ids = docs.to_numpy(zero_copy_only=False).view(np.uint64)
     for piece, rows, _ in pieces(texts, length):
         if every:
             first = last = at = piece.strings()
         else:
             at, first, last = piece.runs()
-        found = np.empty(len(at), SUFFIX)
-        for name, values in zip(KEY, [*piece.tokens(at), piece.prints(first, last)]):
-            found[name] = values
-        found["doc"] = ids[rows[piece.text_of(first)]]
-        yield found
+        yield [*piece.tokens(at), piece.prints(first, last), ids[rows[piece.text_of(first)]] ^ SIGN]
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -192,41 +193,47 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def in_order(found: np.ndarray) -> np.ndarray:
-    return found[multikey_order([found[name] for name in SUFFIX.names])]
+def in_order(found: Suffixes) -> Suffixes:
+    order = multikey_order(found)
+    return [column[order] for column in found]
 
 
-def _distinct(ordered: np.ndarray) -> np.ndarray:
-    """One of equal rows: runs of a document that are alike share their fate."""
-    return ordered[np.append(True, _changes(ordered, SUFFIX.names))] if len(ordered) else ordered
+def together(parts: list[Suffixes]) -> Suffixes:
+    return [np.concatenate(columns) for columns in zip(*parts)]
 
 
-def _changes(ordered: np.ndarray, names) -> np.ndarray:
-    return functools.reduce(np.logical_or, (ordered[name][1:] != ordered[name][:-1] for name in names))
+def _changes(ordered: Suffixes, columns: int) -> np.ndarray:
+    """Which rows differ from the one before in the first ``columns``; the first row does."""
+    return np.append(True, functools.reduce(np.logical_or, (c[1:] != c[:-1] for c in ordered[:columns])))
+
+
+def _distinct(ordered: Suffixes) -> Suffixes:
+    """One of equal rows: runs of a document that are alike share their fate."""
+    new = _changes(ordered, len(NAMES))
+    return ordered if new.all() or not len(ordered[0]) else [column[new] for column in ordered]
 
 
-def packed(found: np.ndarray) -> bytes:
+def packed(found: Suffixes) -> bytes:
     """Rows as compressed planes of bytes: sorted tokens differ little."""
-    planes = [np.ascontiguousarray(found[name]).view(np.uint8).reshape(-1, 8).T for name in SUFFIX.names]
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(np.concatenate(planes)).tobytes())
+    planes = np.empty((len(NAMES), 8, len(found[0])), np.uint8)
+    for plane, column in zip(planes, found):
+        plane[:] = np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(1).compress(planes)
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(len(SUFFIX.names), 8, -1)
-    found = np.empty(planes.shape[2], SUFFIX)
-    for name, plane in zip(SUFFIX.names, planes):
-        found[name] = np.ascontiguousarray(plane.T).view(SUFFIX[name])[:, 0]
-    return found
+def unpacked(blob: bytes) -> Suffixes:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(len(NAMES), 8, -1)
+    return [np.ascontiguousarray(plane.T).view(np.uint64)[:, 0] for plane in planes]
 
 
-def _buckets_of(found: np.ndarray, splitters: np.ndarray) -> list[int]:
+def _buckets_of(found: Suffixes, splitters: Suffixes) -> list[int]:
     """Where the buckets after the first begin among rows in order."""
     places = []
-    for splitter in splitters:
-        low, high = 0, len(found)
-        for name in SUFFIX.names:
-            own = found[name][low:high]
-            low, high = low + int(np.searchsorted(own, splitter[name], "left")), low + int(np.searchsorted(own, splitter[name], "right"))
+    for splitter in zip(*splitters):
+        low, high = 0, len(found[0])
+        for column, token in zip(found, splitter):
+            own = column[low:high]
+            low, high = low + int(np.searchsorted(own, token, "left")), low + int(np.searchsorted(own, token, "right"))
             if low == high:
                 break
         places.append(low)
@@ -240,20 +247,20 @@ def _sampled(length: int, every: bool, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in _suffixes(*batch.columns, length, every):
-                take = scramble(found["print"] + scramble(found["doc"].view(np.uint64))) <= limit
-                yield pa.RecordBatch.from_arrays([pa.array([found[take].tobytes()], pa.binary())], ["rows"])
+                take = scramble(found[3] + scramble(found[4])) <= limit
+                yield pa.RecordBatch.from_arrays([pa.array([packed([column[take] for column in found])], pa.binary())], ["rows"])
 
     return run
 
 
-def _dealt(length: int, every: bool, splitters: np.ndarray):
+def _dealt(length: int, every: bool, splitters: Suffixes):
     """Rows (bucket, suffixes in order), a task's suffixes dealt out by the splitters."""
 
-    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
-        found = _distinct(in_order(np.concatenate(held)))
-        edges = [0, *_buckets_of(found, splitters), len(found)]
+    def deal(held: list[Suffixes]) -> pa.RecordBatch:
+        found = _distinct(in_order(together(held)))
+        edges = [0, *_buckets_of(found, splitters), len(found[0])]
         full = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        blobs = pa.array([packed(found[a:b]) for _, a, b in full], pa.binary())
+        blobs = pa.array([packed([column[a:b] for column in found]) for _, a, b in full], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in full], pa.int32()), blobs], ["bucket", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +268,7 @@ def _dealt(length: int, every: bool, splitters: np.ndarray):
         for batch in batches:
             for found in _suffixes(*batch.columns, length, every):
                 held.append(found)
-                count += len(found)
+                count += len(found[0])
                 if count >= HELD:
                     yield deal(held)
                     held, count = [], 0
@@ -274,51 +281,50 @@ def _dealt(length: int, every: bool, splitters: np.ndarray):
 def _verdicts(suspects: bool):
     """Sorts each bucket and judges its suffixes; the first and last groups are left open (EDGE)."""
 
-    def told(kind: int, found: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(found), kind, np.int8))]
-        columns += [pa.array(np.ascontiguousarray(found[name]).view(np.int64)) for name in SUFFIX.names]
-        return pa.RecordBatch.from_arrays(columns, ["kind", *SUFFIX.names])
+    def told(kind: int, found: Suffixes, rows: np.ndarray) -> pa.RecordBatch:
+        own = [column[rows] for column in found]
+        own[-1] = own[-1] ^ SIGN
+        columns = [pa.array(np.full(len(own[0]), kind, np.int8)), *(pa.array(column.view(np.int64)) for column in own)]
+        return pa.RecordBatch.from_arrays(columns, ["kind", *NAMES])
 
-    def judge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = in_order(np.concatenate([unpacked(b) for b in blobs]))
-        new_group = np.append(True, _changes(found, KEY[:3]))
+    def judge(found: Suffixes) -> Iterator[pa.RecordBatch]:
+        docs = found[-1]
+        new_group = _changes(found, 3)
         group = np.cumsum(new_group) - 1
         edge = (group == 0) | (group == group[-1])
-        yield told(EDGE, found[edge])
-        new_run = np.append(True, _changes(found, KEY))
-        starts = np.flatnonzero(new_run)
-        first = found["doc"][starts][np.cumsum(new_run) - 1]
-        later = first < found["doc"]
-        yield told(MARK, found[later & ~edge])
+        yield told(EDGE, found, edge)
+        new_run = _changes(found, 4)
+        first = docs[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
+        later = first < docs
+        yield told(MARK, found, later & ~edge)
         if not suspects:
             return
         opens = np.flatnonzero(new_group)
         several = np.add.reduceat(new_run.astype(np.int64), opens) > 1
-        several &= np.minimum.reduceat(found["doc"], opens) != np.maximum.reduceat(found["doc"], opens)
-        yield told(SUSPECT, found[several[group] & ~later & ~edge])
+        several &= np.minimum.reduceat(docs, opens) != np.maximum.reduceat(docs, opens)
+        yield told(SUSPECT, found, several[group] & ~later & ~edge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, parts = None, []
         for batch in batches:
             for bucket, blob in zip(*(column.to_pylist() for column in batch.columns)):
-                if bucket != now and blobs:
-                    yield from judge(blobs)
-                    blobs = []
+                if bucket != now and parts:
+                    yield from judge(in_order(together(parts)))
+                    parts = []
                 now = bucket
-                blobs.append(blob)
-        if blobs:
-            yield from judge(blobs)
+                parts.append(unpacked(blob))
+        if parts:
+            yield from judge(in_order(together(parts)))
 
     return run
 
 
-def _splitters(rows: list, buckets: int) -> np.ndarray:
-    found = [np.frombuffer(r.rows, SUFFIX) for r in rows]
-    sample = in_order(np.concatenate([np.zeros(0, SUFFIX), *found]))
-    if not len(sample):
-        return sample
-    at = np.arange(1, buckets) * len(sample) // buckets
-    return _distinct(sample[at])
+def _splitters(sample: list[Suffixes], buckets: int) -> Suffixes:
+    if not sample:
+        return [np.zeros(0, np.uint64)] * len(NAMES)
+    found = in_order(together(sample))
+    at = np.arange(1, buckets) * len(found[0]) // buckets
+    return _distinct([column[at] for column in found])
 
 
 def repeated(texts: DataFrame, length: int, every: bool) -> DataFrame:
@@ -335,7 +341,7 @@ def repeated(texts: DataFrame, length: int, every: bool) -> DataFrame:
     # A string is a suffix of its own, a run takes some ten bytes; at most SAMPLE rows for each bucket come to the driver.
     expected = total * share / (1 if every else 10)
     sample = texts.where(chosen).mapInArrow(_sampled(length, every, SAMPLE * buckets / max(1, expected)), "rows binary").collect()
-    splitters = _splitters(sample, buckets)
+    splitters = _splitters([unpacked(row["rows"]) for row in sample], buckets)
     dealt = texts.mapInArrow(_dealt(length, every, splitters), "bucket int, rows binary")
     judged = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_verdicts(not every), VERDICT)
     judged = stored(judged, "suffix-verdicts")
@@ -377,11 +383,13 @@ def _by_row(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(owner[a]), a, b
 
 
-def _joined(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal spans of ranges that overlap or touch; ranges come sorted by start."""
+def _joined(ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Maximal spans of ranges (starts, ends) that overlap or touch."""
+    first, end = (np.concatenate(side) for side in zip(*ranges))
     if not len(first):
         return []
-    reach = np.maximum.accumulate(end)
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
     new = np.flatnonzero(np.append(True, first[1:] > reach[:-1]))
     return list(zip(first[new].tolist(), reach[np.append(new[1:] - 1, len(first) - 1)].tolist()))
 
@@ -412,18 +420,20 @@ def without_spans(texts: Column, marked: Column, tested: Column, found: Column,
                     each = np.repeat(first[hit] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                     each = each[np.isin(piece.prints(each, each), strings)]
                     ranges.setdefault(row, []).append((each - base + cut_at, each - base + cut_at + length))
-        kept, removed, spans = [], [], []
-        for row, text in enumerate(texts.to_pylist()):
-            both = [np.concatenate(side) for side in zip(*ranges.get(row, []))] or [np.zeros(0, np.int64)] * 2
-            order = np.argsort(both[0], kind="stable")
-            own = _joined(both[0][order], both[1][order])
-            edges = [0, *(edge for span in own for edge in span), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if own else text)
-            removed.append(len(text) - len(kept[-1]))
+        kept, sizes, removed, spans = [], [], [], []
+        offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1].tolist()
+        data = memoryview(texts.buffers()[2] or b"")
+        for row, (begin, end) in enumerate(zip(offsets, offsets[1:])):
+            own = _joined(ranges[row]) if row in ranges else []
+            edges = [begin, *(begin + edge for span in own for edge in span), end]
+            kept += (data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            sizes.append(end - begin)
+            removed.append(sum(b - a for a, b in own))
             spans.append([{"start": a, "end": b} for a, b in own])
-        sizes = pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64())
+        ends = np.cumsum([0, *(size - gone for size, gone in zip(sizes, removed))]).astype("<i4")
+        left = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(kept))])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        columns = [sizes, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+        columns = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), left]
         return pa.StructArray.from_arrays(columns, ["n_bytes", "n_removed", "spans", "kept"])
 
     return cut(texts, marked, tested, found)
