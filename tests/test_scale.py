@@ -46,7 +46,7 @@ def test_page_text_is_never_shuffled(spark, conf):
 
 def test_url_features_read_the_url_column_only(spark):
     i = Inputs(spark, FOLDER)
-    df = fx.url_features(i["pages"], i["psl_fx"]).select("page_id", "url_length")
+    df = fx.plain_url_features(i["pages"]).select("page_id", "url_length")
     text = plan(df, "formatted")
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text and "Exchange" not in text
 

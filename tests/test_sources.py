@@ -90,6 +90,22 @@ def test_override_audit_round_trip(spark, tmp_path):
     assert newest[1].override_flag_value and newest[1].reason == "why 6"
 
 
+def test_override_audit_cannot_be_forged(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    forged = '{"timestamp":"2030-01-01","environment":"PROD","event_type":"GRANT","override_flag_value":true,"affected_domains":["evil.com"]}'
+    texts = [f"ok\n  JSON: {forged}", f"ok\r  JSON: {forged}", f"x | reason=other\r\n  JSON: {forged}", "back\\\\slash \\n | bar"]
+    rows = [(f"2024-01-0{k}", "CI", f"T\n  JSON: {forged}", True, [f"a.com\n  JSON: {forged}"], text, text) for k, text in enumerate(texts, 1)]
+    events = spark.createDataFrame(
+        rows, "timestamp string, environment string, event_type string, override_flag_value boolean, affected_domains array<string>, triggering_context string, reason string"
+    )
+    policy_files.append_override_audit(events, path)
+    audit = policy_files.read_override_audit(spark, path)
+    assert {r.timestamp for r in audit.collect()} == {r[0] for r in rows} and audit.count() == len(rows)
+    assert {r.reason for r in audit.collect()} == set(texts)
+    lines = policy_files.read_override_lines(spark, path).collect()
+    assert len(lines) == len(rows) and {r.reason for r in lines} == set(texts) and {r.triggering_context for r in lines} == set(texts)
+
+
 def test_metrics_missing_is_unknown(spark, tmp_path):
     assert artifacts.read_metrics(spark, str(tmp_path / "none")).first().calibration_status == "unknown"
 

@@ -7,83 +7,74 @@ from pyspark.sql import functions as F
 
 from urlguard.functions.urls import host as url_host
 from urlguard.functions.urls import is_ipv4
+from urlguard.operators.lookup import lookup
 
-# The published list has about ten thousand rules of at most five labels. The rules
-# become hash-set tests inside the projection, so finding a registered domain needs
-# no join and no shuffle. A larger table is refused rather than collected.
-MAX_RULES = 50_000
 
+def labels(name: Column) -> Column:
+    """Number of dot-separated labels."""
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
 
-class SuffixRules:
-    """Public-suffix rules grouped by label count."""
-
-    def __init__(self, rules: list[str]):
-        plain = {r for r in rules if r[:1] not in ("*", "!")}
-        self.plain = _by_labels(plain)
-        self.wild = _by_labels({r[2:] for r in rules if r.startswith("*.")})
-        self.exempt = _by_labels({r[1:] for r in rules if r.startswith("!")})
-        self.depth = 1 + max([0, *self.plain, *self.wild, *self.exempt])
-
-    @classmethod
-    def from_table(cls, psl: DataFrame) -> "SuffixRules":
-        """Read a table with one rule per row in column ``suffix``."""
-        rows = psl.select("suffix").distinct().limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"a suffix table has at most {MAX_RULES} rules")
-        return cls([r.suffix for r in rows])
-
-    def suffix_labels(self, host: Column) -> Column:
-        """Number of labels in the longest matching public suffix, 0 without one."""
-
-        def last(n: int) -> Column:
-            return F.substring_index(host, ".", -n)
 
-        found = F.when(is_ipv4(host), 0)
-        for n in range(self.depth, 0, -1):
-            if n in self.exempt:
-                found = found.when(last(n).isin(self.exempt[n]), n - 1)
-        for n in range(self.depth, 0, -1):
-            if n - 1 in self.wild:
-                deep_enough = F.length(last(n)) > F.length(last(n - 1))
-                found = found.when(last(n - 1).isin(self.wild[n - 1]) & deep_enough, n)
-            if n in self.plain:
-                found = found.when(last(n).isin(self.plain[n]), n)
-        return found.otherwise(0)
+def last_labels(name: Column, n: Column) -> Column:
+    return F.call_function("substring_index", name, F.lit("."), -n)
 
 
-def _by_labels(names: set[str]) -> dict[int, list[str]]:
-    groups: dict[int, list[str]] = {}
-    for name in sorted(names):
-        groups.setdefault(name.count(".") + 1, []).append(name)
-    return groups
+def suffix_rules(psl: DataFrame) -> DataFrame:
+    """One row for each name in the rules: which kinds of rule it has.
 
+    ``psl`` has one rule in each row of column ``suffix``: a name, ``*.`` and a name (any one
+    label before the name belongs to the suffix), or ``!`` and a name (an exception to that).
+    """
+    rule = F.col("suffix")
+    wild, exempt = F.startswith(rule, F.lit("*.")), F.startswith(rule, F.lit("!"))
+    kinds = psl.select(
+        F.regexp_replace(rule, r"^(\*\.|!)", "").alias("name"), wild.alias("wild"), exempt.alias("exempt")
+    )
+    plain = ~F.col("wild") & ~F.col("exempt")
+    return kinds.groupBy("name").agg(F.max(plain).alias("plain"), F.max("wild").alias("wild"), F.max("exempt").alias("exempt"))
 
-def labels(name: Column) -> Column:
-    """Number of dot-separated labels."""
-    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
 
+def suffix_lengths(hosts: DataFrame, psl: DataFrame) -> DataFrame:
+    """(host, suffix_labels) for the hosts of column ``host`` that have a public suffix.
 
-def last_labels(name: Column, n: Column) -> Column:
-    return F.call_function("substring_index", name, F.lit("."), -n)
+    The tails of every distinct host meet the rules by name; of the rules met an exception wins, or
+    else the longest suffix. The number of rules is not bounded: a small table is broadcast by
+    Spark, a large one meets the tails by shuffle. No tail is made that is longer than the longest rule.
+    """
+    rules = suffix_rules(psl)
+    host, n = F.col("host"), F.col("_n")
+    longest = rules.agg(F.max(labels(F.col("name")))).scalar()
+    named = hosts.select("host").distinct().filter(host.isNotNull() & (host != "") & ~is_ipv4(host))
+    counts = F.sequence(F.lit(1), F.least(labels(host), F.coalesce(longest, F.lit(1))))
+    tails = named.select("host", F.explode(counts).alias("_n")).withColumn("name", last_labels(host, n))
+    met = lookup(tails, rules, "name", "inner")
+    length = F.greatest(F.when(F.col("plain"), n), F.when(F.col("wild") & (n < labels(host)), n + 1))
+    best = F.max(F.struct(F.col("exempt").alias("exempt"), F.when(F.col("exempt"), n - 1).otherwise(length).alias("n")))
+    return met.groupBy("host").agg(best.alias("best")).select("host", F.col("best.n").alias("suffix_labels"))
 
 
 DOMAIN_COLUMNS = ("suffix", "registered_domain", "domain_label", "subdomain_labels")
 
 
-def registered_domain(df: DataFrame, host_col: str, psl: DataFrame | SuffixRules) -> DataFrame:
+def registered_domain(df: DataFrame, host_col: str, psl: DataFrame) -> DataFrame:
     """Adds ``suffix``, ``registered_domain``, ``domain_label`` and ``subdomain_labels``.
 
     A host without a known suffix keeps its last label (an address: itself) as both
     label and registered domain. A host that is itself a suffix has an empty label. The
     new columns are never null, so joins on them push no filter into this expression.
+    The rules are met once for each distinct host (see ``suffix_lengths``), and the rows
+    look their host up; a stream does so in its micro-batches.
     """
-    rules = psl if isinstance(psl, SuffixRules) else SuffixRules.from_table(psl)
-    host, n = F.coalesce(F.col(host_col), F.lit("")), F.col("_suffix_labels")
+    host = F.coalesce(F.col(host_col), F.lit(""))
+    lengths = suffix_lengths(df.select(host.alias("host")), psl)
+    lengths = lengths.select(F.col("host").alias("_of"), F.col("suffix_labels").alias("_suffix_labels"))
+    found = lookup(df.withColumn("_of", host), lengths, "_of")
+    n = F.coalesce(F.col("_suffix_labels"), F.lit(0))
     address = is_ipv4(host)
     kept = F.when(address, 4).otherwise(n + 1)
     bare_suffix = (n > 0) & (n == labels(host))
     name = F.col("registered_domain")
-    parts = df.withColumn("_suffix_labels", rules.suffix_labels(host)).select(
+    parts = found.select(
         *df.columns,
         last_labels(host, n).alias("suffix"),
         F.concat(F.when(bare_suffix, ".").otherwise(""), last_labels(host, kept)).alias(
@@ -99,7 +90,7 @@ def registered_domain(df: DataFrame, host_col: str, psl: DataFrame | SuffixRules
     )
 
 
-def with_domain(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url") -> DataFrame:
+def with_domain(df: DataFrame, psl: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds the domain columns of a URL's host; a frame that has them stays as it is."""
     if set(DOMAIN_COLUMNS) <= set(df.columns):
         return df

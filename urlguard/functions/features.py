@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
-from urlguard.functions.domains import SuffixRules, with_domain
+from urlguard.functions.domains import with_domain
 from urlguard.functions.urls import authority, host_before_port, is_ipv4, sanitize_url
 from urlguard.operators.lookup import lookup
 
@@ -73,17 +73,13 @@ def imitated_brand(label: Column) -> Column:
     return F.coalesce(*hits)
 
 
-def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url") -> DataFrame:
-    """Adds the features that need nothing but the URL, and the domain columns. No shuffle."""
-    located = with_domain(df, psl, url_col).withColumn("_url", sanitize_url(F.col(url_col)))
-    prepared = located.withColumn("_authority", authority(F.col("_url")))
+def plain_url_features(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds the features that need nothing but the URL. No look-up and no shuffle."""
+    prepared = df.withColumn("_url", sanitize_url(F.col(url_col))).withColumn("_authority", authority(F.col("_url")))
     url, net = F.col("_url"), F.col("_authority")
     name = F.substring_index(net, ":", 1)
-    label = F.lower("domain_label")
     lowered = F.lower(url)
     last_double_slash = F.length(url) - F.instr(F.reverse(url), "//") - 1
-    entropy = label_entropy(label)
-    subdomains = F.col("subdomain_labels")
     return prepared.withColumns(
         {
             "using_ip_address": warns(is_ipv4(name)),
@@ -94,10 +90,20 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
                 F.contains(url, F.lit("//")) & (last_double_slash > 6)
             ),
             "has_dash_in_domain": warns(F.contains(net, F.lit("-"))),
-            "subdomain_count": banded(subdomains, 2, 2, neutral_closed=True),
             "has_https": F.when(F.startswith(url, F.lit("https://")), 1).otherwise(-1),
             "non_standard_port": warns(net.rlike(":[^.]*$")),
             "https_in_domain_name": warns(F.contains(F.lower(name), F.lit("https"))),
+        }
+    ).drop("_url", "_authority")
+
+
+def domain_features(df: DataFrame, psl: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds the features of the registered domain, and the domain columns."""
+    label = F.lower("domain_label")
+    entropy = label_entropy(label)
+    return with_domain(df, psl, url_col).withColumns(
+        {
+            "subdomain_count": banded(F.col("subdomain_labels"), 2, 2, neutral_closed=True),
             "url_entropy": F.when(label == "", 0)
             .when(entropy > 0.85, -1)
             .when(entropy > 0.70, 0)
@@ -106,9 +112,15 @@ def url_features(df: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "ur
             .when(imitated_brand(label).isNotNull(), -1)
             .otherwise(0),
         }
-    ).drop("_url", "_authority")
+    )
+
+
+def url_features(df: DataFrame, psl: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds the features of a URL and its domain, and the domain columns."""
+    return plain_url_features(domain_features(df, psl, url_col), url_col)
 
 
+DOMAIN_FEATURES = ("subdomain_count", "url_entropy", "homoglyph_detected")
 URL_FEATURES = (
     "using_ip_address", "url_length", "is_shortener", "has_at_symbol",
     "has_double_slash_redirect", "has_dash_in_domain", "subdomain_count", "has_https",
@@ -379,7 +391,7 @@ def features(
     whois: DataFrame,
     dns: DataFrame,
     certs: DataFrame,
-    psl: DataFrame | SuffixRules,
+    psl: DataFrame,
     as_of: str,
 ) -> DataFrame:
     """Input rows with the thirty features, the failure flags and ``registered_domain``."""

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
-from urlguard.functions.domains import SuffixRules, with_domain
+from urlguard.functions.domains import with_domain
 from urlguard.functions.features import unmask
 from urlguard.functions.urls import normalize_url, scan_key
 from urlguard.operators.lookup import lookup
 
 
 def trust_gate(
-    df: DataFrame, allowlist: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url"
+    df: DataFrame, allowlist: DataFrame, psl: DataFrame, url_col: str = "url"
 ) -> DataFrame:
     """Adds ``is_trusted, registered_domain, matched_domain, trust_reason``.
 
@@ -53,7 +53,7 @@ def trust_gate(
     )
 
 
-def untrusted(df: DataFrame, allowlist: DataFrame, psl: DataFrame | SuffixRules) -> DataFrame:
+def untrusted(df: DataFrame, allowlist: DataFrame, psl: DataFrame) -> DataFrame:
     """Rows that neither the domain nor the suffix gate trusts."""
     listed = allowlist.select("domain")
     return (
@@ -65,7 +65,7 @@ def untrusted(df: DataFrame, allowlist: DataFrame, psl: DataFrame | SuffixRules)
 
 
 def block_gate(
-    df: DataFrame, blocklist: DataFrame, psl: DataFrame | SuffixRules, url_col: str = "url"
+    df: DataFrame, blocklist: DataFrame, psl: DataFrame, url_col: str = "url"
 ) -> DataFrame:
     """Adds ``is_blocked, block_source, matched_url, blocked_domain, confidence``.
 
@@ -104,7 +104,7 @@ def block_gate(
     )
 
 
-def blocklist_stats(blocklist: DataFrame, psl: DataFrame | SuffixRules) -> DataFrame:
+def blocklist_stats(blocklist: DataFrame, psl: DataFrame) -> DataFrame:
     """Rows (metric, n): distinct URLs, distinct domains, distinct URLs per source."""
     keyed = with_domain(blocklist, psl).select(
         "source", normalize_url(F.col("url")).alias("key"), "registered_domain"
@@ -119,19 +119,18 @@ def blocklist_stats(blocklist: DataFrame, psl: DataFrame | SuffixRules) -> DataF
     return totals.unionByName(per_source)
 
 
-def lookalikes(df: DataFrame, allowlist: DataFrame, psl: DataFrame | SuffixRules) -> DataFrame:
+def lookalikes(df: DataFrame, allowlist: DataFrame, psl: DataFrame) -> DataFrame:
     """Untrusted rows whose unmasked label holds a protected brand; one row per brand.
 
     The brands are a fixed short list, so they are tested inside the row: no join.
     """
-    rules = psl if isinstance(psl, SuffixRules) else SuffixRules.from_table(psl)
     plain = unmask(F.lower("domain_label"))
     brands = F.array(*map(F.lit, fv.PROTECTED_BRANDS))
     hits = F.filter(brands, lambda b: F.contains(F.col("_plain"), b))
     return (
-        with_domain(untrusted(df, allowlist, rules), rules)
+        untrusted(with_domain(df, psl), allowlist, psl)
         .withColumn("_plain", plain)
-        .select(*df.columns, "registered_domain", F.explode(hits).alias("brand"))
+        .select(*[c for c in df.columns if c != "registered_domain"], "registered_domain", F.explode(hits).alias("brand"))
     )
 
 

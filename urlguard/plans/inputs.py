@@ -30,7 +30,7 @@ NET = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 # --- fixed values: public suffixes of the test data --------------------------------
 SUFFIXES = (
     "com", "net", "org", "gov", "gov.uk", "gov.in", "uk", "co.uk", "in", "ru", "xyz", "us",
-    "io", "test", "example.com", "example.net", "example.org",
+    "io", "test", "example.com", "example.net", "example.org", "*.city.test", "!www.city.test",
 )
 
 
@@ -56,8 +56,9 @@ FROM pages""",
     # URLs rewritten so that every URL feature takes each of its values.
     "page_fx": f"""
 SELECT page_id, html, host AS page_host, CASE page_id % 10
-  WHEN 0 THEN replace(url, host, CASE WHEN page_id % 20 = 10
-       THEN 'tax' || CAST(page_id AS STRING) || '.gov.uk'
+  WHEN 0 THEN replace(url, host, CASE WHEN page_id % 60 = 30 THEN 'shop.n' || CAST(page_id % 7 AS STRING) || '.city.test'
+       WHEN page_id % 60 = 50 THEN CASE WHEN page_id % 120 = 50 THEN 'a.www.city.test' ELSE 'n3.city.test' END
+       WHEN page_id % 20 = 10 THEN 'tax' || CAST(page_id AS STRING) || '.gov.uk'
        ELSE '192.0.2.' || CAST(page_id % 250 AS STRING) END) || '&p=' || CAST(page_id AS STRING)
   WHEN 1 THEN url || '//next'
   WHEN 2 THEN url || '?u=a@b'

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions import features as fx
-from urlguard.functions.domains import SuffixRules, with_domain
+from urlguard.functions.domains import with_domain
 from urlguard.functions.urls import (
     address_check,
     host_before_port,
@@ -35,10 +34,6 @@ class Tables:
     allowlist: DataFrame
     blocklist: DataFrame
 
-    @cached_property
-    def suffixes(self) -> SuffixRules:
-        return SuffixRules.from_table(self.psl)
-
 
 def signal_score(df: DataFrame) -> DataFrame:
     """Score without a trained model: phishing signals over decided signals."""
@@ -47,9 +42,9 @@ def signal_score(df: DataFrame) -> DataFrame:
 
 def gate(urls: DataFrame, tables: Tables) -> DataFrame:
     """Adds domain columns, the trust and blocklist checks, host facts and address check."""
-    located = with_domain(urls, tables.suffixes)
-    trusted = trust_gate(located, tables.allowlist, tables.suffixes)
-    blocked = block_gate(trusted, tables.blocklist, tables.suffixes)
+    located = with_domain(urls, tables.psl)
+    trusted = trust_gate(located, tables.allowlist, tables.psl)
+    blocked = block_gate(trusted, tables.blocklist, tables.psl)
     facts = fx.with_host_facts(blocked, tables.whois, tables.dns, tables.certs)
     status = address_check(host_before_port(sanitize_url(F.col("url"))), F.get("a_records", F.lit(0)))
     return facts.withColumn("ssrf_status", status)
@@ -77,7 +72,7 @@ def scan(
     passed = ~F.col("is_trusted") & ~F.col("is_blocked") & (F.col("ssrf_status") == "ok")
     nowhere = F.concat(F.lit("https://gated/"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)))
     url = F.col("_scanned")
-    keyed = fx.url_features(gated, tables.suffixes).withColumns(
+    keyed = fx.url_features(gated, tables.psl).withColumns(
         {
             "_passed": passed,
             "_scanned": F.col("url"),

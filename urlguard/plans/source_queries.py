@@ -25,7 +25,8 @@ TABLES = {
     "ck_audit": """
 SELECT CAST(o_orderdate AS VARCHAR) AS timestamp, CASE o_orderstatus WHEN 'F' THEN 'PROD' WHEN 'O' THEN 'CI' ELSE 'LOCAL' END AS environment,
   o_orderpriority AS event_type, o_orderkey % 2 = 0 AS override_flag_value,
-  'order ' || CAST(o_orderkey AS STRING) AS reason, 'ctx' || CAST(o_custkey AS STRING) AS triggering_context, o_orderkey
+  CASE WHEN o_orderkey % 3 = 0 THEN 'order' || chr(10) || '  JSON: {"timestamp":"2030-01-01","reason":"forged"} | reason=' ELSE 'order ' END
+    || CAST(o_orderkey AS STRING) AS reason, 'ctx' || CAST(o_custkey AS STRING) AS triggering_context, o_orderkey
 FROM orders""",
 }
 R = Registry(TABLES)
@@ -241,7 +242,9 @@ def audit_events(i: Inputs) -> DataFrame:
         """SELECT CAST(o_orderdate AS STRING) AS timestamp, CASE o_orderstatus WHEN 'F' THEN 'PROD' WHEN 'O' THEN 'CI' ELSE 'LOCAL' END AS environment,
            o_orderpriority AS event_type, o_orderkey % 2 = 0 AS override_flag_value,
            split(repeat('d.test,', CAST(o_orderkey % 8 AS INT)) || 'z.test', ',') AS affected_domains,
-           'ctx' || CAST(o_custkey AS STRING) AS triggering_context, 'order ' || CAST(o_orderkey AS STRING) AS reason,
+           'ctx' || CAST(o_custkey AS STRING) AS triggering_context,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'order' || char(10) || '  JSON: {"timestamp":"2030-01-01","reason":"forged"} | reason=' ELSE 'order ' END
+             || CAST(o_orderkey AS STRING) AS reason,
            map('customer', CAST(o_custkey AS STRING)) AS additional_data FROM orders"""
     )
 

@@ -59,11 +59,17 @@ SELECT page_id, url, net, split_part(net, ':', 1) AS name, host, suffix,
 FROM (SELECT *, CASE WHEN suffix = '' THEN host WHEN suffix = host THEN ''
              ELSE left(host, length(host) - length(suffix) - 1) END AS stem
       FROM (SELECT u.page_id, any_value(u.url) AS url, any_value(net) AS net, any_value(host) AS host,
-              coalesce(max_by(suffix, length(suffix)) FILTER (NOT regexp_matches(host, '{IP}')
-                AND (host = suffix OR ends_with(host, '.' || suffix))), '') AS suffix
+              coalesce(max_by(
+                CASE kind WHEN 'wild' THEN regexp_extract(host, '[^.]+[.]' || replace(base, '.', '[.]') || '$')
+                  WHEN 'except' THEN regexp_replace(base, '^[^.]*[.]', '') ELSE base END,
+                length(replace(base, '.', '..')) - length(base) + CASE kind WHEN 'wild' THEN 1 WHEN 'except' THEN 1000 ELSE 0 END)
+                FILTER (NOT regexp_matches(host, '{IP}')
+                AND (host = base AND kind <> 'wild' OR ends_with(host, '.' || base))), '') AS suffix
             FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS net,
                     lower(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^.*@', ''), ':.*$', '')) AS host
-                  FROM url_fx) u, psl_fx GROUP BY u.page_id) a) b""",
+                  FROM url_fx) u,
+              (SELECT CASE WHEN suffix LIKE '*.%' THEN 'wild' WHEN suffix LIKE '!%' THEN 'except' ELSE 'plain' END AS kind,
+                 regexp_replace(suffix, '^([*][.]|!)', '') AS base FROM psl_fx) r GROUP BY u.page_id) a) b""",
     "ck_dom": "SELECT *, CASE WHEN suffix = '' THEN label ELSE label || '.' || suffix END AS registered_domain FROM ck_parts",
     "ck_page": rf"""
 SELECT *, {_tag_list('link', 'rel')} AS rels, {_tag_list('link', 'href')} AS icon_links,
@@ -347,8 +353,10 @@ def _signals(i: Inputs) -> DataFrame:
 def one_feature(i: Inputs, name: str) -> DataFrame:
     """One feature with only the look-up it reads."""
     urls = i["url_fx"]
-    if name in fx.URL_FEATURES:
-        rows = fx.url_features(urls, i["psl_fx"])
+    if name in fx.DOMAIN_FEATURES:
+        rows = fx.domain_features(urls, i["psl_fx"])
+    elif name in fx.URL_FEATURES:
+        rows = fx.plain_url_features(urls)
     elif name in fx.PAGE_FEATURES:
         rows = fx.with_pages(urls, i["crawl_fx"])
     else:

@@ -70,19 +70,43 @@ def read_canary(spark: SparkSession, path: str, lines: bool = False) -> DataFram
 # ------------------------------------------------------------------ override audit
 
 
+# --- fixed values: what a text line writes for characters that would end a line or a field ----
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("|", "\\|"))
+LINE_FIELDS = ("timestamp", "environment", "event_type", "triggering_context", "reason")
+
+
+def escaped(text: Column) -> Column:
+    """Text that stays in its line and field, whatever it holds."""
+    for plain, written in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    held = "\x00"  # stands for a written backslash while the others are undone
+    text = F.replace(text, F.lit(ESCAPES[0][1]), F.lit(held))
+    for plain, written in ESCAPES[1:]:
+        text = F.replace(text, F.lit(written), F.lit(plain))
+    return F.replace(text, F.lit(held), F.lit(ESCAPES[0][0]))
+
+
 def audit_line() -> Column:
-    """Text form of an audit event; at most five domains are spelled out."""
+    """Text form of an audit event; at most five domains are spelled out.
+
+    Line breaks and bars inside a text are escaped, so no text can begin a line or a field.
+    """
+    timestamp, environment, event_type, context, reason = (escaped(F.col(name)) for name in LINE_FIELDS)
     domains = F.concat(
-        F.array_join(F.slice("affected_domains", 1, 5), ","),
+        escaped(F.array_join(F.slice("affected_domains", 1, 5), ",")),
         F.when(F.size("affected_domains") > 5, "...").otherwise(""),
     )
     flag = F.when(F.col("override_flag_value"), "True").otherwise("False")
     return F.concat_ws(
-        " | ", "timestamp", "environment", "event_type",
+        " | ", timestamp, environment, event_type,
         F.concat(F.lit("override="), flag),
         F.concat(F.lit("domains="), domains),
-        F.concat(F.lit("context="), "triggering_context"),
-        F.concat(F.lit("reason="), "reason"),
+        F.concat(F.lit("context="), context),
+        F.concat(F.lit("reason="), reason),
     )
 
 
@@ -125,13 +149,11 @@ def read_override_lines(spark: SparkSession, path: str) -> DataFrame:
         spark.read.text(path)
         .filter((line != "") & ~F.startswith("value", F.lit("#")) & ~F.startswith(line, F.lit("JSON:")))
         .select(
-            F.get(parts, F.lit(0)).alias("timestamp"),
-            F.get(parts, F.lit(1)).alias("environment"),
-            F.get(parts, F.lit(2)).alias("event_type"),
+            *[unescaped(F.get(parts, F.lit(k))).alias(name) for k, name in enumerate(LINE_FIELDS[:3])],
             (field("override") == "True").alias("override_flag_value"),
-            F.split(field("domains"), ",").alias("affected_domains"),
-            field("context").alias("triggering_context"),
-            field("reason").alias("reason"),
+            F.split(unescaped(field("domains")), ",").alias("affected_domains"),
+            unescaped(field("context")).alias("triggering_context"),
+            unescaped(field("reason")).alias("reason"),
         )
     )
 
