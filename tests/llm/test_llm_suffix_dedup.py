@@ -107,7 +107,8 @@ def test_hot_runs_are_spread():
 
 
 def test_runs_cover_every_string_once():
-    text = "".join(random.Random(5).choice("abc de") for _ in range(3000)).encode()
+    draw = random.Random(5)
+    text = "".join(draw.choice("abc de") for _ in range(3000)).encode()
     for piece, _, _ in suffix_dedup.pieces(pa.array([text, b"short", b"", text[100:400]], pa.binary())):
         suffix, first, last = piece.runs()
         covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])

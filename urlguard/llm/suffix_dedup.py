@@ -45,9 +45,9 @@ LENGTH = 50  # bytes of the strings compared
 TOKEN = 8
 SIGN = np.uint64(1 << 63)  # with it, signed numbers sort as unsigned ones
 LEAD = 3 * TOKEN  # bytes of a suffix that are compared as they are
-PIECE = 1 << 20  # bytes of text handled at once
-HELD = 1 << 19  # suffixes a task holds before it deals them out
-PER_BUCKET = 1 << 24  # bytes of text for a bucket at most
+PIECE = 1 << 18  # bytes of text handled at once
+HELD = 1 << 18  # suffixes a task holds before it deals them out
+PER_BUCKET = 1 << 23  # bytes of text for a bucket at most
 SAMPLE = 64  # sampled suffixes for each bucket
 SAMPLED_BYTES = 1 << 19  # bytes of text sampled for each bucket
 KEY = ["w0", "w1", "w2", "print"]  # the four sort tokens, before the document
@@ -309,12 +309,13 @@ def _verdicts(suspects: bool):
         for batch in batches:
             for bucket, blob in zip(*(column.to_pylist() for column in batch.columns)):
                 if bucket != now and parts:
-                    yield from judge(in_order(together(parts)))
-                    parts = []
+                    found, parts = together(parts), []
+                    yield from judge(in_order(found))
                 now = bucket
                 parts.append(unpacked(blob))
         if parts:
-            yield from judge(in_order(together(parts)))
+            found, parts = together(parts), []
+            yield from judge(in_order(found))
 
     return run
 
@@ -362,7 +363,7 @@ def _runs_in(texts: Column, prints: Column, length: int) -> Column:
 
     @F.arrow_udf("array<binary>")
     def cut(texts: pa.Array, prints: pa.Array) -> pa.Array:
-        wanted = [np.array(p, np.int64).view(np.uint64) for p in prints.to_pylist()]
+        wanted = _lists(prints)
         found: list[dict] = [{} for _ in wanted]
         for piece, rows, _ in pieces(texts, length):
             _, first, last = piece.runs()
@@ -375,6 +376,13 @@ def _runs_in(texts: Column, prints: Column, length: int) -> Column:
     return cut(texts, prints)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    """The prints of each row."""
+    edges = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1].tolist()
+    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [flat[a:b] if ok else None for a, b, ok in zip(edges, edges[1:], column.is_valid().to_pylist())]
+
+
 def _by_row(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Runs of equal rows: (row, start, end)."""
     edges = np.flatnonzero(owner[1:] != owner[:-1]) + 1
@@ -403,7 +411,7 @@ def without_spans(texts: Column, marked: Column, tested: Column, found: Column,
     @F.arrow_udf("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     def cut(texts: pa.Array, marked: pa.Array, tested: pa.Array, found: pa.Array) -> pa.Array:
         texts = texts.cast(pa.binary())
-        sets = [[None if p is None else np.array(p, np.int64).view(np.uint64) for p in c.to_pylist()] for c in (marked, tested, found)]
+        sets = [_lists(column) for column in (marked, tested, found)]
         ranges: dict[int, list] = {}
         for piece, rows, cut_at in pieces(texts, length):
             _, first, last = piece.runs()
