@@ -277,27 +277,31 @@ PAGE_FEATURES = (
 # ------------------------------------------------------------------ host features
 
 
-def host_facts(whois: DataFrame, dns: DataFrame, certs: DataFrame) -> DataFrame:
+HOST_RECORDS = {
+    "whois": ["domain_name", "creation_date", "expiration_date"],
+    "dns": ["a_records"],
+    "cert": ["not_before"],
+}
+
+
+def host_facts(
+    whois: DataFrame | None = None, dns: DataFrame | None = None, certs: DataFrame | None = None
+) -> DataFrame:
     """WHOIS, DNS and certificate rows side by side, one row per host.
 
-    The three tables are stacked and grouped by host in one shuffle, so the scanned URLs,
-    which are many more, move once instead of three times. Of several records of a host in
-    a table the latest is taken as a whole.
+    The tables given are stacked and grouped by host in one shuffle, so the scanned URLs,
+    which are many more, move once instead of three times; a table that is not given is not
+    read. Of several records of a host in a table the latest is taken as a whole.
     """
-    sources = {
-        "_whois": (whois, ["domain_name", "creation_date", "expiration_date"]),
-        "_dns": (dns, ["a_records"]),
-        "_cert": (certs, ["not_before"]),
-    }
+    given = {name: rows for name, rows in zip(HOST_RECORDS, (whois, dns, certs)) if rows is not None}
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [rows.select("host", record(rows, names).alias(name)) for name, (rows, names) in sources.items()],
+        [rows.select("host", record(rows, HOST_RECORDS[name]).alias(f"_{name}")) for name, rows in given.items()],
     )
-    newest = stacked.groupBy("host").agg(*[F.max(name).alias(name) for name in sources])
+    newest = stacked.groupBy("host").agg(*[F.max(f"_{name}").alias(f"_{name}") for name in given])
     return newest.select(
-        "host", F.when(F.col("_whois").isNotNull(), True).alias("_whois"),
-        F.when(F.col("_dns").isNotNull(), True).alias("_dns"),
-        *[f"{name}.{column}" for name, (_, names) in sources.items() for column in names],
+        "host", *[F.when(F.col(f"_{name}").isNotNull(), True).alias(f"_{name}") for name in given],
+        *[f"_{name}.{column}" for name in given for column in HOST_RECORDS[name]],
     )
 
 
@@ -317,34 +321,57 @@ def first_date(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def with_pages(urls: DataFrame, crawl: DataFrame) -> DataFrame:
-    """Adds the page features (0 where the page is missing) and ``http_failed``.
-
-    Of several crawls of a URL the latest counts; only the features are moved to find it.
-    """
+def page_table(crawl: DataFrame) -> DataFrame:
+    """Page features by page key, one row per page. Only the features are moved to find the latest crawl."""
     seen = page_features(crawl)
     latest = seen.groupBy(F.col("url").alias("_page")).agg(F.max(record(seen, list(PAGE_FEATURES))).alias("_crawl"))
-    pages = latest.select("_page", F.lit(True).alias("_http"), *[f"_crawl.{name}" for name in PAGE_FEATURES])
+    return latest.select("_page", F.lit(True).alias("_http"), *[f"_crawl.{name}" for name in PAGE_FEATURES])
+
+
+def page_key(url_col: str = "url") -> Column:
+    return sanitize_url(F.col(url_col))
+
+
+def host_key(url_col: str = "url") -> Column:
+    return host_before_port(sanitize_url(F.col(url_col)))
+
+
+def wanted(table: DataFrame, key: str, urls: DataFrame, key_of: Column) -> DataFrame:
+    """The rows of a prepared table that a batch of URLs asks for.
+
+    The batch's distinct keys are few and Spark broadcasts them, so the table is read but not moved.
+    """
+    return table.join(urls.select(key_of.alias(key)).distinct(), key, "left_semi")
+
+
+def meet_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds the page features of a page table (0 where the page is missing) and ``http_failed``."""
     return (
-        lookup(urls.withColumn("_page", sanitize_url(F.col("url"))), pages, "_page")
+        lookup(urls.withColumn("_page", page_key()), pages, "_page")
         .withColumn("http_failed", F.col("_http").isNull())
         .withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in PAGE_FEATURES})
         .drop("_page", "_http")
     )
 
 
+def with_pages(urls: DataFrame, crawl: DataFrame) -> DataFrame:
+    """Adds the page features (0 where the page is missing) and ``http_failed`` from a crawl."""
+    return meet_pages(urls, page_table(crawl))
+
+
+def meet_hosts(urls: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds the columns of host facts; ``whois_failed`` and ``dns_failed`` if their tables were read."""
+    marks = [f"_{name}" for name in HOST_RECORDS if f"_{name}" in facts.columns]
+    found = lookup(urls.withColumn("_host", host_key()), facts.withColumnRenamed("host", "_host"), "_host")
+    failed = {f"{mark[1:]}_failed": F.col(mark).isNull() for mark in marks if mark != "_cert"}
+    return found.withColumns(failed).drop(*marks, "_host")
+
+
 def with_host_facts(
-    urls: DataFrame, whois: DataFrame, dns: DataFrame, certs: DataFrame
+    urls: DataFrame, whois: DataFrame | None = None, dns: DataFrame | None = None, certs: DataFrame | None = None
 ) -> DataFrame:
-    """Adds WHOIS, DNS and certificate columns, ``whois_failed`` and ``dns_failed``."""
-    facts = host_facts(whois, dns, certs).withColumnRenamed("host", "_host")
-    return (
-        lookup(urls.withColumn("_host", host_before_port(sanitize_url(F.col("url")))), facts, "_host")
-        .withColumns(
-            {"whois_failed": F.col("_whois").isNull(), "dns_failed": F.col("_dns").isNull()}
-        )
-        .drop("_whois", "_dns", "_host")
-    )
+    """Adds the columns of the host tables that are given, ``whois_failed`` and ``dns_failed``."""
+    return meet_hosts(urls, host_facts(whois, dns, certs))
 
 
 def enrich(
@@ -357,15 +384,20 @@ def enrich(
     return with_host_facts(with_pages(urls, crawl), whois, dns, certs)
 
 
+# The host table that each feature of a host reads.
+HOST_FEATURES = {
+    "domain_registration_length": "whois", "abnormal_url_whois": "whois", "domain_age": "whois",
+    "has_dns_record": "dns", "statistical_report_match": "dns", "certificate_age": "cert",
+}
+
+
 def host_features(df: DataFrame, as_of: str) -> DataFrame:
-    """Adds the features read from host facts, as seen on the day ``as_of``."""
+    """Adds the features read from the host facts that are there, as seen on the day ``as_of``."""
     today = F.lit(as_of).cast("date")
-    created, expires = first_date(df, "creation_date"), first_date(df, "expiration_date")
-    cert_days = F.date_diff(today, F.col("not_before").cast("date"))
-    reported = F.lower(sanitize_url(F.col("url"))).rlike(any_literal(fv.REPORTED_DOMAINS))
-    bad_address = F.arrays_overlap("a_records", F.array(*map(F.lit, fv.REPORTED_ADDRESSES)))
-    return df.withColumns(
-        {
+    added: dict[str, Column] = {}
+    if "creation_date" in df.columns:
+        created, expires = first_date(df, "creation_date"), first_date(df, "expiration_date")
+        added |= {
             "domain_registration_length": F.when(created.isNull() | expires.isNull(), 0)
             .when(months_between(expires, created) >= 12, 1)
             .otherwise(-1),
@@ -375,14 +407,20 @@ def host_features(df: DataFrame, as_of: str) -> DataFrame:
             "domain_age": F.when(created.isNull(), 0)
             .when(months_between(today, created) >= 6, 1)
             .otherwise(-1),
+        }
+    if "a_records" in df.columns:
+        reported = F.lower(sanitize_url(F.col("url"))).rlike(any_literal(fv.REPORTED_DOMAINS))
+        bad_address = F.arrays_overlap("a_records", F.array(*map(F.lit, fv.REPORTED_ADDRESSES)))
+        added |= {
             "has_dns_record": F.when(F.size("a_records") > 0, 1).otherwise(0),
-            "certificate_age": F.when(cert_days.isNull(), 0)
-            .when(cert_days < 30, -1)
-            .when(cert_days < 90, 0)
-            .otherwise(1),
             "statistical_report_match": warns(reported | F.coalesce(bad_address, F.lit(False))),
         }
-    )
+    if "not_before" in df.columns:
+        cert_days = F.date_diff(today, F.col("not_before").cast("date"))
+        added["certificate_age"] = (
+            F.when(cert_days.isNull(), 0).when(cert_days < 30, -1).when(cert_days < 90, 0).otherwise(1)
+        )
+    return df.withColumns(added)
 
 
 def features(

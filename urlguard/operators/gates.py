@@ -64,19 +64,25 @@ def untrusted(df: DataFrame, allowlist: DataFrame, psl: DataFrame) -> DataFrame:
     )
 
 
-def block_gate(
-    df: DataFrame, blocklist: DataFrame, psl: DataFrame, url_col: str = "url"
-) -> DataFrame:
+def block_keys(blocklist: DataFrame, psl: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a blocklist is met by: distinct URL keys (``_key``) and registered domains (``_reg``)."""
+    urls = blocklist.select(normalize_url(F.col("url")).alias("_key")).distinct()
+    domains = with_domain(blocklist, psl).select(F.col("registered_domain").alias("_reg")).distinct()
+    return urls, domains
+
+
+def block_gate(df: DataFrame, blocklist: DataFrame, psl: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds ``is_blocked, block_source, matched_url, blocked_domain, confidence``.
 
     An exact URL match outranks a match of the registered domain only.
     """
-    urls = blocklist.select(normalize_url(F.col("url")).alias("_key")).distinct()
-    domains = (
-        with_domain(blocklist, psl)
-        .select(F.col("registered_domain").alias("_reg"))
-        .distinct()
-    )
+    return block_gate_by_keys(df, *block_keys(blocklist, psl), psl, url_col)
+
+
+def block_gate_by_keys(
+    df: DataFrame, urls: DataFrame, domains: DataFrame, psl: DataFrame, url_col: str = "url"
+) -> DataFrame:
+    """The same with the keys of ``block_keys``, which many batches can share."""
     own = df.columns
     keyed = with_domain(df, psl, url_col).withColumns(
         {

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from urlguard import fixed_values as fv
-from urlguard.session import configure
+from urlguard.session import configure, new_folder
 
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -254,6 +254,19 @@ class Inputs:
         )
         return other
 
+    def dealt(self, name: str, batches: int, batch: str) -> "Inputs":
+        """The same inputs with one given table read as a stream of several micro-batches.
+
+        ``batch`` is an SQL expression that gives a row's batch, 0 to batches - 1. The table is
+        written to the work folder in that order, and a trigger takes one file.
+        """
+        other = Inputs(self.spark, self.folder)
+        rows, path = self[name], new_folder(self.spark, f"dealt-{name}")
+        for k in range(batches):
+            rows.filter(f"({batch}) = {k}").coalesce(1).write.mode("append").parquet(path)
+        other._frames[name] = self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        return other
+
     def sql(self, text: str) -> DataFrame:
         names = mentioned(text, (*GIVEN, *INPUTS))
         for name in names:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from urlguard.plans.data_queries import rounded, stored_features
 from urlguard.plans.inputs import AS_OF, Inputs
 from urlguard.plans.registry import Registry
 from urlguard.plans.scan import scan
+from urlguard.plans.stored import StoredLookups
 from urlguard.plans.url_queries import flag, tables
 from urlguard.session import new_folder
 from urlguard.streaming import jobs
@@ -153,12 +156,23 @@ R.add(
 
 @R.query("x01_stream_scan", "SELECT page_id, verdict, round(risk_score, 9) AS risk_score FROM ck_scan")
 def _stream_scan(i: Inputs) -> DataFrame:
+    path, columns = new_folder(i.spark, "x01"), ["page_id", "verdict", "risk_score"]
     urls = i.streaming("pages")["url_fx"]
-    result = jobs.stream_scan(urls, tables(i), AS_OF).select("page_id", "verdict", "risk_score")
-    return rounded(jobs.append_table(result, "x01"), "risk_score")
+    lookups = StoredLookups(tables(i))
+    writer = jobs.stream_scan(urls, lookups.current, AS_OF, path, columns)
+    jobs.finish(writer.option("checkpointLocation", new_folder(i.spark, "x01-checkpoint")))
+    return rounded(i.spark.read.parquet(path).select(*columns), "risk_score")
 
 
-@R.query("x02_stream_dedup")
+@R.query(
+    "x02_stream_dedup",
+    """WITH RECURSIVE s AS (SELECT scan_id, ts, md5(lower(trim(url))) AS scan_key FROM scan_fx),
+       k AS (SELECT scan_key, min(ts) AS since FROM s GROUP BY scan_key
+             UNION ALL
+             SELECT s.scan_key, min(s.ts) FROM k JOIN s ON s.scan_key = k.scan_key AND s.ts >= k.since + INTERVAL 1 HOUR
+             GROUP BY s.scan_key, k.since)
+       SELECT min(scan_id) AS scan_id, s.scan_key FROM k JOIN s ON s.scan_key = k.scan_key AND s.ts = k.since GROUP BY s.scan_key, k.since""",
+)
 def _stream_dedup(i: Inputs) -> DataFrame:
     scans = i.streaming("events")["scan_fx"].select("scan_id", "ts", "url")
     return jobs.append_table(jobs.stream_dedup(scans), "x02").select("scan_id", "scan_key")
@@ -166,14 +180,24 @@ def _stream_dedup(i: Inputs) -> DataFrame:
 
 @R.query(
     "x03_refreshing_gate",
-    """SELECT page_id, CASE WHEN url_hit THEN 'blocklist' WHEN domain_hit THEN 'blocklist_domain' END AS block_source FROM ck_gate""",
+    """WITH f AS (SELECT 1 AS version, source, lower(regexp_replace(url, '/$', '')) AS key,
+                    regexp_extract(lower(url), '([a-z0-9-]+[.]example[.][a-z]+)', 1) AS dom FROM block_fx WHERE source = 'a'
+                  UNION ALL SELECT 2, source, lower(regexp_replace(url, '/$', '')),
+                    regexp_extract(lower(url), '([a-z0-9-]+[.]example[.][a-z]+)', 1) FROM block_fx),
+       u AS (SELECT page_id, url, registered_domain, CASE WHEN page_id % 4 < 2 THEN 1 ELSE 2 END AS version FROM ck_dom)
+       SELECT page_id, CAST(version AS INT) AS list_version,
+         CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.version = u.version AND f.key = lower(regexp_replace(u.url, '/$', ''))) THEN 'blocklist'
+           WHEN EXISTS (SELECT 1 FROM f WHERE f.version = u.version AND f.dom = u.registered_domain) THEN 'blocklist_domain' END AS block_source
+       FROM u""",
 )
 def _refreshing(i: Inputs) -> DataFrame:
-    path = new_folder(i.spark, "x03")
-    urls = i.streaming("pages")["url_fx"]
-    writer = jobs.refreshing_gate(urls, lambda: Inputs(i.spark, i.folder)["block_fx"], i["psl_fx"], path)
-    jobs.finish(writer.option("checkpointLocation", new_folder(i.spark, "x03-checkpoint")))
-    return i.spark.read.parquet(path).select("page_id", "block_source")
+    """Four micro-batches, forty minutes apart: the list is read at the first and the third, and has grown by then."""
+    path, minutes = new_folder(i.spark, "x03"), itertools.count(0, 40)
+    feeds = iter([i["block_fx"].filter("source = 'a'"), i["block_fx"]])
+    blocklist = jobs.RefreshedBlocklist(lambda: next(feeds), i["psl_fx"], clock=lambda: next(minutes) * 60)
+    urls = i.dealt("pages", 4, "page_id % 4")["url_fx"]
+    jobs.finish(jobs.refreshing_gate(urls, blocklist, path).option("checkpointLocation", new_folder(i.spark, "x03-checkpoint")))
+    return i.spark.read.parquet(path).select("page_id", "list_version", "block_source")
 
 
 R.add(
@@ -209,6 +233,19 @@ R.add(
 R.add(
     "x06_stream_budget",
     lambda i: jobs.append_table(jobs.stream_budget(i.streaming("events")["events"], "user_id"), "x06"),
+    f"""WITH RECURSIVE e AS (
+         SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_us(ts) AS "at",
+                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL),
+       r AS (
+         SELECT key, event_id, "at", n, 1 AS used, "at" AS start, 'granted' AS outcome FROM e WHERE n = 1
+         UNION ALL
+         SELECT key, event_id, "at", n,
+           CASE WHEN outcome <> 'granted' THEN used WHEN fresh THEN 1 ELSE least(used + 1, {fv.OVERRIDES_PER_HOUR}) END,
+           CASE WHEN outcome = 'granted' AND fresh THEN "at" ELSE start END,
+           CASE WHEN outcome <> 'granted' THEN 'frozen' WHEN NOT fresh AND used >= {fv.OVERRIDES_PER_HOUR} THEN 'exhausted' ELSE 'granted' END
+         FROM (SELECT e.key, e.event_id, e."at", e.n, r.used, r.start, r.outcome, e."at" - r.start > 3600000000 AS fresh
+               FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1) x)
+       SELECT key, event_id, "at", CAST(used AS INT) AS used, outcome FROM r""",
 )
 
 

@@ -33,6 +33,21 @@ class Tables:
     psl: DataFrame
     allowlist: DataFrame
     blocklist: DataFrame
+    # Prepared look-ups (plans/stored.py): page features by page key, host facts by host.
+    pages: DataFrame | None = None
+    hosts: DataFrame | None = None
+
+    def meet_hosts(self, rows: DataFrame, batch: DataFrame) -> DataFrame:
+        """Adds host facts to rows made from a batch of URLs."""
+        if self.hosts is None:
+            return fx.with_host_facts(rows, self.whois, self.dns, self.certs)
+        return fx.meet_hosts(rows, fx.wanted(self.hosts, "host", batch, fx.host_key()))
+
+    def meet_pages(self, rows: DataFrame, batch: DataFrame) -> DataFrame:
+        """Adds page features to rows made from a batch of URLs."""
+        if self.pages is None:
+            return fx.with_pages(rows, self.crawl)
+        return fx.meet_pages(rows, fx.wanted(self.pages, "_page", batch, fx.page_key()))
 
 
 def signal_score(df: DataFrame) -> DataFrame:
@@ -45,7 +60,7 @@ def gate(urls: DataFrame, tables: Tables) -> DataFrame:
     located = with_domain(urls, tables.psl)
     trusted = trust_gate(located, tables.allowlist, tables.psl)
     blocked = block_gate(trusted, tables.blocklist, tables.psl)
-    facts = fx.with_host_facts(blocked, tables.whois, tables.dns, tables.certs)
+    facts = tables.meet_hosts(blocked, urls)
     status = address_check(host_before_port(sanitize_url(F.col("url"))), F.get("a_records", F.lit(0)))
     return facts.withColumn("ssrf_status", status)
 
@@ -79,7 +94,7 @@ def scan(
             "url": F.when(passed, F.col("url")).otherwise(nowhere),
         }
     )
-    paged = fx.with_pages(keyed, tables.crawl).withColumn("url", url)
+    paged = tables.meet_pages(keyed, urls).withColumn("url", url)
     featured = fx.host_features(paged, as_of)
     scored = vd.decide(vd.penalize(score(fx.explain(featured))))
     by_model = F.col("_passed")

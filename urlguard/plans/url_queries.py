@@ -360,7 +360,8 @@ def one_feature(i: Inputs, name: str) -> DataFrame:
     elif name in fx.PAGE_FEATURES:
         rows = fx.with_pages(urls, i["crawl_fx"])
     else:
-        facts = fx.with_host_facts(urls, i["whois_fx"], i["dns_fx"], i["cert_fx"])
+        read = {"whois": "whois", "dns": "dns", "cert": "certs"}[fx.HOST_FEATURES[name]]
+        facts = fx.with_host_facts(urls, **{read: i[f"{fx.HOST_FEATURES[name]}_fx"]})
         rows = fx.host_features(facts, AS_OF)
     return rows.select("page_id", name)
 

@@ -2,79 +2,118 @@
 
 from __future__ import annotations
 
-import heapq
-import pickle
+import itertools
+import logging
+import time
+from collections import Counter
 from collections.abc import Callable, Iterator
-from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from urlguard import fixed_values as fv
 from urlguard.functions.urls import scan_key, validate_url
 from urlguard.operators.calibration import is_extreme
-from urlguard.operators.gates import block_gate
+from urlguard.operators.gates import block_gate_by_keys, block_keys
 from urlguard.operators.telemetry import audit_rows
 from urlguard.plans.scan import Tables, scan
 from urlguard.session import new_folder
 
+log = logging.getLogger(__name__)
 
-def stream_scan(urls: DataFrame, tables: Tables, as_of: str) -> DataFrame:
-    """Verdicts for a stream of URLs: the batch plan, with stream-static joins."""
-    return scan(urls, tables, as_of)
 
+def batches_to(path: str, step: Callable[[DataFrame], DataFrame]):
+    """A foreachBatch function that writes what ``step`` makes of a micro-batch.
 
-RUN = 1 << 20  # rows sorted at once
-READ = 1 << 10  # rows of a run read at once
-SPOOL = 8 << 20  # bytes kept in memory before a file is used
+    The batch number names the output folder and replaces it, so a repeated batch leaves no
+    second copy. The batch is kept while it is worked on, since a step reads it more than once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            step(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
 
+    return run
 
-def in_order(parts: Iterator[np.ndarray], run: int = RUN, read: int = READ) -> Iterator[np.ndarray]:
-    """Rows of two integers in order, in chunks, however many there are.
 
-    Runs of bounded size are sorted and put into a temporary file, then merged.
+def stream_scan(urls: DataFrame, tables: Callable[[], Tables], as_of: str, path: str, columns: list[str] | None = None):
+    """Writer of verdicts for a stream of URLs: each micro-batch goes through the batch plan.
+
+    ``tables`` gives the look-ups as they are now. With prepared look-ups (plans/stored.py) a
+    micro-batch parses no page and groups no host table: it reads the prepared rows that its keys ask for.
     """
-    held, n, runs, end = [], 0, [], 0
+    step = lambda batch: scan(batch, tables(), as_of).select(*(columns or ["*"]))
+    return urls.writeStream.foreachBatch(batches_to(path, step))
 
-    def taken() -> np.ndarray:
-        rows = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
-        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
-    with SpooledTemporaryFile(SPOOL) as spool:
-        for part in parts:
-            for start in range(0, len(part), run):
-                held.append(part[start : start + run])
-                n += len(held[-1])
-                if n >= run:
-                    runs.append((end, n))
-                    end += spool.write(np.ascontiguousarray(taken()).tobytes())
-                    held, n = [], 0
-        if not runs:
-            yield taken()
-            return
+RUN = 1 << 18  # rows of a key sorted in memory
+SLICE = 60_000_000  # microseconds of a slice of a longer timeline
+READ = 1 << 10  # rows handed on at once
 
-        def rows_of(start: int, count: int) -> Iterator[tuple[int, int]]:
-            for at in range(0, count, read):
-                spool.seek(start + at * 16)
-                block = np.frombuffer(spool.read(min(read, count - at) * 16), np.int64).reshape(-1, 2)
-                yield from map(tuple, block.tolist())
 
-        last = map(tuple, taken().tolist())
-        merged, chunk = heapq.merge(last, *(rows_of(*r) for r in runs)), []
-        for row in merged:
-            chunk.append(row)
-            if len(chunk) == read:
-                yield np.array(chunk, np.int64)
-                chunk = []
-        if chunk:
-            yield np.array(chunk, np.int64)
+class InOrder:
+    """One key's rows of a micro-batch in order, in bounded memory.
 
+    Up to ``run`` rows are sorted in memory. Rows beyond that wait in a map state, which the
+    RocksDB store keeps on disk, by slice of time; the slices are then read in turn and
+    removed. Nothing stays in the state after the batch.
+    """
 
-DEDUP_STATE = T.StructType([T.StructField("last", T.LongType())])
+    def __init__(self, handle: StatefulProcessorHandle, order: list[str], run: int = RUN):
+        self.waiting = handle.getMapState("waiting", "slice long, part int", "rows binary")
+        self.order, self.run = order, run
+
+    def _sorted(self, frames: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(frames).sort_values(self.order, kind="stable", ignore_index=True)
+
+    def _put(self, frames: list[pd.DataFrame], parts: Counter) -> None:
+        rows = pd.concat(frames)
+        for piece, group in rows.groupby(rows[self.order[0]] // SLICE):
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_pandas(group, preserve_index=False)
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            self.waiting.updateValue((int(piece), parts[piece]), (sink.getvalue().to_pybytes(),))
+            parts[piece] += 1
+
+    def _taken(self, key: tuple[int, int]) -> pd.DataFrame:
+        rows = pa.ipc.open_stream(self.waiting.getValue(key)[0]).read_pandas()
+        self.waiting.removeKey(key)
+        return rows
+
+    def frames(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows, sorted by the order columns, in frames that follow each other."""
+        held, n, parts = [], 0, Counter()
+        for rows in batches:
+            for start in range(0, len(rows), self.run):
+                held.append(rows.iloc[start : start + self.run])
+                n += len(held[-1])
+                if n >= self.run:
+                    self._put(held, parts)
+                    held, n = [], 0
+        if parts and held:
+            self._put(held, parts)
+            held = []
+        if held:
+            yield self._sorted(held)
+        for piece in sorted(parts):
+            yield self._sorted([self._taken((int(piece), k)) for k in range(parts[piece])])
+
+
+def alone(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """Sets a key's only timer."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -82,51 +121,59 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def dedup_step(columns: list[str], width: int, **sizes):
-    """Of one key's rows those that are kept. Rows wait in a spool; in memory are a chunk and what is kept."""
-
-    def step(group: tuple, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        with SpooledTemporaryFile(SPOOL) as spool:
-
-            def instants() -> Iterator[np.ndarray]:
-                n = 0
-                for rows in batches:
-                    pickle.dump(rows[columns], spool, pickle.HIGHEST_PROTOCOL)
-                    yield np.column_stack([rows["_at"].to_numpy(np.int64), np.arange(n, n + len(rows))])
-                    n += len(rows)
-
-            kept = []
-            for chunk in in_order(instants(), **sizes):
-                at = chunk[:, 0]
-                position = 0 if last is None else int(at.searchsorted(last + width))
-                while position < len(at):
-                    kept.append(int(chunk[position, 1]))
-                    last = int(at[position])
-                    position = int(at.searchsorted(last + width))
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs()) + 1)
-            end, chosen, n = spool.tell(), np.sort(np.array(kept, np.int64)), 0
-            spool.seek(0)
-            while spool.tell() < end:
-                rows = pickle.load(spool)
-                first, after = chosen.searchsorted([n, n + len(rows)])
-                if first < after:
-                    yield rows.iloc[chosen[first:after] - n]
-                n += len(rows)
-
-    return step
-
-
-def stream_dedup(scans: DataFrame, ts: str = "ts", ttl: int = 3600) -> DataFrame:
+class FirstOfHour(StatefulProcessor):
+    """Passes a row of a key unless one was passed less than ``width`` microseconds before."""
+
+    def __init__(self, columns: list[str], width: int, tie: str, run: int = RUN):
+        self.columns, self.width, self.tie, self.run = columns, width, tie, run
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+        self.ordered = InOrder(handle, ["moment", self.tie], self.run)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        for frame in self.ordered.frames(rows):
+            at, kept = frame["moment"].to_numpy(np.int64), []
+            position = 0 if last is None else int(at.searchsorted(last + self.width))
+            while position < len(at):
+                kept.append(position)
+                last = int(at[position])
+                position = int(at.searchsorted(last + self.width))
+            if kept:
+                yield frame.iloc[kept][self.columns]
+        self.last.update((last,))
+        alone(self.handle, (last + self.width) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_instant(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """Of a key's rows at one instant the one with the smallest ``tie``, as far as a batch of rows tells.
+
+    This runs before rows are moved to their key, so a hot key moves less.
+    """
+
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.sort_values(tie, kind="stable").drop_duplicates([key, "moment"])
+
+    return rows.mapInPandas(reduce, rows.schema)
+
+
+def stream_dedup(scans: DataFrame, ts: str = "ts", ttl: int = 3600, tie: str = "scan_id", run: int = RUN) -> DataFrame:
     """Drops a repeat of a scan key within ``ttl`` seconds of the scan that was kept.
 
-    The hour counts from the kept scan and is not prolonged by repeats. Trusted and
-    invalid input is not remembered: it passes unchanged. A key is forgotten when the
-    watermark passes its hour, so the state holds the keys of about two hours.
+    The hour counts from the kept scan and is not prolonged by repeats; of scans at one instant
+    the one with the smallest ``tie`` counts. Trusted and invalid input is not remembered: it
+    passes unchanged. A key is forgotten by its timer when the watermark passes its hour, so the
+    state holds the keys of about two hours.
     """
     remembered = validate_url(F.col("url"))["ok"]
     if "is_trusted" in scans.columns:
@@ -136,33 +183,67 @@ def stream_dedup(scans: DataFrame, ts: str = "ts", ttl: int = 3600) -> DataFrame
     )
     columns = [*scans.columns, "scan_key"]
     passing = marked.filter(~F.col("_remembered")).select(*columns)
-    keyed = (
-        marked.filter("_remembered")
-        .select(*columns, F.unix_micros(ts).alias("_at"))
-        .withWatermark(ts, "1 hour")
+    # The state's rows go through named tuples, whose names have rules of their own.
+    short = {name: f"c{k}" for k, name in enumerate(columns)}
+    keyed = marked.filter("_remembered").select(
+        *[F.col(name).alias(c) for name, c in short.items()], F.unix_micros(ts).alias("moment")
     )
-    width = ttl * 1_000_000
-
-    kept_rows = keyed.groupBy("scan_key").applyInPandasWithState(
-        dedup_step(columns, width), passing.schema, DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    waiting = first_of_instant(keyed, short["scan_key"], short[tie]).withWatermark(short[ts], "1 hour")
+    kept_rows = waiting.groupBy(short["scan_key"]).transformWithStateInPandas(
+        FirstOfHour(list(short.values()), ttl * 1_000_000, short[tie], run),
+        keyed.select(*short.values()).schema, "Append", "EventTime",
     )
-    return kept_rows.unionByName(passing)
+    return kept_rows.select(*[F.col(c).alias(name) for name, c in short.items()]).unionByName(passing)
+
 
+class RefreshedBlocklist:
+    """A blocklist that is read again when its snapshot is older than ``interval`` seconds.
 
-def refreshing_gate(
-    scans: DataFrame, read_blocklist: Callable[[], DataFrame], psl: DataFrame, path: str
-):
-    """Writer that gates each micro-batch with the blocklist as it is at that moment.
+    A snapshot has a version and the time it was read, and lies in the work folder in the form
+    that the gate meets: keys, not feeds. If a reading fails the last snapshot stays in use, and the next
+    call tries again. A restarted stream reads anew.
+    """
 
-    The batch number names the output folder and replaces it, so a repeated batch
-    leaves no second copy.
+    def __init__(
+        self, read: Callable[[], DataFrame], psl: DataFrame, interval: float = fv.BLOCKLIST_REFRESH_SECONDS,
+        clock: Callable[[], float] = time.time,
+    ):
+        self.read, self.psl, self.interval, self.clock = read, psl, interval, clock
+        self.version, self.read_at = 0, None
+        self.urls = self.domains = None
+
+    def _stored(self, frame: DataFrame, kind: str) -> DataFrame:
+        path = new_folder(frame.sparkSession, f"blocklist-{kind}-{self.version + 1}")
+        frame.write.parquet(path)
+        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+    def current(self) -> "RefreshedBlocklist":
+        now = self.clock()
+        if self.read_at is None or now - self.read_at > self.interval:
+            try:
+                urls, domains = block_keys(self.read(), self.psl)
+                self.urls, self.domains = self._stored(urls, "urls"), self._stored(domains, "domains")
+            except PySparkException:
+                if self.read_at is None:
+                    raise
+                log.warning("blocklist refresh failed, version %d stays", self.version, exc_info=True)
+            else:
+                self.version, self.read_at = self.version + 1, now
+        return self
+
+
+def refreshing_gate(scans: DataFrame, blocklist: RefreshedBlocklist, path: str):
+    """Writer that gates each micro-batch with the blocklist's snapshot of that time.
+
+    Rows tell the version of the snapshot (``list_version``).
     """
 
-    def gate_batch(batch: DataFrame, number: int) -> None:
-        gated = block_gate(batch, read_blocklist(), psl)
-        gated.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def step(batch: DataFrame) -> DataFrame:
+        now = blocklist.current()
+        gated = block_gate_by_keys(batch, now.urls, now.domains, now.psl)
+        return gated.withColumn("list_version", F.lit(now.version))
 
-    return scans.writeStream.foreachBatch(gate_batch)
+    return scans.writeStream.foreachBatch(batches_to(path, step))
 
 
 def stream_telemetry(scans: DataFrame) -> DataFrame:
@@ -230,38 +311,57 @@ def spend(at: int, used: int, start: int | None, frozen: bool, limit: int):
     return used + 1, start, False, "granted"
 
 
-def budget_step(limit: int, **sizes):
-    """One key's events against its budget, chunk by chunk."""
+class Budget(StatefulProcessor):
+    """One key's override events against its hourly budget."""
+
+    def __init__(self, limit: int, run: int = RUN):
+        self.limit, self.run = limit, run
 
-    def step(group: tuple, batches, state: GroupState):
-        used, start, frozen = state.get if state.exists else (0, None, False)
-        pairs = (np.column_stack([b["at"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64)]) for b in batches)
-        for chunk in in_order(pairs, **sizes):
-            for first in range(0, len(chunk), READ):
-                out = []
-                for at, event_id in chunk[first : first + READ].tolist():
-                    used, start, frozen, outcome = spend(at, used, start, frozen, limit)
-                    out.append((group[0], event_id, at, used, outcome))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.budget = handle.getValueState("budget", BUDGET_STATE)
+        self.ordered = InOrder(handle, ["at", "event_id"], self.run)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        used, start, frozen = self.budget.get() if self.budget.exists() else (0, None, False)
+        for frame in self.ordered.frames(rows):
+            events = zip(frame["at"].tolist(), frame["event_id"].tolist())
+            while out := list(itertools.islice(events, READ)):
+                for k, (at, event_id) in enumerate(out):
+                    used, start, frozen, outcome = spend(at, used, start, frozen, self.limit)
+                    out[k] = (key[0], event_id, at, used, outcome)
                 yield pd.DataFrame(out, columns=BUDGET_OUTPUT.fieldNames())
-        state.update((used, start, frozen))
+        self.budget.update((used, start, frozen))
+        if not frozen:
+            alone(self.handle, (start + HOUR) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The hour is over: a later event would begin a new one, unless the key is frozen."""
+        if self.budget.exists() and not self.budget.get()[2]:
+            self.budget.clear()
+        yield from ()
 
-    return step
+    def close(self) -> None:
+        pass
 
 
-def stream_budget(events: DataFrame, key: str, limit: int = fv.OVERRIDES_PER_HOUR) -> DataFrame:
+def stream_budget(
+    events: DataFrame, key: str, limit: int = fv.OVERRIDES_PER_HOUR, late: str = "1 hour", run: int = RUN
+) -> DataFrame:
     """Outcome of every override event: granted, exhausted (freezes) or frozen.
 
     The order of events decides, so one key is one state. Only key, id and instant go to
-    Python, where a key's events of a micro-batch are sorted and spent in chunks.
+    Python. The state of a key that falls silent is dropped when the watermark, ``late`` behind
+    the newest event, passes its hour; a frozen key stays. Rows without an instant take no part.
     """
+    when = F.col("ts").cast("timestamp")
     slim = events.select(
         F.col(key).cast("string").alias("key"),
         F.col("event_id").cast("bigint").alias("event_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-    )
-    return slim.groupBy("key").applyInPandasWithState(
-        budget_step(limit), BUDGET_OUTPUT, BUDGET_STATE, "append", GroupStateTimeout.NoTimeout
+        F.unix_micros(when).alias("at"), when.alias("ts"),
     )
+    waiting = slim.filter("at IS NOT NULL").withWatermark("ts", late)
+    return waiting.groupBy("key").transformWithStateInPandas(Budget(limit, run), BUDGET_OUTPUT, "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ sinks
