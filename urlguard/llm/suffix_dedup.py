@@ -53,7 +53,7 @@ SAMPLED_BYTES = 1 << 19  # bytes of text sampled for each bucket
 KEY = ["w0", "w1", "w2", "print"]  # the four sort tokens, before the document
 NAMES = [*KEY, "doc"]
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
-MARK, SUSPECT, EDGE = 0, 1, 2
+MARK, SUSPECT, EDGE, MIXED = 0, 1, 2, 3
 VERDICT = "kind byte, w0 long, w1 long, w2 long, print long, doc long"
 
 
@@ -279,7 +279,11 @@ def _dealt(length: int, every: bool, splitters: Suffixes):
 
 
 def _verdicts(suspects: bool):
-    """Sorts each bucket and judges its suffixes; the first and last groups are left open (EDGE)."""
+    """Sorts each bucket and judges its suffixes.
+
+    Only the first and the last run of a bucket can go on in another one. Their first rows are left
+    open: EDGE, or MIXED where the bucket shows that the run's tokens have a different run too.
+    """
 
     def told(kind: int, found: Suffixes, rows: np.ndarray) -> pa.RecordBatch:
         own = [column[rows] for column in found]
@@ -289,20 +293,18 @@ def _verdicts(suspects: bool):
 
     def judge(found: Suffixes) -> Iterator[pa.RecordBatch]:
         docs = found[-1]
-        new_group = _changes(found, 3)
-        group = np.cumsum(new_group) - 1
-        edge = (group == 0) | (group == group[-1])
-        yield told(EDGE, found, edge)
-        new_run = _changes(found, 4)
-        first = docs[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
-        later = first < docs
-        yield told(MARK, found, later & ~edge)
-        if not suspects:
-            return
+        new_run, new_group = _changes(found, 4), _changes(found, 3)
+        run, group = np.cumsum(new_run) - 1, np.cumsum(new_group) - 1
+        later = docs[np.flatnonzero(new_run)][run] < docs
+        yield told(MARK, found, later)
+        at_edge = ~later & ((run == 0) | (run == run[-1]))
         opens = np.flatnonzero(new_group)
         several = np.add.reduceat(new_run.astype(np.int64), opens) > 1
-        several &= np.minimum.reduceat(docs, opens) != np.maximum.reduceat(docs, opens)
-        yield told(SUSPECT, found, several[group] & ~later & ~edge)
+        yield told(EDGE, found, at_edge & ~several[group])
+        yield told(MIXED, found, at_edge & several[group])
+        if suspects:  # a group inside the bucket is whole: with one document it has nothing to lose
+            several[1:-1] &= (np.minimum.reduceat(docs, opens) != np.maximum.reduceat(docs, opens))[1:-1]
+            yield told(SUSPECT, found, several[group] & ~later & ~at_edge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -347,15 +349,14 @@ def repeated(texts: DataFrame, length: int, every: bool) -> DataFrame:
     judged = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_verdicts(not every), VERDICT)
     judged = stored(judged, "suffix-verdicts")
 
-    # Groups at the boundaries of buckets.
-    edges = judged.where(F.col("kind") == EDGE).drop("kind")
+    # Runs at the boundaries, at most two of a bucket.
+    edges = judged.where(F.col("kind") >= EDGE).distinct()
     firsts = edges.groupBy(*KEY).agg(F.min("doc").alias("first"))
-    both = firsts.groupBy(*KEY[:3]).agg((F.min("print") != F.max("print")).alias("several"))
-    later = lookup(edges, firsts, KEY, "inner")
-    later = lookup(later, both, KEY[:3], "inner").select(
-        F.when(F.col("doc") > F.col("first"), MARK).when(F.col("several"), SUSPECT).cast("byte").alias("kind"), *KEY, "doc"
-    )
-    return judged.where(F.col("kind") != EDGE).unionAll(later.where("kind is not null")).select("kind", "print", "doc")
+    groups = edges.groupBy(*KEY[:3]).agg(((F.min("print") != F.max("print")) | (F.max("kind") == MIXED)).alias("several"))
+    met = lookup(lookup(edges, firsts, KEY, "inner"), groups, KEY[:3], "inner")
+    verdict = F.when(F.col("doc") > F.col("first"), MARK).when(F.col("several"), SUSPECT)
+    settled = met.select(verdict.cast("byte").alias("kind"), "print", "doc").where("kind is not null")
+    return judged.where(F.col("kind") < EDGE).select("kind", "print", "doc").unionAll(settled)
 
 
 def _runs_in(texts: Column, prints: Column, length: int) -> Column:
