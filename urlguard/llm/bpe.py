@@ -17,7 +17,6 @@ import json
 from array import array
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +32,7 @@ from urlguard.llm.spans import LATIN, SPACED, Pieces
 NEVER = np.int64(1) << 40
 PIECES_HELD = 300_000
 SIDE_BY_SIDE = 24  # bytes of words that are merged side by side
+DECODED = 1 << 18  # ids decoded together
 
 # --- fixed value: the byte-level pre-tokenizer's pattern -----------------------------------
 PATTERN = (
@@ -41,6 +41,52 @@ PATTERN = (
 )
 
 
+class TokenTree:
+    """The prefixes of all tokens as a tree that many words walk at once; state 0 is the root.
+
+    Edges lie in an open-addressed table by state and byte.
+    """
+
+    def __init__(self, tokens: dict[bytes, int]):
+        edges: dict[int, int] = {}
+        ends = {}
+        for text, token in tokens.items():
+            state = 0
+            for byte in text:
+                state = edges.setdefault(state << 8 | byte, len(edges) + 1)
+            ends[state] = token
+        self.token = np.full(len(edges) + 1, -1, np.int64)
+        self.token[list(ends)] = list(ends.values())
+        bits = (4 * len(edges) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.next = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        keys, to = np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges))
+        slots, open_ = self._home(keys), np.arange(len(keys))
+        while len(open_):
+            at = slots[open_]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[open_[free]]
+            open_ = open_[self.keys[at] != keys[open_]]
+            slots[open_] = (slots[open_] + 1) & self.mask
+        self.next[slots] = to
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The states one byte further, or -1."""
+        keys = states << 8 | data
+        slots, found, open_ = self._home(keys), np.full(len(keys), -1), np.arange(len(keys))
+        while len(open_):
+            at = slots[open_]
+            held = self.keys[at]
+            hit = held == keys[open_]
+            found[open_[hit]] = self.next[at[hit]]
+            open_ = open_[~hit & (held >= 0)]
+            slots[open_] = (slots[open_] + 1) & self.mask
+        return found
+
+
 class Vocabulary:
     """The tables of one byte-level BPE tokenizer file."""
 
@@ -80,11 +126,9 @@ class Vocabulary:
             token: k for k, token in enumerate(self.bytes)
             if token and reachable[k] and token.decode("utf-8", "replace") not in self.special
         }
-        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token, k in self.known.items():
-            self.matcher.add_word(token.decode("latin-1"), k)
-        self.matcher.make_automaton()
+        self.tree = TokenTree(self.known)
         self.sizes = np.array([len(t) for t in self.bytes], np.int64)
+        self.places, self.joined = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
         split = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.splitter = regex.compile(f"({split})") if split else None
         self.pattern = regex.compile(PATTERN)
@@ -120,6 +164,14 @@ class Vocabulary:
             live = live[~bad & (undo_x | undo_y)]
         return good
 
+    def decoded(self, tokens: np.ndarray, edges: np.ndarray) -> list[str]:
+        """Texts of the tokens between the edges, gathered from one array of all tokens' bytes."""
+        sizes = self.sizes[tokens]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        whole = self.joined[np.repeat(self.places[tokens] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+        places = upto[edges].tolist()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(places, places[1:])]
+
     def _reachable(self) -> np.ndarray:
         """Whether merging a token's own bytes gives that token."""
         made = np.flatnonzero(self.rank >= 0)
@@ -129,10 +181,37 @@ class Vocabulary:
             fine[k] = fine[k] and fine[self.left[k]] and fine[self.right[k]]
         return fine
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        whole = self.known.get(word)
-        return [whole] if whole is not None else [k for _, k in self.matcher.iter_long(word.decode("latin-1"))]
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words side by side: tokens in order, and the word of each."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        word = np.flatnonzero(sizes > 0)
+        end = np.cumsum(sizes)[word]
+        here = begin = end - sizes[word]
+        state, best, after = (np.zeros(len(word), np.int64), np.full(len(word), -1), begin)
+        tokens, owners = [], []
+        while len(word):
+            # One byte further down the tree of tokens, where there is one.
+            state = np.where(here < end, self.tree.step(state, data[np.minimum(here, len(data) - 1)]), -1)
+            here = here + 1
+            token = np.where(state >= 0, self.tree.token[state], -1)
+            best, after = np.where(token >= 0, token, best), np.where(token >= 0, here, after)
+            done = np.flatnonzero(state < 0)
+            if not len(done):
+                continue
+            hit = done[best[done] >= 0]
+            tokens.append(best[hit])
+            owners.append(word[hit])
+            after[done[best[done] < 0]] += 1  # a byte that starts no token
+            here[done], state[done], best[done] = after[done], 0, -1
+            left = here < end
+            left[state > 0] = True
+            if not left.all():
+                word, end, here, state, best, after = (v[left] for v in (word, end, here, state, best, after))
+        flat = np.concatenate(tokens or [np.zeros(0, np.int64)])
+        owner = np.concatenate(owners or [np.zeros(0, np.int64)])
+        order = np.argsort(owner, kind="stable")  # a word's tokens were found in order
+        return flat[order], owner[order]
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: lowest rank first, leftmost first among equals."""
@@ -201,23 +280,23 @@ class Vocabulary:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
-        proposals = [self.propose(w) for w in raw]
-        sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+        flat, owner = self.propose(raw)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, where = np.unique((flat[inside] << 32) | flat[inside + 1], return_inverse=True)
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         # A proposal must cover its word, too.
         covered = np.bincount(owner, self.sizes[flat], len(words)) == [len(w) for w in raw]
         failing = np.union1d(owner[inside[~good[where]]], np.flatnonzero(~covered)).tolist()
+        ids, edges = flat.astype("<u4").tobytes(), np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        edges = edges.tolist()
+        found = [ids[a:b] for a, b in zip(edges, edges[1:])]
         short = [k for k in failing if len(raw[k]) <= SIDE_BY_SIDE]
         for k, tokens in zip(short, self.merged_together([raw[k] for k in short])):
-            proposals[k] = tokens
+            found[k] = array("I", tokens).tobytes()
         for k in failing:
             if len(raw[k]) > SIDE_BY_SIDE:
-                proposals[k] = self.merged(raw[k])
-        return [array("I", p).tobytes() for p in proposals]
+                found[k] = array("I", self.merged(raw[k])).tobytes()
+        return found
 
 
 class Encoder:
@@ -277,17 +356,17 @@ def decode(ids: Column | str, path: str) -> Column:
 
     @F.arrow_udf(StringType())
     def text_of(lists: pa.Array) -> pa.Array:
-        tokens = encoder(path).vocabulary.bytes
+        vocabulary = encoder(path).vocabulary
         flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
         texts, at = [], 0
-        for size in pc.list_value_length(lists).to_pylist():
-            if size is None:
-                texts.append(None)
-                continue
-            whole = b"".join([tokens[k] for k in flat[at : at + size].tolist()])
-            texts.append(whole.decode("utf-8", "replace"))
-            at += size
-        return pa.array(texts, pa.string())
+        sizes = pc.list_value_length(lists)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(lists):  # rows of about DECODED ids together
+            end = max(start + 1, int(np.searchsorted(ends, at + DECODED, "right")))
+            texts += vocabulary.decoded(flat[at : ends[end - 1]], np.append(at, ends[start:end]) - at)
+            start, at = end, int(ends[end - 1])
+        return pc.if_else(sizes.is_valid(), pa.array(texts, pa.string()), None)
 
     return text_of(ids)
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,30 +68,11 @@ def slices(texts: list[str], chars: int = 1_000_000):
         yield start, len(texts)
 
 
-class Generations(dict):
-    """A look-up of bounded size: entries not used for a whole generation are let go."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def take(self, keys) -> tuple[dict, list]:
-        """What is held of the keys, in a small dict of its own, and the keys that are not held."""
-        get, old, taken, missing = self.get, self.old.get, {}, []
-        for key in keys:
-            value = get(key)
-            if value is None:
-                value = old(key)
-                if value is None:
-                    missing.append(key)
-                    continue
-                self[key] = value
-            taken[key] = value
-        return taken, missing
-
-    def learn(self, found: dict) -> None:
-        """Adds entries; starts a new generation when this one is full."""
-        if len(self) + len(found) > self.size:
-            self.old = dict(self)
-            self.clear()
-        self.update(found)
+def text_slices(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column without nulls in runs of about this many bytes: (first row, texts)."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, column.slice(start, end - start).to_pylist()
+        start, before = end, int(ends[end - 1])

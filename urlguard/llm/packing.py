@@ -23,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import stored, text_or_empty
+from urlguard.llm.common import stored, text_or_empty, text_slices
 from urlguard.llm.tokens import piece_encoder
 from urlguard.operators.lookup import lookup
 
-PIECES = (
-    "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, _part long, _nth long"
-)
+IDS = "ids binary"
+PIECES = f"doc_id long, piece int, start long, length long, ids_crc32 long, {IDS}, _part long, _nth long"
 
 
 class OpenCapacities:
@@ -101,29 +100,34 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return lines
 
 
-def pieces(documents: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
-    """Documents as pieces of at most ``capacity`` ids, written down with each piece's place in its task."""
+def pieces(documents: DataFrame, path: str, end_id: int, capacity: int, keep_ids: bool = True) -> DataFrame:
+    """Documents as pieces of at most ``capacity`` ids, each with its place in its task.
+
+    The ids themselves are a column only if asked for.
+    """
+    fields = [f.split() for f in PIECES.split(", ") if keep_ids or f != IDS]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind] for _, kind in fields]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = piece_encoder(path), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), {}
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    seen[length] = nth = seen.get(length, -1) + 1
-                    rows.append((doc_id, piece, at // 4, length, zlib.crc32(own), own, part, nth))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in PIECES.split(", ")]
-            )
+            for first, texts in text_slices(batch.column(1)):
+                columns: dict[str, list] = {name: [] for name, _ in fields}
+                doc_ids = batch.column(0).slice(first, len(texts)).to_pylist()
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = memoryview(ids)[at : at + 4 * capacity]
+                        length = len(own) // 4
+                        seen[length] = nth = seen.get(length, -1) + 1
+                        row = (doc_id, piece, at // 4, length, zlib.crc32(own), *([own] if keep_ids else []), part, nth)
+                        for held, value in zip(columns.values(), row):
+                            held.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns.values(), kinds)], list(columns))
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(cut, ", ".join(map(" ".join, fields)))
 
 
 def seat(placed: DataFrame, capacity: int) -> DataFrame:
@@ -162,8 +166,7 @@ def pack(
 
     ``path`` names a tokenizers file. Without ``keep_ids`` only the ids' checksum stays.
     """
-    cut = pieces(documents, path, end_id, capacity)
-    return seat(stored(cut if keep_ids else cut.drop("ids"), "pieces"), capacity)
+    return seat(stored(pieces(documents, path, end_id, capacity, keep_ids), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
-from urlguard.llm.common import SPACE, Generations, slices
+from urlguard.llm.common import SPACE, slices
 
 PART = 1 << 20  # bytes hashed at once
 SHORT = 64  # bytes; longer spans are hashed one by one
@@ -91,17 +91,69 @@ def spaced(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
     return data, starts, ends, np.searchsorted(starts, places)
 
 
+class _Slots:
+    """Ids by 64-bit names, in arrays: an open-addressed table of names and one array of all ids."""
+
+    def __init__(self, entries: int):
+        bits = max(4, (2 * entries).bit_length())
+        self.shift, self.mask, self.room = np.uint64(64 - bits), (1 << bits) - 1, entries
+        self.names = np.zeros(1 << bits, np.uint64)
+        self.starts, self.sizes = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
+        self.flat, self.used, self.count = np.zeros(1024, "<u4"), 0, 0
+
+    def _home(self, names: np.ndarray) -> np.ndarray:
+        return ((names * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """Slot of each name, or -1."""
+        found, slots, open_ = np.full(len(names), -1), self._home(names), np.arange(len(names))
+        while len(open_):
+            at = slots[open_]
+            held = self.names[at]
+            hit = held == names[open_]
+            found[open_[hit]] = at[hit]
+            open_ = open_[~hit & (held != 0)]
+            slots[open_] = (slots[open_] + 1) & self.mask
+        return found
+
+    def add(self, names: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct names that are not there, with the joined ids of all."""
+        slots, open_ = self._home(names), np.arange(len(names))
+        while len(open_):
+            at = slots[open_]
+            free = self.names[at] == 0
+            self.names[at[free]] = names[open_[free]]
+            open_ = open_[self.names[at] != names[open_]]
+            slots[open_] = (slots[open_] + 1) & self.mask
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), "<u4")])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[slots] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[slots] = sizes
+        self.used, self.count = self.used + len(ids), self.count + len(names)
+
+    def joined(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes, and all ids one after the other."""
+        sizes = self.sizes[slots].astype(np.int64)
+        upto = np.cumsum(sizes)
+        offset = self.starts[slots] - (upto - sizes)
+        return sizes, self.flat[np.repeat(offset, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 class Pieces:
     """Ids of texts from the ids of their pieces, of which a bounded number is remembered.
 
     ``learn`` gives the ids (little-endian unsigned 32-bit) of new pieces. With ``by_word`` case
     and white space do not matter; otherwise pieces are as SPACED has them. Texts with a special
-    token's literal, or that bytes cannot be cut by, go to ``whole``.
+    token's literal, or that bytes cannot be cut by, go to ``whole``. Of two generations of at most
+    ``size`` pieces (or those of one slice of texts) the older is let go when the younger is full; a
+    piece takes some 40 bytes, mostly slots.
     """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], special: list[str], by_word: bool, size: int):
         self.learn, self.whole, self.special, self.by_word = learn, whole, special, by_word
-        self.held = Generations(size)
+        self.size = size
+        self.young, self.old = _Slots(size), _Slots(1)
 
     def _odd(self, texts: list[str], raw: list[bytes]) -> list[bool]:
         wide = not self.by_word and any(any(w in r for w in _WIDE_STARTS) for r in raw if not r.isascii())
@@ -111,30 +163,40 @@ class Pieces:
             for t in texts
         ]
 
+    def _held(self, names: np.ndarray, spans: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Slots of distinct names in the younger generation, into which all of them go."""
+        if self.young.count + len(names) > self.young.room:
+            self.old, self.young = self.young, _Slots(max(self.size, len(names)))
+        missing = np.flatnonzero(self.young.find(names) < 0)
+        known = self.old.find(names[missing])
+        again = known >= 0
+        if again.any():
+            self.young.add(names[missing[again]], *self.old.joined(known[again]))
+        new = missing[~again]
+        if len(new):
+            learned = self.learn(spans(new))
+            sizes = np.fromiter(map(len, learned), np.int64, len(learned)) // 4
+            self.young.add(names[new], sizes, np.frombuffer(b"".join(learned), "<u4"))
+        return self.young.find(names)
+
     def _together(self, texts: list[bytes]) -> list[bytes]:
         if not texts:
             return []
         data, starts, ends, edges = (words if self.by_word else spaced)(texts)
         if not len(starts):
             return [b""] * len(texts)
-        names, first, each = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = names.tolist()
-        known, new = self.held.take(dict.fromkeys(keys))
-        if new:
-            place = dict(zip(keys, first.tolist()))
-            spans = [data[starts[k] : ends[k]].decode() for k in map(place.__getitem__, new)]
-            learned = dict(zip(new, self.learn(spans)))
-            self.held.learn(learned)
-            known |= learned
-        ids = [known[k] for k in keys]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        own = sizes[each]
-        upto = np.concatenate([[0], np.cumsum(own)])
-        offset = (np.cumsum(sizes) - sizes)[each] - upto[:-1]
-        result = flat[np.repeat(offset, own) + np.arange(upto[-1])].tobytes()
-        places = (upto[edges] * 4).tolist()
-        return [result[a:b] for a, b in zip(places, places[1:])]
+        hashes = span_hashes(data, starts, ends)
+        hashes[hashes == 0] = 1  # marks a free slot
+        names, first, each = np.unique(hashes, return_index=True, return_inverse=True)
+
+        def spans(new: np.ndarray) -> list[str]:
+            return [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+
+        slots = self._held(names, spans)
+        sizes, result = self.young.joined(slots[each])
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        places = upto[edges].tolist()
+        return [result[a:b].tobytes() for a, b in zip(places, places[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
