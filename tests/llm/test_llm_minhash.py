@@ -100,3 +100,25 @@ def test_empty_table(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
     rows = minhash.near_duplicates(documents(spark, [(1, None), (2, "  ")])).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_one_document_with_two_texts_joins_their_classes(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    check(spark, [(1, a), (2, b), (5, a), (5, b)])
+    check(spark, [(9, a), (7, b), (5, a), (5, b), (5, c), (5, ""), (4, c + " tail"), (8, None)])
+    # Class b has no document of its own: both of its rows belong to documents that are at home elsewhere.
+    check(spark, [(1, a), (1, b), (2, c), (2, b), (3, b + " x"), (6, b)])
+
+
+def test_a_third_of_the_rows_repeats_one_document(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    texts = family(5, 40)
+    order = list(range(100, 100 + len(texts)))
+    rows = list(zip(order, texts)) + [(120, texts[20])] * 20 + [(121, t) for t in texts[:6]] + [(None, texts[3])] * 5
+    check(spark, rows)
+
+
+def test_long_sets_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    texts = family(6, 30)
+    check(spark, [(k, t) for k, t in enumerate(texts, 10)])

@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard.llm import spans
-from urlguard.llm.common import private, slices, stored, text_or_empty
+from urlguard.llm.common import private, stored, text_or_empty, text_slices
 from urlguard.llm.components import components
 from urlguard.operators.lookup import lookup
 
 BANDS, ROWS, WORDS = 51, 5, 5
 BLOCK = 256  # members of a bucket compared at once
+BLOCK_SHINGLES = 1 << 21  # and the shingles of their sets (16 MB), about
 CHUNK = 1 << 14  # shingles hashed at once
 NODES_SENT = 1_000_000  # node ids (8 bytes each) that may be broadcast
 WORD = r"[^\x20\x09-\x0D]"  # what a text with a word has
@@ -101,9 +102,8 @@ def features(text: Column | str, words: int, count: int) -> Column:
     @F.arrow_udf("n long, hi long, lo long, sig binary")
     def compute(texts: pa.Array) -> pa.Array:
         sizes, his, los, sigs = [], [], [], []
-        texts = texts.to_pylist()
-        for start, end in slices(texts):
-            sets = shingle_sets(texts[start:end], words)
+        for _, part in text_slices(texts):
+            sets = shingle_sets(part, words)
             full = iter(signatures([s for s in sets if len(s)], count))
             for s in sets:
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
@@ -119,11 +119,14 @@ def features(text: Column | str, words: int, count: int) -> Column:
 
 
 def _set_of(text: Column, words: int) -> Column:
-    @F.arrow_udf("binary")
+    """Struct(hi, lo, set): a text's set and its 128-bit hash."""
+
+    @F.arrow_udf("hi long, lo long, set binary")
     def compute(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
-        parts = (shingle_sets(texts[start:end], words) for start, end in slices(texts))
-        return pa.array([s.tobytes() for part in parts for s in part], pa.binary())
+        found = [s.tobytes() for _, part in text_slices(texts) for s in shingle_sets(part, words)]
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in found), "<i8").reshape(-1, 2)
+        columns = [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(found, pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["hi", "lo", "set"])
 
     return compute(text)
 
@@ -266,9 +269,23 @@ def grouped(
     marked = given.select("doc_id", "node", features("text", words, count).alias("f"))
     held = stored(marked.select("doc_id", "node", "f.*"), "signatures")
 
-    classes = stored(held.where("n > 0").groupBy("hi", "lo").agg(F.min("node").alias("rep")), "classes")
-    stands = classes.select(F.col("rep").alias("node")).distinct()
-    reps = stored(held.where("n > 0").select("node", "sig").join(stands, "node").distinct(), "reps")
+    # A node with several sets has its home in one class; its other classes are linked with that one.
+    full = held.where("n > 0")
+    homes = full.groupBy("node").agg(F.min(F.struct("hi", "lo")).alias("home"), F.max(F.struct("hi", "lo")).alias("other"), F.count("*").alias("rows"))
+    homes = stored(homes, "homes")
+    several = homes.where("home != other").select("node", "home")
+    homed = lookup(full.select("node", "hi", "lo"), several, "node", "left")
+    at_home = F.col("home").isNull() | (F.col("home") == F.struct("hi", "lo"))
+    named = homed.groupBy("hi", "lo").agg(F.min(F.when(at_home, F.col("node"))).alias("rep"), F.min("node").alias("carrier"))
+    # A class that is home to no node gets a number of its own.
+    number = F.shiftrightunsigned(F.xxhash64("hi", "lo"), 2) + F.lit(NAMELESS)
+    classes = stored(named.select("hi", "lo", F.coalesce("rep", number).alias("rep"), "carrier"), "classes")
+    away = homed.where(~at_home).distinct().join(classes, ["hi", "lo"]).select("home", F.col("rep").alias("u"))
+    home_of = classes.select(F.struct("hi", "lo").alias("home"), F.col("rep").alias("v"))
+    shared = away.join(home_of, "home").select("u", "v").distinct()
+    stands = classes.select("hi", "lo", F.col("carrier").alias("node"), "rep")
+    reps = full.select("hi", "lo", "node", "n", "sig").join(stands, ["hi", "lo", "node"])
+    reps = stored(reps.select(F.col("rep").alias("node"), "n", "sig").distinct(), "reps")
 
     places = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("sig", k * rows + 1, rows).alias("part")) for k in range(bands)])
     banded = reps.select("node", F.explode(places).alias("p"))
@@ -276,11 +293,18 @@ def grouped(
     leads = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("size"))
     members = stored(lookup(banded, leads.where("lead != last"), "bucket", "inner"), "members")
 
-    involved = members.select("node").distinct()
-    involved = stored(involved, "involved")
+    involved = members.select(F.col("node").alias("rep")).distinct().join(classes, "rep")
+    involved = stored(involved.select(F.col("carrier").alias("node"), "rep", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo")), "involved")
     if involved.count() <= NODES_SENT:
         involved = F.broadcast(involved)
-    sets = stored(given.select("node", "text").join(involved, "node").select("node", _set_of(F.col("text"), words).alias("set")), "sets")
+    read = given.select("node", "text").join(involved, "node").withColumn("s", _set_of(F.col("text"), words))
+    read = read.where("s.hi = own_hi AND s.lo = own_lo").select("node", F.col("rep"), F.col("s.set").alias("set"))
+    read = stored(read, "sets-read")
+    # Rows that repeat a document bring its set once.
+    repeated = homes.where("rows > 1").select("node")
+    once = read.join(repeated, "node", "left_anti").select("rep", "set")
+    more = read.join(repeated, "node", "left_semi").dropDuplicates(["rep"]).select("rep", "set")
+    sets = once.unionAll(more).withColumnRenamed("rep", "node")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links (u, v) among pairs (a, b)."""
@@ -296,16 +320,17 @@ def grouped(
     signed = led.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     signed = signed.join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     links = confirmed(signed.where(_agreement(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b"))
+    links = stored(links.unionAll(shared), "links")
     parts = components(links)
 
     # Open buckets: members of several components besides the smallest, whose pairs are done.
     rest = members.where("size > 2 and node != lead").select("bucket", "band", "node")
-    placed = rest.join(parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("c"))
-    placed = stored(placed, "placed")
-    spread = placed.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rest.join(parts, "node", "left").join(reps.select("node", "n"), "node")
+    placed = stored(placed.select("bucket", "band", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
+    spread = placed.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     open_buckets = spread.where("c1 != c2").select("bucket", blocks.alias("blocks"))
-    opened = lookup(placed, open_buckets, "bucket", "inner").join(reps, "node")
+    opened = lookup(placed.drop("n"), open_buckets, "bucket", "inner").join(reps.drop("n"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
@@ -322,8 +347,11 @@ def grouped(
 
     roots = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("hi", "lo", F.coalesce("component", "rep").alias("root"))
-    rooted = held.where("n > 0").join(stored(roots, "roots"), ["hi", "lo"])
-    empty = held.where("n = 0").withColumn("root", F.col("node"))
+    roots = stored(roots, "roots")
+    rooted = full.join(roots, ["hi", "lo"])
+    # An empty row of a document that has a set as well goes with it.
+    home_root = homes.join(roots.select(F.struct("hi", "lo").alias("home"), "root"), "home").select("node", "root")
+    empty = lookup(held.where("n = 0"), home_root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     every = rooted.select("doc_id", "node", "n", "root").unionAll(empty.select("doc_id", "node", "n", "root"))
     return every.select(
         "doc_id", "node", F.col("n").alias("n_shingles"),
