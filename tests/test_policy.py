@@ -23,16 +23,6 @@ def test_rolling_count_with_a_hot_key(spark):
         assert got[k] == used
 
 
-def test_running_totals_by_slice(spark):
-    rng = random.Random(2)
-    rows = [(k, rng.choice("aab"), at(rng.randrange(0, 900))) for k in range(500)]
-    df = spark.createDataFrame(rows, "event_id int, kind string, ts timestamp")
-    got = {r.event_id: r.used for r in policy.running_totals(df, "kind", "ts", "event_id").collect()}
-    for kind in "ab":
-        mine = sorted((ts, k) for k, x, ts in rows if x == kind)
-        assert [got[k] for _, k in mine] == list(range(1, len(mine) + 1))
-
-
 def test_frozen_actions_against_replay(spark):
     rng = random.Random(4)
     rows = []

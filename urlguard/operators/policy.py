@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from urlguard import fixed_values as fv
 from urlguard.functions.text import percent
-from urlguard.functions.times import micros, seconds
+from urlguard.functions.times import micros
 from urlguard.operators.lookup import lookup
+from urlguard.operators.timelines import carried_forward, in_slices
 
 
 def blank(c: Column) -> Column:
@@ -257,28 +258,6 @@ def promotions(runs: DataFrame, approvals: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ budgets and freezes
 
 
-def running_totals(
-    df: DataFrame, key: str, ts: str, row_id: str, slice_seconds: int = SLICE_SECONDS
-) -> DataFrame:
-    """Adds ``used``: the number of each event of its key in (time, id) order.
-
-    Counts per time slice are summed in slice order; rows are numbered inside their
-    slice only.
-    """
-    sliced = df.withColumn("_slice", F.floor(seconds(ts) / slice_seconds))
-    counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(key, "_slice").orderBy(ts, row_id)
-    return (
-        sliced.join(offsets, [key, "_slice"])
-        .withColumn("used", F.col("_before") + F.row_number().over(inside))
-        .drop("_slice", "_before")
-    )
-
-
 def safety_budget(events: DataFrame) -> DataFrame:
     """Per event kind: used, limit, exceeded and when the limit was first passed.
 
@@ -324,32 +303,24 @@ def freeze_state(events: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def frozen_actions(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def frozen_actions(events: DataFrame) -> DataFrame:
     """Actions attempted while frozen.
 
-    State at an action is the latest valid switch before it. Time is cut into slices:
-    the last switch of each slice is carried forward over the small table of slices,
-    and inside a slice a window finds the latest switch. No task sees the whole timeline.
+    State at an action is the latest valid switch before it, by time and then event. The events are cut
+    into slices of about equal size in that order, also inside one crowded instant; the last switch of
+    each slice is carried forward over groups of slices, and inside a slice a window finds the
+    latest switch. No task sees the whole timeline.
     """
-    slice_no = F.floor(seconds("ts") / slice_seconds)
     switches = valid_switches(events).select("ts", "event_id", "kind")
     actions = events.filter("kind = 'ACTION'").select("ts", "event_id", "kind")
-    both = switches.unionByName(actions).withColumn("_slice", slice_no)
+    both = in_slices(switches.unionByName(actions), "ts", "event_id")
     state = F.when(F.col("kind") != "ACTION", F.col("kind"))
     position = F.when(F.col("kind") != "ACTION", F.struct("ts", "event_id"))
-    per_slice = both.groupBy("_slice").agg(F.max_by("kind", position).alias("_kind"))
-    # One row per slice of time: its size is bounded by the time covered, not the rows.
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(
-        "_slice", F.last("_kind", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    inside = (
-        Window.partitionBy("_slice").orderBy("ts", "event_id")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    last = both.groupBy("_slice").agg(F.max_by("kind", position).alias("_kind"))
+    inside = Window.partitionBy("_slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        both.join(carried, "_slice")
-        .withColumn("_state", F.coalesce(F.last(state, ignorenulls=True).over(inside), "_carried"))
+        both.join(carried_forward(last, "_kind"), "_slice")
+        .withColumn("_state", F.coalesce(F.last(state, ignorenulls=True).over(inside), "carried"))
         .filter("kind = 'ACTION' AND _state = 'FREEZE'")
         .select("event_id", "ts")
     )

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlguard.operators.timelines import in_slices
+
 # Of a pair of columns: rows, sums, sums of squares and of products.
 SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
@@ -44,26 +46,49 @@ def nunique(df: DataFrame, columns: list[str]) -> DataFrame:
     return value_counts(df, columns).groupBy("column").agg(F.count("value").alias("nunique"))
 
 
+# --- fixed value: the quartiles of a description ---------------------------------------
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def describe_t(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, from the value counts."""
-    v, n = F.col("value"), F.col("n")
-    counted = value_counts(df, columns).filter(v.isNotNull())
-    total = F.sum(n)
-    spread = F.sum(v * v * n) - F.sum(v * n) * F.sum(v * n) / total
-
-    def quantile(q: float):
-        return F.percentile(v, F.lit(q), n)
-
-    return counted.groupBy("column").agg(
-        total.alias("count"),
-        (F.sum(v * n) / total).alias("mean"),
-        F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (total - 1))).alias("std"),
-        F.min(v).alias("min"),
-        quantile(0.25).alias("q25"),
-        quantile(0.5).alias("q50"),
-        quantile(0.75).alias("q75"),
-        F.max(v).alias("max"),
+    """count, mean, std, min, quartiles and max per column; NaN is a value, null is not.
+
+    Mean and spread merge partial means, so large values do not cancel. Quartiles (linear between
+    neighbours) are exact order statistics: values with their counts are cut into ranges, the
+    counts of the ranges tell which of them hold a wanted rank, and only those are sorted.
+    """
+    v = F.col("value")
+    known = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter(v.isNotNull())
+    base = known.groupBy("column").agg(
+        F.count("*").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    ranged = in_slices(known.groupBy("column", "value").agg(F.count("*").alias("n")), "column", "value")
+
+    # Where each range's ranks begin; a column has at most as many ranges as there are partitions.
+    sizes = ranged.groupBy("column", "_slice").agg(F.sum("n").alias("size"))
+    everything = Window.partitionBy("column")
+    upto = F.sum("size").over(everything.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sizes.select("column", "_slice", "size", (upto - F.col("size")).alias("before"), F.sum("size").over(everything).alias("total"))
+    wanted = []
+    for name, q in QUARTILES.items():
+        position = (F.col("total") - 1) * q
+        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+            wanted.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), rank.alias("rank"), (position - F.floor(position)).alias("part")))
+    asked = placed.select("column", "_slice", "before", "size", F.explode(F.array(*wanted)).alias("w"))
+    asked = asked.filter((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("size")))
+    asked = asked.select("column", "_slice", "w.q", "w.side", "w.part", (F.col("w.rank") - F.col("before")).alias("place"))
+
+    # Only the ranges that hold a wanted rank are sorted.
+    holding = ranged.join(F.broadcast(asked.select("column", "_slice").distinct()), ["column", "_slice"])
+    inside = Window.partitionBy("column", "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    counted = holding.withColumn("upto", F.sum("n").over(inside))
+    met = counted.join(F.broadcast(asked), ["column", "_slice"]).filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    ends = met.groupBy("column", "q").agg(
+        *[F.max(F.when(F.col("side") == side, v)).alias(side) for side in ("low", "high")], F.max("part").alias("part")
     )
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
+    quartiles = ends.groupBy("column").agg(*[F.max(F.when(F.col("q") == name, between)).alias(name) for name in QUARTILES])
+    return base.join(quartiles, "column").select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from urlguard import fixed_values as fv
 from urlguard.functions.text import percent
 from urlguard.functions.times import micros
 from urlguard.functions.urls import sanitize_signal, scan_key, validate_url
+from urlguard.operators.timelines import entries_made
 
 VERDICTS = ("SAFE", "SUSPICIOUS", "PHISHING")
 
@@ -193,42 +190,19 @@ def latency_hist(df: DataFrame) -> DataFrame:
     )
 
 
-def _insertions(ttl: int):
-    """Counts, over (key, time) in order, the looks that find nothing and start a new entry."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, 0
-        for batch in batches:
-            keys, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            n = 0
-            for start, end in zip(edges, edges[1:]):
-                if start == end:
-                    continue
-                times = at[start:end]
-                if keys[start] != key:
-                    key, last = keys[start], int(times[0]) - ttl
-                position = int(times.searchsorted(last + ttl))
-                while position < len(times):
-                    n, last = n + 1, int(times[position])
-                    position = int(times.searchsorted(last + ttl))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return run
-
-
 def cache_hits(df: DataFrame, ttl: int = 3600) -> DataFrame:
     """One row: lookups, hits, hit rate. An entry lives ``ttl`` seconds from the look that made it.
 
     A hit does not renew its entry. Trusted and invalid input is looked up and never kept. Looks
-    at one instant are merged first; a key's instants are then read in order with one time held.
+    at one instant are merged first. A key's timeline is cut into days (or a longer life of an entry),
+    which are put together as functions, so a hot key is many tasks (see ``timelines.entries_made``).
     """
     kept = validate_url(F.col("url"))["ok"]
     if "is_trusted" in df.columns:
         kept = kept & ~F.coalesce("is_trusted", F.lit(False))
     looks = df.select(F.coalesce(kept, F.lit(False)).alias("kept"), scan_key(F.col("url")).alias("k"), micros("ts").alias("t"))
-    instants = looks.filter("kept").select("k", "t").distinct().repartition("k").sortWithinPartitions("k", "t")
-    made = instants.mapInArrow(_insertions(ttl * 1_000_000), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("made"))
+    instants = looks.filter("kept").select("k", "t").distinct()
+    made = entries_made(instants, ttl * 1_000_000, max(ttl, 86_400) * 1_000_000)
     totals = looks.agg(F.count("*").alias("lookups"), F.count_if("kept").alias("_kept"))
     return totals.select(
         "lookups", (F.col("_kept") - made.scalar()).alias("hits"),

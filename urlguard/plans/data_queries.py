@@ -250,6 +250,17 @@ R.add(
         quantile_cont(value, 0.75)::DOUBLE AS q75, max(value)::DOUBLE AS max
         FROM (UNPIVOT (SELECT {', '.join(COLUMNS)} FROM ck_feat) ON {', '.join(COLUMNS)} INTO NAME col VALUE value) u GROUP BY col""",
 )
+PRICES = "SELECT l_extendedprice AS price, l_extendedprice * 1000 + 1e11 AS large, l_discount AS discount, l_tax - l_discount AS rest FROM lineitem"
+R.add(
+    "p03_describe_prices",
+    lambda i: rounded(
+        profile.describe_t(i.sql(PRICES), ["price", "large", "discount", "rest"]), "mean", "std", "min", "q25", "q50", "q75", "max", digits=4
+    ),
+    f"""SELECT col AS "column", count(*) AS count, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
+        round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(quantile_cont(value, 0.5), 4) AS q50,
+        round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max
+        FROM (UNPIVOT ({PRICES}) ON price, large, discount, rest INTO NAME col VALUE value) u GROUP BY col""",
+)
 R.add(
     "p04_correlation",
     lambda i: rounded(profile.corr_matrix(stored_features(i), COLUMNS), "corr", digits=6),
