@@ -5,13 +5,21 @@ run of characters that occurs in the language's text. Cutting a text greedily in
 language that needs the fewest phrases for its length wins.
 
 The automata are learned from a bounded sample: of each language at most ``sample_rows`` distinct
-labelled texts (those with the smallest hashes), and ``sample_chars`` characters of them. A text's
-letters are lower-cased; runs of other characters count as one blank. A text is parsed whole, in
-blocks of BLOCK characters side by side; a phrase ends with its block.
+labelled texts (those with the smallest hashes), each with an equal share of ``sample_chars``
+characters, so that no long text is the whole sample. A text's letters are lower-cased; runs of other
+characters count as one blank. Beyond the LETTERS most frequent letters of a language's sample its other
+letters count as one; a letter that is not in the sample is a phrase by itself. A text is parsed whole, in blocks of BLOCK
+characters side by side; a phrase ends with its block.
+
+A language's entropy is its number of phrases times the logarithm of its sample's length: phrases are
+longer in a longer sample, and a language with little labelled text is not at a loss. The table of a
+language has at most 2 * ``sample_chars`` states of LETTERS + 2 numbers (some 10 MB for 40,000
+characters of a Latin script, 42 MB at most); ``MODEL_BYTES`` bounds all of them, and more languages than
+fit are refused.
 
 Texts that are null or have no letter get ``und`` and score 0; so does every text if nothing could
-be learned. Ties go to the language first in order. The score is one minus the best number of
-phrases over the second best (over the number of characters, with one language). Rows that repeat
+be learned. Ties go to the language first in order. The score is one minus the best entropy over
+the second best (over that of a phrase for each character, with one language). Rows that repeat
 are predicted alike; other columns pass unchanged, those named like an added one are replaced.
 """
 
@@ -25,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import others, private, slices, text_or_empty
+from urlguard.llm.common import others, private, text_or_empty, text_slices
 
 UNKNOWN = "und"
 BLOCK = 512
 RESTART = 1 << 30  # flag of a transition that starts a new phrase
 MODEL_CHARS = 40_000
 MODEL_ROWS = 200
+LETTERS = 128  # symbols of a language that are told apart
+MODEL_BYTES = 256 << 20  # of all tables
+PARSED = 1_000_000  # bytes of text parsed together
 
 
 @functools.lru_cache(maxsize=1)
@@ -41,13 +52,13 @@ def _letters() -> np.ndarray:
 
 
 class Parser(NamedTuple):
-    """All languages' automata in one table of transitions."""
+    """All languages' automata."""
 
     languages: list[str]
-    roots: np.ndarray  # first state of each language
-    symbols: np.ndarray  # symbol of each code point known; the last symbol stands for the rest
-    table: np.ndarray  # next state by state * width + symbol, flagged where a phrase starts
-    width: int
+    weights: np.ndarray  # logarithm of each sample's length
+    symbols: list[np.ndarray]  # of each language the symbol of each code point seen; rare ones share one, the last is for others
+    tables: list[np.ndarray]  # of each language the next state by state * width + symbol, flagged where a phrase starts
+    widths: list[int]
 
 
 def cleaned(text: str) -> np.ndarray:
@@ -93,29 +104,34 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 def parser(samples: dict[str, list[str]], sample_chars: int) -> Parser:
     """Builds the automata from texts of each language."""
-    texts = {
-        name: np.concatenate([np.append(cleaned(t), 32) for t in found])[:sample_chars].astype(np.int64)
-        for name, found in sorted(samples.items())
-    }
-    known = sorted(set().union(*(set(t.tolist()) for t in texts.values())) | {32})
-    width = len(known) + 1
-    symbols = np.full(max(known) + 1, width - 1, np.int32)
-    symbols[known] = np.arange(len(known))
-    tables, roots, start = [], [], 0
-    for codes in texts.values():
+    found = Parser([], np.zeros(0), [], [], [])
+    weights, held = [], 0
+    for name, texts in sorted(samples.items()):
+        codes = np.concatenate([np.append(cleaned(t), 32) for t in texts])[:sample_chars]
+        seen, counts = np.unique(codes, return_counts=True)
+        known = np.sort(seen[np.argsort(-counts, kind="stable")[:LETTERS]])
+        rare, unseen = len(known), len(known) + 1
+        width = unseen + 1
+        symbols = np.full(int(seen.max()) + 1, unseen, np.int32)
+        symbols[seen], symbols[known] = rare, np.arange(len(known))
         edges = automaton(symbols[codes].tolist())
-        root = np.full(width, start | RESTART, np.int32)
+        held += len(edges) * width * 4
+        if held > MODEL_BYTES:
+            raise ValueError(f"{len(samples)} languages need more than {MODEL_BYTES} bytes; take smaller samples")
+        root = np.full(width, RESTART, np.int32)
         for c, to in edges[0].items():
-            root[c] = (start + to) | RESTART
+            root[c] = to | RESTART
         table = np.tile(root, (len(edges), 1))
         rows = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
-        table[rows, [c for e in edges for c in e]] = [start + to for e in edges for to in e.values()]
+        table[rows, [c for e in edges for c in e]] = [to for e in edges for to in e.values()]
         # The root itself starts a phrase with whatever comes.
         table[0] = root
-        tables.append(table)
-        roots.append(start)
-        start += len(edges)
-    return Parser(list(texts), np.array(roots, np.int64), symbols, np.concatenate(tables).ravel(), width)
+        found.languages.append(name)
+        found.symbols.append(symbols)
+        found.tables.append(table.ravel())
+        found.widths.append(width)
+        weights.append(np.log(max(2, len(codes))))
+    return found._replace(weights=np.array(weights))
 
 
 def phrases(model: Parser, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +144,6 @@ def phrases(model: Parser, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not n_blocks:
         return counts, sizes
     flat = np.concatenate(codes)
-    symbols = np.full(len(flat), model.width - 1, np.int64)
-    inside = flat < len(model.symbols)
-    symbols[inside] = model.symbols[flat[inside]]
     owner = np.repeat(np.arange(len(texts)), blocks)
     nth = np.arange(n_blocks) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
@@ -138,32 +151,41 @@ def phrases(model: Parser, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-lengths, kind="stable")  # those still running stay in front
     owner, starts, lengths = owner[order], starts[order], lengths[order]
     running = np.searchsorted(-lengths, -np.arange(BLOCK), "left")  # blocks longer than t
-    state = np.repeat(model.roots[None, :], n_blocks, 0)
-    total = np.zeros_like(state)
-    for t in range(int(lengths[0])):
-        n = running[t]
-        step = model.table[state[:n] * model.width + symbols[starts[:n] + t][:, None]]
-        total[:n] += step >= RESTART
-        state[:n] = step & (RESTART - 1)
-    np.add.at(counts, owner, total)
+    for language, (known, table, width) in enumerate(zip(model.symbols, model.tables, model.widths)):
+        symbols = np.full(len(flat), width - 1, np.int32)
+        inside = flat < len(known)
+        symbols[inside] = known[flat[inside]]
+        state, total = np.zeros(n_blocks, np.int64), np.zeros(n_blocks, np.int64)
+        for t in range(int(lengths[0])):
+            n = running[t]
+            step = table[state[:n] * width + symbols[starts[:n] + t]]
+            total[:n] += step >= RESTART
+            state[:n] = step & (RESTART - 1)
+        np.add.at(counts[:, language], owner, total)
     return counts, sizes
 
 
+def judged(model: Parser, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    counts, sizes = phrases(model, texts)
+    entropy = counts * model.weights
+    ordered = np.sort(entropy, 1)
+    rival = ordered[:, 1] if entropy.shape[1] > 1 else sizes * model.weights[0]
+    score = np.where(sizes > 0, 1 - ordered[:, 0] / np.maximum(rival, 1e-9), 0.0)
+    best = zip(entropy.argmin(1).tolist(), sizes.tolist())
+    return [model.languages[k] if n else UNKNOWN for k, n in best], np.clip(score, 0.0, 1.0).tolist()
+
+
 def predict(text: Column | str, model) -> Column:
     """Struct(lang_pred, score) of a text; ``model`` is a broadcast Parser, or None."""
 
     @F.arrow_udf("lang_pred string, score double")
     def best(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
         languages, scores = [], []
-        for start, end in slices(texts):
-            counts, sizes = phrases(model.value, texts[start:end])
-            first = counts.argmin(1)
-            ordered = np.sort(counts, 1)
-            rival = ordered[:, 1] if counts.shape[1] > 1 else sizes
-            score = np.where(sizes > 0, 1 - ordered[:, 0] / np.maximum(rival, 1), 0.0)
-            languages += [model.value.languages[k] if n else UNKNOWN for k, n in zip(first.tolist(), sizes.tolist())]
-            scores += score.tolist()
+        for _, part in text_slices(texts, PARSED):
+            found = judged(model.value, part)
+            languages += found[0]
+            scores += found[1]
         return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     if model is None:
@@ -174,7 +196,7 @@ def predict(text: Column | str, model) -> Column:
 def learn(labelled: DataFrame, sample_rows: int = MODEL_ROWS, sample_chars: int = MODEL_CHARS):
     """A broadcast Parser from rows (text, lang), or None if no row has a language and a letter.
 
-    The driver gets at most ``sample_rows`` texts of each language, each cut at ``sample_chars``.
+    The driver gets at most ``sample_rows`` texts of each language, together ``sample_chars`` characters.
     """
     spark = labelled.sparkSession
     useful = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
@@ -186,9 +208,11 @@ def learn(labelled: DataFrame, sample_rows: int = MODEL_ROWS, sample_chars: int
     for keys in (["lang", "part"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
         chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= sample_rows).drop("rank")
-    chosen = chosen.drop("part")
-    # At most sample_rows keys of 16 bytes for each language; the texts stay where they are.
-    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    share = F.ceil(F.lit(sample_chars) / F.count("*").over(Window.partitionBy("lang"))).cast("int")
+    chosen = chosen.select("lang", "h", share.alias("share"))
+    # At most sample_rows keys for each language; the texts stay where they are.
+    cut = F.call_function("substring", "text", F.lit(1), "share")
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(cut).alias("text"))
     samples: dict[str, list[str]] = {}
     for row in texts.orderBy("lang", "h").collect():
         samples.setdefault(row.lang, []).append(row.text)
