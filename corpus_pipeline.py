@@ -24,6 +24,7 @@ PACKED_TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     (found,) = private("language")
     named = docs.where(F.col("doc_id").isNotNull() & ~language.held_out("doc_id"))
     model = language.learn(named.select("text", "lang"))
@@ -32,20 +33,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return quality.passing(docs)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     cut, out = line_dedup.cuts(docs)
     new = {"text": F.col(f"{out}.kept"), "n_chars": F.length(f"{out}.kept").cast("long")}
     return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return minhash.without_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return packing.pack(docs, public_tokenizers.path(PACKED_TOKENIZER), end_id=1, keep_ids=False)
 
 
@@ -62,7 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    configure(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, name)

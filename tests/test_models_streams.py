@@ -48,6 +48,46 @@ def test_isotonic_is_monotone(spark):
     assert values == sorted(values)
 
 
+@pytest.mark.parametrize("scores", ["noisy", "rising", "falling", "one"])
+def test_isotonic_blocks_have_the_fit_of_all_scores(spark, scores):
+    from pyspark.ml.regression import IsotonicRegression
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random(3000), 3 if scores == "noisy" else 6)
+    y = {"noisy": rng.random(3000) < x, "rising": x > 0.5, "falling": x < 0.5, "one": np.ones(3000)}[scores].astype(float)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "score double, label double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = tr.isotonic_blocks(df, fanout=3).orderBy("low").collect()
+        model = tr.fit_isotonic(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    means = [b.total / b.weight for b in blocks]
+    assert sum(b.weight for b in blocks) == 3000 and len(blocks) < 300
+    merged = df.groupBy("score").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    whole = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight", predictionCol="whole").fit(merged)
+    probes = spark.range(0, 1001).select((F.col("id") / 1000).alias("score"))
+    for row in whole.transform(model.transform(probes)).collect():
+        assert row.calibrated == pytest.approx(row.whole, abs=1e-12)
+
+
+def test_far_blocks_of_neighbours_are_passed_over(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-40, 40, (12, 5)) * 10
+    point = lambda k: tuple(map(int, centres[k % 12] + rng.integers(-2, 3, 5)))
+    names = [f"c{k}" for k in range(5)]
+    schema = "id int, " + ", ".join(f"{n} int" for n in names) + ", label int"
+    train = spark.createDataFrame([(k, *point(k), k % 2) for k in range(1200)], schema)
+    test = spark.createDataFrame([(k, *point(k), 0) for k in range(240)], schema)
+    vector = F.array(*names).alias("v")
+    points = tr.written(spark, tr.in_blocks(tr.collapse_vectors(train, names).select(vector, "n", "phishing"), 15))
+    asked = tr.written(spark, tr.in_blocks(test.select(vector).distinct(), 8))
+    pairs = tr.block_pairs(asked, points, 5)
+    assert tr.certain_pairs(pairs, asked, points, 5).count() < 0.5 * pairs.count()
+    got = {(r.id, r.k): r.prediction for r in tr.knn_vote(train, test, names, "id", [5], 40, 20).collect()}
+    assert got == {(r.id, r.k): r.prediction for r in tr.knn_vote(train, test, names, "id", [5]).collect()}
+
+
 @pytest.mark.parametrize("block", [50_000, 40])
 def test_knn_against_brute_force(spark, rows, block):
     names = list(fv.VECTOR_NAMES[:4])

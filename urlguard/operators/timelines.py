@@ -96,7 +96,7 @@ def chained(first: tuple[np.ndarray, ...], rest: list[tuple[np.ndarray, ...]]) -
     return _merged(begin, made, end)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """Runs of rows with equal first columns, and their other columns."""
     now, parts = None, []
     for batch in batches:
@@ -133,18 +133,18 @@ def entries_made(instants: DataFrame, ttl: int, width: int, fanout: int = 32, le
         raise ValueError("a slice is at least as long as an entry lives")
 
     def of_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, piece), (times,) in _groups(batches, 2):
+        for (key, piece), (times,) in runs(batches, 2):
             yield _rows(key, piece, looks_as_function(times, ttl, piece * width + ttl))
 
-    def of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, group), (slices, *function) in _groups(batches, 2):
+    def ofruns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, group), (slices, *function) in runs(batches, 2):
             edges = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist(), len(slices)]
             parts = [tuple(c[a:b] for c in function) for a, b in zip(edges, edges[1:])]
             yield _rows(key, group, chained(parts[0], parts[1:]))
 
     def of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, now, ends = 0, None, 0
-        for (key, _), (begin, count, end) in _groups(batches, 2):
+        for (key, _), (begin, count, end) in runs(batches, 2):
             if key != now:
                 now, ends = key, np.iinfo(np.int64).min
             at = int(np.searchsorted(begin, ends))

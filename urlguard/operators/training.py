@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 from urlguard import fixed_values as fv
 from urlguard.functions.urls import to_binary
 from urlguard.operators.lookup import lookup
+from urlguard.operators.timelines import in_slices, runs
 from urlguard.session import new_folder
 
 SEED = 42
@@ -112,14 +112,57 @@ def fold_of(key: str, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")
 
 
+BLOCK = "low double, high double, weight double, total double"
+
+
+def pooled(low: np.ndarray, high: np.ndarray, weight: np.ndarray, total: np.ndarray) -> list[tuple]:
+    """Neighbouring blocks of scores pooled until their means rise (pool adjacent violators)."""
+    kept: list[tuple] = []
+    for block in zip(low.tolist(), high.tolist(), weight.tolist(), total.tolist()):
+        while kept and kept[-1][3] * block[2] >= block[3] * kept[-1][2]:
+            first = kept.pop()
+            block = (first[0], block[1], first[2] + block[2], first[3] + block[3])
+        kept.append(block)
+    return kept
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pools each run of rows with the same group; rows come sorted by group and score."""
+    for (group,), columns in runs(batches, 1):
+        blocks = pooled(*columns)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(blocks), group, np.int64)), *(pa.array(c, pa.float64()) for c in zip(*blocks))],
+            ["_slice", "low", "high", "weight", "total"],
+        )
+
+
+def isotonic_blocks(scored: DataFrame, fanout: int = 64, levels: int = 2) -> DataFrame:
+    """(low, high, weight, total): blocks of scores that an isotonic fit of label on score keeps together.
+
+    Ranges of scores are pooled by themselves, then ``fanout`` neighbouring ranges together, ``levels``
+    times. Pooling is exact in any order of merging, so what remains has the fit of all rows; only
+    blocks whose means rise are left.
+    """
+    merged = scored.groupBy(F.col("score").alias("low")).agg(
+        F.col("low").alias("high"), F.count("*").cast("double").alias("weight"), F.sum("label").cast("double").alias("total")
+    )
+    blocks = in_slices(merged, "low")
+    for level in range(levels + 1):
+        group = F.floor(F.col("_slice") / (fanout if level else 1)).alias("_slice")
+        dealt = blocks.select(group, "low", "high", "weight", "total")
+        blocks = dealt.repartition("_slice").sortWithinPartitions("_slice", "low").mapInArrow(_pool, f"_slice long, {BLOCK}")
+    return blocks.drop("_slice")
+
+
 def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    """Isotonic fit of label on score. Equal scores are merged first, with weights."""
-    merged = scored.groupBy("score").agg(
-        F.avg("label").alias("label"), F.count("*").cast("double").alias("weight")
+    """Isotonic fit of label on score, from pooled blocks: each one's first and last score share its weight."""
+    ends = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
+    points = isotonic_blocks(scored).select(
+        F.explode(ends).alias("score"), (F.col("total") / F.col("weight")).alias("label"), (F.col("weight") / F.size(ends)).alias("weight")
     )
     return IsotonicRegression(
         featuresCol="score", labelCol="label", weightCol="weight", predictionCol="calibrated"
-    ).fit(merged)
+    ).fit(points)
 
 
 @dataclass
@@ -265,36 +308,83 @@ def collapse_vectors(df: DataFrame, names) -> DataFrame:
 
 NEAREST = "v array<int>, d long, n long, phishing long"
 ASKED_ROWS = 1_000
+TOGETHER = 64  # vectors whose distances are one matrix
+
+
+def in_blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """Vectors in lexicographic order with the number of their block, about ``rows`` each."""
+    sliced = in_slices(vectors, "v")
+    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_size"))
+    nth = F.row_number().over(Window.partitionBy("_slice").orderBy("v")) - 1
+    return lookup(sliced, sizes, "_slice").select(
+        *vectors.columns, F.struct("_slice", F.floor(nth / rows).alias("part")).alias("block")
+    )
+
+
+def boxes(blocked: DataFrame, dims: int, side: str) -> DataFrame:
+    """(block, low, high, rows): the least and the largest value of each component in a block."""
+    ends = [F.array(*[f(F.col("v")[k]) for k in range(dims)]) for f in (F.min, F.max)]
+    return blocked.groupBy("block").agg(ends[0].alias(f"{side}_low"), ends[1].alias(f"{side}_high")).withColumnRenamed("block", side)
+
+
+def block_pairs(asked: DataFrame, points: DataFrame, dims: int) -> DataFrame:
+    """(asked, points, apart): pairs of blocks with the least squared distance their boxes allow.
+
+    One row for each pair of blocks, not of rows.
+    """
+    all_points = boxes(points, dims, "points").agg(F.collect_list(F.struct("points", "points_low", "points_high")).alias("p"))
+    pairs = boxes(asked, dims, "asked").withColumn("p", F.explode(all_points.scalar())).select("asked", "asked_low", "asked_high", "p.*")
+    gap = F.zip_with(
+        F.zip_with("points_low", "asked_high", lambda a, b: a - b), F.zip_with("asked_low", "points_high", lambda a, b: a - b),
+        lambda a, b: F.greatest(a, b, F.lit(0)),
+    )
+    return pairs.select("asked", "points", F.aggregate(gap, F.lit(0).cast("long"), lambda s, g: s + g * g).alias("apart"))
+
+
+def met(pairs: DataFrame, asked: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """For each vector asked about, the nearest distances with their rows in each paired block."""
+    zero = F.lit(0).cast("long")
+    left = pairs.join(asked.withColumnRenamed("block", "asked"), "asked").select("asked", "points", F.lit(False).alias("is_point"), "v", zero.alias("n"), zero.alias("phishing"))
+    right = pairs.join(points.withColumnRenamed("block", "points"), "points").select("asked", "points", F.lit(True).alias("is_point"), "v", "n", "phishing")
+    dealt = left.unionAll(right).repartition("asked", "points").sortWithinPartitions("asked", "points", "is_point")
+    key = F.concat_ws("/", *[F.col(f"{side}.{part}").cast("string") for side in ("asked", "points") for part in ("_slice", "part")])
+    return dealt.select(key.alias("pair"), "is_point", "v", "n", "phishing").mapInArrow(_nearest(most), NEAREST)
+
+
+def certain_pairs(pairs: DataFrame, asked: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """The pairs of blocks that may hold one of the ``most`` nearest rows of a vector asked about.
+
+    Every block of vectors first meets the block of points nearest to it. The distance at which the last of
+    its vectors has enough rows there bounds what can count: blocks of points farther away are passed over.
+    """
+    home = pairs.groupBy("asked").agg(F.min_by("points", F.struct("apart", "points")).alias("points"))
+    first = met(home, asked, points, most)
+    nearer = Window.partitionBy("v").orderBy("d")
+    enough = first.withColumn("upto", F.sum("n").over(nearer)).groupBy("v").agg(F.min(F.when(F.col("upto") >= most, F.col("d"))).alias("reach"))
+    reach = lookup(asked, enough, "v").groupBy(F.col("block").alias("asked")).agg(
+        F.when(F.count("*") == F.count("reach"), F.max("reach")).alias("reach")
+    )
+    return lookup(pairs, reach, "asked").filter(F.col("reach").isNull() | (F.col("apart") <= F.col("reach"))).select("asked", "points")
 
 
 def knn_vote(
-    train: DataFrame, test: DataFrame, names, key: str, ks: list[int], block_rows: int = 50_000
+    train: DataFrame, test: DataFrame, names, key: str, ks: list[int], block_rows: int = 50_000, asked_rows: int = ASKED_ROWS
 ) -> DataFrame:
     """(key, label, k, prediction) by majority of the k nearest training rows, exact.
 
-    Both sides are collapsed to distinct vectors and dealt into blocks. A task gets one block
-    of each side and returns, for a vector asked about, its nearest distances with their rows:
+    Both sides are collapsed to distinct vectors and cut into blocks in lexicographic order. Pairs of
+    blocks whose boxes are too far apart to hold a neighbour are never compared. A task gets one
+    block of each side and returns, for a vector asked about, its nearest distances with their rows:
     at most max(ks) of them. So what is merged grows with the vectors asked, not with pairs.
     """
     names, most = list(names), max(ks)
     vector = F.array(*[F.col(c).cast("int") for c in names])
     spark = train.sparkSession
-    points = written(spark, collapse_vectors(train, names).select(vector.alias("v"), "n", "phishing"))
-    asked = written(spark, test.select(vector.alias("v")).distinct())
-    n_points = max(1, math.ceil(points.count() / block_rows))
-    n_asked = max(1, math.ceil(asked.count() / ASKED_ROWS))
-
-    def own(n: int) -> Column:
-        return F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
+    points = written(spark, in_blocks(collapse_vectors(train, names).select(vector.alias("v"), "n", "phishing"), block_rows))
+    asked = written(spark, in_blocks(test.select(vector.alias("v")).distinct(), asked_rows))
+    pairs = written(spark, block_pairs(asked, points, len(names)))
+    found = met(written(spark, certain_pairs(pairs, asked, points, most)), asked, points, most)
     zero = F.lit(0).cast("long")
-    left = asked.select(own(n_asked).alias("a"), every(n_points).alias("b"), F.lit(False).alias("is_point"), "v", zero.alias("n"), zero.alias("phishing"))
-    right = points.select(every(n_asked).alias("a"), own(n_points).alias("b"), F.lit(True).alias("is_point"), "v", "n", "phishing")
-    dealt = left.unionAll(right).repartition("a", "b").sortWithinPartitions("a", "b", "is_point")
-    found = dealt.mapInPandas(_nearest(most), NEAREST)
     merged = found.groupBy("v", "d").agg(F.sum("n").alias("n"), F.sum("phishing").alias("phishing"))
     nearer = Window.partitionBy("v").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     merged = merged.withColumn("before", F.coalesce(F.sum("n").over(nearer), zero)).filter(F.col("before") < most)
@@ -314,43 +404,41 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Writes rows to the work folder and reads them back."""
     path = new_folder(spark, "vectors")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def nearest_cells(asked: np.ndarray, points: np.ndarray, n: np.ndarray, phishing: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of each vector the nearest distances that hold ``most`` rows: (row, distance, rows, phishing rows)."""
+    distance = np.square(asked).sum(1)[:, None] + np.square(points).sum(1) - 2 * asked @ points.T
+    if distance.shape[1] > most:  # all as near as the last that can count
+        near = distance <= np.partition(distance, most - 1, axis=1)[:, most - 1 : most]
+    else:
+        near = np.ones(distance.shape, bool)
+    row, column = np.nonzero(near)
+    cells, group = np.unique(row * (distance.max() + 1) + distance[near], return_inverse=True)
+    rows, hits = (np.bincount(group, weights=w[column]).astype(np.int64) for w in (n, phishing))
+    owner, at = np.divmod(cells, distance.max() + 1)
+    first = np.searchsorted(owner, owner)  # first cell of the same vector
+    before = np.cumsum(rows) - rows
+    keep = before - before[first] < most
+    return owner[keep], at[keep], rows[keep], hits[keep]
 
 
 def _nearest(most: int):
-    """Of each pair of blocks the nearest distances of every vector asked about, sorted rows in."""
-
-    def pair(frames: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(frames)
-        asked, points = rows[~rows["is_point"]], rows[rows["is_point"]]
-        found = []
-        if len(asked) and len(points):
-            at = np.stack(points["v"].to_list()).astype(np.int64)
-            weights, hits = points["n"].to_numpy(), points["phishing"].to_numpy()
-            for vector in asked["v"]:
-                distance = ((at - np.asarray(vector, np.int64)) ** 2).sum(axis=1)
-                if len(distance) > most:  # all as near as the last that can count
-                    near = distance <= np.partition(distance, most - 1)[most - 1]
-                else:
-                    near = np.ones(len(distance), bool)
-                values, group = np.unique(distance[near], return_inverse=True)
-                totals = np.bincount(group, weights[near]).astype(int)
-                phishing = np.bincount(group, hits[near]).astype(int)
-                last = int(np.searchsorted(np.cumsum(totals), most)) + 1
-                found += [(vector, *cell) for cell in zip(values[:last].tolist(), totals[:last].tolist(), phishing[:last].tolist())]
-        return pd.DataFrame(found, columns=["v", "d", "n", "phishing"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = [], None
-        for batch in batches:
-            for block, part in batch.groupby(["a", "b"], sort=False):
-                if block != now and held:
-                    yield pair(held)
-                    held = []
-                now = block
-                held.append(part)
-        if held:
-            yield pair(held)
+    """Of each pair of blocks the nearest distances of every vector asked about; rows come sorted by pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (is_point, vectors, n, phishing) in runs(batches, 1):
+            is_point = is_point.astype(bool)
+            if is_point.all() or not is_point.any():
+                continue
+            vectors = np.stack(vectors).astype(np.int64)
+            asked, points = vectors[~is_point], vectors[is_point]
+            for start in range(0, len(asked), TOGETHER):
+                part = asked[start : start + TOGETHER]
+                owner, at, rows, hits = nearest_cells(part, points, n[is_point], phishing[is_point], most)
+                own = pa.array(part[owner].astype(np.int32).tolist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, (at, rows, hits))], ["v", "d", "n", "phishing"])
 
     return run
 

@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     # row per key on the right, so AQE can split the hot partition of the left side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows may be whole documents: batches for Python are bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Stateful processors with timers need a store that keeps keys on disk and in order.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
