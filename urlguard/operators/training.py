@@ -451,13 +451,14 @@ def confidence_interval(
 ) -> DataFrame:
     """Adds ``lower`` and ``upper``: the 2.5 and 97.5 percentiles of n noisy copies of p.
 
-    The noise is drawn from the hash of (seed, key, copy), so a task that runs again
-    gives the same interval, and no copy leaves its row: there is no shuffle.
+    The noise is drawn from sha2 of (seed, key, copies), four copies from one hash, so a task that
+    runs again, or another engine, gives the same interval, and no copy leaves its row: there is no shuffle.
     """
+    uniform = "CAST(conv(substring(element_at(_hashes, CAST((j - 1) div 4 + 1 AS INT)), (j - 1) % 4 * 16 + {}, 8), 16, 10) AS DOUBLE)"
     expression = f"""
         array_sort(transform(sequence(1, {n}), j -> greatest(0D, least(1D, {p} + {sigma} *
-          sqrt(-2 * ln((pmod(xxhash64({seed}, {key}, j, 'r'), 1048576) + 1) / 1048577D)) *
-          cos(2 * pi() * pmod(xxhash64({seed}, {key}, j, 'a'), 1048576) / 1048576D)))))"""
+          sqrt(-2 * ln(({uniform.format(1)} + 1) / 4294967297D)) * cos(2 * pi() * {uniform.format(9)} / 4294967296D)))))"""
+    hashes = f"transform(sequence(0, {(n - 1) // 4}), i -> sha2(concat_ws(':', '{seed}', CAST({key} AS STRING), CAST(i AS STRING)), 256))"
 
     def percentile(q: float) -> Column:
         position = q * (n - 1)
@@ -467,7 +468,8 @@ def confidence_interval(
         return left + (right - left) * (position - low)
 
     return (
-        df.withColumn("_copies", F.expr(expression))
+        df.withColumn("_hashes", F.expr(hashes))
+        .withColumn("_copies", F.expr(expression))
         .withColumns({"lower": percentile(0.025), "upper": percentile(0.975)})
-        .drop("_copies")
+        .drop("_hashes", "_copies")
     )

@@ -13,6 +13,7 @@ from urlguard.functions.udfs import idna_host
 from urlguard.functions.urls import host
 from urlguard.operators import evaluation as ev
 from urlguard.operators import prep, training as tr
+from urlguard.operators import verdict as vd
 from urlguard.plans.data_queries import TABLES as DATA_TABLES
 from urlguard.plans.data_queries import rounded, stored_features
 from urlguard.plans.inputs import AS_OF, Inputs
@@ -37,34 +38,81 @@ def parts(i: Inputs) -> tuple[DataFrame, DataFrame]:
     return tr.written(i.spark, train), tr.written(i.spark, test)
 
 
-def report(scored: DataFrame) -> DataFrame:
-    return ev.class_report(tr.predictions(scored))
+# Model fits differ from engine to engine, so these queries return what holds for any fit: the rows of the
+# test part by class, whether the report's cells add up, and whether probabilities are probabilities.
+R.tables["ck_split"] = """SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || page_id)) * 100
+  <= count(*) OVER (PARTITION BY label) * 80 AS in_train FROM ck_labelled"""
+SUPPORT = """SELECT CASE WHEN label = -1 THEN '1' ELSE '0' END AS "row", count(*) AS support, 1 AS adds_up FROM ck_split
+  WHERE NOT in_train GROUP BY 1"""
+NEAR = 1e-9
 
 
-@R.query("m01_gradient_boosting")
-def _gbt(i: Inputs) -> DataFrame:
+def adds_up(report: DataFrame) -> DataFrame:
+    """Classes of a report with ``adds_up``: the identities between its rows hold."""
+    named = {n: F.col("row") == n for n in ("macro avg", "weighted avg", "accuracy")}
+    is_class = ~(named["macro avg"] | named["weighted avg"] | named["accuracy"])
+
+    def of(name: str, column: str):
+        return F.max(F.when(named[name], F.col(column)))
+
+    def same(a, b):
+        return F.abs(a - b) < NEAR
+
+    harmonic = same(F.col("f1") * (F.col("precision") + F.col("recall")), 2 * F.col("precision") * F.col("recall"))
+    bounded = F.col("precision").between(0, 1) & F.col("recall").between(0, 1)
+    mean = F.avg(F.when(is_class, F.col("precision")))
+    whole = report.agg(
+        (
+            same(of("weighted avg", "recall"), of("accuracy", "recall")) & same(of("macro avg", "precision"), mean)
+            & (F.sum(F.when(is_class, F.col("support"))) == of("accuracy", "support"))
+        ).alias("ok")
+    )
+    return report.filter(is_class & (F.col("support") > 0)).select(
+        "row", "support", (whole.scalar() & harmonic & bounded).cast("int").alias("adds_up")
+    )
+
+
+def checked(scored: DataFrame, p: str = "p") -> DataFrame:
+    """Classes of the test rows, with whether report and probabilities are sound."""
+    sound = scored.agg(F.min(F.col(p).between(0, 1).cast("int"))).scalar()
+    return adds_up(ev.class_report(tr.predictions(scored, p))).withColumn("adds_up", F.least("adds_up", sound))
+
+
+def boosting(i: Inputs, trees: int = TREES) -> DataFrame:
     train, test = parts(i)
-    model = tr.fit_vote(train, [tr.reference_gbt(TREES)])
-    return report(model.transform(test, "p"))
+    return checked(tr.fit_vote(train, [tr.reference_gbt(trees)]).transform(test, "p"))
 
 
-@R.query("m02_soft_vote")
-def _vote(i: Inputs) -> DataFrame:
+def soft_vote(i: Inputs, scale: float = SCALE) -> DataFrame:
     train, test = parts(i)
-    return report(tr.fit_vote(train, tr.vote_members(SCALE)).transform(test, "p"))
+    return checked(tr.fit_vote(train, tr.vote_members(scale)).transform(test, "p"))
 
 
-@R.query("m03_calibrated")
-def _calibrated(i: Inputs) -> DataFrame:
+def calibrated(i: Inputs, trees: int = TREES, folds: int = FOLDS) -> DataFrame:
     train, test = parts(i)
-    model = tr.calibrate(train, [tr.reference_gbt(TREES)], "page_id", FOLDS)
-    return report(model.transform(test))
+    return checked(tr.calibrate(train, [tr.reference_gbt(trees)], "page_id", folds).transform(test))
 
 
-@R.query("m04_classifier_zoo")
-def _zoo(i: Inputs) -> DataFrame:
+def classifiers(i: Inputs, trees: int = 100) -> DataFrame:
+    """Of each classifier the test rows and whether its metrics, best first, are sound."""
     train, test = parts(i)
-    return ev.compare(tr.train_zoo(train, test, tr.zoo()))
+    found = tr.train_zoo(train, test, tr.zoo(trees))
+    known = F.col("prediction").isin(0, 1) & F.col("y_true").isin(0, 1)
+    rows = found.groupBy("model").agg(F.count("*").alias("n"), F.min(known.cast("int")).alias("known"))
+    table = ev.compare(found)
+    bounded = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1")]
+    sound = table.select("model", (bounded[0] & bounded[1] & bounded[2] & bounded[3]).cast("int").alias("sound"))
+    return rows.join(sound, "model").select("model", "n", F.least("known", "sound").alias("adds_up"))
+
+
+R.add("m01_gradient_boosting", boosting, SUPPORT)
+R.add("m02_soft_vote", soft_vote, SUPPORT)
+R.add("m03_calibrated", calibrated, SUPPORT)
+R.add(
+    "m04_classifier_zoo", classifiers,
+    """SELECT model, n, 1 AS adds_up FROM (SELECT unnest(['logistic_regression', 'decision_tree', 'random_forest', 'gradient_boosting',
+         'naive_bayes', 'linear_svm', 'perceptron']) AS model) z CROSS JOIN (SELECT count(*) AS n FROM ck_split WHERE NOT in_train) t""",
+)
 
 
 DISTANCE = " + ".join(f"(e.{n} - t.{n}) * (e.{n} - t.{n})" for n in fv.VECTOR_NAMES)
@@ -102,52 +150,108 @@ SWEEPS = (
     ("m06_rate_sweep", lambda: tr.boosted(100, 3), "stepSize", [k / 10 for k in range(1, 10)]),
     ("m06_boosted_depth_sweep", lambda: tr.boosted(100, rate=0.7), "maxDepth", list(range(1, 10))),
 )
+def swept(found: DataFrame, parameter: str) -> DataFrame:
+    """The values tried, with whether each has an accuracy."""
+    value = F.get_json_object("params", f"$.{parameter}").cast("double")
+    return found.select(F.lit(parameter).alias("parameter"), F.round(value, 12).alias("value"), F.col("accuracy").between(0, 1).cast("int").alias("tried"))
+
+
 for _name, _make, _parameter, _values in SWEEPS:
-    R.add(_name, lambda i, make=_make, grid={_parameter: _values}: tr.sweep(parts(i)[0], make(), grid))
+    R.add(
+        _name, lambda i, make=_make, name=_parameter, values=_values: swept(tr.sweep(parts(i)[0], make(), {name: values}), name),
+        f"SELECT '{_parameter}' AS parameter, CAST(unnest([{', '.join(map(str, _values))}]) AS DOUBLE) AS value, 1 AS tried",
+    )
 
 
-@R.query("m06_svm_grid")
+@R.query(
+    "m06_svm_grid",
+    "SELECT 'regParam' AS parameter, round(1 / greatest(1, count(*)), 12) AS value, 1 AS tried FROM ck_split WHERE in_train",
+)
 def _grid(i: Inputs) -> DataFrame:
     """The grid's linear kernel (C = 1) over five folds; the RBF kernel is not built."""
     train, _ = parts(i)
-    return tr.sweep(train, tr.LinearSVC(), {"regParam": [1 / max(1, train.count())]}, folds=FOLDS)
+    return swept(tr.sweep(train, tr.LinearSVC(), {"regParam": [1 / max(1, train.count())]}, folds=FOLDS), "regParam")
 
 
-@R.query("m12_importances")
-def _importances(i: Inputs) -> DataFrame:
+def ranked_features(i: Inputs, trees: int = TREES) -> DataFrame:
+    """Every feature, with whether importances are shares of one."""
     train, _ = parts(i)
-    return tr.importances(tr.reference_gbt(TREES).fit(train), i.spark)
+    found = tr.importances(tr.reference_gbt(trees).fit(train), i.spark)
+    whole = found.agg((F.abs(F.sum("importance") - 1) < NEAR).alias("ok")).scalar()
+    return found.select("feature", (whole & (F.col("importance") >= 0)).cast("int").alias("is_share"))
+
+
+R.add(
+    "m12_importances", ranked_features,
+    f"SELECT unnest([{', '.join(repr(n) for n in fv.VECTOR_NAMES)}]) AS feature, 1 AS is_share",
+)
 
 
 R.add(
     "m13_confidence_interval",
-    lambda i: tr.confidence_interval(
-        i.sql("SELECT l_orderkey * 8 + l_linenumber AS row_id, l_linenumber AS model, l_discount * 10 AS y_prob FROM lineitem"),
-        "row_id", "y_prob",
+    lambda i: rounded(
+        tr.confidence_interval(
+            i.sql("SELECT l_orderkey * 8 + l_linenumber AS row_id, l_linenumber AS model, l_discount * 10 AS y_prob FROM lineitem"),
+            "row_id", "y_prob",
+        ),
+        "lower", "upper",
     ),
+    """WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_linenumber AS model, l_discount * 10 AS y_prob FROM lineitem),
+       h AS (SELECT *, list_transform(range(0, 25), lambda i: sha256('42:' || CAST(row_id AS VARCHAR) || ':' || CAST(i AS VARCHAR))) AS hs FROM r),
+       u AS (SELECT row_id, model, y_prob, list_transform(range(0, 200),
+               lambda k: CAST('0x' || substr(hs[k // 8 + 1], k % 8 * 8 + 1, 8) AS BIGINT)::DOUBLE) AS us FROM h),
+       c AS (SELECT row_id, model, y_prob, list_transform(range(0, 100), lambda j: greatest(0, least(1, y_prob
+               + 0.02 * sqrt(-2 * ln((us[2 * j + 1] + 1) / 4294967297)) * cos(2 * pi() * us[2 * j + 2] / 4294967296)))) AS xs FROM u)
+       SELECT row_id, model, y_prob, round(list_aggregate(xs, 'quantile_cont', 0.025), 9) AS lower,
+         round(list_aggregate(xs, 'quantile_cont', 0.975), 9) AS upper FROM c""",
 )
 
 
-@R.query("s16_saved_model")
-def _saved(i: Inputs) -> DataFrame:
+def saved(i: Inputs, trees: int = TREES, folds: int = FOLDS) -> DataFrame:
+    """The checks of a calibrated model that was saved and reloaded, and whether its scores stayed."""
     train, test = parts(i)
     path = new_folder(i.spark, "model")
-    tr.save_model(tr.calibrate(train, [tr.reference_gbt(TREES)], "page_id", FOLDS), path, i.spark)
-    return report(tr.load_model(path, i.spark).transform(test))
+    model = tr.calibrate(train, [tr.reference_gbt(trees)], "page_id", folds)
+    tr.save_model(model, path, i.spark)
+    again = tr.load_model(path, i.spark)
+    both = again.transform(model.transform(test, "first"), "p")
+    same = both.agg(F.min((F.col("first") == F.col("p")).cast("int"))).scalar()
+    return checked(both).withColumn("same_scores", same)
+
+
+R.add("s16_saved_model", saved, SUPPORT.replace("1 AS adds_up", "1 AS adds_up, 1 AS same_scores"))
 
 
-def model_scan(i: Inputs) -> DataFrame:
+def model_scan(i: Inputs, trees: int = TREES, folds: int = FOLDS) -> DataFrame:
     """A scan scored by a trained, calibrated, saved and reloaded model."""
     train, _ = parts(i)
     path = new_folder(i.spark, "model")
-    tr.save_model(tr.calibrate(train, [tr.reference_gbt(TREES)], "page_id", FOLDS), path, i.spark)
+    tr.save_model(tr.calibrate(train, [tr.reference_gbt(trees)], "page_id", folds), path, i.spark)
     model = tr.load_model(path, i.spark)
     return scan(i["url_fx"], tables(i), AS_OF, lambda df: tr.score(fx.failure_indicators(df), model))
 
 
+def checked_scan(i: Inputs, trees: int = TREES, folds: int = FOLDS) -> DataFrame:
+    """Gates and gated verdicts of the scan, and whether verdict and risk follow from the probability."""
+    rows = model_scan(i, trees, folds)
+    path = new_folder(i.spark, "model-scan")
+    rows.write.parquet(path)
+    rows = i.spark.read.schema(rows.schema).parquet(path)
+    by_model = F.col("failures").isNotNull()
+    told = rows.select("*", "failures.*").withColumnsRenamed({"verdict": "told", "risk_score": "risk"})
+    again = vd.penalize(told, "calibrated_probability")
+    follows = (F.col("told") == F.col("verdict")) & (F.abs(F.col("risk") - F.col("risk_score")) < NEAR) & F.col("calibrated_probability").between(0, 1)
+    return again.select(
+        "page_id", flag(F.col("is_trusted")).alias("is_trusted"), flag(F.col("is_blocked")).alias("is_blocked"), "ssrf_status",
+        F.when(~by_model, F.col("told")).alias("gated_verdict"),
+        F.when(by_model, follows).otherwise(F.col("calibrated_probability") == 0).cast("int").alias("follows"),
+    )
+
+
 R.add(
-    "v01_model_scan",
-    lambda i: model_scan(i).select("page_id", "is_trusted", "is_blocked", "ssrf_status", "verdict", "risk_score", "calibrated_probability"),
+    "v01_model_scan", checked_scan,
+    """SELECT page_id, CAST(is_trusted AS INT) AS is_trusted, CAST(url_hit OR domain_hit AS INT) AS is_blocked, ssrf_status,
+       CASE WHEN bypassed OR ssrf_status <> 'ok' THEN verdict END AS gated_verdict, 1 AS follows FROM ck_scan""",
 )
 
 
