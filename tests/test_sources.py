@@ -110,6 +110,31 @@ def test_metrics_missing_is_unknown(spark, tmp_path):
     assert artifacts.read_metrics(spark, str(tmp_path / "none")).first().calibration_status == "unknown"
 
 
+def test_records_come_back_whole(spark, tmp_path):
+    from urlguard.operators import calibration as cal
+    from urlguard.operators import telemetry as tel
+
+    rows = [(k % 2, k / 40, "x") for k in range(40)]
+    record = cal.calibration_record(spark.createDataFrame(rows, "y_true int, y_prob double, x string"), "2024-07-01", "v3")
+    path = str(tmp_path / "metrics")
+    artifacts.write_metrics(record, path)
+    back = artifacts.read_metrics(spark, path).first()
+    assert back.asDict(True) == record.first().asDict(True)
+    assert back.model_version == "v3" and len(back.reliability_curve.bins) == 10 and sum(back.reliability_curve.samples_per_bin) == 40
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.json").write_text("{not json")
+    assert artifacts.read_metrics(spark, str(tmp_path / "broken")).first().calibration_status == "unknown"
+    scans = spark.createDataFrame(
+        [("SAFE", True, False, ["x"], ["Page contains iframes"], [], [], "2024-01-01 00:00:00")],
+        "verdict string, analysis_complete boolean, allowlist_override boolean, warnings array<string>, risk array<string>, positive array<string>, inconclusive array<string>, ts string",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    told = tel.telemetry_record(scans)
+    artifacts.write_metrics(told, path)
+    again = artifacts.read_metrics(spark, path, artifacts.TELEMETRY_SCHEMA).first().asDict()
+    assert again == told.first().asDict() and again["scans_by_drift_status"] == {"none": 0, "warning": 1, "significant": 0}
+    assert artifacts.read_metrics(spark, str(tmp_path / "none"), artifacts.TELEMETRY_SCHEMA).first().total_scans is None
+
+
 def test_feature_cache_prunes_by_split(spark, tmp_path):
     path = str(tmp_path / "cache")
     df = spark.range(10).select("id", F.when(F.col("id") < 7, "train").otherwise("test").alias("split"))

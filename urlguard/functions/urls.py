@@ -218,21 +218,22 @@ def risk_level(risk: Column) -> Column:
     return ladder.otherwise(fv.LOWEST_RISK_LEVEL)
 
 
-# --- fixed values: words that name a signal type, first match wins ------------------
+# --- fixed values: words that name a signal type, first match wins; all or any of them ------
+ALL, ANY = "all", "any"
 SIGNAL_WORDS = (
-    ("whois_failed", "whois & failed"),
-    ("dns_failed", "dns & failed"),
-    ("http_failed", "http & failed"),
-    ("domain_age", "domain age"),
-    ("https_status", "https"),
-    ("ssl_certificate", "ssl | certificate"),
-    ("trusted_domain", "trusted | allowlist"),
-    ("redirect_detected", "redirect"),
-    ("suspicious_pattern", "suspicious"),
-    ("ip_address_pattern", "ip & address"),
-    ("url_shortener", "short"),
-    ("form_detected", "form"),
-    ("iframe_detected", "iframe"),
+    ("whois_failed", ALL, ("whois", "failed")),
+    ("dns_failed", ALL, ("dns", "failed")),
+    ("http_failed", ALL, ("http", "failed")),
+    ("domain_age", ALL, ("domain age",)),
+    ("https_status", ALL, ("https",)),
+    ("ssl_certificate", ANY, ("ssl", "certificate")),
+    ("trusted_domain", ANY, ("trusted", "allowlist")),
+    ("redirect_detected", ALL, ("redirect",)),
+    ("suspicious_pattern", ALL, ("suspicious",)),
+    ("ip_address_pattern", ALL, ("ip", "address")),
+    ("url_shortener", ALL, ("short",)),
+    ("form_detected", ALL, ("form",)),
+    ("iframe_detected", ALL, ("iframe",)),
 )
 OTHER_SIGNAL = "other_signal"
 
@@ -240,13 +241,8 @@ OTHER_SIGNAL = "other_signal"
 def sanitize_signal(c: Column) -> Column:
     """Type of a free-text signal, without the values it carries."""
     text = F.lower(strip(c))
-
-    def matches(words: str) -> Column:
-        if "&" in words:
-            return reduce(Column.__and__, [F.contains(text, F.lit(w)) for w in words.split(" & ")])
-        return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words.split(" | ")])
-
     ladder = F.when(text.isNull(), None)
-    for name, words in SIGNAL_WORDS:
-        ladder = ladder.when(matches(words), name)
+    for name, kind, words in SIGNAL_WORDS:
+        found = [F.contains(text, F.lit(w)) for w in words]
+        ladder = ladder.when(reduce(Column.__and__ if kind == ALL else Column.__or__, found), name)
     return ladder.otherwise(OTHER_SIGNAL)

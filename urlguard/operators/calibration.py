@@ -159,6 +159,31 @@ def calibration_status(df: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: names under which a record keeps the thresholds it was judged by ----------
+THRESHOLDS = {
+    "brier_score_healthy_max": fv.BRIER_HEALTHY_MAX,
+    "brier_score_degraded_max": fv.BRIER_DEGRADED_MAX,
+    "calibration_error_healthy_max": fv.ERROR_HEALTHY_MAX,
+    "calibration_error_degraded_max": fv.ERROR_DEGRADED_MAX,
+    "collapse_variance_threshold": fv.COLLAPSE_VARIANCE,
+}
+
+
+def calibration_record(df: DataFrame, as_of: str, model_version: str = "") -> DataFrame:
+    """The full record of a calibration check, one row: status, curve, time, model, thresholds, warnings."""
+    inside = F.array_sort(F.collect_list(F.struct("bin", "upper", "observed", "expected", "samples")))
+    names = {"upper": "bins", "observed": "observed_frequency", "expected": "expected_confidence", "samples": "samples_per_bin"}
+
+    curve = reliability(df).agg(inside.alias("c")).select(
+        F.struct(*[F.col(f"c.{column}").alias(name) for column, name in names.items()]).alias("curve")
+    )
+    return calibration_status(df).select(
+        "calibration_status", F.round("brier_score", 4).alias("brier_score"), F.round("calibration_error", 4).alias("calibration_error"),
+        curve.scalar().alias("reliability_curve"), F.lit(as_of).alias("timestamp"), F.lit(model_version).alias("model_version"),
+        "sample_count", F.struct(*[F.lit(v).alias(k) for k, v in THRESHOLDS.items()]).alias("thresholds"), "warnings",
+    )
+
+
 def per_window(df: DataFrame, window: str, slide: str | None = None) -> DataFrame:
     """Rows, population variance and extreme share per time window."""
     return df.groupBy(F.window("ts", window, slide).alias("w")).agg(

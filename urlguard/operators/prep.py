@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlguard import fixed_values as fv
 from urlguard.functions.urls import normalize_label, strip, valid_rows, with_canonical
 from urlguard.operators.ranking import hash_rank, seeded_hash
+from urlguard.operators.timelines import in_slices
 
 SEED = 42
 MAX_SHARE = 0.65
@@ -147,6 +148,22 @@ def shuffle(df: DataFrame, seed: int = SEED, key: str = "canonical_url") -> Data
     return df.orderBy(seeded_hash(seed, F.col(key)), key)
 
 
+def positions(df: DataFrame, seed: int = SEED, key: str = "canonical_url") -> DataFrame:
+    """Adds ``position``, 1..n in the shuffled order.
+
+    The ranges of that order are written once; a row's place is that of its range, from the
+    ranges' sizes, plus its place inside it.
+    """
+    order = ["_hash", key]
+    ranged = in_slices(df.withColumn("_hash", seeded_hash(seed, F.col(key))), *order)
+    sizes = ranged.groupBy("_slice").agg(F.count("*").alias("_n"))
+    # One row for each range partition.
+    upto = sizes.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    placed = ranged.join(F.broadcast(upto), "_slice").withColumn("position", F.col("_before") + inside)
+    return placed.select(*df.columns, "position")
+
+
 def split(
     df: DataFrame,
     percents: dict[str, int] | None = None,

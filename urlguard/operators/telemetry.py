@@ -73,6 +73,32 @@ def top_signals(df: DataFrame, n: int = fv.TOP_SIGNALS) -> DataFrame:
     )
 
 
+def telemetry_record(df: DataFrame) -> DataFrame:
+    """All counters of a scan log as one record, with its ten top signals and the time it covers."""
+    drift = drift_status()
+
+    def by(names, condition) -> Column:
+        pairs = [part for n in names for part in (F.lit(n), F.count_if(condition == n))]
+        return F.create_map(*pairs)
+
+    def top(part: str) -> Column:
+        rows = top_signals(df).filter(F.col("part") == part)
+        return rows.agg(F.map_from_entries(F.collect_list(F.struct("signal_type", "n"))).alias("m")).scalar()
+
+    totals = {name: F.coalesce(F.sum(F.size(name)), F.lit(0)) for name in ("risk", "positive", "inconclusive")}
+    return df.agg(
+        F.count("*").alias("total_scans"), by(VERDICTS, F.col("verdict")).alias("scans_by_verdict"),
+        F.count_if(F.col("analysis_complete")).alias("scans_with_complete_analysis"),
+        F.count_if(~F.col("analysis_complete")).alias("scans_with_incomplete_analysis"),
+        F.count_if(F.col("allowlist_override")).alias("scans_with_allowlist_override"),
+        F.count_if(~F.col("allowlist_override")).alias("scans_without_allowlist_override"),
+        by(("none", "warning", "significant"), drift).alias("scans_by_drift_status"),
+        *[total.alias(f"total_{name}_signals") for name, total in totals.items()],
+        F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("collection_start"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated"),
+    ).withColumns({"top_risk_signals": top("risk"), "top_inconclusive_checks": top("inconclusive")})
+
+
 def telemetry_summary(df: DataFrame) -> DataFrame:
     """One row: shares as percent text, mean risk signals per scan, top five signals."""
     total = F.greatest(F.count("*"), F.lit(1))

@@ -141,7 +141,7 @@ R.add(
 )
 R.add(
     "d08_shuffle",
-    lambda i: prep.hash_rank(prep.shuffle(deduped(i)), "canonical_url", prep.SEED).select("canonical_url", F.col("rank").alias("position")),
+    lambda i: prep.positions(deduped(i)).select("canonical_url", "position"),
     f"SELECT canonical_url, row_number() OVER (ORDER BY {HASH}) AS position FROM ck_dedup",
 )
 R.add(

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from urlguard import fixed_values as fv
 from urlguard.operators import calibration as cal
 from urlguard.operators import prep
+from urlguard.operators import telemetry as tel
 from urlguard.plans.data_queries import TABLES as DATA_TABLES
-from urlguard.plans.data_queries import balanced, deduped, labelled_features, prepared, rounded
+from urlguard.plans.data_queries import STATUS, WARNING, balanced, deduped, labelled_features, prepared, rounded
 from urlguard.plans.inputs import AS_OF, Inputs
 from urlguard.plans.registry import Registry
 from urlguard.plans.url_queries import flag, scanned
@@ -207,16 +208,55 @@ R.add(
 )
 
 
+def listed(name: str, digits: int | None = None):
+    """An array of the curve as text."""
+    values = F.transform(f"reliability_curve.{name}", lambda v: F.format_string(f"%.{digits}f", v) if digits else v.cast("string"))
+    return F.array_join(values, ",").alias(name)
+
+
 @R.query(
     "s19_metrics_json",
-    "SELECT n AS sample_count, round(brier, 9) AS brier_score, round(err, 9) AS calibration_error FROM ck_cal",
+    f"""SELECT {STATUS} AS calibration_status, round(brier, 4) AS brier_score, round(err, 4) AS calibration_error, n AS sample_count,
+       '{AS_OF}' AS timestamp, 'v7' AS model_version, {WARNING} AS warnings, 0.25 AS brier_score_healthy_max,
+       0.35 AS brier_score_degraded_max, 0.1 AS calibration_error_healthy_max, 0.2 AS calibration_error_degraded_max,
+       0.01 AS collapse_variance_threshold, c.* FROM ck_cal CROSS JOIN (
+         SELECT string_agg(printf('%.6f', upper), ',' ORDER BY bin) AS bins, string_agg(printf('%.6f', observed), ',' ORDER BY bin) AS observed_frequency,
+           string_agg(printf('%.6f', expected), ',' ORDER BY bin) AS expected_confidence, string_agg(CAST(samples AS VARCHAR), ',' ORDER BY bin) AS samples_per_bin
+         FROM ck_bins) c""",
 )
 def _metrics(i: Inputs) -> DataFrame:
     path = new_folder(i.spark, "metrics")
-    artifacts.write_metrics(cal.calibration_status(i["pred_fx"]), path)
-    return rounded(
-        artifacts.read_metrics(i.spark, path), "brier_score", "calibration_error"
-    ).select("sample_count", "brier_score", "calibration_error")
+    artifacts.write_metrics(cal.calibration_record(i["pred_fx"], AS_OF, "v7"), path)
+    named = F.when(F.get("warnings", F.lit(0)).startswith("Probability"), "collapse").when(
+        F.get("warnings", F.lit(0)).startswith("Extreme"), "extreme"
+    )
+    return artifacts.read_metrics(i.spark, path).select(
+        "calibration_status", "brier_score", "calibration_error", "sample_count", "timestamp", "model_version",
+        F.coalesce(named, F.array_join("warnings", "|")).alias("warnings"), "thresholds.*",
+        *[listed(name, 6) for name in ("bins", "observed_frequency", "expected_confidence")], listed("samples_per_bin"),
+    )
+
+
+@R.query(
+    "s19_telemetry_json",
+    """SELECT count(*) AS total_scans, count(*) FILTER (verdict = 'PHISHING') AS phishing, count(*) FILTER (verdict = 'SAFE') AS safe,
+       count(*) FILTER (analysis_complete) AS scans_with_complete_analysis, count(*) FILTER (NOT analysis_complete) AS scans_with_incomplete_analysis,
+       count(*) FILTER (allowlist_override) AS scans_with_allowlist_override, count(*) FILTER (NOT allowlist_override) AS scans_without_allowlist_override,
+       count(*) FILTER (len(warnings) > 0) AS drifting, CAST(0 AS BIGINT) AS significant,
+       CAST(sum(len(risk)) AS BIGINT) AS total_risk_signals, CAST(sum(len(positive)) AS BIGINT) AS total_positive_signals,
+       CAST(sum(len(inconclusive)) AS BIGINT) AS total_inconclusive_signals,
+       strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS collection_start, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_updated,
+       (SELECT count(*) FROM (SELECT unnest(risk) AS s FROM scan_fx) x WHERE contains(lower(s), 'iframe')) AS iframes FROM scan_fx""",
+)
+def _telemetry(i: Inputs) -> DataFrame:
+    path = new_folder(i.spark, "telemetry")
+    artifacts.write_metrics(tel.telemetry_record(i["scan_fx"]), path)
+    plain = [f.split()[0] for f in artifacts.TELEMETRY_SCHEMA.replace("\n", " ").split(", ") if "BIGINT" in f and "MAP" not in f and ">" not in f]
+    return artifacts.read_metrics(i.spark, path, artifacts.TELEMETRY_SCHEMA).select(
+        *plain, F.col("scans_by_verdict")["PHISHING"].alias("phishing"), F.col("scans_by_verdict")["SAFE"].alias("safe"),
+        F.col("scans_by_drift_status")["warning"].alias("drifting"), F.col("scans_by_drift_status")["significant"].alias("significant"),
+        F.col("top_risk_signals")["iframe_detected"].alias("iframes"), "collection_start", "last_updated",
+    )
 
 
 @R.query(

@@ -18,8 +18,19 @@ explanation STRUCT<summary: STRING, positive: ARRAY<STRING>, risk: ARRAY<STRING>
   inconclusive: ARRAY<STRING>, analysis_complete: BOOLEAN, allowlist_override: BOOLEAN>,
 warnings ARRAY<STRING>"""
 METRICS_SCHEMA = """
-calibration_status STRING, brier_score DOUBLE, calibration_error DOUBLE, variance DOUBLE,
-extreme_share DOUBLE, sample_count BIGINT, warnings ARRAY<STRING>"""
+calibration_status STRING, brier_score DOUBLE, calibration_error DOUBLE,
+reliability_curve STRUCT<bins: ARRAY<DOUBLE>, observed_frequency: ARRAY<DOUBLE>, expected_confidence: ARRAY<DOUBLE>,
+  samples_per_bin: ARRAY<BIGINT>>,
+timestamp STRING, model_version STRING, sample_count BIGINT,
+thresholds STRUCT<brier_score_healthy_max: DOUBLE, brier_score_degraded_max: DOUBLE, calibration_error_healthy_max: DOUBLE,
+  calibration_error_degraded_max: DOUBLE, collapse_variance_threshold: DOUBLE>,
+warnings ARRAY<STRING>"""
+TELEMETRY_SCHEMA = """
+total_scans BIGINT, scans_by_verdict MAP<STRING, BIGINT>, scans_with_complete_analysis BIGINT,
+scans_with_incomplete_analysis BIGINT, scans_with_allowlist_override BIGINT, scans_without_allowlist_override BIGINT,
+scans_by_drift_status MAP<STRING, BIGINT>, total_risk_signals BIGINT, total_positive_signals BIGINT,
+total_inconclusive_signals BIGINT, collection_start STRING, last_updated STRING,
+top_risk_signals MAP<STRING, BIGINT>, top_inconclusive_checks MAP<STRING, BIGINT>"""
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -55,21 +66,22 @@ def dataset_stats(raw: DataFrame, deduped: DataFrame, balanced: DataFrame, parts
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """A metrics table of a few rows as JSON."""
-    df.write.mode("overwrite").json(path)
+    """A metrics record (calibration or telemetry) as JSON, null fields included."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def read_metrics(spark: SparkSession, path: str, schema: str = METRICS_SCHEMA) -> DataFrame:
-    """Metrics as written; a missing file gives one row with status ``unknown``."""
+    """A record as written; a missing or broken file gives one with status ``unknown`` and nothing else."""
+    fields = spark.createDataFrame([], schema).schema.fields
     try:
-        return spark.read.schema(schema).json(path)
+        rows = spark.read.schema(schema).json(path).dropna("all")
+        if not rows.isEmpty():
+            return rows
     except AnalysisException:
-        empty = spark.createDataFrame([(None,)], "x int")
-        names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-        row = empty.select(
-            *[F.lit("unknown").alias(n) if n == "calibration_status" else F.lit(None).alias(n) for n in names]
-        )
-        return row.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], schema).schema.fields])
+        pass
+    return spark.range(1).select(
+        *[F.lit("unknown" if f.name == "calibration_status" else None).cast(f.dataType).alias(f.name) for f in fields]
+    )
 
 
 def append_verdict_audit(scans: DataFrame, path: str) -> None:
