@@ -2,14 +2,15 @@
 
 A shard is two files. ``.ids`` holds nothing but ids, little-endian, two or four bytes each.
 ``.idx`` holds the rows' keys and offsets and a minimal perfect hash from keys to rows with a
-fingerprint for each, so that a look-up of an absent key is refused without reading ids. A
+fingerprint for each, so that most look-ups of absent keys are refused at once; the rest are by the
+stored key. Every keyed row is read by its key through the hash. A
 manifest table written by Spark names the files of the tasks that counted: a task that is run
 again writes files of its own, and files the manifest does not name mean nothing.
 
 Documents are in ascending key order within and across shards. Null text is empty and still has
 the end id. Rows with a null key come first and can be read in order only. Rows that repeat a
-key are all kept, in the order of their text, and a look-up gives them all. An empty table
-gives an empty manifest. The work folder may be on any file system that pyarrow can open.
+key are all kept, in the order of a hash of their text, and a look-up gives them all; many of them may
+fill several shards, which then share the key. An empty table gives an empty manifest. The work folder may be on any file system that pyarrow can open.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import private, text_or_empty
+from urlguard.llm.common import private, text_or_empty, text_slices
 from urlguard.llm.perfect_hash import PerfectHash, fingerprint
 from urlguard.llm.tokens import piece_encoder
 from urlguard.session import new_folder
@@ -36,7 +37,7 @@ from urlguard.session import new_folder
 MAGIC = b"IDSHARD1"
 MANIFEST = "shard int, ids_file string, index_file string, first_key long, last_key long, n_rows long, n_ids long"
 ROWS = "key long, place long, ids binary"
-ROWS_AT_ONCE = 2_000
+READ_IDS = 1 << 20  # ids read at once, or those of one row
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -99,7 +100,9 @@ class Shard:
             return np.full(len(keys), -1), np.zeros(len(keys), np.int32)
         slots = self.hashed.slots(keys)
         held = (slots >= 0) & (self.prints[slots] == fingerprint(keys))
-        return np.where(held, self.rows[slots], -1), np.where(held, self.repeats[slots], 0)
+        rows = self.rows[slots]
+        held &= self.keys[np.clip(rows - self.n_null, 0, len(self.keys) - 1)] == keys  # a print has 32 bits
+        return np.where(held, rows, -1), np.where(held, self.repeats[slots], 0)
 
     def read(self, first: int, last: int) -> np.ndarray:
         """The ids of rows ``first`` to ``last - 1``."""
@@ -107,6 +110,27 @@ class Shard:
         self.ids.seek(int(at))
         return np.frombuffer(self.ids.read(int(end - at)), self.kind)
 
+    def gather(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows with their joined ids, about READ_IDS at a time; neighbouring rows are one read."""
+        upto = np.cumsum(self.offsets[rows + 1] - self.offsets[rows])
+        at = 0
+        while at < len(rows):
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + READ_IDS, "right")))
+            part = rows[at:end]
+            cuts = [0, *(np.flatnonzero(np.diff(part) != 1) + 1).tolist(), len(part)]
+            yield part, np.concatenate([self.read(int(part[a]), int(part[b - 1]) + 1) for a, b in zip(cuts, cuts[1:])])
+            at = end
+
+    def by_key(self) -> np.ndarray:
+        """The rows of all keys in order, each found through the hash; rows without a key before them."""
+        distinct, counts = np.unique(self.keys, return_counts=True)
+        first, repeats = self.find(distinct)
+        if (first < 0).any() or (repeats != counts).any():
+            raise ValueError("the index does not lead to the rows of its keys")
+        nth = np.arange(len(self.keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.concatenate([np.arange(self.n_null), np.repeat(first, counts) + nth])
+
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each row of a key."""
         (first,), (n,) = self.find(np.array([key]))
@@ -135,9 +159,10 @@ def write(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", tex
             out = out or system.open_output_stream(f"{top}/{name}.ids")
             n_null += batch.column(0).null_count
             keys.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-            for ids in encoder.encode(batch.column(1).to_pylist()):
-                sizes.append(len(ids) // 4 + 1)
-                out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
+            for _, texts in text_slices(batch.column(1)):
+                for ids in encoder.encode(texts):
+                    sizes.append(len(ids) // 4 + 1)
+                    out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
         if out is None:
             return
         out.close()
@@ -155,9 +180,10 @@ def write(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", tex
         ]))
 
     rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    # Range partitions are in key order, and equal keys share one.
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(write_shard, MANIFEST).write.parquet(f"{folder}/manifest")
+    # Range partitions are in key order. A key that many rows share is cut by the hash of its texts.
+    order = ["key", "hash", "text"]
+    ordered = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    ordered.select("key", "text").mapInArrow(write_shard, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -174,21 +200,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             shard = Shard(folder, row["ids_file"], row["index_file"])
-            n_null, n = shard.n_null, row["n_rows"]
-            for at in range(0, n, ROWS_AT_ONCE):
-                end = min(at + ROWS_AT_ONCE, n)
-                keyed = shard.keys[max(0, at - n_null) : max(0, end - n_null)]
-                first, repeats = shard.find(keyed)
-                rows = np.arange(max(at, n_null), end)
-                if not ((first <= rows) & (rows < first + repeats)).all():
-                    raise ValueError(f"the index of {row['index_file']} does not lead to its rows")
-                ids = shard.read(at, end).astype("<u4").tobytes()
-                edges = ((shard.offsets[at : end + 1] - shard.offsets[at]) * 4).astype(np.int32)
-                keys = [None] * (end - at - len(keyed)) + keyed.tolist()
+            for rows, ids in shard.gather(shard.by_key()):
+                sizes = shard.offsets[rows + 1] - shard.offsets[rows]
+                edges = (np.concatenate([[0], np.cumsum(sizes)]) * 4).astype(np.int32)
+                keys = [shard.keys[k - shard.n_null] if k >= shard.n_null else None for k in rows.tolist()]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys, pa.int64()),
-                    pa.array(shard.offsets[at:end] + row["start"], pa.int64()),
-                    pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(edges), pa.py_buffer(ids)]),
+                    pa.array(shard.offsets[rows] + row["start"], pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(ids.astype("<u4").tobytes())]),
                 ], ["key", "place", "ids"])
 
     shards = manifest(spark, folder)
@@ -199,19 +218,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def locate(keys: DataFrame, key: str, folder: str) -> DataFrame:
     """Keyed access in bulk: rows of ``keys`` with the ids of each row that has the key.
 
-    Keys meet the shard whose key span holds them (spans of shards do not overlap), so only
-    shards with a key asked for are opened. Absent and null keys give no row.
+    Keys meet the shards whose key span holds them (spans share at most their ends, where a key has
+    rows in several), so only shards with a key asked for are opened. Absent and null keys give no row.
     """
     spark = keys.sparkSession
     (name,) = private("shard")
-    spans = manifest(spark, folder).where("first_key is not null").select("shard", "first_key").orderBy("first_key").collect()
-    starts, numbers = [r.first_key for r in spans], [r.shard for r in spans]
+    spans = manifest(spark, folder).where("first_key is not null").select("shard", "first_key", "last_key").orderBy("shard").collect()
+    starts, ends, numbers = (np.array([r[k] for r in spans], np.int64) for k in ("first_key", "last_key", "shard"))
     files = manifest(spark, folder).select(F.col("shard").alias(name), "ids_file", "index_file")
 
-    @F.arrow_udf("int")
-    def shard_of(wanted: pa.Array) -> pa.Array:
-        at = np.searchsorted(np.array(starts, np.int64), wanted.to_numpy(zero_copy_only=False), "right") - 1
-        return pa.array([numbers[k] if k >= 0 else None for k in at.tolist()], pa.int32())
+    @F.arrow_udf("array<int>")
+    def shards_of(wanted: pa.Array) -> pa.Array:
+        wanted = wanted.to_numpy(zero_copy_only=False)
+        first, after = np.searchsorted(ends, wanted, "left"), np.searchsorted(starts, wanted, "right")
+        return pa.array([numbers[a:b].tolist() for a, b in zip(first.tolist(), after.tolist())], pa.list_(pa.int32()))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = functools.lru_cache(maxsize=1)(lambda ids, index: Shard(folder, ids, index))
@@ -222,6 +242,6 @@ def locate(keys: DataFrame, key: str, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(found, pa.schema([("key", pa.int64()), ("ids", pa.binary())]))
 
     asked = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct()
-    asked = asked.withColumn(name, shard_of("key")) if starts else asked.withColumn(name, F.lit(None).cast("int"))
+    asked = asked.withColumn(name, F.explode(shards_of("key")))
     met = asked.join(files, name).select("key", "ids_file", "index_file").sortWithinPartitions("ids_file")
     return met.mapInArrow(look_up, "key long, ids binary")
