@@ -58,6 +58,30 @@ def test_few_rows(spark):
     assert search(spark, [(11, [2.0])], 10, 5) == []
 
 
+def test_only_vectors_that_may_enter_are_read(spark):
+    """Later pairs are read only while their bound reaches the k-th score; the vectors of others need not exist."""
+    as_bytes = lambda v: np.array(v, "<i8").tobytes()
+    queries = spark.createDataFrame([(0, as_bytes([1, 0])), (1, as_bytes([0, 1]))], "q long, qv binary")
+    scores = [50 - c for c in range(40)]
+    alive = [(q, c, float(scores[c] + (3 if q == 0 else 1000))) for q in (0, 1) for c in range(40)]
+    exact = [(c, as_bytes([scores[c], c])) for c in range(40)]
+    found = vector_search.read_in_order(
+        spark.createDataFrame(alive, "q long, c long, high double"), queries, spark.createDataFrame(exact, "c long, cv binary"), 2, 3
+    )
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0, 50), (0, 1, 49), (1, 38, 38), (1, 39, 39)]
+    near = [(c, v) for c, v in exact if c < 12]  # what query 0 has no need of is missing
+    found = vector_search.read_in_order(
+        spark.createDataFrame([a for a in alive if a[0] == 0], "q long, c long, high double"), queries,
+        spark.createDataFrame(near, "c long, cv binary"), 2, 3,
+    )
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0, 50), (0, 1, 49)]
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    with pytest.raises(ValueError):
+        search(spark, [(10, [1e8, 1.0]), (11, [-1e8, 1.0])], 10, 1, scale=1 << 10)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     vectors, queries = rng.integers(-300, 300, (200, 16)), rng.integers(-300, 300, (20, 16))

@@ -3,7 +3,8 @@
 Every vector has an approximation: a cell of 2^bits for each component. A scan of the
 approximations, blocks of queries against blocks of cells, bounds each score from both sides and
 keeps what may still be among a query's best. The exact vectors of those are then read in the
-order of their upper bounds until no later one can enter the result.
+order of their upper bounds, in rounds of growing size, until no later one can enter the result:
+vectors that come after are never read.
 
 Components x become floor(256 * x) (``scale``). Equal vectors are one class, whose members are
 brought in at the end: the best k + 1 of all members lie in the k + 1 best classes (by score, then
@@ -12,13 +13,13 @@ costs no more than one vector.
 
 Vectors that are null, empty, or hold null or non-finite components, and rows without vec_id,
 take no part. Of rows that repeat a vec_id the smallest vector counts. Only vectors of equal
-length are compared. Scores are 64-bit integers. A query gets all others if there are fewer than
+length are compared. Scores are 64-bit integers; vectors whose scores might be larger are refused. A query gets all others if there are fewer than
 k, and no row if there are none. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from urlguard.llm.common import stored
 BITS = 8
 BLOCK = 8192  # candidates compared at once
 QUERIES = 512  # queries compared at once
+FIRST, GROWTH = 4, 16  # exact vectors read in the first round for each one wanted; growth from round to round
 CLASS = ["h1", "h2"]
 
 
@@ -122,33 +124,40 @@ def _scan(grids: dict[int, Grid], k: int):
     return run
 
 
-def _read_in_order(k: int):
-    """The k best of each query (score, then smaller id), from pairs sorted by query and upper bound."""
+@functools.cache
+def _score():
+    @F.arrow_udf("long")
+    def score(queries: pa.Array, vectors: pa.Array) -> pa.Array:
+        pairs = zip(queries.to_pylist(), vectors.to_pylist())
+        return pa.array([int(np.frombuffer(q, "<i8") @ np.frombuffer(v, "<i8")) for q, v in pairs], pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, closed, vector = None, [], False, None
-        for batch in batches:
-            out = []
-            for q, c, high, qv, cv in zip(*(column.to_pylist() for column in batch.columns)):
-                if q != now:
-                    out += [(now, -c_, s) for s, c_ in best]
-                    now, best, closed, vector = q, [], False, np.frombuffer(qv, "<i8")
-                if closed or (len(best) == k and best[0][0] > high):
-                    closed = True  # later pairs have no larger bound
-                    continue
-                entry = (int(vector @ np.frombuffer(cv, "<i8")), -c)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-            yield _best(out)
-        yield _best([(now, -c_, s) for s, c_ in best])
-
-    def _best(rows: list) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q", "c", "score"])
+    return score
 
-    return run
+
+def read_in_order(alive: DataFrame, queries: DataFrame, exact: DataFrame, k: int, first: int) -> DataFrame:
+    """(q, c, score): the k best pairs of each query among ``alive`` (q, c, high), score first, then smaller c.
+
+    A round reads the exact vectors of a query's pairs with the largest upper bounds: ``first`` of them, and
+    then GROWTH times as many each time. What cannot reach the k-th best score found so far is let go.
+    """
+    best = None
+    left, size = alive, first
+    while True:
+        order = Window.partitionBy("q").orderBy(F.desc("high"), "c")
+        taken = left.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size).select("q", "c", "high")
+        taken = stored(taken, "read-next")
+        scored = taken.join(queries, "q").join(exact, "c").select("q", "c", _score()("qv", "cv").alias("score"))
+        found = scored if best is None else scored.unionAll(best)
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
+        best = stored(found.withColumn("nth", rank).where(F.col("nth") <= k).select("q", "c", "score"), "best-so-far")
+        # Later pairs in the same order, if they may still enter.
+        last = taken.groupBy("q").agg(F.min(F.struct("high", -F.col("c"))).alias("last"))
+        floor = best.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+        open_ = left.join(last, "q").where(F.struct("high", -F.col("c")) < F.col("last")).join(floor, "q")
+        left = stored(open_.where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("q", "c", "high"), "unread")
+        if left.isEmpty():
+            return best
+        size *= GROWTH
 
 
 def nearest(
@@ -173,6 +182,8 @@ def nearest(
     for row in sides.orderBy("dim", "at").collect():  # two numbers for each component
         edges.setdefault(row.dim, []).append((row.low, row.high))
     for dim, found in edges.items():
+        if sum(max(low * low, high * high) for low, high in found) >= 1 << 63:
+            raise ValueError("scores may exceed 63 bits")
         grids[dim] = Grid(*zip(*found), bits)
 
     @F.arrow_udf("binary")
@@ -204,10 +215,10 @@ def nearest(
     floors = bounded.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("q")
     floors = floors.agg(F.when(F.count("*") > k, F.min("low")).alias("floor"))
     alive = bounded.join(floors, "q").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
-    with_q = alive.join(asking.select("q", F.col("exact").alias("qv")), "q")
-    with_c = with_q.join(exact.select("c", F.col("exact").alias("cv")), "c")
-    ordered = with_c.select("q", "c", "high", "qv", "cv").repartition("q").sortWithinPartitions("q", F.desc("high"))
-    best = ordered.mapInArrow(_read_in_order(k + 1), "q long, c long, score long")
+    best = read_in_order(
+        stored(alive.select("q", "c", "high"), "alive"), asking.select("q", F.col("exact").alias("qv")),
+        exact.select("c", F.col("exact").alias("cv")), k + 1, FIRST * (k + 1),
+    )
 
     # From classes back to rows.
     named = exact.select("c", *CLASS)
