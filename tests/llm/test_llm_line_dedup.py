@@ -10,9 +10,12 @@ BLANK = " \t\n\x0b\x0c\r"
 
 def brute(texts, threshold, least_chars=1):
     key = lambda line: lower(line).strip(BLANK)
-    held = Counter()
-    for _, text in texts:
-        held.update({key(line) for line in (text or "").split("\n")})
+    held, by_document = Counter(), {}
+    for doc_id, text in texts:  # rows without a doc_id are documents of their own
+        name = doc_id if doc_id is not None else ("none", text)
+        by_document.setdefault(name, set()).update(key(line) for line in (text or "").split("\n"))
+    for keys in by_document.values():
+        held.update(keys)
     drop = {k for k, n in held.items() if n >= threshold and len(k) >= least_chars}
     result = []
     for doc_id, text in texts:
@@ -33,11 +36,14 @@ def test_equals_brute_force(spark, threshold, least_chars, batches):
     assert rows == brute(TEXTS, threshold, least_chars)
 
 
+def batch_of(spark, *keys):
+    return spark.createDataFrame([(k, k) for k in keys], "hi long, lo long")
+
+
 def test_runs_are_levelled_and_settled_keys_stay_out(spark):
-    runs = line_dedup.LineRuns(spark, threshold=2, fanout=2)
-    batch = spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "hi long, lo long")
+    runs = line_dedup.LineRuns(spark, threshold=2, buckets=4)
     for n in range(5):
-        runs.add(batch)
+        runs.add(batch_of(spark, 1, 1, 2))
         held = sum(len(level) for level in runs.levels)
         assert held == bin(n + 1).count("1")
     counts = {r.hi: r.n for r in runs.merged().collect()}
@@ -45,5 +51,39 @@ def test_runs_are_levelled_and_settled_keys_stay_out(spark):
     assert sorted(r.hi for r in runs.settled().collect()) == [1, 2]
 
 
+def test_a_batch_of_another_day(spark):
+    """The manifest brings the levels back; counts go on where they were."""
+    runs = line_dedup.LineRuns(spark, threshold=5, buckets=3)
+    for keys in ([1, 2, 3], [1, 2], [1, 4]):
+        runs.add(batch_of(spark, *keys))
+    runs.close()
+    assert not {t.name for t in spark.catalog.listTables(pattern="run_*")} & {f"run_{p.rsplit('-', 1)[1]}" for level in runs.levels for p in level}
+    again = line_dedup.LineRuns(spark, threshold=5, folder=runs.folder)
+    assert (again.levels, again.buckets, again.version) == (runs.levels, 3, 3)
+    again.add(batch_of(spark, 1, 1, 2, 5))
+    assert {r.hi: r.n for r in again.merged().collect()} == {1: 5, 2: 3, 3: 1, 4: 1, 5: 1}
+    assert [r.hi for r in again.settled().collect()] == [1]
+    third = line_dedup.LineRuns(spark, threshold=5, folder=runs.folder)
+    third.add(batch_of(spark, 1, 2))
+    assert {r.hi: r.n for r in third.merged().collect()} == {1: 5, 2: 4, 3: 1, 4: 1, 5: 1}
+
+
+def test_runs_are_merged_without_being_moved_or_sorted(spark):
+    runs = line_dedup.LineRuns(spark, threshold=3)
+    for _ in range(3):
+        runs.add(batch_of(spark, *range(50)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with line_dedup.settings(spark, line_dedup.MERGING):
+            merged = runs.merged()._jdf.queryExecution().executedPlan().toString()
+            batch = runs.unsettled(batch_of(spark, 1, 2).groupBy("hi", "lo").agg({"*": "count"}).withColumnRenamed("count(1)", "n"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in merged and "Exchange" not in merged and "Sort [" not in merged
+    # Only the batch is moved and sorted, once for all runs.
+    assert batch.count("SortMergeJoin") == 2 and batch.count("Exchange") == 1 and batch.count("Sort [") == 1
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup(documents(spark, [])).count() == 0
