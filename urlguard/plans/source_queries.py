@@ -208,9 +208,9 @@ R.add(
 )
 
 
-def listed(name: str, digits: int | None = None):
-    """An array of the curve as text."""
-    values = F.transform(f"reliability_curve.{name}", lambda v: F.format_string(f"%.{digits}f", v) if digits else v.cast("string"))
+def listed(name: str, scale: float = 1.0):
+    """An array of the curve as text, in whole parts of 1 / scale."""
+    values = F.transform(f"reliability_curve.{name}", lambda v: F.round(v * scale).cast("long").cast("string"))
     return F.array_join(values, ",").alias(name)
 
 
@@ -220,8 +220,8 @@ def listed(name: str, digits: int | None = None):
        '{AS_OF}' AS timestamp, 'v7' AS model_version, {WARNING} AS warnings, 0.25 AS brier_score_healthy_max,
        0.35 AS brier_score_degraded_max, 0.1 AS calibration_error_healthy_max, 0.2 AS calibration_error_degraded_max,
        0.01 AS collapse_variance_threshold, c.* FROM ck_cal CROSS JOIN (
-         SELECT string_agg(printf('%.6f', upper), ',' ORDER BY bin) AS bins, string_agg(printf('%.6f', observed), ',' ORDER BY bin) AS observed_frequency,
-           string_agg(printf('%.6f', expected), ',' ORDER BY bin) AS expected_confidence, string_agg(CAST(samples AS VARCHAR), ',' ORDER BY bin) AS samples_per_bin
+         SELECT string_agg(CAST(CAST(round(upper * 1e9) AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS bins, string_agg(CAST(CAST(round(observed * 1e9) AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS observed_frequency,
+           string_agg(CAST(CAST(round(expected * 1e9) AS BIGINT) AS VARCHAR), ',' ORDER BY bin) AS expected_confidence, string_agg(CAST(samples AS VARCHAR), ',' ORDER BY bin) AS samples_per_bin
          FROM ck_bins) c""",
 )
 def _metrics(i: Inputs) -> DataFrame:
@@ -233,7 +233,7 @@ def _metrics(i: Inputs) -> DataFrame:
     return artifacts.read_metrics(i.spark, path).select(
         "calibration_status", "brier_score", "calibration_error", "sample_count", "timestamp", "model_version",
         F.coalesce(named, F.array_join("warnings", "|")).alias("warnings"), "thresholds.*",
-        *[listed(name, 6) for name in ("bins", "observed_frequency", "expected_confidence")], listed("samples_per_bin"),
+        *[listed(name, 1e9) for name in ("bins", "observed_frequency", "expected_confidence")], listed("samples_per_bin"),
     )
 
 
