@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -78,6 +80,19 @@ def slices(texts: list[str], chars: int = 1_000_000):
         yield start, len(texts)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def let_go() -> None:
+    """Gives free memory back to the system: Python workers wait for their next task beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def text_slices(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Texts of a column without nulls in runs of about this many bytes: (first row, texts)."""
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -86,3 +101,4 @@ def text_slices(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int,
         end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
         yield start, column.slice(start, end - start).to_pylist()
         start, before = end, int(ends[end - 1])
+    let_go()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import CLEANUP, others, private, settings, stored, text_or_empty
+from urlguard.llm.common import CLEANUP, others, private, settings, stored, text_or_empty, text_slices
 from urlguard.session import new_folder
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -56,7 +56,7 @@ def line_hashes(text: Column | str, least_chars: int = 1) -> Column:
     @F.arrow_udf("array<struct<hi:long,lo:long>>")
     def hashes(texts: pa.Array) -> pa.Array:
         ends, his, los = [0], [], []
-        for text in texts.to_pylist():
+        for text in (t for _, part in text_slices(texts) for t in part):
             found = {_hash(k) for k in set(_keys(text)) if _long_enough(k, least_chars)}
             his.extend((h >> 64) - HALF for h in found)
             los.extend((h & (2 * HALF - 1)) - HALF for h in found)
@@ -73,7 +73,7 @@ def without_lines(text: Column | str, dropped: Column | str) -> Column:
     @F.arrow_udf("n_lines long, n_dropped long, kept string")
     def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
         totals, gone, kept = [], [], []
-        for text, drop in zip(texts.to_pylist(), drops.to_pylist()):
+        for text, drop in zip((t for _, part in text_slices(texts) for t in part), drops.to_pylist()):
             if not drop:
                 totals.append(text.count("\n") + 1)
                 gone.append(0)

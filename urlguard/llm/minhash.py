@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlguard.llm import spans
-from urlguard.llm.common import private, stored, text_or_empty, text_slices
+from urlguard.llm.common import let_go, private, stored, text_or_empty, text_slices
 from urlguard.llm.components import components
 from urlguard.operators.lookup import lookup
 
@@ -214,6 +214,7 @@ def _suspects(rows: int, least: int):
             if found:
                 columns = zip(*(group[k] for k in sorted(found)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        let_go()
 
     return run
 
@@ -247,6 +248,7 @@ def _joining(rows: int, least: int, percent: int):
                         links.append((group[x][5], group[y][5]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["u", "v"])
+        let_go()
 
     return run
 
