@@ -83,6 +83,15 @@ def manifest_runtime_gap(manifest: DataFrame, allowlist: DataFrame) -> DataFrame
 # ------------------------------------------------------------------ overrides
 
 
+# --- fixed values: why an override is refused ---------------------------------------------
+NOT_PERMITTED = {
+    "PERMANENT": "PERMANENT overrides require SECURITY_TEAM authority, got ",
+    "EMERGENCY": "EMERGENCY overrides require SECURITY_TEAM or ON_CALL, got ",
+    "TESTING": "TESTING overrides are for CI_SYSTEM only, got ",
+}
+NO_TICKET = "PERMANENT overrides require a review_ticket reference"
+
+
 def check_overrides(requests: DataFrame) -> DataFrame:
     """Adds ``allowed`` and ``refusal`` by type, authority and review ticket.
 
@@ -97,12 +106,10 @@ def check_overrides(requests: DataFrame) -> DataFrame:
         if ticket:
             ticket_needed = ticket_needed | match
     no_ticket = F.coalesce(F.col("review_ticket"), F.lit("")) == ""
-    refusal = (
-        F.when(~permitted & (kind == "PERMANENT"), F.concat(F.lit("PERMANENT overrides require SECURITY_TEAM authority, got "), by))
-        .when(~permitted & (kind == "EMERGENCY"), F.concat(F.lit("EMERGENCY overrides require SECURITY_TEAM or ON_CALL, got "), by))
-        .when(~permitted, F.concat(F.lit("TESTING overrides are for CI_SYSTEM only, got "), by))
-        .when(ticket_needed & no_ticket, F.lit("PERMANENT overrides require a review_ticket reference"))
-    )
+    text = F.lit(NOT_PERMITTED["TESTING"])
+    for rule_kind in ("EMERGENCY", "PERMANENT"):
+        text = F.when(kind == rule_kind, NOT_PERMITTED[rule_kind]).otherwise(text)
+    refusal = F.when(~permitted, F.concat(text, by)).when(ticket_needed & no_ticket, NO_TICKET)
     return requests.withColumns({"allowed": refusal.isNull(), "refusal": refusal})
 
 
@@ -230,18 +237,26 @@ def canary_streak(runs: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: why a canary domain is or is not promoted (numbers: passes, samples) -------
+PROMOTION_REASONS = {
+    "thin": "Insufficient signal: %d/{passes} runs, %d/{samples} samples",
+    "streak": "Insufficient consecutive passes: %d/{passes}",
+    "rate": ("Pass rate ", " < 100% required"),
+    "met": "All promotion criteria met",
+}
+
+
 def promotable(runs: DataFrame) -> DataFrame:
     """Eligibility of each canary domain with the reason."""
     r, s, c = F.col("test_runs"), F.col("samples"), F.col("consecutive_passes")
     thin = (r < fv.CANARY_MIN_PASSES) | (s < fv.CANARY_MIN_SAMPLES)
+    needed = {"passes": fv.CANARY_MIN_PASSES, "samples": fv.CANARY_MIN_SAMPLES}
+    before, after = PROMOTION_REASONS["rate"]
     reason = (
-        F.when(thin, F.format_string(
-            f"Insufficient signal: %d/{fv.CANARY_MIN_PASSES} runs, %d/{fv.CANARY_MIN_SAMPLES} samples", r, s))
-        .when(c < fv.CANARY_MIN_PASSES, F.format_string(
-            f"Insufficient consecutive passes: %d/{fv.CANARY_MIN_PASSES}", c))
-        .when(F.col("pass_rate") < 1, F.concat(
-            F.lit("Pass rate "), percent(F.col("pass_rate")), F.lit(" < 100% required")))
-        .otherwise("All promotion criteria met")
+        F.when(thin, F.format_string(PROMOTION_REASONS["thin"].format(**needed), r, s))
+        .when(c < fv.CANARY_MIN_PASSES, F.format_string(PROMOTION_REASONS["streak"].format(**needed), c))
+        .when(F.col("pass_rate") < 1, F.concat(F.lit(before), percent(F.col("pass_rate")), F.lit(after)))
+        .otherwise(PROMOTION_REASONS["met"])
     )
     joined = canary_signal(runs).join(canary_streak(runs), "domain")
     return joined.withColumns(
@@ -326,15 +341,26 @@ def frozen_actions(events: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: what is said of an action under a calibration status ----------------------
+ACTION_REASONS = {
+    "healthy": "Calibration healthy, action allowed",
+    "forbidden": ("Action '", "' forbidden: Calibration status is "),
+    "unknown": ("Action '", "' requires human review: Calibration status UNKNOWN"),
+    "warning": "Warning: Calibration is ",
+}
+
+
 def action_allowed(df: DataFrame) -> DataFrame:
     """Adds ``allowed`` and ``reason`` for (calibration_status, action)."""
     status, action = F.col("calibration_status"), F.col("action")
     forbidden = action.isin(*fv.FORBIDDEN_WHEN_UNHEALTHY)
+    before, after = ACTION_REASONS["forbidden"]
+    ahead, review = ACTION_REASONS["unknown"]
     reason = (
-        F.when(status == "HEALTHY", F.lit("Calibration healthy, action allowed"))
-        .when(forbidden, F.concat(F.lit("Action '"), action, F.lit("' forbidden: Calibration status is "), status))
-        .when(status == "UNKNOWN", F.concat(F.lit("Action '"), action, F.lit("' requires human review: Calibration status UNKNOWN")))
-        .otherwise(F.concat(F.lit("Warning: Calibration is "), status))
+        F.when(status == "HEALTHY", ACTION_REASONS["healthy"])
+        .when(forbidden, F.concat(F.lit(before), action, F.lit(after), status))
+        .when(status == "UNKNOWN", F.concat(F.lit(ahead), action, F.lit(review)))
+        .otherwise(F.concat(F.lit(ACTION_REASONS["warning"]), status))
     )
     allowed = (status == "HEALTHY") | (~forbidden & (status == "DEGRADED"))
     return df.withColumns({"allowed": allowed, "reason": reason})

@@ -283,7 +283,7 @@ def audit_events(i: Inputs) -> DataFrame:
            o_orderpriority AS event_type, o_orderkey % 2 = 0 AS override_flag_value,
            split(repeat('d.test,', CAST(o_orderkey % 8 AS INT)) || 'z.test', ',') AS affected_domains,
            'ctx' || CAST(o_custkey AS STRING) AS triggering_context,
-           CASE WHEN o_orderkey % 3 = 0 THEN 'order' || char(10) || '  JSON: {"timestamp":"2030-01-01","reason":"forged"} | reason=' ELSE 'order ' END
+           CASE WHEN o_orderkey % 3 = 0 THEN 'order' || char(10) || '  JSON: {{"timestamp":"2030-01-01","reason":"forged"}} | reason=' ELSE 'order ' END
              || CAST(o_orderkey AS STRING) AS reason,
            map('customer', CAST(o_custkey AS STRING)) AS additional_data FROM orders"""
     )
