@@ -53,6 +53,15 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that needs no Python worker to make."""
+    kinds = [field.split() for field in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds])
+    items = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, kinds)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*items)).alias("row")).select("row.*")
+
+
 def private(*names: str) -> list[str]:
     """Column names that cannot clash with the caller's."""
     mark = uuid.uuid4().hex[:8]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import CLEANUP, others, private, settings, stored, text_or_empty, text_slices
+from urlguard.llm.common import CLEANUP, local_rows, others, private, settings, stored, text_or_empty, text_slices
 from urlguard.session import new_folder
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -123,7 +123,7 @@ class LineRuns:
         """Writes the levels down: a row for each run, of which there are as many as the batches' number has bits."""
         self.version += 1
         rows = [(self.version, self.buckets, level, nth, path) for level, paths in enumerate(self.levels) for nth, path in enumerate(paths)]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+        local_rows(self.spark, rows, MANIFEST).write.mode("append").json(f"{self.folder}/manifest")
 
     def _table(self, path: str) -> str:
         name = f"run_{path.rsplit('-', 1)[1]}"
@@ -160,7 +160,7 @@ class LineRuns:
         """Documents of each key over all runs."""
         runs = [self._run(p) for level in self.levels for p in level]
         if not runs:
-            return self.spark.createDataFrame([], "hi long, lo long, n long")
+            return local_rows(self.spark, [], "hi long, lo long, n long")
         return reduce(self._added, runs)
 
     def settled(self) -> DataFrame:

@@ -321,7 +321,9 @@ def grouped(
     led = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     signed = led.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     signed = signed.join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    links = confirmed(signed.where(_agreement(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b"))
+    # Written down, so that no task has workers for both comparisons.
+    agreeing = stored(signed.where(_agreement(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b"), "agreeing")
+    links = confirmed(agreeing)
     links = stored(links.unionAll(shared), "links")
     parts = components(links)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlguard.llm.common import stored
+from urlguard.llm.common import local_rows, stored
 from urlguard.llm.vector_search import integers, usable
 
 GUARD = 4  # Ritz pairs kept beside those asked for
@@ -318,7 +318,7 @@ def whiten(
     rows = vectors.where(usable(vector)).select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), _packed(whole).alias("data"))
     rows = stored(rows, "whitening-rows")
     fit = stored(rows.select("dim", "data").distinct(), "whitening-fit")
-    result = spark.createDataFrame([], RESULT)
+    result = local_rows(spark, [], RESULT)
     for (dim,) in sorted(fit.select("dim").distinct().collect()):
         model = fit_model(fit.where(F.col("dim") == dim), dim, components, shift)
         result = result.unionAll(rows.where(F.col("dim") == dim).select("vec_id", "data").mapInArrow(_applied(model, dim), RESULT))
