@@ -299,9 +299,9 @@ def grouped(
     involved = stored(involved.select(F.col("carrier").alias("node"), "rep", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo")), "involved")
     if involved.count() <= NODES_SENT:
         involved = F.broadcast(involved)
-    read = given.select("node", "text").join(involved, "node").withColumn("s", _set_of(F.col("text"), words))
-    read = read.where("s.hi = own_hi AND s.lo = own_lo").select("node", F.col("rep"), F.col("s.set").alias("set"))
-    read = stored(read, "sets-read")
+    read = given.select("node", "text").join(involved, "node").select("node", "rep", "own_hi", "own_lo", _set_of(F.col("text"), words).alias("s"))
+    # Filtered when written: a filter on what Python gives would have it work twice.
+    read = stored(read.select("node", "rep", "own_hi", "own_lo", "s.*"), "sets-read").where("hi = own_hi AND lo = own_lo")
     # Rows that repeat a document bring its set once.
     repeated = homes.where("rows > 1").select("node")
     once = read.join(repeated, "node", "left_anti").select("rep", "set")
