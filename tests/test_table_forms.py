@@ -3,6 +3,8 @@
 import shutil
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 from compare import compare, duck
 
@@ -16,3 +18,26 @@ def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/pages.parquet").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     problem, rows = compare(entry.queries()["x01_stream_scan"](spark, str(tmp_path)), duck(FOLDER), entry.oracle_sql()["x01_stream_scan"])
     assert problem is None and rows == spark.read.parquet(f"{FOLDER}/pages.parquet").count()
+
+
+@pytest.fixture(scope="module")
+def repeated_urls(spark, tmp_path_factory):
+    """A folder in which many pages have the URL of another page, some of two others, and other content."""
+    folder = tmp_path_factory.mktemp("repeated")
+    for path in Path(FOLDER).iterdir():
+        if path.name != "pages.parquet":
+            shutil.copy(path, folder)
+    duck(FOLDER).execute(f"""COPY (SELECT page_id, url, html FROM pages
+      UNION ALL SELECT page_id + 1020, url, html || '<img src="http://other.test/a.png"><a href="mailto:x@y.test">' FROM pages WHERE page_id % 3 <> 1
+      UNION ALL SELECT page_id + 3040, url, html FROM pages WHERE page_id % 3 = 2) TO '{folder}/pages.parquet' (FORMAT parquet)""")
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["d12_fill_schema", "d13_extraction_report", "f01_using_ip_address", "f07_subdomain_count", "f09_domain_registration_length",
+     "f10_external_favicon", "f35_explain", "p01_schema", "p05_class_share", "v02_verdict", "v05_explanation"],
+)
+def test_each_crawl_of_a_url_counts(spark, repeated_urls, name):
+    problem, rows = compare(entry.queries()[name](spark, repeated_urls), duck(repeated_urls), entry.oracle_sql()[name])
+    assert problem is None and rows

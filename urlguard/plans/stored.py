@@ -66,12 +66,12 @@ class StoredLookups:
         self.tables = tables
         self.pages = KeyedTable(spark, "_page", "stored-pages", buckets)
         self.hosts = KeyedTable(spark, "host", "stored-hosts", buckets)
-        self.pages.update(fx.page_table(tables.crawl))
+        self.pages.update(fx.page_table(tables.crawl, tables.every_crawl))
         self.hosts.update(fx.host_facts(tables.whois, tables.dns, tables.certs))
 
     def crawled(self, crawl: DataFrame) -> None:
         """Takes up newly crawled pages; they replace earlier ones of their URL."""
-        self.pages.update(fx.page_table(crawl))
+        self.pages.update(fx.page_table(crawl, self.tables.every_crawl))
 
     def looked_up(self, whois: DataFrame, dns: DataFrame, certs: DataFrame) -> None:
         """Takes up new records of hosts; they replace all earlier facts of these hosts."""
