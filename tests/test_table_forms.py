@@ -41,3 +41,18 @@ def repeated_urls(spark, tmp_path_factory):
 def test_each_crawl_of_a_url_counts(spark, repeated_urls, name):
     problem, rows = compare(entry.queries()[name](spark, repeated_urls), duck(repeated_urls), entry.oracle_sql()[name])
     assert problem is None and rows
+
+
+def test_confidence_interval_calls_no_row_functions_of_the_engine(spark):
+    """Hashes, noise and order come for many rows at once; a missing probability counts as 1 as before."""
+    from pyspark.sql import functions as F
+
+    from urlguard.operators import training as tr
+
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.lit(0.4)).alias("y_prob"))
+    found = tr.confidence_interval(rows, "k", "y_prob")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "conv(" not in plan
+    by_key = {r.k: r for r in found.collect()}
+    assert by_key[0].lower == by_key[0].upper == 1.0
+    assert len(by_key) == 3000 and all(0.3 < by_key[k].lower < 0.4 < by_key[k].upper < 0.5 for k in range(1, 3000))
