@@ -56,3 +56,28 @@ def test_confidence_interval_calls_no_row_functions_of_the_engine(spark):
     by_key = {r.k: r for r in found.collect()}
     assert by_key[0].lower == by_key[0].upper == 1.0
     assert len(by_key) == 3000 and all(0.3 < by_key[k].lower < 0.4 < by_key[k].upper < 0.5 for k in range(1, 3000))
+
+
+def test_a_dealt_batch_is_written_by_many_tasks_and_read_as_one(spark, tmp_path):
+    from urlguard.plans.inputs import Inputs
+    from urlguard.session import new_folder
+
+    for path in Path(FOLDER).iterdir():
+        if path.name != "pages.parquet":
+            shutil.copy(path, tmp_path)
+    spark.read.parquet(f"{FOLDER}/pages.parquet").repartition(6).write.parquet(f"{tmp_path}/pages.parquet")
+    seen, checkpoint = [], new_folder(spark, "dealt-checkpoint")
+
+    def note(batch, number):
+        parities = {r.page_id % 2 for r in batch.select("page_id").collect()}
+        seen.append((number, parities, batch.rdd.getNumPartitions()))
+
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a task for each file
+    try:
+        for dealt in Inputs(spark, str(tmp_path)).dealt("pages", 2, "page_id % 2"):
+            query = dealt["pages"].writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(n, p) for n, p, _ in seen] == [(0, {0}), (1, {1})]
+    assert min(tasks for _, _, tasks in seen) > 1
