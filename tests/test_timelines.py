@@ -118,3 +118,12 @@ def test_describe_orders_ranges_only(spark, offset):
         assert [row.q25, row.q50, row.q75] == pytest.approx(np.quantile(v, [0.25, 0.5, 0.75]).tolist(), rel=1e-15)
     assert got["single"].asDict() == {"column": "single", "count": 1, "mean": 1.0, "std": None, "min": 1.0, "q25": 1.0, "q50": 1.0, "q75": 1.0, "max": 1.0}
     assert "percentile" not in profile.describe_t(df, ["wide"])._jdf.queryExecution().toString()
+
+
+def test_slices_with_one_look_are_handed_on_together():
+    from urlguard.operators import timelines as tl
+
+    one = tuple(np.array([v], np.int64) for v in (5, 1, 15))
+    batches = list(tl._gathered((f"k{k}", k, one) for k in range(3 * tl.GATHERED)))
+    assert len(batches) == 3 and batches[1].to_pylist()[0] == {"k": f"k{tl.GATHERED}", "slice": tl.GATHERED, "begin": 5, "made": 1, "end": 15}
+    assert [c.tolist() for c in tl.looks_as_function(np.array([5]), 10, 10)] == [[5], [1], [15]]
