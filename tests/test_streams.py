@@ -178,6 +178,25 @@ def test_keys_of_the_repeat_filter_are_forgotten(spark):
     assert len(state_keys(spark, checkpoint, "last")) == 2  # c and b
 
 
+def test_scan_keys_share_states_and_pass_as_if_alone(spark):
+    rng = random.Random(5)
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    minutes = sorted(rng.randrange(0, 300) for _ in range(15_000))
+    rows = [(k, at(m), f"https://h{rng.randrange(6_000)}.test") for k, m in enumerate(minutes)]
+    batches = [rows[k : k + 5_000] for k in range(0, len(rows), 5_000)]
+    for part in batches:
+        rng.shuffle(part)
+    stream = fed(spark, "scan_id long, ts timestamp, url string", batches)
+    found, checkpoint = run(jobs.stream_dedup(stream, run=3), "dedup")
+    last, want = {}, set()
+    for scan_id, ts, url in rows:
+        if url not in last or ts - last[url] >= timedelta(hours=1):
+            last[url] = ts
+            want.add(scan_id)
+    assert {r.scan_id for r in found.collect()} == want
+    assert 0 < len(state_keys(spark, checkpoint, "last")) <= jobs.BUCKETS < len(last)
+
+
 # ------------------------------------------------------------------ blocklist refresh
 
 
