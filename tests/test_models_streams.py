@@ -247,3 +247,17 @@ def test_registered_training_has_the_full_settings(spark):
         "m06_boosted_depth_sweep": ("maxDepth", list(range(1, 10))),
     }
     assert {*values, "m06_svm_grid"} <= set(entry.queries())
+
+
+def test_sweep_over_folds_fits_each_fold_once(rows, monkeypatch):
+    fits, fit = [], tr.LinearSVC.fit
+
+    def counted(self, df, params=None):
+        fits.append(params)
+        return fit(self, df, params)
+
+    monkeypatch.setattr(tr.LinearSVC, "fit", counted)
+    found = tr.sweep(tr.training_rows(rows, "id").withColumnRenamed("id", "page_id"), tr.LinearSVC(maxIter=5), {"regParam": [0.1]}, folds=3)
+    (row,) = found.collect()
+    assert 0.5 < row.accuracy <= 1 and row.params == '{"regParam": 0.1}'
+    assert len(fits) == 3  # no fit on all rows that nobody asks for
