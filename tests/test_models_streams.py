@@ -261,3 +261,15 @@ def test_sweep_over_folds_fits_each_fold_once(rows, monkeypatch):
     (row,) = found.collect()
     assert 0.5 < row.accuracy <= 1 and row.params == '{"regParam": 0.1}'
     assert len(fits) == 3  # no fit on all rows that nobody asks for
+
+
+def test_sweep_of_rows_that_are_alike_is_that_of_single_rows(spark, rows):
+    train = tr.training_rows(rows, "id").withColumnRenamed("id", "page_id")
+    train = train.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("page_id") % 4))).drop("copy")
+    folds = tr.in_folds(train, "page_id", 5, True)
+    assert folds.count() == 400 and folds.agg(F.sum("n")).first()[0] == train.count() == 1000
+    found = [
+        {r.params: r.accuracy for r in tr.sweep(train, tr.boosted(3, 2), {"stepSize": [0.1, 0.7]}, alike=alike).collect()}
+        for alike in (True, False)
+    ]
+    assert len(found[0]) == 2 and found[0] == pytest.approx(found[1])
